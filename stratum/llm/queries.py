@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, packing
 
 QUERIES = {
     "op8_bpe": bpe.op8_bpe,
+    "op9_packing": packing.op9_packing,
 }
 ORACLES: dict[str, str] = {}
