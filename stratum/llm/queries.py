@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, chat, media, packing
 
 QUERIES = {
+    "op2_chat": chat.op2_chat,
+    "op3_media": media.op3_media,
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
 }
