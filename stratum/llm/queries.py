@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, packing
+from . import bpe, chat, html, media, packing
 
 QUERIES = {
     "op2_chat": chat.op2_chat,
     "op3_media": media.op3_media,
+    "op6_html": html.op6_html,
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
 }
