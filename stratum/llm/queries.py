@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, media, packing, simhash_dedup
+from . import bpe, chat, fingerprints, html, media, packing, simhash_dedup
 
 QUERIES = {
     "op1_simhash": simhash_dedup.op1_simhash,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
     "op2_chat": chat.op2_chat,
     "op3_media": media.op3_media,
     "op6_html": html.op6_html,
