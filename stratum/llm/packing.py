@@ -22,55 +22,26 @@ from .bpe import byte_alphabet, tokenizer_path
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded chunks that a worker keeps; beyond it the table starts anew.
-MAX_CHUNKS = 400_000
 #: Partitions whose leftovers meet in one task of the next round.
 MERGE = 4096
 PIECE = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class Irregular(Exception):
-    """White space meets white space, so chunks can't be encoded one by one."""
-
-
-class Encoder(dict):
-    """Chunk between single spaces -> little-endian unsigned 32-bit ids, as the tokenizers file gives them."""
+class Encoder:
+    """Whole texts to little-endian unsigned 32-bit ids, as the tokenizers file (byte-level BPE) gives them."""
 
     def __init__(self, path: str) -> None:
         import tiktoken
 
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = list(special)
-
-    def whole(self, text: str) -> bytes:
-        return self.coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        feed = chunk[:1] == "\n"
-        inner = chunk[feed:]
-        if not inner or inner[0].isspace() or inner[-1].isspace():
-            raise Irregular
-        if len(self) >= MAX_CHUNKS:
-            self.clear()
-        out = self.whole(chunk if feed else " " + chunk)
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
 
     def encode(self, text: str) -> bytes:
-        head, *rest = text.replace("\n", " \n").split(" ")
-        if head[-1:].isspace() or any(s in text for s in self.special):
-            return self.whole(text)
-        try:
-            return (self.whole(head) if head else b"") + b"".join([self[x] for x in rest])
-        except Irregular:
-            return self.whole(text)
+        return self.coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
 @lru_cache(2)
