@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, html, media, packing, simhash_dedup
+from . import bpe, chat, fingerprints, html, media, packing, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_simhash": simhash_dedup.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_chat": chat.op2_chat,
     "op3_media": media.op3_media,
     "op6_html": html.op6_html,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
 }
