@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, html, media, packing, pii, simhash_dedup, toxicity
+from . import bpe, chat, fingerprints, html, media, packing, pii, simhash_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_simhash": simhash_dedup.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_chat": chat.op2_chat,
     "op3_media": media.op3_media,
     "op4_pii": pii.op4_pii,
+    "op5_suffix": suffix_dedup.op5_suffix,
     "op6_html": html.op6_html,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
