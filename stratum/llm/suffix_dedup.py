@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import Scratch
 
@@ -217,13 +218,13 @@ def merge(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
-def _cut(batches, length: int, keep_first: bool, kind: pa.DataType, key: str):
+def _cut(batches, length: int, keep_first: bool, carry: list[str]):
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part, rows = batch.slice(at, 256), []
-            for r in part.drop_columns([key]).to_pylist():
-                raw = (r["text"] or "").encode()
-                own = next((x for x in r["own"] or () if identity(raw) == (x["t1"], x["t2"])), None)
+            for r in part.select(["_text", "_own"]).to_pylist():
+                raw = (r["_text"] or "").encode()
+                own = next((x for x in r["_own"] or () if identity(raw) == (x["t1"], x["t2"])), None)
                 spans: list[tuple[int, int]] = []
                 if own:
                     copy = own["copies"] > 1 and len(raw) >= length
@@ -236,12 +237,14 @@ def _cut(batches, length: int, keep_first: bool, kind: pa.DataType, key: str):
                 kept.append(raw[last:])
                 rows.append((len(raw), sum(b - a for a, b in spans), len(spans), b"".join(kept)))
             cols = zip(*rows)
-            yield pa.RecordBatch.from_arrays([part.column(key).cast(kind), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.binary()]))], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.binary()]))], names=[*carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, most: int = GROUP, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, most: int = GROUP, carry: list[str] | None = None, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary): every whole text as UTF-8 without the bytes of repeated strings.
 
+    ``carry`` names the columns that go along instead of the key alone; one named like a result is left out.
+
     A byte goes when a string of ``length`` bytes that covers it also starts elsewhere in the table, in its own text or
     another; with ``keep_first`` when such a string starts earlier, texts standing in the order of their smallest key.
     Strings are judged on the input and never cross texts. Null texts count as empty. Repeated rows are copies of each
@@ -275,8 +278,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     spans = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     told = scan.select("id", "t1", "t2").distinct().join(texts, ["t1", "t2"]).join(spans, ["t1", "t2"], "left").where("copies > 1 or spans is not null")
     told = told.groupBy("id").agg(F.collect_list(F.struct("t1", "t2", "copies", (F.col("id") == F.col("rep")).alias("first"), "spans")).alias("own"))
-    rows = docs.select(key, F.col(text).cast("string").alias("text"), F.coalesce(F.col(key), none.cast(name)).alias("id")).join(told, "id", "left").select(key, "text", "own")
-    return rows.mapInArrow(partial(_cut, length=length, keep_first=keep_first, kind=kind, key=key), f"`{key}` {name}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    carry = [c for c in carry or [key] if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    rows = docs.select(*carry, F.col(text).cast("string").alias("_text"), F.coalesce(F.col(key), none.cast(name)).alias("_id"))
+    rows = rows.join(told.select(F.col("id").alias("_id"), F.col("own").alias("_own")), "_id", "left").drop("_id")
+    more = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())]
+    return rows.mapInArrow(partial(_cut, length=length, keep_first=keep_first, carry=carry), StructType([docs.schema[c] for c in carry] + more))
 
 
 def op5_suffix(spark, sf_dir: str) -> DataFrame:
