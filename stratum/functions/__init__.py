@@ -1 +1 @@
-"""Report-archive analytics on Spark."""
+"""Column functions: text and JSON, numbers and plane geometry."""

@@ -1 +1 @@
-"""Report-archive analytics on Spark."""
+"""Operators from DataFrame to DataFrame."""

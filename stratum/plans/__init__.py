@@ -1 +1 @@
-"""Report-archive analytics on Spark."""
+"""Named queries over the test tables."""

@@ -1 +1 @@
-"""Report-archive analytics on Spark."""
+"""Sources and sinks: page discovery, OCR results in several shapes, archives, GeoJSON, grid files, connectors."""

@@ -1 +1 @@
-"""Report-archive analytics on Spark."""
+"""Structured Streaming: settling inboxes, keyed state, and incremental tables."""
