@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -21,7 +22,7 @@ def merge(items: DataFrame, kind: Column, name: Column, order: str, evidence: Co
     return out.select("entity_id", "f.entity_type", "f.name", F.col("f.a").alias("attributes"), "evidence", later.alias("observations"), F.when(F.size("evidence") > 0, "extracted").otherwise("review").alias("status"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks (Ratcliff-Obershelp)."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

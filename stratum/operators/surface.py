@@ -90,7 +90,7 @@ def bilinear(points: DataFrame, grid: DataFrame, x0: float, y0: float, size: flo
     at = points.select(key, ((F.col("x") - x0) / size).alias("u"), ((F.col("y") - y0) / size).alias("v"))
     at = at.withColumns({"c": F.floor("u").cast("bigint"), "r": F.floor("v").cast("bigint")})
     corners = F.explode(F.array(*(F.struct((F.col("r") + i).alias("row"), (F.col("c") + j).alias("col"), ((F.col("v") - F.col("r")) if i else (1 - F.col("v") + F.col("r"))).alias("wr"), ((F.col("u") - F.col("c")) if j else (1 - F.col("u") + F.col("c"))).alias("wc")) for i in (0, 1) for j in (0, 1))))
-    rows = at.select(key, corners.alias("k")).select(key, "k.row", "k.col", (F.col("k.wr") * F.col("k.wc")).alias("w"))
+    rows = at.select(key, corners.alias("_at")).select(key, "_at.row", "_at.col", (F.col("_at.wr") * F.col("_at.wc")).alias("w"))
     met = rows.join(grid.select("row", "col", "z"), ["row", "col"], "left").where((F.col("w") > 0) | F.col("z").isNotNull())
     return met.groupBy(key).agg(F.when(F.count_if(F.col("z").isNull() & (F.col("w") > 0)) == 0, F.sum(F.col("z") * F.col("w"))).alias("z"))
 
