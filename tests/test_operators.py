@@ -186,3 +186,51 @@ def test_upsert(spark, tmp_path):
     inbox.upsert(spark, spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, s string, v int"), path, ["k"], "v")
     inbox.upsert(spark, spark.createDataFrame([(1, "c", 2)], "k int, s string, v int"), path, ["k"], "v")
     assert sorted((r.k, r.s) for r in inbox.latest(spark, path)[0].collect()) == [(1, "c"), (2, "b")]
+
+
+def test_unsupported_rings(spark):
+    from stratum.operators import traces
+
+    box = lambda k, level, x, y, s: [(k, level, i, x + a * s, y + b * s) for i, (a, b) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])]
+    rows = box(1, 100.0, 0.0, 0.0, 10.0) + box(2, 110.0, 3.0, 3.0, 2.0) + box(3, 100.0, 50.0, 50.0, 4.0) + box(4, 200.0, 80.0, 80.0, 4.0) + box(5, 150.0, 4.0, 4.0, 0.5)
+    rings = spark.createDataFrame(rows, "ring int, level double, seq int, x double, y double")
+    sources = spark.createDataFrame([(200.0, 81.0, 79.0), (150.0, 90.0, 90.0)], "level double, x double, y double")
+    assert sorted(r.ring for r in traces.unsupported_rings(rings, "ring", "level", sources, 10.0, 3.0, 4.0).collect()) == [3, 5]
+
+
+def test_thinning_keeps_topology():
+    import numpy as np
+
+    from stratum.operators import raster
+
+    img = np.zeros((20, 30), bool)
+    img[5:9, 3:27] = True
+    out = raster.thinned(img)
+    assert out.any() and not (out & ~img).any() and (out.sum(0) <= 1).all() and out.sum() >= 18
+
+
+def test_simplify_keeps_corners(spark):
+    from stratum.operators import traces
+
+    rows = [(1, i, float(i), 0.0) for i in range(10)] + [(1, 10 + i, 9.0, float(i + 1)) for i in range(9)]
+    got = traces.simplify(spark.createDataFrame(rows, "l int, s int, x double, y double"), "l", "s", 0.1).collect()
+    assert sorted(r.s for r in got) == [0, 9, 18]
+
+
+def test_thin_plate_on_a_plane(spark):
+    from stratum.operators import raster
+
+    rng = random.Random(2)
+    pts = [(1, x, y, 2.0 + 0.5 * x - 0.25 * y) for x, y in ((rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(20))]
+    for r in raster.thin_plate(spark.createDataFrame(pts, "map int, x double, y double, value double"), "map", 5.0).collect():
+        assert abs(r.z - (2.0 + 0.5 * r.x - 0.25 * r.y)) < 1e-4
+
+
+def test_interval_and_corridor(spark):
+    from stratum.operators import traces
+
+    values = spark.createDataFrame([(1, v / 10) for v in range(1, 12)] + [(2, 0.1), (2, 0.2)], "g int, v double")
+    got = {r.g: r.step for r in contours.infer_interval(contours.interval_support(values, "v", ["g"]), ["g"]).collect()}
+    assert got == {1: 0.1}
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 2.0, 0.0), (4, 50.0, 0.0)], "k int, x double, y double")
+    assert {r.k: r.corridor for r in traces.corridor(pts, "k", 1.5).collect()} == {1: False, 2: True, 3: False, 4: False}
