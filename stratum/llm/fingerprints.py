@@ -15,6 +15,8 @@ PAIR = 0x0000000100000001
 #: Ids per bucket, and buckets per group, when each document is given the next one.
 IDS, GROUP = 512, 4096
 NO_ID = -(1 << 54)
+#: Rows of three integers that may be broadcast.
+MAX_BROADCAST = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -60,7 +62,7 @@ def hex128(hi: str, lo: str) -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(c)), 16, "0") for c in (hi, lo)))
 
 
-def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(bucket, rn, guest, key, text, next_text): each row with the text of the next row by key (ties: by text), the last with the first.
 
     Rows are dealt into buckets of IDS ids; a bucket also gets the first row of the next non-empty one as a guest, and keeps
@@ -74,7 +76,10 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     firsts = grouped.groupBy("g").agg(F.min("bucket").alias("b"))
     after = firsts.withColumn("far", F.coalesce(F.lead("b").over(W.orderBy("g")), F.min("b").over(W.partitionBy(F.lit(0))))).select("g", "far")
     order = near.join(after, "g").select(F.col("bucket").alias("host"), F.coalesce("next_bucket", "far").alias("bucket"))
-    guests = rows.join(order.join(heads, "bucket").select("host", "bucket", F.col("head").alias("h")), "bucket").where(F.col(key).eqNullSafe(F.col("h")))
+    firsts = scratch.table(order.join(heads, "bucket").select("host", "bucket", F.col("head").alias("h")))
+    if firsts.count() <= MAX_BROADCAST:  # beyond, both sides of the join are shuffled
+        firsts = F.broadcast(firsts)
+    guests = rows.join(firsts, "bucket").where(F.col(key).eqNullSafe(F.col("h")))
     both = rows.withColumn("guest", F.lit(0)).unionByName(guests.select(F.col("host").alias("bucket"), key, "text", F.lit(1).alias("guest")))
     w = W.partitionBy("bucket").orderBy("guest", key, "text")
     return both.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next_text"))
@@ -94,7 +99,7 @@ def document_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_i
     row is its own next one. Other columns are left out; an empty table gives an empty one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "fingerprints")
-    rows = with_next(docs, text, key)
+    rows = with_next(docs, scratch, text, key)
     rows = rows.select("bucket", "rn", "guest", key, F.char_length("text").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited()).alias("edited"))
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
     keys = ["bucket", "rn", "guest", key, "n_chars", "sha", "which"]
