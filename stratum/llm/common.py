@@ -1,77 +1,13 @@
-"""Shared plumbing: the shared folder for cut lineage, reading tables, and connected components."""
+"""Shared plumbing of the operators: tables in the shared folder, components, and reading the test tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="stratum-")
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    return found
-
-
-class Scratch:
-    """Tables written below the shared folder; reading them back cuts the lineage and survives lost executors."""
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+from ..operators.graph import Scratch, components, shared_dir
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
-        self.n += 1
-        path = f"{self.base}/t{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def table(self, df: DataFrame) -> DataFrame:
-        return self.write(df)[0]
-
-    def drop(self, path: str) -> None:
-        """Removes a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["Scratch", "components", "read", "shared_dir"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def components(edges: DataFrame, scratch: Scratch, src: str = "a", dst: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list by alternating large-star and small-star rounds.
-
-    Returns (node, root) for every node of ``edges``, root being the smallest node that it reaches. Each round keeps at most
-    as many edges as it got and the number of rounds grows with the logarithm of the longest path. Minima are aggregated
-    before they are shuffled; the join back on a hub's key is a plain equi-join, which AQE splits when it is skewed. Self
-    loops, repeated edges and null ends are ignored.
-    """
-    cur = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    cur, path = scratch.write(cur)
-    seen = None
-    while True:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u")
-        out = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
-        nxt, nxt_path = scratch.write(out.where("u <> v").distinct())
-        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(path)
-        cur, path = nxt, nxt_path
-        if mark == seen:
-            break
-        seen = mark
-    stars = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
