@@ -20,13 +20,15 @@ def keyword_topk(docs: DataFrame, key: str, text: str, words: list[str], k: int
 def vector_topk(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, blocks: int = 8, max_broadcast: int = 20_000) -> DataFrame:
     """(query, key, similarity, rank): each query's k most similar items by cosine, ties by key; the query itself is left out.
 
-    The stated queries meet all items in blocks. Norms are taken once per row; within each block and partition only k
+    A stated query set that fits is broadcast whole; a larger one meets all items in blocks. Norms are taken once per row; within each block and partition only k
     rows per query survive before they are shuffled (the rank filter is pushed below the exchange).
     """
+    if queries.count() <= max_broadcast:
+        blocks = 1
     unit = lambda df, name: df.select(F.col(key).alias(name), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("n", F.sqrt(G.dot("v", "v")))
     q = unit(queries, "query").select("query", F.col("v").alias("qv"), F.col("n").alias("qn"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
     i = unit(items, key).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    if queries.count() <= max_broadcast:
+    if blocks == 1:
         q = F.broadcast(q)
     met = i.join(q, "block").where(F.col("query") != F.col(key))
     scored = met.select("query", key, F.round(G.dot("v", "qv") / (F.col("n") * F.col("qn")), 6).alias("similarity"))

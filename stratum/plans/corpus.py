@@ -41,14 +41,14 @@ def chunk_budget(spark, sf_dir):
 
 @query(f"""
 WITH l AS (SELECT doc_id, source, unnest({CLEAN}) AS line, generate_subscripts({CLEAN}, 1) AS i FROM documents)
-SELECT doc_id, count(*) AS n_lines, sum(length('[SOURCE_PAGE: ' || doc_id || '; path=' || source || '] ' || line)) AS chars FROM l GROUP BY 1
+SELECT doc_id, count(*) AS n_lines, sum(length('[SOURCE_PAGE: ' || doc_id || '; path=' || source || '] ' || line))::BIGINT AS chars FROM l GROUP BY 1
 """)
 def provenance_chunks(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page"), "source", chunking.lines("text").alias("texts"))
     out = chunking.provenance(pages, "page", "source", "texts", 20_000)
     body = F.expr("regexp_replace(section, '(?s)^[^\\n]*\\n\\n|\\n$', '')")
     lines = out.select("page", F.explode(F.split(body, "\n")).alias("line"))
-    return lines.groupBy(F.col("page").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.sum(F.char_length("line")).cast("decimal(38,0)").alias("chars"))
+    return lines.groupBy(F.col("page").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.sum(F.char_length("line")).alias("chars"))
 
 
 TOKEN_SQL = "list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё-]{2,}'), lambda x: translate(lower(x), 'ё', 'е')), lambda x: x NOT IN ('как', 'для', 'или'))"
