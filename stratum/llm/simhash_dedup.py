@@ -21,7 +21,7 @@ from .common import Scratch, components
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
 #: Members of a bucket that are compared as they are; larger buckets are split by a second set of masks.
-BUCKET = 1024
+BUCKET = 1 << 14
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -87,15 +87,16 @@ def mixed(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def word_fingerprint(words: list[bytes]) -> int:
-    """64-bit SimHash over distinct words, weighted by count and length (up to 12 bytes); shared short words weigh little."""
+def word_fingerprints(words: list[bytes], n: int) -> list[int]:
+    """n independent 64-bit SimHashes over distinct words, weighted by count and length (up to 12 bytes); shared short words weigh little."""
     if not words:
-        return 0
+        return [0] * n
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     weights = np.fromiter((n * min(len(w), 12) for w, n in counts.items()), np.float32, len(counts))
-    return int(vote([np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))], [weights])[0])
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+    return [signed(int(x)) for x in vote([mixed(hashes, n)], [weights])]
 
 
 def sketch(words: list[bytes], size: int, n: int) -> list[int]:
@@ -105,7 +106,7 @@ def sketch(words: list[bytes], size: int, n: int) -> list[int]:
     return [signed(int(x)) for x in vote(mixed(h, n) for h in shingle_hashes(words, size))]
 
 
-def _prints(batches, size: int, check: int, kind: pa.DataType, key: str):
+def _prints(batches, size: int, words_fps: int, check: int, kind: pa.DataType, key: str):
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -113,24 +114,22 @@ def _prints(batches, size: int, check: int, kind: pa.DataType, key: str):
             for t in part.column(1).to_pylist():
                 words = words_of(t)
                 if check:
-                    fps.append(signed(word_fingerprint(words)))
+                    fps.append(word_fingerprints(words, words_fps))
                     checks.append(sketch(words, size, check))
                 else:
-                    fps.append(signed(int(vote(shingle_hashes(words, size))[0])))
+                    fps.append([signed(int(vote(shingle_hashes(words, size))[0]))])
                     checks.append([])
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array(fps, pa.int64()), pa.array(checks, pa.list_(pa.int64()))], names=[key, "fp", "check"])
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array(fps, pa.list_(pa.int64())), pa.array(checks, pa.list_(pa.int64()))], names=[key, "fps", "check"])
 
 
-def links(members: np.ndarray, fps: np.ndarray, checks: np.ndarray | None, radius: int, far: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within ``radius`` bits (and ``far`` bits of the checks) among the members of one bucket."""
+def links(members: np.ndarray, prints: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of prints (rows of 64-bit words) within ``far`` bits among the members of one bucket."""
     out, left = [], np.argsort(members, kind="stable")
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[x]) <= radius
-            if checks is not None:
-                near &= np.bitwise_count(checks[left] ^ checks[x]).sum(1) <= far
+            near = np.bitwise_count(prints[left] ^ prints[x]).sum(1) <= far
             hits = left[near]
             if len(hits):
                 out += [(int(members[x]), int(members[h])) for h in hits]
@@ -139,65 +138,70 @@ def links(members: np.ndarray, fps: np.ndarray, checks: np.ndarray | None, radiu
     return out
 
 
-def _links(batches, radius: int, far: int):
+def _links(batches, far: int):
     for batch in batches:
         a, b = [], []
         lists = batch.column(0)
         flat, sizes = lists.flatten(), np.asarray(lists.value_lengths())
-        ids, fps = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(np.uint64)
-        checks = flat.field(2)
-        width = len(checks[0]) if len(checks) else 0
-        checks = checks.flatten().to_numpy().view(np.uint64).reshape(-1, width) if width else None
+        ids, prints = flat.field(0).to_numpy(), flat.field(1)
+        if len(ids):
+            prints = prints.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
         at = 0
         for n in sizes.tolist():
-            for x, y in links(ids[at : at + n], fps[at : at + n], None if checks is None else checks[at : at + n], radius, far):
+            for x, y in links(ids[at : at + n], prints[at : at + n], far):
                 a.append(x)
                 b.append(y)
             at += n
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _keys(fp: Column, all_masks: list[int]) -> Column:
-    """One 64-bit key per table. Keys of different tables or masked words may meet by chance only, which adds comparisons."""
-    return F.array(*[F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(all_masks)])
+def _keys(n: int, all_masks: list[int]) -> Column:
+    """One 64-bit key per fingerprint and mask. Keys of different tables or masked words may meet by chance only, which adds comparisons."""
+    one = lambda f, t, m: F.xxhash64(F.lit(f * len(all_masks) + t), F.get("fps", F.lit(f)).bitwiseAND(F.lit(signed(m))))
+    return F.array(*[one(f, t, m) for f in range(n) for t, m in enumerate(all_masks)])
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, check: int = 0, far: int = 45, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, words: int = 0, check: int = 4, far: int = 48, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """(key, fp bigint, component): every document with its fingerprint and the smallest key that near links reach.
 
-    check = 0: fingerprints over shingles of ``size`` words, linked when at most ``radius`` bits differ; every such pair
-    meets in a table. check = n: fingerprints over weighted words, and pairs that meet also need at most ``far`` differing
-    bits in a sketch of 64·n bits over the shingles (45 of 256 stand for a Jaccard similarity of about 0.8).
+    words = 0: one fingerprint over shingles of ``size`` words; documents are linked when at most ``radius`` bits differ, and
+    every such pair meets in a table. words = n: n fingerprints over weighted words; pairs within the radius in any of them
+    meet for certain, and are linked when at most ``far`` bits differ of a sketch of 64·``check`` bits over the shingles (48
+    of 256 reach down to a Jaccard similarity of about 0.8 with some reserve).
 
-    Null texts count as empty; empty texts share fingerprint zero and are linked. Repeated keys give repeated rows; a null
-    key gives a null component unless its fingerprint is shared. Other columns are left out. Equal fingerprints are
-    collapsed before anything else, so a hot group of copies is one row. A bucket of over BUCKET members is split by a
-    second set of masks over the bits that its own mask leaves out; with 64-bit fingerprints alone at most 2^16 members
-    agree on both. Links of a bucket are a spanning forest, never all pairs.
+    Null texts count as empty; empty texts share fingerprint zero and are linked. Keys are integers; repeated keys give
+    repeated rows; a null key gives a null component unless its fingerprint is shared. Other columns are left out. Equal
+    fingerprints are collapsed before anything else, so a hot group of copies is one row. A bucket of over BUCKET members is
+    split by a second set of masks over the bits that its own mask leaves out; what agrees on both differs in 16 bits at
+    most, so with words = 0 a bucket has a proven bound. Links of a bucket are a spanning forest, never all pairs.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     kind, name = to_arrow_type(docs.schema[key].dataType), docs.schema[key].dataType.simpleString()
     source = docs.select(key, F.col(text).cast("string").alias(text))
-    prints = scratch.table(source.mapInArrow(partial(_prints, size=size, check=check, kind=kind, key=key), f"`{key}` {name}, fp bigint, check array<bigint>"))
-    nodes = scratch.table(prints.groupBy("fp", "check").agg(F.min(key).cast("long").alias("m")).where("m is not null"))
+    work = partial(_prints, size=size, words_fps=words, check=check if words else 0, kind=kind, key=key)
+    prints = scratch.table(source.mapInArrow(work, f"`{key}` {name}, fps array<bigint>, check array<bigint>"))
+    nodes = scratch.table(prints.groupBy("fps", "check").agg(F.min(key).cast("long").alias("m")).where("m is not null"))
 
     first = masks(radius)
-    rows = nodes.select("m", F.posexplode(_keys(F.col("fp"), first)).alias("t", "k"))
+    rows = nodes.select("m", F.posexplode(_keys(max(words, 1), first)).alias("t", "k"))
     sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, "k").join(nodes, "m")
+    judged = F.col("check") if words else F.col("fps")
+    rows = scratch.table(rows.join(sizes, "k")).join(nodes.select("m", "fps", judged.alias("print")), "m")
     free = [[b for b in range(64) if not m >> b & 1] for m in first]
     second = F.array(*[F.array(*[F.lit(signed(m | s)) for s in masks(radius, bits)]) for m, bits in zip(first, free)])
-    cold = rows.where(F.col("n") <= BUCKET).select("k", "m", "fp", "check")
+    cold = rows.where(F.col("n") <= BUCKET).select("k", "m", "print")
     hot = rows.where(F.col("n") > BUCKET)
-    split = F.transform(F.element_at(second, F.col("t") + 1), lambda m, i: F.xxhash64(F.col("k"), i, F.col("fp").bitwiseAND(m)))
-    hot = hot.select(F.explode(split).alias("k"), "m", "fp", "check")
-    lists = cold.unionByName(hot).groupBy("k").agg(F.collect_list(F.struct("m", "fp", "check")).alias("members")).where("size(members) > 1").select("members")
-    edges = lists.mapInArrow(partial(_links, radius=radius if not check else 2 * radius, far=far), "a bigint, b bigint")
+    table, which = F.pmod("t", F.lit(len(first))), F.expr(f"t div {len(first)}").cast("int")
+    split = F.transform(F.get(second, table), lambda m, i: F.xxhash64(F.col("k"), i, F.get(F.col("fps"), which).bitwiseAND(m)))
+    hot = hot.select(F.explode(split).alias("k"), "m", "print")
+    lists = cold.unionByName(hot).groupBy("k").agg(F.collect_list(F.struct("m", "print")).alias("members")).where("size(members) > 1").select("members")
+    edges = lists.mapInArrow(partial(_links, far=far if words else radius), "a bigint, b bigint")
     stars = components(edges, scratch)
-    named = nodes.join(stars, nodes.m == stars.node, "left").select("fp", "check", F.coalesce("root", "m").alias("component"))
-    if check:
-        return prints.join(named, ["fp", "check"], "left").select(key, "fp", "component")
-    return prints.select(key, "fp").join(named.select("fp", "component"), "fp", "left").select(key, "fp", "component")
+    named = nodes.join(stars, nodes.m == stars.node, "left").select("fps", "check", F.coalesce("root", "m").alias("component"))
+    fp = F.get("fps", F.lit(0)).alias("fp")
+    if words:
+        return prints.join(named, ["fps", "check"], "left").select(key, fp, "component")
+    return prints.select(key, fp).join(named.select(fp, "component"), "fp", "left").select(key, "fp", "component")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
