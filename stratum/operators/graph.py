@@ -47,8 +47,8 @@ def components(edges: DataFrame, scratch: Scratch, src: str = "a", dst: str = "b
 
     Returns (node, root) for every node of ``edges``, root being the smallest node that it reaches. Each round keeps at most
     as many edges as it got and the number of rounds grows with the logarithm of the longest path. Minima are aggregated
-    before they are shuffled; the join back on a hub's key is a plain equi-join, which AQE splits when it is skewed. Self
-    loops, repeated edges and null ends are ignored.
+    before they are shuffled. The join back on a hub's key brings its edges, two integers each, into one task, which sorts
+    and spills as any; a hub's rows are never gathered into one value. Self loops, repeated edges and null ends are ignored.
     """
     cur = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     cur, path = scratch.write(cur)
