@@ -93,27 +93,37 @@ def _scan(batches, length: int, k: int, kind: pa.DataType):
 
 
 def _contexts(batches, length: int, most: int):
-    """Per candidate anchor the bytes of its windows, or for a large group the hash of each window."""
+    """Per candidate anchor the bytes of its windows, or for a large group the hash of each window; some megabytes at a time."""
     names = ["h", "id", "t1", "t2", "pos", "p0", "p1", "ctx", "windows"]
-    item = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    item = [pa.field("a", pa.int64()), pa.field("b", pa.int64())]
+
+    def pack(rows: list[tuple], hashes: list[bytes], kind: pa.DataType) -> pa.RecordBatch:
+        types = [pa.int64(), kind, *[pa.int64()] * 5, pa.binary()]
+        pairs = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+        ends = np.cumsum([0, *(len(h) // 16 for h in hashes)])
+        windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], fields=item))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), windows], names=names)
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = []
-            for r in batch.slice(at, 256).to_pylist():
+        kind = batch.schema.field("id").type
+        rows, hashes, size = [], [], 0
+        for at in range(0, batch.num_rows, 32):
+            for r in batch.slice(at, 32).to_pylist():
                 raw = (r["text"] or "").encode()
                 if identity(raw) != (r["t1"], r["t2"]):
                     continue
                 for c in r["own"]:
                     p0, p1 = c["p0"], c["p1"]
-                    if c["n"] > most:
-                        ids = [identity(raw[p : p + length]) for p in range(p0, p1 + 1)]
-                        rows.append((c["h"], r["id"], r["t1"], r["t2"], c["pos"], p0, p1, None, [{"a": a, "b": b} for a, b in ids]))
-                    else:
-                        rows.append((c["h"], r["id"], r["t1"], r["t2"], c["pos"], p0, p1, raw[p0 : p1 + length], None))
-            if rows:
-                kind = batch.schema.field("id").type
-                types = [pa.int64(), kind, *[pa.int64()] * 5, pa.binary(), pa.list_(item)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                    ctx = raw[p0 : p1 + length] if c["n"] <= most else None
+                    own = b"" if ctx is not None else b"".join([hashlib.blake2b(raw[p : p + length], digest_size=16).digest() for p in range(p0, p1 + 1)])
+                    rows.append((c["h"], r["id"], r["t1"], r["t2"], c["pos"], p0, p1, ctx))
+                    hashes.append(own)
+                    size += 200 + len(ctx or own)
+                    if size > 4 << 20:
+                        yield pack(rows, hashes, kind)
+                        rows, hashes, size = [], [], 0
+        if rows:
+            yield pack(rows, hashes, kind)
 
 
 def suffix_orders(group: np.ndarray, data: np.ndarray, starts: int):
@@ -182,6 +192,8 @@ def _resolve(batches, length: int, k: int, keep_first: bool):
     kind = None
 
     def flush(rows: list[dict]):
+        # a row of the table that is there twice is one text
+        rows = list({(r["h"], r["id"], r["t1"], r["t2"], r["pos"], r["p0"]): r for r in rows}.values())
         seq = sorted(range(len(rows)), key=lambda i: (rows[i]["id"], rows[i]["t1"], rows[i]["t2"], rows[i]["pos"]))
         rank = np.empty(len(rows), np.int64)
         rank[seq] = np.arange(len(rows))
@@ -274,6 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     again = hot.join(counted, ["a", "b"])
     if keep_first:
         again = again.where(F.struct("id", "t1", "t2", "p") > F.col("least"))
+    again = scratch.table(again.select("id", "t1", "t2", "p"))  # a stage of its own, so that AQE splits a hot window
     runs = runs.unionByName(again.select("id", "t1", "t2", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
     spans = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     told = scan.select("id", "t1", "t2").distinct().join(texts, ["t1", "t2"]).join(spans, ["t1", "t2"], "left").where("copies > 1 or spans is not null")
