@@ -282,11 +282,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     cold = found.where("ctx is not null").drop("windows").repartition("h").sortWithinPartitions("h")
     runs = cold.mapInArrow(partial(_resolve, length=length, k=k, keep_first=keep_first), f"id {name}, t1 bigint, t2 bigint, start bigint, end bigint")
     hot = found.where("ctx is null").select("id", "t1", "t2", "p0", F.posexplode("windows").alias("i", "w")).select("id", "t1", "t2", (F.col("p0") + F.col("i")).alias("p"), "w.a", "w.b").distinct()
-    counted = hot.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "t1", "t2", "p")).alias("least")).where("n > 1")
+    hot = scratch.table(hot)  # both sides of the join are plain tables, so that AQE can split a hot window
+    counted = scratch.table(hot.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("id", "t1", "t2", "p")).alias("least")).where("n > 1"))
     again = hot.join(counted, ["a", "b"])
     if keep_first:
         again = again.where(F.struct("id", "t1", "t2", "p") > F.col("least"))
-    again = scratch.table(again.select("id", "t1", "t2", "p"))  # a stage of its own, so that AQE splits a hot window
+    again = scratch.table(again.select("id", "t1", "t2", "p"))
     runs = runs.unionByName(again.select("id", "t1", "t2", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
     spans = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     told = scan.select("id", "t1", "t2").distinct().join(texts, ["t1", "t2"]).join(spans, ["t1", "t2"], "left").where("copies > 1 or spans is not null")
