@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     texts = scan.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
     long = scan.where("size(anchors) > 0").join(texts, ["t1", "t2"]).where("id = rep")
     marks = scratch.table(long.select("id", "t1", "t2", F.inline("anchors")).distinct())
-    twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    twice = scratch.table(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))  # a plain table, for AQE as below
     own = marks.join(twice, "h").groupBy("id", "t1", "t2").agg(F.collect_list(F.struct("h", "pos", "p0", "p1", "n")).alias("own"))
     placed = source.withColumn("id", F.coalesce("id", none.cast(name))).join(own, "id")
     found = placed.mapInArrow(partial(_contexts, length=length, most=most), f"h bigint, id {name}, t1 bigint, t2 bigint, pos bigint, p0 bigint, p1 bigint, ctx binary, windows array<struct<a: bigint, b: bigint>>")
