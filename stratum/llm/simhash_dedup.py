@@ -22,6 +22,10 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
 #: Members of a bucket that are compared as they are; larger buckets are split by a second set of masks.
 BUCKET = 1 << 14
+#: Bits that a sketch may differ in beyond ``far`` before the exact similarity decides.
+SLACK = 16
+#: Shingles of a group that are compared in one task; larger groups are dealt in pairs of blocks.
+BLOCK = 1 << 22
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -81,7 +85,7 @@ def mixed(h: np.ndarray, n: int) -> np.ndarray:
     """n further 64-bit hashes of each hash, by a multiply-xorshift mixer with n odd multipliers."""
     out = np.empty((len(h), n), np.uint64)
     for k in range(n):
-        x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * (0x632BE59BD9B4E019 * k % (1 << 62)))
+        x = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 + 2 * (0x632BE59BD9B4E019 * k % (1 << 62))) % (1 << 64))
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         out[:, k] = x ^ (x >> np.uint64(32))
     return out
@@ -99,11 +103,20 @@ def word_fingerprints(words: list[bytes], n: int) -> list[int]:
     return [signed(int(x)) for x in vote([mixed(hashes, n)], [weights])]
 
 
-def sketch(words: list[bytes], size: int, n: int) -> list[int]:
-    """64·n SimHash bits over word shingles, with repeats: the share of differing bits grows with the angle between two texts."""
-    if not words:
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct shingle hashes in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, size)]))
+
+
+def sketch(shingles: np.ndarray, n: int) -> list[int]:
+    """64·n SimHash bits over distinct shingles: the share of differing bits grows with the angle between two sets."""
+    if not len(shingles):
         return [0] * n
-    return [signed(int(x)) for x in vote(mixed(h, n) for h in shingle_hashes(words, size))]
+    return [signed(int(x)) for x in vote(mixed(shingles[at : at + CHUNK], n) for at in range(0, len(shingles), CHUNK))]
+
+
+def identity(shingles: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
 
 
 def _prints(batches, size: int, words_fps: int, check: int, kind: pa.DataType, key: str):
@@ -114,30 +127,49 @@ def _prints(batches, size: int, words_fps: int, check: int, kind: pa.DataType, k
             for t in part.column(1).to_pylist():
                 words = words_of(t)
                 if check:
+                    own = shingle_set(words, size)
                     fps.append(word_fingerprints(words, words_fps))
-                    checks.append(sketch(words, size, check))
+                    checks.append([*sketch(own, check), identity(own), len(own)])
                 else:
                     fps.append([signed(int(vote(shingle_hashes(words, size))[0]))])
                     checks.append([])
             yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array(fps, pa.list_(pa.int64())), pa.array(checks, pa.list_(pa.int64()))], names=[key, "fps", "check"])
 
 
-def links(members: np.ndarray, prints: np.ndarray, far: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of prints (rows of 64-bit words) within ``far`` bits among the members of one bucket."""
-    out, left = [], np.argsort(members, kind="stable")
+def _sets(batches, size: int):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            own = [shingle_set(words_of(t), size) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(identity, own), pa.int64()), pa.array((x.tobytes() for x in own), pa.binary())], names=["m", "same", "shingles"])
+
+
+def forest(order: np.ndarray, near) -> list[tuple[int, int]]:
+    """A spanning forest of the rows in ``order``; near(x, left) tells which of the rows left are linked to x."""
+    out, left = [], order
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[x]).sum(1) <= far
-            hits = left[near]
+            hit = near(x, left)
+            hits = left[hit]
             if len(hits):
-                out += [(int(members[x]), int(members[h])) for h in hits]
+                out += [(int(x), int(h)) for h in hits]
                 queue += hits.tolist()
-                left = left[~near]
+                left = left[~hit]
     return out
 
 
+def _within(prints: np.ndarray, x: int, left: np.ndarray, far: int) -> np.ndarray:
+    return np.bitwise_count(prints[left] ^ prints[x]).sum(1) <= far
+
+
+def links(members: np.ndarray, prints: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of prints (rows of 64-bit words) within ``far`` bits among the members of one bucket."""
+    found = forest(np.argsort(members, kind="stable"), lambda x, left: _within(prints, x, left, far))
+    return [(int(members[x]), int(members[y])) for x, y in found]
+
+
 def _links(batches, far: int):
     for batch in batches:
         a, b = [], []
@@ -155,25 +187,118 @@ def _links(batches, far: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def blocks(members: list[int], weights: list[int], most: int) -> list[list[int]]:
+    """Lists of members in which every pair meets; a list's weights add up to ``most`` as far as single members allow."""
+    if sum(weights) <= most:
+        return [members]
+    parts, size = [[]], 0
+    for m, w in zip(members, weights):
+        if parts[-1] and size + w > most // 2:
+            parts.append([])
+            size = 0
+        parts[-1].append(m)
+        size += w
+    return [p + q for i, p in enumerate(parts) for q in parts[i + 1 :]] or parts
+
+
+def _groups(batches, reach: int, far: int, check: int, most: int):
+    """Members of a bucket that pairs within ``reach`` bits of its fingerprint and ``far`` bits of the sketch connect."""
+    for batch in batches:
+        lists, out = batch.column(0), []
+        flat, sizes = lists.flatten(), np.asarray(lists.value_lengths())
+        if not len(flat):
+            continue
+        ids = flat.field(0).to_numpy()
+        prints = flat.field(1).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        at = 0
+        for n in sizes.tolist():
+            own, p = ids[at : at + n], prints[at : at + n]
+            near = lambda x, left: _within(p[:, :1], x, left, reach) & _within(p[:, 1 : 1 + check], x, left, far)  # noqa: B023, E731
+            group: dict[int, list[int]] = {}
+            for x, y in forest(np.argsort(own, kind="stable"), near):  # x is in a group already, or opens one
+                g = group.setdefault(x, [x])
+                g.append(y)
+                group[y] = g
+            for g in {id(g): g for g in group.values()}.values():
+                g.sort(key=lambda i: int(own[i]))  # noqa: B023
+                out += blocks(own[g].tolist(), p[g, 2 + check].tolist(), most)
+            at += n
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["members"])
+
+
+def _exact(batches, reach: int, far: int, least: float, words: int, check: int, all_masks: list[int]):
+    """Links of each group, whose rows come one after another: pairs that meet under a mask of a fingerprint and differ in at most ``reach`` of its bits, are within ``far`` bits of the sketch, and share ``least`` of their shingles."""
+    cover = np.array(all_masks, np.uint64)
+
+    def linked(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids = rows.column("m").to_numpy()
+        fps = rows.column("fps").flatten().to_numpy().view(np.uint64).reshape(len(ids), words)
+        prints = rows.column("check").flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)[:, :check]
+        own = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in own])
+        codes = np.unique(np.concatenate(own), return_inverse=True)[1].astype(np.int64)
+        own = np.split(codes, np.cumsum(sizes)[:-1])
+        mark = np.zeros(codes.max(initial=0) + 1, bool)
+
+        def near(x: int, left: np.ndarray) -> np.ndarray:
+            hit = _within(prints, x, left, far)
+            differs = fps[left[hit]] ^ fps[x]
+            met = (differs[:, :, None] & cover == 0).any(2)
+            hit[hit] = (met & (np.bitwise_count(differs) <= reach)).any(1)
+            mark[own[x]] = True
+            for i in np.flatnonzero(hit):
+                both = np.count_nonzero(mark[own[left[i]]])
+                hit[i] = both >= least * (sizes[x] + sizes[left[i]] - both) - 1e-9
+            mark[own[x]] = False
+            return hit
+
+        found = np.array(forest(np.argsort(ids, kind="stable"), near), np.int64).reshape(-1, 2)
+        return ids[found[:, 0]], ids[found[:, 1]]
+
+    def table(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        g, found = batch.column("g").to_numpy(), []
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for s, e in zip(cuts, cuts[1:]):
+            if s == e:
+                continue
+            if held and g[s] != last:
+                found.append(linked(held))
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = g[s]
+        if found:
+            yield table(found)
+    if held:
+        yield table([linked(held)])
+
+
 def _keys(n: int, all_masks: list[int]) -> Column:
     """One 64-bit key per fingerprint and mask. Keys of different tables or masked words may meet by chance only, which adds comparisons."""
     one = lambda f, t, m: F.xxhash64(F.lit(f * len(all_masks) + t), F.get("fps", F.lit(f)).bitwiseAND(F.lit(signed(m))))
     return F.array(*[one(f, t, m) for f in range(n) for t, m in enumerate(all_masks)])
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, words: int = 0, check: int = 4, far: int = 48, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, words: int = 0, check: int = 4, far: int = 48, reach: int = 6, least: float = 0.8, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """(key, fp bigint, component): every document with its fingerprint and the smallest key that near links reach.
 
     words = 0: one fingerprint over shingles of ``size`` words; documents are linked when at most ``radius`` bits differ, and
-    every such pair meets in a table. words = n: n fingerprints over weighted words; pairs within the radius in any of them
-    meet for certain, and are linked when at most ``far`` bits differ of a sketch of 64·``check`` bits over the shingles (48
-    of 256 reach down to a Jaccard similarity of about 0.8 with some reserve).
+    every such pair meets in a table. words = n: n fingerprints over weighted words. Pairs that agree under a mask of one of
+    them, as all within the radius do, and differ in at most ``reach`` of its bits are candidates, if at most ``far`` + SLACK
+    bits differ of a sketch of 64·``check`` bits over the distinct shingles (64 of 256 leave a Jaccard similarity of 0.8 some
+    four standard deviations). They are linked when the exact Jaccard similarity of their shingles is ``least`` or more.
 
     Null texts count as empty; empty texts share fingerprint zero and are linked. Keys are integers; repeated keys give
     repeated rows; a null key gives a null component unless its fingerprint is shared. Other columns are left out. Equal
-    fingerprints are collapsed before anything else, so a hot group of copies is one row. A bucket of over BUCKET members is
-    split by a second set of masks over the bits that its own mask leaves out; what agrees on both differs in 16 bits at
-    most, so with words = 0 a bucket has a proven bound. Links of a bucket are a spanning forest, never all pairs.
+    fingerprints (words = n: equal shingles too) are collapsed before anything else, so a hot group of copies is one row. A
+    bucket of over BUCKET members is split by a second set of masks over the bits that its own mask leaves out, such that
+    pairs within the radius (words = n: within ``reach``) still meet; links are judged alike in all buckets. Links of a bucket
+    are a spanning forest, never all pairs. Shingle sets are read for candidates only, and by groups of at most BLOCK shingles.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     kind, name = to_arrow_type(docs.schema[key].dataType), docs.schema[key].dataType.simpleString()
@@ -186,16 +311,28 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, words: int
     rows = nodes.select("m", F.posexplode(_keys(max(words, 1), first)).alias("t", "k"))
     sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     judged = F.col("check") if words else F.col("fps")
-    rows = scratch.table(rows.join(sizes, "k")).join(nodes.select("m", "fps", judged.alias("print")), "m")
+    table, which = F.pmod("t", F.lit(len(first))), F.expr(f"t div {len(first)}").cast("int")
+    if words:
+        judged = F.concat(F.array(F.get("fps", which)), judged)
+    rows = scratch.table(rows.join(sizes, "k")).join(nodes, "m").select("k", "t", "n", "m", "fps", judged.alias("print"))
     free = [[b for b in range(64) if not m >> b & 1] for m in first]
     second = F.array(*[F.array(*[F.lit(signed(m | s)) for s in masks(radius, bits)]) for m, bits in zip(first, free)])
     cold = rows.where(F.col("n") <= BUCKET).select("k", "m", "print")
     hot = rows.where(F.col("n") > BUCKET)
-    table, which = F.pmod("t", F.lit(len(first))), F.expr(f"t div {len(first)}").cast("int")
     split = F.transform(F.get(second, table), lambda m, i: F.xxhash64(F.col("k"), i, F.get(F.col("fps"), which).bitwiseAND(m)))
     hot = hot.select(F.explode(split).alias("k"), "m", "print")
     lists = cold.unionByName(hot).groupBy("k").agg(F.collect_list(F.struct("m", "print")).alias("members")).where("size(members) > 1").select("members")
-    edges = lists.mapInArrow(partial(_links, far=far if words else radius), "a bigint, b bigint")
+    if words:
+        far += SLACK
+        groups = lists.mapInArrow(partial(_groups, reach=reach, far=far, check=check, most=BLOCK), "members array<bigint>")
+        placed = scratch.table(groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("m")).distinct())
+        chosen = source.select(F.col(key).cast("long").alias("m"), text).join(placed.select("m").distinct(), "m", "left_semi")
+        sets = scratch.table(chosen.mapInArrow(partial(_sets, size=size), "m bigint, same bigint, shingles binary").distinct())
+        full = placed.join(nodes.withColumn("same", F.get("check", F.lit(check))), "m").join(sets, ["m", "same"])
+        full = full.select("g", "m", "fps", "check", "shingles").repartition("g").sortWithinPartitions("g")
+        edges = full.mapInArrow(partial(_exact, reach=reach, far=far, least=least, words=words, check=check, all_masks=first), "a bigint, b bigint")
+    else:
+        edges = lists.mapInArrow(partial(_links, far=radius), "a bigint, b bigint")
     stars = components(edges, scratch)
     named = nodes.join(stars, nodes.m == stars.node, "left").select("fps", "check", F.coalesce("root", "m").alias("component"))
     fp = F.get("fps", F.lit(0)).alias("fp")

@@ -221,3 +221,29 @@ def test_components_survive_self_loops(spark):
     out = components(spark.createDataFrame([(1, 1), (2, 3), (3, 4)], "a long, b long"), Scratch(spark, "t"))
     assert sorted(map(tuple, out.collect())) == [(2, 2), (3, 2), (4, 2)]
     assert F is not None
+
+
+def changed(rng, base, words, n):
+    out = list(base)
+    for at in rng.sample(range(0, len(base), 5), n):
+        out[at] = rng.choice(words) + "x"
+    return out
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_links_need_exact_similarity(spark):
+    """Pairs of a Jaccard similarity of 0.6 to 0.8, which the sketch alone would often link, stay apart."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(400)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(changed(rng, base, words, 10 + g % 8)))]
+    near = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert 0.6 < min(near) < 0.7 and 0.75 < max(near) < 0.8
+    got = simhash_dedup.near_duplicates(frame(spark, rows), size=5, words=4).collect()
+    assert sorted(r.component for r in got) == list(range(120))
