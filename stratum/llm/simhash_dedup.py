@@ -20,7 +20,7 @@ from .common import Scratch, components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
-#: Members of a bucket that are compared as they are; larger buckets are split by a second set of masks.
+#: Members of a bucket that are compared as they are; larger buckets are split by a second set of masks. Results don't depend on it.
 BUCKET = 1 << 14
 #: Bits that a sketch may differ in beyond ``far`` before the exact similarity decides.
 SLACK = 16
@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, words: int
         judged = F.concat(F.array(F.get("fps", which)), judged)
     rows = scratch.table(rows.join(sizes, "k")).join(nodes, "m").select("k", "t", "n", "m", "fps", judged.alias("print"))
     free = [[b for b in range(64) if not m >> b & 1] for m in first]
-    second = F.array(*[F.array(*[F.lit(signed(m | s)) for s in masks(radius, bits)]) for m, bits in zip(first, free)])
+    second = F.array(*[F.array(*[F.lit(signed(m | s)) for s in masks(reach if words else radius, bits)]) for m, bits in zip(first, free)])
     cold = rows.where(F.col("n") <= BUCKET).select("k", "m", "print")
     hot = rows.where(F.col("n") > BUCKET)
     split = F.transform(F.get(second, table), lambda m, i: F.xxhash64(F.col("k"), i, F.get(F.col("fps"), which).bitwiseAND(m)))

@@ -247,3 +247,20 @@ def test_links_need_exact_similarity(spark):
     assert 0.6 < min(near) < 0.7 and 0.75 < max(near) < 0.8
     got = simhash_dedup.near_duplicates(frame(spark, rows), size=5, words=4).collect()
     assert sorted(r.component for r in got) == list(range(120))
+
+
+def test_pipeline_form_is_the_same_for_all_buckets(spark, monkeypatch):
+    """Buckets that are split, and groups that are dealt in blocks, give the same components."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    rows = []
+    for g in range(10):
+        base = [rng.choice(words) for _ in range(300)]
+        rows += [(20 * g + c, " ".join(changed(rng, base, words, c))) for c in range(20)]
+    got = []
+    for bucket, block in ((1 << 14, 1 << 22), (2, 1 << 22), (1 << 14, 1500)):
+        monkeypatch.setattr(simhash_dedup, "BUCKET", bucket)
+        monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+        got.append({r.doc_id: r.component for r in simhash_dedup.near_duplicates(frame(spark, rows), size=5, words=4).collect()})
+    assert got[0] == got[1] == got[2]
+    assert 10 <= len(set(got[0].values())) < 200
