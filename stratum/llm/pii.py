@@ -22,7 +22,7 @@ SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)"
 #: The entity types with their patterns; where several match, the first wins.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": rf"(?<!\w){SECRET}\s{{0,3}}[=:]\s{{0,3}}[\"']?[\w/+.~-]{{6,}}[\"']?",
+    "secret": rf"(?<!\w){SECRET}\s{{0,3}}[=:]\s{{0,3}}[\"']?(?=[_/+.~-]*[A-Za-z0-9])[\w/+.~-]{{6,}}[\"']?",
     "key": r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -38,6 +38,8 @@ HEX, LETTERS = "0123456789abcdef", "bcdfghjklmnpqrst"
 LATIN = [c + v for c in "bdklmnrt" for v in "ae"]
 CYRILLIC = [c + v for c in "бдклмнрт" for v in "ае"]
 MAX_LITERAL = 5000
+#: The attempt from which on a secret's surrogate is longer than the secret.
+GROW = 4
 
 
 def _digits(s: Column) -> Column:
@@ -97,6 +99,12 @@ def _shape(s: Column, stream: Column) -> Column:
     return F.array_join(F.transform(_chars(s), one), "")
 
 
+def _more(stream: Column, attempt: Column, hexadecimal: Column) -> Column:
+    """What a secret gains from its GROW-th attempt on, so that a short alphabet doesn't bound the surrogates."""
+    extra = F.substring(F.repeat(stream, (attempt / 128).cast("int") + 1), F.lit(1), F.greatest(attempt - (GROW - 1), F.lit(0)))
+    return F.when(hexadecimal, extra).otherwise(F.translate(extra, HEX, LETTERS))
+
+
 def _syllables(stream: Column, table: list[str], start: int, n: int) -> Column:
     """n syllables, each picked by one hex digit."""
     table_ = F.array(*map(F.lit, table))
@@ -111,7 +119,12 @@ def _name(norm: Column, key: str, attempt: Column) -> Column:
         stream = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), t, attempt.cast("string")), 256)
         cyrillic = t.rlike(r"\p{IsCyrillic}")
         ending = F.when(cyrillic, F.when(male, "н").otherwise("на")).otherwise(F.when(male, "n").otherwise("na"))
-        return F.initcap(F.concat(F.when(cyrillic, _syllables(stream, CYRILLIC, 1, 5)).otherwise(_syllables(stream, LATIN, 1, 5)), ending))
+        # a syllable more for each attempt, so that there is no last name
+        longer = F.substring(F.repeat(stream, (attempt / 32).cast("int") + 1), F.lit(6), attempt)
+        table = F.when(cyrillic, F.array(*map(F.lit, CYRILLIC))).otherwise(F.array(*map(F.lit, LATIN)))
+        pick = lambda i: F.element_at(table, F.conv(F.substring(longer, i, F.lit(1)), 16, 10).cast("int") + 1)
+        more = F.when(attempt > 0, F.array_join(F.transform(_chars(longer), pick), "")).otherwise("")
+        return F.initcap(F.concat(F.when(cyrillic, _syllables(stream, CYRILLIC, 1, 5)).otherwise(_syllables(stream, LATIN, 1, 5)), more, ending))
 
     return F.array_join(F.transform(F.split(F.substring(norm, F.lit(3), F.char_length(norm)), " "), part), " ")
 
@@ -133,8 +146,8 @@ def _core(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
         .when(kind == "key", F.concat(F.substring(norm, 1, 4), _shape(rest(5), stream)))
         .when(kind == "iban", F.concat(F.substring(norm, 1, 2), _shape(rest(3), stream)))
         .when(kind == "name", _name(norm, key, attempt))
-        .when(norm.rlike("^[0-9a-f]+$"), F.rpad(F.substring(stream, F.lit(1), F.char_length(norm)), F.char_length(norm), stream))
-        .otherwise(_shape(norm, stream))
+        .when(norm.rlike("^[0-9a-f]+$"), F.concat(F.rpad(F.substring(stream, F.lit(1), F.char_length(norm)), F.char_length(norm), stream), _more(stream, attempt, F.lit(True))))
+        .otherwise(F.concat(_shape(norm, stream), _more(stream, attempt, F.lit(False))))
     )
 
 
@@ -163,7 +176,9 @@ def mentions(text: Column) -> Column:
 def collisions(entities: DataFrame, key: str, scratch: Scratch, rounds: int = 50) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate isn't theirs alone, with the attempt that is.
 
-    entities: distinct (kind, norm). Of those that meet in one surrogate the first by normal form keeps it.
+    entities: distinct (kind, norm). Of those that meet in one surrogate the first by normal form keeps it. Names and secrets
+    get longer with the attempt, so there is always a free one. Numbers keep their length: only a table with nearly all
+    numbers of a format, such as a million phone numbers of seven digits, leaves some without a surrogate, an error.
     """
     state = scratch.table(entities.withColumn("attempt", F.lit(0)))
     for _ in range(rounds):

@@ -231,3 +231,20 @@ def test_label_model_finds_the_weak_voter():
     v = np.stack([good, good, noisy(0.85), noisy(0.8), noisy(0.55)], 1).astype(np.int8)
     q, table, corr = toxicity.label_model(v, 0.3)
     assert ((q > 0.5) == y).mean() > 0.88 and corr[0, 1] > 0.5 and table[4, 1, 2] < table[2, 1, 2]
+
+
+def test_pii_secrets_of_symbols(spark):
+    """Values of symbols alone are no secrets; where only one character can change, surrogates get longer."""
+    rows = [(1, "Password: ________"), (2, "token = ......"), (3, "secret=/+/+.~-")] + [(10 + i, f"token: ______{c}") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    got = {r.doc_id: r for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == t and got[i].n_entities == 0 for i, t in rows[:3])
+    after = [got[i].text for i, _ in rows[3:]]
+    assert len(set(after)) == 26 and not set(after) & {t for _, t in rows} and all(got[i].n_entities == 1 and got[i].text.startswith("token: ______") for i, _ in rows[3:])
+
+
+def test_pii_names_without_end(spark, monkeypatch):
+    """One syllable only: names still stay apart, as each attempt has one more."""
+    monkeypatch.setattr(pii, "LATIN", ["ba"] * 16)
+    rows = [(i, f"Mr. {n} came") for i, n in enumerate(["Smith", "Brown", "Green", "Stone"])]
+    got = [r.text for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(got)) == 4 and not set(got) & {t for _, t in rows} and all(re.fullmatch(r"Mr\. (Ba)?(ba)+n came", t) for t in got)
