@@ -32,8 +32,8 @@ PATTERNS = {
     "name": rf"(?<!\w){TITLE} \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without these holds no entity.
-HINT = rf"[0-9@]|{SECRET}|{TITLE} "
+#: A text without these holds no entity; keys may be letters alone.
+HINT = rf"[0-9@]|{SECRET}|{TITLE} |A(?:KIA|SIA)"
 HEX, LETTERS = "0123456789abcdef", "bcdfghjklmnpqrst"
 LATIN = [c + v for c in "bdklmnrt" for v in "ae"]
 CYRILLIC = [c + v for c in "бдклмнрт" for v in "ае"]
