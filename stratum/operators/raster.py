@@ -67,10 +67,30 @@ def thin(pixels: DataFrame, by: str) -> DataFrame:
     return src.groupBy("g").applyInPandas(run, f"`{by}` {dict(pixels.dtypes)[by]}, row bigint, col bigint")
 
 
-def thin_plate(marks: DataFrame, by: str, step: float, smoothing: float = 1e4, nearest: int = 50, reach: float = 400.0) -> DataFrame:
+def in_hull(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which points of q lie in the convex hull of p, its border included: half-plane tests with the hull's edges."""
+    pts = np.unique(p, axis=0)
+    slack = 1e-9 * max(float(np.ptp(pts, axis=0).max()), 1.0)
+    hull: list[np.ndarray] = []
+    for side in (pts, pts[::-1]):
+        part: list[np.ndarray] = []
+        for x in side:
+            while len(part) > 1 and (part[-1][0] - part[-2][0]) * (x[1] - part[-2][1]) <= (part[-1][1] - part[-2][1]) * (x[0] - part[-2][0]):
+                part.pop()
+            part.append(x)
+        hull += part[:-1]
+    inside = ((q >= pts.min(0) - slack) & (q <= pts.max(0) + slack)).all(1)
+    for a, b in zip(hull, hull[1:] + hull[:1]):
+        d = b - a
+        inside &= d[0] * (q[:, 1] - a[1]) - d[1] * (q[:, 0] - a[0]) >= -slack * np.hypot(*d)
+    return inside
+
+
+def thin_plate(marks: DataFrame, by: str, step: float, smoothing: float = 1e4, nearest: int = 50, reach: float = 400.0, hull: bool = False) -> DataFrame:
     """(by, row, col, x, y, z): a smoothing thin-plate surface on a lattice from marks (x, y, value).
 
-    Each node solves for its nearest marks; nodes farther than ``reach`` from all marks are blank. A map is one task's work.
+    Each node solves for its nearest marks; nodes farther than ``reach`` from all marks are blank, with ``hull`` also those
+    outside the marks' convex hull. A map is one task's work.
     """
 
     def kernel(d: np.ndarray) -> np.ndarray:
@@ -80,12 +100,14 @@ def thin_plate(marks: DataFrame, by: str, step: float, smoothing: float = 1e4, n
         p, v = pdf[["x", "y"]].to_numpy(float), pdf.value.to_numpy(float)
         xs, ys = (np.arange(np.floor(p[:, i].min() / step), np.ceil(p[:, i].max() / step) + 1) * step for i in (0, 1))
         rows = []
+        nodes = np.stack(np.meshgrid(xs, ys), -1).reshape(-1, 2)
+        inside = (in_hull(p, nodes) if hull else np.ones(len(nodes), bool)).reshape(len(ys), len(xs))
         for i, y in enumerate(ys):
             for j, x in enumerate(xs):
                 d = np.hypot(p[:, 0] - x, p[:, 1] - y)
                 own = np.argsort(d, kind="stable")[:nearest]
                 z = None
-                if d[own[0]] <= reach:
+                if d[own[0]] <= reach and inside[i, j]:
                     q, m = p[own] - (x, y), len(own)
                     a = np.zeros((m + 3, m + 3))
                     a[:m, :m] = kernel(np.hypot(q[:, None, 0] - q[None, :, 0], q[:, None, 1] - q[None, :, 1])) + smoothing * np.eye(m)

@@ -234,7 +234,7 @@ def thinned_raster(spark, sf_dir):
 @query()
 def smooth_surface(spark, sf_dir):
     marks = table(spark, sf_dir, "supplier").select(F.lit(1).alias("map"), (F.col("s_suppkey") % 101 * 10.0).alias("x"), (F.col("s_acctbal") / 20).alias("y"), F.col("s_nationkey").cast("double").alias("value"))
-    return raster.thin_plate(marks, "map", 50.0).withColumn("z", F.round("z", 4))
+    return raster.thin_plate(marks, "map", 50.0, hull=True).withColumn("z", F.round("z", 4))
 
 
 @query("SELECT vec_id, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))) > 0 AS nonzero, list_sum(list_transform(range(1, 64), lambda i: (embedding[i + 1] > embedding[i])::INT))::INT AS rising FROM embeddings")

@@ -226,6 +226,17 @@ def test_thin_plate_on_a_plane(spark):
         assert abs(r.z - (2.0 + 0.5 * r.x - 0.25 * r.y)) < 1e-4
 
 
+def test_thin_plate_in_the_hull(spark):
+    """Marks in a triangle: nodes outside it are blank, though near."""
+    from stratum.operators import raster
+
+    pts = [(1, x, y, 2.0 + 0.5 * x) for x, y in ((0.0, 0.0), (20.0, 0.0), (0.0, 20.0), (5.0, 5.0))]
+    got = raster.thin_plate(spark.createDataFrame(pts, "map int, x double, y double, value double"), "map", 5.0, hull=True).collect()
+    assert len(got) == 25 and all((r.z is not None) == (r.x + r.y <= 20) for r in got)
+    line = raster.thin_plate(spark.createDataFrame([(1, v, v, v) for v in (0.0, 10.0, 20.0)], "map int, x double, y double, value double"), "map", 5.0, hull=True).collect()
+    assert all((r.z is not None) == (r.x == r.y) for r in line)
+
+
 def test_interval_and_corridor(spark):
     from stratum.operators import traces
 
