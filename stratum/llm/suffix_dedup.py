@@ -1,4 +1,4 @@
-"""Removal of long byte strings that occur more than once, by aligned suffix orders and longest-previous-factor arrays.
+"""Removal of long byte strings that occur more than once, by aligned suffix orders and common prefixes.
 
 A suffix array of a whole corpus can't be spread over executors, so it is built in aligned blocks that hold all that matters:
 
@@ -7,8 +7,8 @@ A suffix array of a whole corpus can't be spread over executors, so it is built
 2. A group's windows are laid under each other with their anchors in one column. From the last column to the first, a
    stable sort by one byte turns the suffix order of column c + 1 into that of column c, together with the common prefixes
    of neighbours: the suffix arrays and LCP arrays of all columns at once.
-3. Neighbours in suffix order that share ``length`` bytes hold equal windows. Among them the previous and next smaller
-   positions lead to the first; a window that isn't the first has a longest previous factor of ``length`` at least.
+3. Neighbours in suffix order that share ``length`` bytes hold equal windows. The smallest rank of a run of
+   such neighbours is the first; run minima replace previous and next smaller positions and longest previous factors.
 
 Groups of over GROUP windows aren't laid out in one task: their windows are hashed and counted by key instead.
 """
