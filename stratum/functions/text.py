@@ -13,8 +13,13 @@ MARKER_LEGACY, MARKER_CURRENT = r"\[SOURCE_PAGE:\s*page_(\d{5})\.[^\]]+\]", r"\[
 MARKER = rf"{MARKER_LEGACY}|{MARKER_CURRENT}"
 SOURCE = r"(?iu)\[SOURCE_PAGE:\s*([^;\]\s]+)"
 CITATION = r"(?iu)\[стр\.\s*([\d\s,;–—-]+)\]"
-NUMERIC_TOKEN = r"(?=[0-9ІIОоOoТт.,:/-]*\d)[0-9ІIОоOoТт]+(?:[.,:/-][0-9ІIОоOoТт]+)*"
+GLYPHS, JOINTS = "0-9ІIОоOoТт", ".,:/-"
+#: From the start of a run of such characters to its last digit, and on to the end of that digit's token. Each run is read once,
+#: and the possessive group needs no stack, so texts of any length will do.
+NUMERIC_RUN = rf"(?<![{GLYPHS}{JOINTS}])[{GLYPHS}{JOINTS}]*\d(?:[{JOINTS}]?[{GLYPHS}])*+"
 LABEL = r"^-[0-9]+(?:\.[0-9]{1,3})?$"
+#: Letters of search tokens that have another case or form.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁё"
 
 
 def lit_col(x: Column | str) -> Column:
@@ -27,9 +32,9 @@ def fold(c: Column | str) -> Column:
 
 
 def numeric_ocr(c: Column | str) -> Column:
-    """Digits for the letters that OCR takes for them, inside tokens that hold a digit."""
+    """Digits for the letters that OCR takes for them, in tokens of a run of letters and joints before which or in which a digit stands."""
     c = lit_col(c)
-    between, hits = F.split(c, NUMERIC_TOKEN, -1), F.regexp_extract_all(c, F.lit(NUMERIC_TOKEN), F.lit(0))
+    between, hits = F.split(c, NUMERIC_RUN, -1), F.regexp_extract_all(c, F.lit(NUMERIC_RUN), F.lit(0))
     fixed = F.transform(hits, lambda t: F.translate(t, "ІIОоOoТт", "11000011"))
     return F.array_join(F.zip_with(between, fixed, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
@@ -83,9 +88,10 @@ def cited_pages(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Search tokens: runs of two or more letters, digits and hyphens without stop words, Russian endings cut."""
-    raw = F.regexp_extract_all(lit_col(c), F.lit(r"([0-9A-Za-zА-Яа-яЁё-]{2,})"), F.lit(1))
-    folded = F.filter(F.transform(raw, fold), lambda t: ~t.isin(*[w.replace("ё", "е") for w in STOPWORDS]))
-    return F.transform(folded, lambda t: F.when(t.rlike("^[а-я-]+$"), F.regexp_replace(t, rf"^(.{{4,}}?)(?:{'|'.join(ENDINGS)})$", "$1")).otherwise(t))
+    folded = F.translate(lit_col(c), UPPER, UPPER.lower().replace("ё", "е"))  # these letters alone, as others are no part of a token
+    raw = F.regexp_extract_all(folded, F.lit(r"([0-9a-zа-я-]{2,})"), F.lit(1))
+    kept = F.filter(raw, lambda t: ~t.isin(*[w.replace("ё", "е") for w in STOPWORDS]))
+    return F.transform(kept, lambda t: F.regexp_replace(t, rf"^(?=[а-я-]+$)(.{{4,}}?)(?:{'|'.join(ENDINGS)})$", "$1"))
 
 
 def keyword_score(c: Column | str, words: list[str]) -> Column:
@@ -123,9 +129,10 @@ def safe_name(c: Column | str) -> Column:
 
 
 def natural_key(c: Column | str) -> Column:
-    """A string whose order is the natural one: numbers by value, letters case folded."""
+    """A string whose order is the natural one: numbers of any length by value, letters case folded."""
     parts = F.regexp_extract_all(F.lower(lit_col(c)), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    bare = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.char_length(bare(p)).cast("string"), 10, "0"), bare(p))).otherwise(p)), "")
 
 
 def last_number(path: Column | str) -> Column:

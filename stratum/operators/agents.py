@@ -79,18 +79,20 @@ def stage_checks(rows: DataFrame, by: list[str], rules: dict[str, Column]) -> Da
     return agg.unpivot(by, list(rules), "stage", "valid")
 
 
-def run_waves(spark: SparkSession, nodes: DataFrame, edges: DataFrame, execute: Callable[[DataFrame], DataFrame], scratch: Scratch, most: int = 100) -> DataFrame:
+def run_waves(spark: SparkSession, nodes: DataFrame, edges: DataFrame, execute: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(name, status) after running a dependency graph wave by wave.
 
     ``execute`` maps the ready nodes (name) to their outcomes (name, status). Nodes whose requirement failed are blocked. The
-    state is written down after each wave, so a run can go on from it; the loop has as many rounds as the graph is deep.
+    state is written down after each wave, so a run can go on from it; the loop has as many rounds as the graph is deep. Nodes that
+    ``execute`` gives no outcome count as failed, so every wave ends some.
     """
     state = scratch.table(nodes.select("name", "status"))
-    for _ in range(most):
+    while True:
         verdicts = scratch.table(status.ready(state, edges).where("verdict <> 'waiting'"))
         if verdicts.isEmpty():
             return state
-        ended = execute(verdicts.where("verdict = 'ready'").select("name")).select("name", F.col("status").alias("_s"))
+        due = verdicts.where("verdict = 'ready'").select("name")
+        told = execute(due).select("name", F.col("status").alias("_s"))
+        ended = due.join(told, "name", "left").select("name", F.when(F.col("_s") != "pending", F.col("_s")).otherwise("failed").alias("_s"))
         ended = ended.unionByName(verdicts.where("verdict = 'blocked'").select("name", F.lit("blocked").alias("_s")))
         state = scratch.table(state.join(ended, "name", "left").select("name", F.coalesce("_s", "status").alias("status")))
-    raise RuntimeError("the graph is deeper than the waves allow")

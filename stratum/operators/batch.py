@@ -33,8 +33,8 @@ def trusted(lines: DataFrame, include_inferred: bool = False) -> DataFrame:
 
 
 def map_payload(artifacts: DataFrame, jobs: DataFrame, page: str) -> DataFrame:
-    """Artifacts with their job's status and quality, without those of pages that hold no map; artifacts without a job stay."""
-    j = jobs.groupBy(page).agg(F.max("status").alias("job_status"), F.max("quality").alias("quality"))
+    """Artifacts with the status and quality of their page's latest job (column job), without those of pages that hold no map; artifacts without a job stay."""
+    j = jobs.groupBy(page).agg(F.max_by(F.struct("status", "quality"), "job").alias("j")).select(page, F.col("j.status").alias("job_status"), F.col("j.quality").alias("quality"))
     gone = jobs.where(F.col("status").isin("not_applicable", "failed", "duplicate")).select(page).distinct()
     return artifacts.join(gone, page, "left_anti").join(j, page, "left")
 

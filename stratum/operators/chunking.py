@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Lines whose part numbers are gathered at once.
+STRIDE = 256
+
 
 def lines(text: Column | str) -> Column:
     """Trimmed non-empty lines without page markers."""
     raw = F.split(F.replace(T.lit_col(text), F.lit("\r"), F.lit("")), "\n")
-    return F.filter(F.transform(raw, lambda s: F.trim(F.regexp_replace(s, T.MARKER, ""))), lambda s: s != "")
+    bare = lambda s: F.when(s.contains("[SOURCE_PAGE"), F.regexp_replace(s, T.MARKER, "")).otherwise(s)
+    return F.filter(F.transform(raw, lambda s: F.trim(bare(s))), lambda s: s != "")
 
 
 def without_repeats(items: Column) -> Column:
-    """An array without elements equal to the one before."""
-    return F.filter(items, lambda x, i: (i == 0) | (x != F.get(items, i - 1)))
+    """An array without elements equal to the one before. The array is bound by a lambda, so it is computed once, not for each element."""
+    kept = lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    return F.get(F.transform(F.array(items), kept), F.lit(0))
 
 
 def clean(text: Column | str, limit: int = 2200) -> Column:
@@ -29,15 +34,24 @@ def part_numbers(items: Column, budget: int) -> Column:
 
     A line counts its length and one; a line longer than the budget is a part of its own.
     """
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
+    none, lists = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    state = lambda part, used, out, done: F.struct(part.alias("part"), used.alias("used"), out.alias("out"), done.alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
         n = F.char_length(s) + 1
         new = (acc.part == 0) | (acc.used + n > budget)
         part = F.when(new, acc.part + 1).otherwise(acc.part)
-        return F.struct(part.alias("part"), F.when(new, n).otherwise(acc.used + n).alias("used"), F.array_append(acc.out, part).alias("out"))
+        return state(part, F.when(new, n).otherwise(acc.used + n), F.array_append(acc.out, part), acc.done)
+
+    def run(acc: Column, some: Column) -> Column:
+        return F.aggregate(some, state(acc.part, acc.used, none, acc.done), step, lambda x: state(x.part, x.used, none, F.array_append(x.done, x.out)))
+
+    def numbers(a: Column) -> Column:
+        # appending copies an array, so numbers are gathered by blocks of lines
+        some = F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(STRIDE)), lambda i: F.slice(a, i + 1, STRIDE))
+        return F.flatten(F.aggregate(some, state(F.lit(0), F.lit(0), none, lists), run, lambda x: x.done))
 
-    return F.aggregate(items, start, step, lambda acc: acc.out)
+    return F.get(F.transform(F.array(items), numbers), F.lit(0))
 
 
 def parts(rows: DataFrame, items: str, budget: int, keys: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ def evidence_qc(items: DataFrame, group: str, evidence: str, allowed: DataFrame,
     without = items.groupBy(group).agg(F.count_if(F.coalesce(F.size(evidence), F.lit(0)) <= 0).alias("items_without_evidence"))
     refs = items.select(group, F.explode(evidence).alias(ref)).distinct()
     bad = invalid(refs, allowed, ref).groupBy(group).agg(F.array_sort(F.collect_set(ref)).alias("invalid"))
-    out = without.join(bad, group, "left").withColumn("invalid", F.coalesce("invalid", F.array().cast("array<string>")))
+    out = without.join(bad, group, "left").withColumn("invalid", F.coalesce("invalid", F.array().cast(bad.schema["invalid"].dataType)))
     return out.withColumn("status", F.when((F.size("invalid") == 0) & (F.col("items_without_evidence") == 0), "pass").otherwise("review"))
 
 
@@ -62,7 +62,7 @@ def quality(metrics: DataFrame) -> DataFrame:
     """Columns reasons and status of a digitized map from its metrics.
 
     metrics: confident, conflicting, crossings, levels, closed, support, profile_ids, preserving, compared, within_rate,
-    p95_error_m, interval_m, range_kept, interval_support. Null metrics raise no reason.
+    p95_error_m, interval_m, range_kept, interval_support. Null metrics raise no reason. The names of the reasons are fixed values.
     """
     c = F.col
     total = c("confident") + c("conflicting")

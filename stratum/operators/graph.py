@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a local session (tests) gets a temporary one; a cluster is refused."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratum-"))
         found = sc.getCheckpointDir()
     return found
@@ -72,16 +74,15 @@ def components(edges: DataFrame, scratch: Scratch, src: str = "a", dst: str = "b
     return stars.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
+def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
     """(node) all nodes downstream of ``seeds`` (node), themselves included, along ``edges`` (child, parent).
 
     Each round joins the frontier alone, so the work is one pass over each edge that is reached; cycles end by themselves.
     """
     seen = front = scratch.table(seeds.select("node").distinct())
-    for _ in range(rounds):
+    while True:
         new = front.join(edges, front.node == edges.parent).select(F.col("child").alias("node")).distinct()
         front = scratch.table(new.join(seen, "node", "left_anti"))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-    raise RuntimeError("the graph is deeper than the rounds allow")

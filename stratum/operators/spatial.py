@@ -36,19 +36,20 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, left_key: str, rig
     return best.select(F.col("_l").alias(left_key), F.col("b._r").alias(right_key), F.col("b.distance").alias("distance"))
 
 
-def knn(points: DataFrame, key: str, k: int, side: float, scratch: Scratch, on: list[str] | None = None, rounds: int = 40) -> DataFrame:
+def knn(points: DataFrame, key: str, k: int, side: float, scratch: Scratch, on: list[str] | None = None) -> DataFrame:
     """(key, neighbour, distance, rank): the k nearest other points, ties by key, exact.
 
     Points are looked up within grids of doubling side. A point is settled when its k-th neighbour is no farther than the
     side, since nothing nearer can lie outside the nine cells; the rest go on. Groups with fewer than k others end with all of them.
+    Points without finite coordinates are left out.
     """
     on = on or []
-    same = W.partitionBy(*on) if on else None
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < 1e300)
+    points = points.where(finite("x") & finite("y"))
     sizes = points.groupBy(*on).agg(F.count("*").alias("_size")) if on else points.agg(F.count("*").alias("_size"))
     open_ = scratch.table(points.join(sizes, on) if on else points.withColumn("_size", F.lit(sizes.first()[0])))
     out = None
-    assert same is None or on
-    for _ in range(rounds):
+    while True:
         met = within(open_, points, side * 2, on).where(F.col(f"l.{key}") != F.col(f"r.{key}"))
         rows = met.select(F.col(f"l.{key}").alias(key), F.col("l._size").alias("_size"), F.col(f"r.{key}").alias("neighbour"), "distance")
         ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
@@ -60,21 +61,23 @@ def knn(points: DataFrame, key: str, k: int, side: float, scratch: Scratch, on:
         if open_.isEmpty():
             return out
         side *= 2
-    raise RuntimeError("points lie farther apart than the rounds reach")
 
 
-def local_median_filter(points: DataFrame, neighbours: DataFrame, key: str, value: str, tolerance: float, least: int) -> DataFrame:
-    """Points whose value lies within the tolerance of their neighbours' median; all points when there are fewer than ``least``."""
+def local_median_filter(points: DataFrame, neighbours: DataFrame, key: str, value: str, tolerance: float, least: int, on: list[str] | None = None) -> DataFrame:
+    """Points whose value lies within the tolerance of their neighbours' median; all points of a map (``on``) that has fewer than ``least``."""
     others = points.select(F.col(key).alias("neighbour"), F.col(value).alias("_v"))
     medians = neighbours.join(others, "neighbour").groupBy(key).agg(F.percentile("_v", F.lit(0.5)).alias("_m"))
-    n = points.agg(F.count("*").alias("_n"))
-    kept = points.join(medians, key, "left").join(F.broadcast(n))
+    kept = points.join(medians, key, "left")
+    if on:
+        kept = kept.join(points.groupBy(*on).agg(F.count("*").alias("_n")), on)
+    else:
+        kept = kept.withColumn("_n", F.lit(points.count()))
     return kept.where((F.col("_n") < least) | (F.abs(F.col(value) - F.col("_m")) <= tolerance)).select(points.columns)
 
 
-def clusters(points: DataFrame, key: str, radius: float, scratch: Scratch) -> DataFrame:
-    """Points with the component of those that chains of at most ``radius`` link; a point alone is its own."""
-    pairs = within(points, points, radius).where(F.col(f"l.{key}") < F.col(f"r.{key}")).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
+def clusters(points: DataFrame, key: str, radius: float, scratch: Scratch, on: list[str] | None = None) -> DataFrame:
+    """Points with the component of those that chains of at most ``radius`` link within a map (``on``); a point alone is its own. Keys are unique over maps."""
+    pairs = within(points, points, radius, on).where(F.col(f"l.{key}") < F.col(f"r.{key}")).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
     roots = components(pairs, scratch)
     return points.join(roots, points[key] == roots.node, "left").select(*points.columns, F.coalesce("root", key).alias("component"))
 
@@ -83,12 +86,21 @@ def cluster_medians(clustered: DataFrame, values: list[str]) -> DataFrame:
     return clustered.groupBy("component").agg(F.count("*").alias("n"), *(F.percentile(v, F.lit(0.5)).alias(v) for v in values))
 
 
-def fuse(primary: DataFrame, second: DataFrame, key: str, radius: float) -> DataFrame:
-    """All primary points and those second ones that have no primary point within the radius."""
-    near = within(second, primary, radius).select(F.col(f"l.{key}").alias(key)).distinct()
+def fuse(primary: DataFrame, second: DataFrame, key: str, radius: float, on: list[str] | None = None) -> DataFrame:
+    """All primary points and those second ones that have no primary point of their map (``on``) within the radius."""
+    near = within(second, primary, radius, on).select(F.col(f"l.{key}").alias(key)).distinct()
     return primary.unionByName(second.join(near, key, "left_anti"))
 
 
+def agreement(primary: DataFrame, second: DataFrame, key: str, value: str, radius: float, on: list[str], tolerance: float = 0.08) -> DataFrame:
+    """(on, matched, agreeing, rate): second readings with a primary one within max(40, 1.75 radius), and those whose values differ by the tolerance at most."""
+    reach = max(40.0, 1.75 * radius)
+    met = within(second, primary, reach, on).select(*(F.col(f"l.{c}").alias(c) for c in on), F.col(f"l.{key}").alias("_l"), F.struct("distance", F.col(f"r.{key}")).alias("_d"), F.abs(F.col(f"l.{value}") - F.col(f"r.{value}")).alias("_e"))
+    best = met.groupBy(*on, "_l").agg(F.min_by("_e", "_d").alias("_e"))
+    out = best.groupBy(*on).agg(F.count("*").alias("matched"), F.count_if(F.col("_e") <= tolerance + 1e-9).alias("agreeing"))
+    return out.withColumn("rate", F.col("agreeing") / F.col("matched"))
+
+
 def polyline_stats(vertices: DataFrame, line: str, seq: str) -> DataFrame:
     """(line, n, length, chord, straightness): straightness is the largest offset from the chord over the chord, 0 for closed lines."""
     w = W.partitionBy(line).orderBy(seq)

@@ -17,10 +17,13 @@ def rollup(rows: DataFrame, by: list[str], status: str, order: list[str], done:
 
 
 def zero_filled(rows: DataFrame, domain: DataFrame, status: str, by: list[str] | None = None) -> DataFrame:
-    """Counts for every status of the (small, fixed) domain, and every group that occurs when ``by`` is given."""
+    """Counts for every status of the fixed domain, and every group that occurs when ``by`` is given. The whole domain is one array that each group explodes."""
     by = by or []
     counts = rows.groupBy(*by, status).agg(F.count("*").alias("_n"))
-    frame = rows.select(*by).distinct().withColumn(status, F.explode(F.lit([r[0] for r in domain.select(status).distinct().limit(1000).collect()]))) if by else domain.select(status).distinct()
+    frame = domain.select(status).distinct()
+    if by:
+        whole = frame.agg(F.array_sort(F.collect_set(status))).first()[0]
+        frame = rows.select(*by).distinct().withColumn(status, F.explode(F.lit(whole)))
     return frame.join(counts, [*by, status], "left").select(*by, status, F.coalesce("_n", F.lit(0).cast("bigint")).alias("n"))
 
 

@@ -29,12 +29,13 @@ def burn(points: DataFrame, value: str, weight: Column, size: float, by: list[st
     return rows.groupBy(*by, "row", "col").agg((F.sum(v * w) / F.sum(w)).alias("z"), F.max(w).alias("weight"), F.count("*").alias("n"), (F.max(v) - F.min(v) > conflict).alias("conflict"))
 
 
-def cell_components(cells: DataFrame, scratch: Scratch, width: int = 1 << 31) -> DataFrame:
-    """Cells (row, col, ..) with the component of their edge neighbours: the smallest cell number row * width + col."""
-    at = cells.withColumn("_id", F.col("row") * F.lit(width) + F.col("col"))
-    right = at.select(F.col("_id").alias("a"), F.col("row"), (F.col("col") + 1).alias("col"))
-    down = at.select(F.col("_id").alias("a"), (F.col("row") + 1).alias("row"), F.col("col"))
-    edges = right.unionByName(down).join(at.select("row", "col", F.col("_id").alias("b")), ["row", "col"]).select("a", "b")
+def cell_components(cells: DataFrame, scratch: Scratch, width: int = 1 << 31, by: list[str] | None = None) -> DataFrame:
+    """Cells (by, row, col, ..) with the component of their edge neighbours: the smallest cell number row * width + col, or a hash of map and cell where ``by`` tells maps apart."""
+    by = by or []
+    at = cells.withColumn("_id", F.xxhash64(*by, "row", "col") if by else F.col("row") * F.lit(width) + F.col("col"))
+    right = at.select(*by, F.col("_id").alias("a"), F.col("row"), (F.col("col") + 1).alias("col"))
+    down = at.select(*by, F.col("_id").alias("a"), (F.col("row") + 1).alias("row"), F.col("col"))
+    edges = right.unionByName(down).join(at.select(*by, "row", "col", F.col("_id").alias("b")), [*by, "row", "col"]).select("a", "b")
     roots = components(edges, scratch)
     return at.join(roots, at._id == roots.node, "left").select(*cells.columns, F.coalesce("root", "_id").alias("component"))
 
@@ -85,14 +86,15 @@ def harmonic(cells: DataFrame, by: str = "component") -> DataFrame:
     return rows.groupBy("component").applyInPandas(_solve, "component bigint, row bigint, col bigint, z double")
 
 
-def bilinear(points: DataFrame, grid: DataFrame, x0: float, y0: float, size: float, key: str) -> DataFrame:
-    """(key, z): the grid's value at each point by four equi-joins on cell indices; null outside and beside blanks."""
-    at = points.select(key, ((F.col("x") - x0) / size).alias("u"), ((F.col("y") - y0) / size).alias("v"))
+def bilinear(points: DataFrame, grid: DataFrame, x0: float, y0: float, size: float, key: str, by: list[str] | None = None) -> DataFrame:
+    """(by, key, z): the value of the point's map (``by``) at each point by one equi-join on four cell indices; null outside and beside blanks."""
+    by = by or []
+    at = points.select(*by, key, ((F.col("x") - x0) / size).alias("u"), ((F.col("y") - y0) / size).alias("v"))
     at = at.withColumns({"c": F.floor("u").cast("bigint"), "r": F.floor("v").cast("bigint")})
     corners = F.explode(F.array(*(F.struct((F.col("r") + i).alias("row"), (F.col("c") + j).alias("col"), ((F.col("v") - F.col("r")) if i else (1 - F.col("v") + F.col("r"))).alias("wr"), ((F.col("u") - F.col("c")) if j else (1 - F.col("u") + F.col("c"))).alias("wc")) for i in (0, 1) for j in (0, 1))))
-    rows = at.select(key, corners.alias("_at")).select(key, "_at.row", "_at.col", (F.col("_at.wr") * F.col("_at.wc")).alias("w"))
-    met = rows.join(grid.select("row", "col", "z"), ["row", "col"], "left").where((F.col("w") > 0) | F.col("z").isNotNull())
-    return met.groupBy(key).agg(F.when(F.count_if(F.col("z").isNull() & (F.col("w") > 0)) == 0, F.sum(F.col("z") * F.col("w"))).alias("z"))
+    rows = at.select(*by, key, corners.alias("_at")).select(*by, key, "_at.row", "_at.col", (F.col("_at.wr") * F.col("_at.wc")).alias("w"))
+    met = rows.join(grid.select(*by, "row", "col", "z"), [*by, "row", "col"], "left").where((F.col("w") > 0) | F.col("z").isNotNull())
+    return met.groupBy(*by, key).agg(F.when(F.count_if(F.col("z").isNull() & (F.col("w") > 0)) == 0, F.sum(F.col("z") * F.col("w"))).alias("z"))
 
 
 #: Edges that a contour crosses in each of the 16 cases of marching squares (t top, r right, b bottom, l left);
@@ -138,23 +140,35 @@ def contour_lines(segments: DataFrame, scratch: Scratch, by: list[str] | None =
     return placed.groupBy(*keys, "line").agg(F.count("*").alias("segments"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length")).join(ends, "line")
 
 
-def segment_crossings(segments: DataFrame, key: str, group: str, size: float) -> DataFrame:
-    """Pairs (first, second) of different groups whose segments (x1, y1, x2, y2) properly cross; segments meet in the cells of their boxes."""
+def segment_crossings(segments: DataFrame, key: str, group: str, size: float, by: list[str] | None = None) -> DataFrame:
+    """Pairs (by, first, second) of one map (``by``) and different groups whose segments (x1, y1, x2, y2) properly cross; segments meet in the cells of their boxes."""
     span = lambda lo, hi: F.sequence(F.floor(F.least(lo, hi) / size), F.floor(F.greatest(lo, hi) / size))
-    rows = segments.select(key, group, "x1", "y1", "x2", "y2", F.explode(span(F.col("x1"), F.col("x2"))).alias("cx"), span(F.col("y1"), F.col("y2")).alias("ys")).withColumn("cy", F.explode("ys"))
+    by = by or []
+    rows = segments.select(*by, key, group, "x1", "y1", "x2", "y2", F.explode(span(F.col("x1"), F.col("x2"))).alias("cx"), span(F.col("y1"), F.col("y2")).alias("ys")).withColumn("cy", F.explode("ys"))
     a, b = rows.alias("a"), rows.alias("b")
     side = lambda p, q, r: F.signum((F.col(f"{q}.x2") - F.col(f"{q}.x1")) * (F.col(f"{p}.y{r}") - F.col(f"{q}.y1")) - (F.col(f"{q}.y2") - F.col(f"{q}.y1")) * (F.col(f"{p}.x{r}") - F.col(f"{q}.x1")))
     crosses = (side("a", "b", 1) * side("a", "b", 2) < 0) & (side("b", "a", 1) * side("b", "a", 2) < 0)
-    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col(f"a.{group}") != F.col(f"b.{group}")))
-    return met.where(crosses).select(F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second")).distinct()
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    met = a.join(b, same & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col(f"a.{group}") != F.col(f"b.{group}")))
+    return met.where(crosses).select(*(F.col(f"a.{c}").alias(c) for c in by), F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second")).distinct()
 
 
-def cps3_lines(grid: DataFrame, order: str = "n") -> DataFrame:
-    """(n, line): body of a CPS-3 grid: column by column, rows from the top, five values a line, blanks as 1E30."""
-    ranked = grid.select("row", "col", "z", F.row_number().over(W.orderBy("col", F.desc("row"))).alias("k"))
+def cps3_lines(grid: DataFrame, order: str = "n", by: list[str] | None = None) -> DataFrame:
+    """(by, n, line): body of each map's CPS-3 grid: column by column, rows from the top, five values a line, blanks as 1E30.
+
+    Cells are ranked within their column and shifted by the cells of the columns before, so a window spans one column, or the
+    column counts of a map.
+    """
+    by = by or []
+    before = grid.groupBy(*by, "col").agg(F.count("*").alias("_n"))
+    before = before.select(*by, "col", (F.sum("_n").over(W.partitionBy(*by).orderBy("col")) - F.col("_n")).alias("_before"))
+    own = grid.select(*by, "row", "col", "z", F.row_number().over(W.partitionBy(*by, "col").orderBy(F.desc("row"))).alias("_k"))
+    ranked = own.join(before, [*by, "col"]).withColumn("k", F.col("_k") + F.col("_before"))
     value = F.format_string("%.8E", F.coalesce("z", F.lit(1e30)))
-    rows = ranked.select(F.expr("(k - 1) div 5").alias(order), "k", value.alias("v"))
-    return rows.groupBy(order).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x.v), " ").alias("line"))
+    rows = ranked.select(*by, F.expr("(k - 1) div 5").alias(order), "k", value.alias("v"))
+    return rows.groupBy(*by, order).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x.v), " ").alias("line"))
 
 
 def cps3_header(grid: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

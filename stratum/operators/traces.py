@@ -39,9 +39,9 @@ def crosscheck(pairs: DataFrame, by: list[str], observed: str, predicted: str, i
     return pairs.groupBy(*by).agg(F.count("*").alias("candidates"), F.count(e).alias("compared"), F.percentile(e, F.lit(0.5)).alias("median_error"), F.percentile(e, F.lit(0.9)).alias("p90_error"), F.avg((e <= interval).cast("int")).alias("within_rate"))
 
 
-def corridor(readings: DataFrame, key: str, radius: float, least: int = 3) -> DataFrame:
-    """Column corridor: at least ``least`` readings, itself included, lie within the radius."""
-    n = spatial.within(readings, readings, radius).groupBy(F.col(f"l.{key}").alias(key)).agg(F.count("*").alias("_n"))
+def corridor(readings: DataFrame, key: str, radius: float, least: int = 3, on: list[str] | None = None) -> DataFrame:
+    """Column corridor: at least ``least`` readings of the map (``on``), itself included, lie within the radius."""
+    n = spatial.within(readings, readings, radius, on).groupBy(F.col(f"l.{key}").alias(key)).agg(F.count("*").alias("_n"))
     return readings.join(n, key, "left").withColumn("corridor", F.coalesce(F.col("_n") >= least, F.lit(False))).drop("_n")
 
 
@@ -57,29 +57,30 @@ def tangents(vertices: DataFrame, line: str, seq: str, n: int = 12) -> DataFrame
     return parts[0].unionByName(parts[1])
 
 
-def unsupported_rings(rings: DataFrame, ring: str, level: str, sources: DataFrame, interval: float, distance: float, side: float) -> DataFrame:
-    """Ids of closed lines that neither a source of their level lies near nor a ring of the next level contains or is contained by.
+def unsupported_rings(rings: DataFrame, ring: str, level: str, sources: DataFrame, interval: float, distance: float, side: float, on: list[str] | None = None) -> DataFrame:
+    """Ids (and ``on``, the map) of closed lines that neither a source of their level lies near nor a ring of the next level contains or is contained by.
 
     rings: ``ring``, level, seq, x, y in drawing order without the closing point; sources: level, x, y. A ring's first vertex
     stands for it in the containment test, which meets rings in the cells of their boxes' rows and counts crossings of a ray.
     """
+    on = on or []
     levels = F.abs(F.col("l._level") - F.col("r._level")) <= max(1.0, interval * 0.05)
-    a = rings.select(F.col(ring).alias("_ring"), F.col(level).cast("double").alias("_level"), "x", "y")
-    b = sources.select(F.col(level).cast("double").alias("_level"), "x", "y")
-    near = spatial.within(a, b, distance).where(levels).select(F.col("l._ring").alias(ring)).distinct()
-    w = W.partitionBy(ring).orderBy("seq")
+    a = rings.select(*on, F.col(ring).alias("_ring"), F.col(level).cast("double").alias("_level"), "x", "y")
+    b = sources.select(*on, F.col(level).cast("double").alias("_level"), "x", "y")
+    near = spatial.within(a, b, distance, on).where(levels).select(*(F.col(f"l.{c}").alias(c) for c in on), F.col("l._ring").alias(ring)).distinct()
+    w = W.partitionBy(*on, ring).orderBy("seq")
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    seg = rings.select(F.col(ring).alias("outer"), F.col(level).cast("double").alias("ol"), "x", "y", nxt("x").alias("x2"), nxt("y").alias("y2"))
+    seg = rings.select(*on, F.col(ring).alias("outer"), F.col(level).cast("double").alias("ol"), "x", "y", nxt("x").alias("x2"), nxt("y").alias("y2"))
     seg = seg.withColumn("cy", F.explode(F.sequence(F.floor(F.least("y", "y2") / side), F.floor(F.greatest("y", "y2") / side))))
-    first = rings.groupBy(ring).agg(F.min_by(F.struct(F.col("x").alias("px"), F.col("y").alias("py"), F.col(level).cast("double").alias("pl")), "seq").alias("p")).select(F.col(ring).alias("inner"), "p.*")
+    first = rings.groupBy(*on, ring).agg(F.min_by(F.struct(F.col("x").alias("px"), F.col("y").alias("py"), F.col(level).cast("double").alias("pl")), "seq").alias("p")).select(*on, F.col(ring).alias("inner"), "p.*")
     first = first.withColumn("cy", F.floor(F.col("py") / side))
     hit = (F.col("y") > F.col("py")) != (F.col("y2") > F.col("py"))
     right = F.col("px") < (F.col("x2") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x")
     step = F.abs(F.abs(F.col("ol") - F.col("pl")) - interval) <= interval * 0.1
-    met = seg.join(first, "cy").where((F.col("outer") != F.col("inner")) & step & hit).where(right)
-    nested = met.groupBy("outer", "inner").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
-    fine = near.unionByName(nested.select(F.col("outer").alias(ring))).unionByName(nested.select(F.col("inner").alias(ring)))
-    return rings.select(ring).distinct().join(fine.distinct(), ring, "left_anti")
+    met = seg.join(first, [*on, "cy"]).where((F.col("outer") != F.col("inner")) & step & hit).where(right)
+    nested = met.groupBy(*on, "outer", "inner").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
+    fine = near.unionByName(nested.select(*on, F.col("outer").alias(ring))).unionByName(nested.select(*on, F.col("inner").alias(ring)))
+    return rings.select(*on, ring).distinct().join(fine.distinct(), [*on, ring], "left_anti")
 
 
 def _simplified(x: np.ndarray, tolerance: float) -> np.ndarray:

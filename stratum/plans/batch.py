@@ -53,11 +53,11 @@ def trusted_lines(spark, sf_dir):
 
 
 @query(f"""
-WITH j AS (SELECT o_custkey, {JOB_SQL} AS s, o_orderstatus AS q FROM orders)
-SELECT c_custkey, c_name, max(s) AS job_status, max(q) AS quality FROM customer LEFT JOIN j ON c_custkey = o_custkey WHERE c_custkey NOT IN (SELECT o_custkey FROM j WHERE s IN ('not_applicable', 'failed', 'duplicate')) GROUP BY ALL
+WITH j AS (SELECT o_custkey, o_orderkey, {JOB_SQL} AS s, o_orderstatus AS q FROM orders)
+SELECT c_custkey, c_name, arg_max(s, o_orderkey) AS job_status, arg_max(q, o_orderkey) AS quality FROM customer LEFT JOIN j ON c_custkey = o_custkey WHERE c_custkey NOT IN (SELECT o_custkey FROM j WHERE s IN ('not_applicable', 'failed', 'duplicate')) GROUP BY ALL
 """)
 def map_payload(spark, sf_dir):
-    jobs = _jobs(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), "status", F.col("o_orderstatus").alias("quality"))
+    jobs = _jobs(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("job"), "status", F.col("o_orderstatus").alias("quality"))
     return batch.map_payload(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), jobs, "c_custkey")
 
 

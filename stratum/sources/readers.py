@@ -33,7 +33,7 @@ def ocr_lines(raw: DataFrame, text: str, key: str) -> DataFrame:
     """(key, line_no, text, score, polygon) from OCR results in any of three shapes.
 
     One object with parallel arrays rec_texts, rec_scores and rec_polys; one object with lines; or one line object per text
-    line. Blank texts are kept, missing scores stay null, and a row of no shape gives nothing.
+    line. Blank texts are dropped, missing scores stay null, and a row of no shape gives nothing.
     """
     v = raw.select(key, F.col(text).alias("_t"), F.try_parse_json(text).alias("_v"))
     get = lambda path, kind: F.try_variant_get("_v", path, kind)
@@ -41,6 +41,7 @@ def ocr_lines(raw: DataFrame, text: str, key: str) -> DataFrame:
     each = F.transform(F.filter(F.split("_t", "\n"), lambda s: F.trim(s) != ""), lambda s: F.from_json(s, "struct<text: string, score: double, polygon: array<array<double>>>"))
     lines = F.when(get("$.rec_texts", "array<string>").isNotNull(), F.transform(parallel, lambda x: F.struct(x.text.alias("text"), x.score.alias("score"), x.polygon.alias("polygon"))))
     lines = lines.when(get("$.lines", OCR_LINE).isNotNull(), get("$.lines", OCR_LINE)).otherwise(F.filter(each, lambda x: x.text.isNotNull()))
+    lines = F.filter(lines, lambda x: F.trim(x.text) != "")
     return v.select(key, F.posexplode(lines).alias("line_no", "x")).select(key, "line_no", "x.text", "x.score", "x.polygon")
 
 
