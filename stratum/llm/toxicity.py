@@ -1,9 +1,11 @@
 """Toxicity scores by weak supervision.
 
-Lexicon families and surface patterns vote on labelled sample documents. A generative label model estimates, by expectation
-maximisation, how each voter votes on toxic and on clean documents, discounts voters that repeat each other by the
-correlation of their residuals, and gives each document a posterior label. A linear classifier over words and word stems is
-trained on these posteriors and scores every whole text.
+Lexicon families and surface patterns vote on sample documents. The sample is cut into folds; the lexicons that vote on one fold
+are gathered from the labels of the others, so a voter never sees the label of the document it votes on. From the votes alone a
+generative label model estimates, by expectation maximisation, how each voter votes on toxic and on clean documents, and the
+correlations of the voters, by which those that repeat each other are discounted; it gives each document a posterior label.
+Labels enter the model only as the share of toxic documents. A linear classifier over words and word stems is trained on the
+posteriors and scores every whole text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch
+from .common import Scratch, cut
 
 #: Labelled documents that the model is fitted on at most, the ones with the smallest hash of their id.
 FIT_ROWS = 12_000
@@ -26,8 +28,14 @@ FIT_ROWS = 12_000
 TERMS, MIN_DOCS = 800, 4
 #: Standard deviations by which a term's toxic share must leave the sample's.
 MIN_GAP = 4.0
-#: Lexicon voters at most; further families share the last ten.
-FAMILIES = 40
+#: Parts of the sample that are voted on with lexicons of the others.
+FOLDS = 5
+#: Lexicon voters of their own at most; further families share ten more.
+FAMILIES = 60
+#: Least lower bound of a lexicon term's log odds, and how far it may stay behind the best of its family.
+LEAST_ODDS, NEAR_ODDS = 1.5, 1.0
+#: Correlations up to this are taken for chance.
+NOISE = 0.1
 STEMS = (4, 5, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -81,32 +89,47 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def votes(x: np.ndarray, names: list[str], odds: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Documents x voters in {-1 clean, 0 abstain, 1 toxic}: lexicon families, hit counts, patterns and the annotator."""
+def log_odds(p: np.ndarray, n: np.ndarray, pos: float, total: float, sure: float = 2.0) -> np.ndarray:
+    """Lower bounds of log odds of terms in toxic against clean documents; chance finds of rare terms stay below zero or nearly so."""
+    odds = np.log((p + 0.5) / (pos + 1)) - np.log((n - p + 0.5) / (total - pos + 1))
+    return odds - sure * np.sqrt(1 / (p + 0.5) + 1 / (n - p + 0.5))
+
+
+def votes(x: np.ndarray, names: list[str], odds: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Documents x voters in {-1 clean, 0 abstain, 1 toxic}: lexicon families, no hit in any of them, and surface patterns.
+
+    odds: folds x terms, each row's taken from all other folds. A family is the words and stems of one beginning; in a fold it
+    holds those whose odds are high and near its best. So no voter that looks at a document knows that document's label.
+    """
+    best = odds.max(0)
     families: dict[str, list[int]] = {}
-    for j in np.argsort(-odds, kind="stable"):
-        if odds[j] >= 1.5 and names[j][0] != "§":
+    for j in np.argsort(-best, kind="stable"):
+        if best[j] >= LEAST_ODDS and names[j][0] != "§":
             families.setdefault(names[j][:4].rstrip("*"), []).append(j)
-    groups: dict[str, list[int]] = {}
-    for i, (stem, own) in enumerate(families.items()):
-        groups.setdefault(stem if i < FAMILIES else f"rest {i % 10}", []).extend(own)
-    cols = {f"lexicon {k}": x[:, own].any(1).astype(np.int8) for k, own in groups.items()}
-    hits = sum((x[:, own].any(1).astype(int) for own in families.values()), np.zeros(len(x), int))
-    cols["no family"] = np.where(hits == 0, -1, 0).astype(np.int8)
-    cols["one family"] = np.where(hits == 1, -1, 0).astype(np.int8)
-    cols["two families"] = np.where(hits >= 2, 1, 0).astype(np.int8)
+    cols: dict[str, np.ndarray] = {}
+    hits = np.zeros(len(x), int)
+    for i, (stem, own_) in enumerate(families.items()):
+        own, vote = np.array(own_), np.zeros(len(x), np.int8)
+        for f in range(len(odds)):
+            o = odds[f, own]
+            held = own[(o >= LEAST_ODDS) & (o >= o.max() - NEAR_ODDS)]
+            vote[fold == f] = x[np.ix_(fold == f, held)].any(1)
+        name = f"lexicon {stem}" if i < FAMILIES else f"lexicon rest {xxhash.xxh64_intdigest(stem) % 10}"
+        cols[name] = np.maximum(cols.get(name, 0), vote)
+        hits += vote
+    cols["no hit"] = np.where(hits == 0, -1, 0).astype(np.int8)
     for j, name in enumerate(names):
         if name[0] == "§":
-            cols[f"pattern {name[1:]}"] = x[:, j].astype(np.int8) * (1 if odds[j] > 0 else -1)
-    cols["annotator"] = np.where(labels == 1, 1, -1).astype(np.int8)
+            cols[f"pattern {name[1:]}"] = (x[:, j] * np.sign(odds[fold, j])).astype(np.int8)
     return np.stack([*cols.values()], 1), [*cols]
 
 
 def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, P(vote | class) as voters x 2 x 3, correlations) by expectation maximisation over vote patterns.
+    """(posterior, P(vote | class) as voters x 2 x 3, correlations) by expectation maximisation over the votes alone.
 
-    A voter's log likelihood ratio is divided by one plus its positive residual correlations with the others, so voters
-    that see the same thing count once together.
+    Accuracies are estimated anew each round, the correlations of the voters' residuals every fifth round once accuracies have
+    settled. A voter's log likelihood ratio is divided by one plus its correlations with the others, so voters that see the
+    same thing count once together.
     """
     n, m = v.shape
     onehot = np.stack([v == k for k in (-1, 0, 1)], 2).astype(np.float32)
@@ -115,13 +138,12 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarr
     for r in range(rounds):
         w = np.stack([1 - q, q], 1)
         table = (np.einsum("nc,nmk->mck", w, onehot) + 0.5) / (w.sum(0)[None, :, None] + 1.5)
-        if r == rounds // 2:
-            mean = np.einsum("nc,mc->nm", w, table[:, :, 2] - table[:, :, 0])
-            res = v - mean
+        if r >= 10 and r % 5 == 0:
+            res = v - np.einsum("nc,mc->nm", w, table[:, :, 2] - table[:, :, 0])
             sd = res.std(0)
             corr = (res.T @ res / n) / np.maximum(np.outer(sd, sd), 1e-9)
             np.fill_diagonal(corr, 0)
-        share = 1 / (1 + np.maximum(corr, 0).sum(1))
+        share = 1 / (1 + np.maximum(corr - NOISE, 0).sum(1))
         ratio = np.log(table[:, 1] / table[:, 0]) * share[:, None]
         z = np.log(prior / (1 - prior)) + np.einsum("nmk,mk->n", onehot, ratio)
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -150,8 +172,8 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", fit_rows: int = FIT_ROWS, scratch: Scratch | None = None) -> Model:
     """Fits on at most ``fit_rows`` labelled documents that aren't held out. Without any, all texts score alike.
 
-    Null labels are left out; of repeated labels the largest counts. Term counts are aggregated on the executors; what
-    reaches the driver is bounded by ``fit_rows`` and TERMS.
+    Null labels are left out; of repeated labels the largest counts, of repeated ids the smallest text. Term counts are
+    aggregated on the executors; what reaches the driver is bounded by ``fit_rows`` and TERMS.
     """
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
@@ -164,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own, pa.array(map(signature, texts), pa.list_(pa.int64()))], names=["id", "y", "terms", "sig"])
 
     rows = docs.select(key, F.col(text).cast("string").alias("t")).join(F.broadcast(sample), key)
-    rows = scratch.table(rows.select(F.col(key).cast("string").alias("id"), "y", "t").mapInArrow(split, "id string, y int, terms array<string>, sig array<bigint>"))
+    rows = rows.groupBy(F.col(key).cast("string").alias("id"), "y").agg(F.min("t").alias("t"))
+    rows = scratch.table(rows.mapInArrow(split, "id string, y int, terms array<string>, sig array<bigint>"))
     # copies would make any of their words look like evidence, so the sample keeps the first of each group of near copies
     seen: set[int] = set()
     keep = []
@@ -172,31 +195,34 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         if seen.isdisjoint(r.sig):
             keep.append((r.id,))
         seen.update(r.sig)
-    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(keep, "id string")), "id").dropDuplicates(["id"])
-    n, pos = (int(c or 0) for c in rows.agg(F.count("*"), F.sum("y")).first())
-    if not n or not 0 < pos < n:
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(keep, "id string")), "id").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int"))
+    by_fold = [F.coalesce(f(F.when(F.col("fold") == k, F.col("y"))), F.lit(0)) for f in (F.count, F.sum) for k in range(FOLDS)]
+    total, positive = np.array(rows.agg(*by_fold).first(), float).reshape(2, FOLDS)
+    n, pos = int(total.sum()), int(positive.sum())
+    if not 0 < pos < n:
         return Model(bias=3.0 if n and pos == n else -3.0)
-    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("p"), F.count("*").alias("n")).where(f"n >= {MIN_DOCS}")
+    counts = rows.select("y", "fold", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("p"), F.count("*").alias("n"), F.array(*by_fold).alias("by_fold")).where(f"n >= {MIN_DOCS}")
     gap = F.abs(F.col("p") - F.col("n") * (pos / n)) / F.sqrt(F.col("n") * (pos / n) * (1 - pos / n))
     best = counts.where(gap >= MIN_GAP).orderBy(gap.desc(), "term").limit(TERMS).collect()
     if not best:
         return Model(bias=float(np.log(pos / (n - pos))))
     names = [r.term for r in best]
-    odds = np.array([np.log((r.p + 0.5) / (pos + 1)) - np.log((r.n - r.p + 0.5) / (n - pos + 1)) for r in best])
+    seen_n, seen_p = np.moveaxis(np.array([r.by_fold for r in best], float).reshape(-1, 2, FOLDS), 0, 2)
+    odds = np.stack([log_odds(seen_p.sum(0) - seen_p[k], seen_n.sum(0) - seen_n[k], pos - positive[k], n - total[k]) for k in range(FOLDS)])
     index = {t: j for j, t in enumerate(names)}
 
     def vectors(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[index[t] for t in own if t in index] for own in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["y", "at"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[index[t] for t in own if t in index] for own in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["fold", "at"])
 
-    found = rows.select("y", "terms").mapInArrow(vectors, "y int, at array<int>").toArrow()
+    found = rows.select("fold", "terms").mapInArrow(vectors, "fold int, at array<int>").toArrow()
     x = np.zeros((n, len(names)), bool)
     at = found.column("at").combine_chunks()
     x[np.repeat(np.arange(n), np.asarray(at.value_lengths())), at.flatten().to_numpy()] = True
-    y = found.column("y").to_numpy()
-    order = np.lexsort([y, x.sum(1)])  # rows come in any order; sums below shouldn't depend on it
-    x, y = x[order], y[order]
-    v, voters = votes(x, names, odds, y)
+    fold = found.column("fold").to_numpy()
+    order = np.lexsort([*x.T[:32], x.sum(1), fold])  # rows come in any order; sums below shouldn't depend on it
+    x, fold = x[order], fold[order]
+    v, voters = votes(x, names, odds, fold)
     q, table, _ = label_model(v, pos / n)
     w, b = linear(x, q)
     return Model(b, {t: float(z) for t, z in zip(names, w) if abs(z) > 1e-3}, {name: (float(t[1, 2]), float(t[0, 2])) for name, t in zip(voters, table)})
@@ -208,8 +234,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for part in cut(b, text):
                 scores = pa.array([model.score(t) for t in part.column(text).to_pylist()], pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), scores], names=[*names, out])
 
