@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import cut
+
 #: Element ids of the format.
 EBML, EBML_VERSION, EBML_READ, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
@@ -223,8 +225,8 @@ def media_column(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
+            for part in cut(batch, 1, 256):
+                rows = []
                 for t in part.column(1).to_pylist():
                     raw = (t or "").encode()
                     data = mux(pad(raw))

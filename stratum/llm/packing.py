@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.taskcontext import TaskContext
 
-from .common import Scratch
+from .common import Scratch, cut
 from .bpe import byte_alphabet, tokenizer_path
 
 #: The byte-level pre-tokenizer's pattern.
@@ -134,8 +134,7 @@ def pack(docs: DataFrame, width: int = 2048, n_open: int = 16, end_id: int = 1,
 
         def finished():
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
+                for part in cut(b, 1, 256):
                     for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                         ids = (enc.encode(t) if t else b"") + end
                         for w in win.add((k, 0, ids, len(ids) // 4)):

@@ -16,4 +16,29 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
 }
-ORACLES: dict[str, str] = {}
+
+_ESCAPED = r"replace(replace(replace(replace({}, '\', '\\'), '##', '#\#'), '##', '#\#'), '</', '<\/')"
+ORACLES: dict[str, str] = {
+    "op2_chat": rf"""
+WITH t AS (SELECT conv_id, turn::BIGINT AS turn, role AS r0, text AS t0 FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+k AS (SELECT *, coalesce(r0, '') AS role, coalesce(t0, '') AS text FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ') + length(replace({_ESCAPED.format('role')}, chr(10), '\' || chr(10))) + 1 + length({_ESCAPED.format('text')}) + length(chr(10) || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM k GROUP BY conv_id
+""",
+    # bytes as hexadecimal digits; the last pattern keeps pairs of digits aligned where a character is incomplete
+    "op5_suffix": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, unnest(range(0, length(h) // 2 - 399)) AS p, h FROM d WHERE length(h) >= 800), k AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 800)) AS k FROM w),
+m AS (SELECT r, p FROM k SEMI JOIN (SELECT k FROM k GROUP BY k HAVING count(*) > 1) USING (k)),
+n AS (SELECT r, p, (p > coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -401) + 400)::INT AS new FROM m),
+g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM n), s AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY r, g),
+q AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM s),
+c AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head FROM q JOIN d USING (r) GROUP BY r),
+e AS (SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN tail IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END AS kept FROM d LEFT JOIN c USING (r))
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256,
+  decode(unhex(array_to_string(regexp_extract_all(kept, '([0-7].|(?:C[2-9A-F]|D.)[89AB].|E.[89AB].[89AB].|F[0-4][89AB].[89AB].[89AB].)|..', 1), ''))) AS text FROM e
+""",
+}

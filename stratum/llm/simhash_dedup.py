@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, components
+from .common import Scratch, components, cut
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -121,8 +121,7 @@ def identity(shingles: np.ndarray) -> int:
 
 def _prints(batches, size: int, words_fps: int, check: int, kind: pa.DataType, key: str):
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part in cut(batch, 1):
             fps, checks = [], []
             for t in part.column(1).to_pylist():
                 words = words_of(t)
@@ -138,8 +137,7 @@ def _prints(batches, size: int, words_fps: int, check: int, kind: pa.DataType, k
 
 def _sets(batches, size: int):
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part in cut(batch, 1):
             own = [shingle_set(words_of(t), size) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(identity, own), pa.int64()), pa.array((x.tobytes() for x in own), pa.binary())], names=["m", "same", "shingles"])
 

@@ -7,8 +7,9 @@ A suffix array of a whole corpus can't be spread over executors, so it is built
 2. A group's windows are laid under each other with their anchors in one column. From the last column to the first, a
    stable sort by one byte turns the suffix order of column c + 1 into that of column c, together with the common prefixes
    of neighbours: the suffix arrays and LCP arrays of all columns at once.
-3. Neighbours in suffix order that share ``length`` bytes hold equal windows. The smallest rank of a run of
-   such neighbours is the first; run minima replace previous and next smaller positions and longest previous factors.
+3. In each column's suffix order the previous and the next suffix of smaller rank (rank: order of the texts and positions) are
+   the only candidates for the longest previous factor, which is the longer of the two common prefixes. A window with a
+   factor of ``length`` bytes occurs earlier; the suffix that such a factor points to is the earlier match.
 
 Groups of over GROUP windows aren't laid out in one task: their windows are hashed and counted by key instead.
 """
@@ -20,12 +21,12 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import Scratch
+from .common import Scratch, cut, free
 
 #: Bytes of the k-gram under an anchor; texts are read in pieces of PIECE bytes; rows laid out at once; rows of a group at most.
 GRAM, PIECE, ROWS, GROUP = 128, 1 << 20, 4096, 1 << 14
@@ -81,8 +82,7 @@ def identity(raw: bytes) -> tuple[int, int]:
 def _scan(batches, length: int, k: int, kind: pa.DataType):
     item = pa.struct([("h", pa.int64()), ("pos", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64())])
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in cut(batch, 1, 256):
             raws = [(t or "").encode() for t in part.column(1).to_pylist()]
             found = [anchors(r, length, k) for r in raws]
             flat = [a for f in found for a in f]
@@ -107,8 +107,8 @@ def _contexts(batches, length: int, most: int):
     for batch in batches:
         kind = batch.schema.field("id").type
         rows, hashes, size = [], [], 0
-        for at in range(0, batch.num_rows, 32):
-            for r in batch.slice(at, 32).to_pylist():
+        for part in cut(batch, "text", 32):
+            for r in part.to_pylist():
                 raw = (r["text"] or "").encode()
                 if identity(raw) != (r["t1"], r["t2"]):
                     continue
@@ -158,8 +158,40 @@ def suffix_orders(group: np.ndarray, data: np.ndarray, starts: int):
             yield c, order, differs
 
 
+def smaller(rank: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, common prefixes) of the nearest position before each one whose rank is smaller, by pointer jumping.
+
+    lcp[i] is the common prefix of i - 1 and i. A position whose common prefix falls below ``least`` is given up (-1, 0).
+    Everything that a pointer leaps over has a larger rank, so jumping from a larger rank to its own pointer loses nothing,
+    and pointers of pointers halve what is left.
+    """
+    at, common = np.arange(len(rank)) - 1, lcp.copy()
+    while True:
+        common[at < 0] = 0
+        at[common < least] = -1
+        todo = np.flatnonzero((at >= 0) & (rank[at] > rank))
+        if not len(todo):
+            common[at < 0] = 0
+            return at, common
+        over = at[todo]
+        common[todo] = np.where(at[over] >= 0, np.minimum(common[todo], common[over]), 0)
+        at[todo] = at[over]
+
+
+def previous_factors(rank: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length of the longest previous factor, its source) of each suffix in suffix order; both zero and -1 below ``least``."""
+    before, common = smaller(rank, lcp, least)
+    after, common2 = smaller(rank[::-1], np.append(0, lcp[:0:-1]), least)
+    after, common2 = np.where(after < 0, -1, len(rank) - 1 - after)[::-1], common2[::-1]
+    further = common2 > common
+    return np.where(further, common2, common), np.where(further, after, before)
+
+
 def repeats(group: np.ndarray, rank: np.ndarray, p0: np.ndarray, p1: np.ndarray, pos: np.ndarray, ctx: list[bytes], length: int, k: int, keep_first: bool) -> list[tuple[int, int, int]]:
-    """(row, first, last): runs of window starts that occur elsewhere, or, to keep the first, that have a longest previous factor of ``length``."""
+    """(row, first, last): runs of window starts that have a longest previous factor of ``length``, or, unless the first stays, are the source of one.
+
+    Following sources leads to smaller and smaller ranks, so the first of several equal windows is a source itself.
+    """
     w = length - k + 1
     data = np.full((len(ctx), w - 1 + length), 256, np.int16)
     for i, c in enumerate(ctx):
@@ -170,12 +202,12 @@ def repeats(group: np.ndarray, rank: np.ndarray, p0: np.ndarray, p1: np.ndarray,
         linked = differs - c >= length
         if not linked.any():
             continue
-        either = linked | np.append(linked[1:], False)
-        if keep_first:
-            head = np.flatnonzero(~linked)
-            first = np.repeat(np.minimum.reduceat(rank[order], head), np.diff(np.append(head, len(order))))
-            either &= rank[order] > first
-        hit[order[either], c + 1] = True
+        runs = np.flatnonzero(linked | np.append(linked[1:], False))  # a suffix outside has no factor of this length
+        own = order[runs]
+        factor, source = previous_factors(rank[own], np.where(linked[runs], differs[runs] - c, 0), length)
+        hit[own[factor >= length], c + 1] = True
+        if not keep_first:
+            hit[own[source[factor >= length]], c + 1] = True
     column = np.arange(-1, w)
     hit &= (column >= (w - 1 - pos + p0)[:, None]) & (column <= (w - 1 - pos + p1)[:, None])  # beyond its windows a row is filled up
     edge = np.diff(np.concatenate([hit, np.zeros((len(ctx), 1), bool)], 1).astype(np.int8), axis=1)
@@ -230,13 +262,14 @@ def merge(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
-def _cut(batches, length: int, keep_first: bool, carry: list[str]):
+def _remove(batches, length: int, keep_first: bool, carry: list[str]):
+    """The columns of ``carry`` come first, then the text and what is known of it."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, rows = batch.slice(at, 256), []
-            for r in part.select(["_text", "_own"]).to_pylist():
-                raw = (r["_text"] or "").encode()
-                own = next((x for x in r["_own"] or () if identity(raw) == (x["t1"], x["t2"])), None)
+        for part in cut(batch, len(carry), 256):
+            rows = []
+            for text, known in zip(part.column(len(carry)).to_pylist(), part.column(len(carry) + 1).to_pylist()):
+                raw = (text or "").encode()
+                own = next((x for x in known or () if identity(raw) == (x["t1"], x["t2"])), None)
                 spans: list[tuple[int, int]] = []
                 if own:
                     copy = own["copies"] > 1 and len(raw) >= length
@@ -249,7 +282,7 @@ def _cut(batches, length: int, keep_first: bool, carry: list[str]):
                 kept.append(raw[last:])
                 rows.append((len(raw), sum(b - a for a, b in spans), len(spans), b"".join(kept)))
             cols = zip(*rows)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.binary()]))], names=[*carry, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(carry))), *(pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.binary()]))], names=[*carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, most: int = GROUP, carry: list[str] | None = None, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
@@ -260,22 +293,28 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     A byte goes when a string of ``length`` bytes that covers it also starts elsewhere in the table, in its own text or
     another; with ``keep_first`` when such a string starts earlier, texts standing in the order of their smallest key.
     Strings are judged on the input and never cross texts. Null texts count as empty. Repeated rows are copies of each
-    other; with ``keep_first`` those with the smallest key stay. Null keys are one key before all others. ``kept`` may cut a
-    character in two. Groups of over ``most`` anchors are counted by window. Equal texts are collapsed before anchors are compared, so a hot group of copies is one row.
+    other; with ``keep_first`` those with the smallest key stay. Null keys are one key before all others (an integer key of
+    -2^63 counts as null). ``kept`` may cut a character in two (kept_text drops the halves). Groups of over ``most`` anchors
+    are counted by window. Equal texts are collapsed before anchors are compared, so a hot group of copies is one row. Long
+    texts come alone, and a hot window's positions are merged to runs before a text's are gathered. Columns of any name can
+    be carried; an empty table gives an empty one.
     """
     k = min(GRAM, max(1, length // 3))
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
-    kind, name = to_arrow_type(docs.schema[key].dataType), docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    name = docs.schema[key].dataType.simpleString()
+    number = name in ("tinyint", "smallint", "int", "bigint")
+    if number:
+        name, kind, ident = "bigint", pa.int64(), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    else:
+        name, kind, ident = "string", pa.string(), F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
+    source = docs.select(ident.alias("id"), F.col(text).cast("string").alias("text"))
     scan = scratch.table(source.mapInArrow(partial(_scan, length=length, k=k, kind=kind), f"id {name}, t1 bigint, t2 bigint, n_bytes bigint, anchors array<struct<h: bigint, pos: bigint, p0: bigint, p1: bigint>>"))
-    none = F.lit(-(1 << 62)) if name in ("bigint", "int") else F.lit("")
-    scan = scan.withColumn("id", F.coalesce("id", none.cast(name)))
     texts = scan.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
     long = scan.where("size(anchors) > 0").join(texts, ["t1", "t2"]).where("id = rep")
     marks = scratch.table(long.select("id", "t1", "t2", F.inline("anchors")).distinct())
     twice = scratch.table(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))  # a plain table, for AQE as below
     own = marks.join(twice, "h").groupBy("id", "t1", "t2").agg(F.collect_list(F.struct("h", "pos", "p0", "p1", "n")).alias("own"))
-    placed = source.withColumn("id", F.coalesce("id", none.cast(name))).join(own, "id")
+    placed = source.join(own, "id")
     found = placed.mapInArrow(partial(_contexts, length=length, most=most), f"h bigint, id {name}, t1 bigint, t2 bigint, pos bigint, p0 bigint, p1 bigint, ctx binary, windows array<struct<a: bigint, b: bigint>>")
     found = scratch.table(found)
 
@@ -287,18 +326,27 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     again = hot.join(counted, ["a", "b"])
     if keep_first:
         again = again.where(F.struct("id", "t1", "t2", "p") > F.col("least"))
-    again = scratch.table(again.select("id", "t1", "t2", "p"))
-    runs = runs.unionByName(again.select("id", "t1", "t2", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
+    island = F.col("p") - F.row_number().over(W.partitionBy("t1", "t2").orderBy("p"))
+    again = again.select("t1", "t2", "p", island.alias("i")).groupBy("t1", "t2", "i").agg(F.min("p").alias("start"), (F.max("p") + length).alias("end"))
+    runs = runs.select("t1", "t2", "start", "end").unionByName(scratch.table(again.select("t1", "t2", "start", "end")))
     spans = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     told = scan.select("id", "t1", "t2").distinct().join(texts, ["t1", "t2"]).join(spans, ["t1", "t2"], "left").where("copies > 1 or spans is not null")
     told = told.groupBy("id").agg(F.collect_list(F.struct("t1", "t2", "copies", (F.col("id") == F.col("rep")).alias("first"), "spans")).alias("own"))
     carry = [c for c in carry or [key] if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    rows = docs.select(*carry, F.col(text).cast("string").alias("_text"), F.coalesce(F.col(key), none.cast(name)).alias("_id"))
-    rows = rows.join(told.select(F.col("id").alias("_id"), F.col("own").alias("_own")), "_id", "left").drop("_id")
+    text_, id_, own_ = (free(c, carry) for c in ("_text", "_id", "_own"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(text).cast("string").alias(text_), ident.alias(id_))
+    rows = rows.join(told.select(F.col("id").alias(id_), F.col("own").alias(own_)), id_, "left").drop(id_)
     more = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())]
-    return rows.mapInArrow(partial(_cut, length=length, keep_first=keep_first, carry=carry), StructType([docs.schema[c] for c in carry] + more))
+    return rows.mapInArrow(partial(_remove, length=length, keep_first=keep_first, carry=carry), StructType([docs.schema[c] for c in carry] + more))
+
+
+def kept_text(kept: str = "kept") -> Column:
+    """The kept bytes as text; bytes of characters that a cut left incomplete are dropped."""
+    raw = F.col(kept).cast("string")
+    return F.coalesce(F.try_validate_utf8(raw), F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
 
 
 def op5_suffix(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and ``text``: what is left of each text."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_first=False)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), kept_text().alias("text"))
