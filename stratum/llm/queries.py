@@ -31,7 +31,8 @@ FROM k GROUP BY conv_id
     # bytes as hexadecimal digits; the last pattern keeps pairs of digits aligned where a character is incomplete
     "op5_suffix": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT r, unnest(range(0, length(h) // 2 - 399)) AS p, h FROM d WHERE length(h) >= 800), k AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 800)) AS k FROM w),
+b AS (SELECT r, h, unnest(range(0, (length(h) // 2 - 400) // 512 + 1)) AS b FROM d WHERE length(h) >= 800), z AS (SELECT r, b, substr(h, 1024 * b + 1, 1024 + 798) AS z FROM b),
+k AS (SELECT r, 512 * b + unnest(range(0, length(z) // 2 - 399)) AS p, unnest(list_transform(range(0, length(z) // 2 - 399), lambda p: md5_number(substr(z, 2 * p + 1, 800)))) AS k FROM z),
 m AS (SELECT r, p FROM k SEMI JOIN (SELECT k FROM k GROUP BY k HAVING count(*) > 1) USING (k)),
 n AS (SELECT r, p, (p > coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -401) + 400)::INT AS new FROM m),
 g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM n), s AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY r, g),
