@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _ATTR = re.compile(r"""([a-zA-Z_:@][\w:.\-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "object", "canvas", "noframes", "select", "button")}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -61,23 +62,85 @@ def _kind_of(tag: str, attrs: str) -> int:
     return 2 if tag == "header" else 0
 
 
+def tokens(html: str):
+    """(text, closing, tag, attributes) of a page in order; text parts have no tag.
+
+    Comments, declarations and the contents of RAW elements are left out. A tag ends at the first ">" outside its quotes. Where
+    one never ends that way, a quote was left open: from there on tags of the page end at the first ">". What looks like a tag
+    after the last ">" is text. Every character is looked at a bounded number of times, whatever the page.
+    """
+    at, n, last, quoted = 0, len(html), html.rfind(">"), True
+    while at < n:
+        i = html.find("<", at)
+        if i < 0:
+            yield html[at:], False, "", ""
+            return
+        if i > at:
+            yield html[at:i], False, "", ""
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if i > last:
+            yield html[i:], False, "", ""
+            return
+        if html[i + 1 : i + 2] in ("!", "?"):
+            at = html.find(">", i) + 1
+            continue
+        m = _TAG.match(html, i) if quoted else None
+        if m:
+            closing, tag, attrs, at = bool(m[1]), m[2].lower(), m[3], m.end()
+        elif m := _OPEN.match(html, i):
+            quoted, at = False, html.find(">", m.end()) + 1
+            closing, tag, attrs = bool(m[1]), m[2].lower(), html[m.end() : at - 1]
+        else:
+            yield "<", False, "", ""
+            at = i + 1
+            continue
+        yield "", closing, tag, attrs
+        if tag in RAW and not closing:
+            end = RAW[tag].search(html, at)
+            at = end.end() if end else n
+
+
+class Stack:
+    """Open elements, with counts of what they say of themselves, so that no block looks through all of them."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[str, int]] = []
+        self.tags: dict[str, int] = {}
+        self.kinds = {-1: 0, 0: 0, 1: 0, 2: 0}
+
+    def top(self) -> str:
+        return self.held[-1][0] if self.held else ""
+
+    def push(self, tag: str, kind: int) -> None:
+        self.held.append((tag, kind))
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        self.kinds[kind] += 1
+
+    def pop(self) -> str:
+        tag, kind = self.held.pop()
+        self.tags[tag] -= 1
+        self.kinds[kind] -= 1
+        return tag
+
+
 def blocks(html: str) -> list[dict]:
     """The flat text blocks of a page in order: text, words, link density, tag kind, and whether the enclosing elements say away or body."""
-    out, stack, text, linked, in_link = [], [], [], [], False
+    out, stack, text, linked, in_link = [], Stack(), [], [], False
 
     def flush() -> None:
         whole = " ".join(unescape("".join(text)).split())
         if whole:
             words, link_words = len(whole.split()), len(unescape(" ".join(linked)).split())
-            kinds = [k for _, k in stack]
-            inner = next((t for t, _ in reversed(stack) if t in BLOCKS), "body")
-            body = 1 in kinds
+            inner, body = stack.top() or "body", stack.kinds[1] > 0
             out.append({
                 "text": whole,
                 "words": words,
                 "link": min(1.0, link_words / words),
                 "tag": 3 if inner in HEADINGS else 2 if inner in ("p", "blockquote", "pre") else 1 if inner in CELLS else 0,
-                "away": -1 in kinds or (2 in kinds and (not body or inner not in HEADINGS)),
+                "away": stack.kinds[-1] > 0 or (stack.kinds[2] > 0 and (not body or inner not in HEADINGS)),
                 "body": body,
             })
         text.clear()
@@ -88,43 +151,29 @@ def blocks(html: str) -> list[dict]:
         if in_link:
             linked.append(part)
 
-    at, n = 0, len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if not m:
-            put(html[at:])
-            break
-        if m.start() > at:
-            put(html[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
+    for part, closing, tag, attrs in tokens(html):
         if not tag:
-            continue
-        if m[1]:
+            put(part)
+        elif closing:
             if tag == "a":
                 in_link = False
             if tag in BLOCKS:
                 flush()
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
+                if stack.tags.get(tag):
+                    while stack.pop() != tag:
                         pass
-            continue
-        if tag in RAW:
-            end = RAW[tag].search(html, at)
-            at = end.end() if end else n
+        elif tag in RAW or tag == "br":
             put(" ")
-            continue
-        if tag == "a":
+        elif tag == "a":
             in_link = True
-        if tag == "br":
-            put(" ")
-        if tag in BLOCKS:
+        elif tag in BLOCKS:
             flush()
-            if stack and stack[-1][0] == "p":
+            if stack.top() == "p":
                 stack.pop()
-            while stack and stack[-1][0] in CLOSES.get(tag, ()):
+            while stack.top() in CLOSES.get(tag, ()):
                 stack.pop()
-            if tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, _kind_of(tag, m[3])))
+            if tag not in VOID and not attrs.endswith("/"):
+                stack.push(tag, _kind_of(tag, attrs))
     flush()
     return out
 
@@ -284,7 +333,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """All columns of ``pages`` but ``html``, with the page's main text in ``out`` (which replaces a column of that name).
 
-    Every page gives one row, in one pass without a shuffle; a null page or one without main text gives an empty string.
+    Every page gives one row, in one pass without a shuffle; a null page or one without main text gives an empty string, repeated
+    rows give the same text, an empty table gives an empty one. The work grows with the page's length, also for pages that are
+    malformed or nested thousands of elements deep.
     """
     rest = [c for c in pages.columns if c not in (html, out)]
 

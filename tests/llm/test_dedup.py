@@ -264,3 +264,62 @@ def test_pipeline_form_is_the_same_for_all_buckets(spark, monkeypatch):
         got.append({r.doc_id: r.component for r in simhash_dedup.near_duplicates(frame(spark, rows), size=5, words=4).collect()})
     assert got[0] == got[1] == got[2]
     assert 10 <= len(set(got[0].values())) < 200
+
+
+def signed(x):
+    return x - 2**64 if x >> 63 else x
+
+
+@pytest.mark.parametrize(("many", "few", "group"), [(4096, 100_000, 4096), (3, 1, 4)])
+def test_next_documents(spark, monkeypatch, many, few, group):
+    """Sparse, negative, repeated and missing ids, whichever way buckets are split and ordered."""
+    monkeypatch.setattr(fingerprints, "MANY", many)
+    monkeypatch.setattr(fingerprints, "FEW", few)
+    monkeypatch.setattr(fingerprints, "GROUP", group)
+    rng = random.Random(3)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(40)] + list(range(-20, 900, 7)) + [5] * 30 + [None] * 20
+    rows = [(i, f"text {n} of {i}" + " é" * rng.randint(0, 3)) for n, i in enumerate(ids)] + [(77_777, None), (77_778, "")]
+    rng.shuffle(rows)
+    got = fingerprints.with_next(frame(spark, rows), Scratch(spark, "t")).where("guest = 0").select("doc_id", "text", "next_text").collect()
+    h = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    rank = lambda r: (r[0] is not None, r[0] or 0, h(r[1]) >> 52, signed(h(r[1])), r[1])
+    want = sorted(((i, t or "") for i, t in rows), key=rank)
+    assert sorted(((r.doc_id, r.text, r.next_text) for r in got), key=repr) == sorted(((i, t, u) for (i, t), (_, u) in zip(want, want[1:] + want[:1])), key=repr)
+
+
+def test_op10_columns(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(0, 260, 2)] + [(1, None), (301, "é" * 9)]
+    rows += [(401, rows[50][1])]
+    frame(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprints.op10_fingerprints(spark, str(tmp_path)).collect()}
+    rows.sort()
+
+    def bits(t):
+        votes, total = [0] * 128, 0
+        for w in re.split("[\x20\x09-\x0d]+", (t or "").lower()):
+            weight = min(len(w.encode()), 12)
+            total += weight
+            h0 = xxhash.xxh64_intdigest(w.encode(), 42)
+            both = h0 << 64 | xxhash.xxh64_intdigest((7).to_bytes(4, "little"), h0)
+            votes = [v + weight * (both >> (127 - b) & 1) for b, v in enumerate(votes)]
+        return int("".join("1" if 2 * v > total else "0" for v in votes), 2)
+
+    full = {i: bits(t) for i, t in rows}
+    for (i, t), (j, u) in zip(rows, rows[1:] + rows[:1]):
+        t, u = t or "", u or ""
+        edit = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (f"{full[i]:032x}", f"{bits(edit):032x}")
+        assert (r.near_edited, r.near_next) == (1 - (full[i] ^ bits(edit)).bit_count() / 128, 1 - (full[i] ^ full[j]).bit_count() / 128)
+        assert r.n_near == (sum((full[i] ^ f).bit_count() <= 3 for f in full.values()) - 1 if i % 100 == 0 else None)
+
+
+def test_clashing_columns_and_null_strings(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdef ") for _ in range(300))
+    df = spark.createDataFrame([(None, text, "a", "b", "c"), ("", "x" + text, "a", "b", "c"), ("k", text[:60], "a", "b", "c")], "doc_id string, text string, _text string, _own string, _id string")
+    got = suffix_dedup.remove_repeats(df, length=50, carry=df.columns).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or "", len(r.kept), r._text + r._own + r._id) for r in got) == [(False, "", 300, "abc"), (True, "", 1, "abc"), (True, "k", 0, "abc")]
+    assert spark.createDataFrame([(bytearray("aé".encode()[:2]),)], "kept binary").select(suffix_dedup.kept_text()).first()[0] == "a"
