@@ -12,8 +12,10 @@ from .common import Scratch
 
 #: Two counters of 32 bits in one sum: bit i and bit i + 32 of a hash.
 PAIR = 0x0000000100000001
-#: Ids per bucket, and buckets per group, when each document is given the next one.
-IDS, GROUP = 512, 4096
+#: Ids per bucket, buckets per group, and groups that one window may order, when each document is given the next one.
+IDS, GROUP, FEW = 512, 4096, 100_000
+#: Rows of a bucket beyond which it is split, and bits of the text's hash that split the rows of one id.
+MANY, SPLIT = 4096, 12
 NO_ID = -(1 << 54)
 #: Rows of three integers that may be broadcast.
 MAX_BROADCAST = 200_000
@@ -62,26 +64,59 @@ def hex128(hi: str, lo: str) -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(c)), 16, "0") for c in (hi, lo)))
 
 
+def following(buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, next): each of the distinct ``bucket`` numbers with the next larger one; the largest with the smallest.
+
+    Numbers are compared within groups of GROUP; the first numbers of the groups are found their next ones in the same way,
+    until so few groups are left that one small window orders them. 64-bit numbers end after five levels.
+    """
+    near = buckets.withColumn("g", F.expr(f"bucket div {GROUP}"))
+    near = scratch.table(near.withColumn("near", F.lead("bucket").over(W.partitionBy("g").orderBy("bucket"))))
+    firsts = scratch.table(near.groupBy("g").agg(F.min("bucket").alias("first")))
+    if firsts.count() > FEW:
+        after = following(firsts.select(F.col("g").alias("bucket")), scratch).select(F.col("bucket").alias("g"), F.col("next").alias("_g"))
+    else:
+        whole = W.orderBy("g")
+        after = firsts.select("g", F.coalesce(F.lead("g").over(whole), F.min("g").over(whole)).alias("_g"))
+    after = after.join(firsts.select(F.col("g").alias("_g"), "first"), "_g").select("g", F.col("first").alias("far"))
+    return near.join(after, "g").select("bucket", F.coalesce("near", "far").alias("next"))
+
+
 def with_next(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(bucket, rn, guest, key, text, next_text): each row with the text of the next row by key (ties: by text), the last with the first.
+    """(bucket, sub, rn, guest, key, text, next_text): each row with the text of the next row by key, the last with the first.
 
-    Rows are dealt into buckets of IDS ids; a bucket also gets the first row of the next non-empty one as a guest, and keeps
-    it so that later windows over the bucket see it too. No window spans the table: the order of buckets is found within
-    groups of GROUP buckets, and the order of groups last.
+    Rows of one key stand in the order of their text's hash. Rows are dealt into buckets of IDS ids; a bucket of more than
+    MANY rows, as many rows of one id or without one make it, is split by id and by hash, which keeps the order. A bucket also
+    gets the first row of the next one as a guest, and keeps it so that later windows over the bucket see it too.
     """
+    order = F.shiftrightunsigned("h", 64 - SPLIT)
     rows = docs.select(F.coalesce(F.expr(f"`{key}` div {IDS}"), F.lit(NO_ID)).alias("bucket"), key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    heads = rows.groupBy("bucket").agg(F.min(key).alias("head"))
-    grouped = heads.withColumn("g", F.expr(f"bucket div {GROUP}"))
-    near = grouped.withColumn("next_bucket", F.lead("bucket").over(W.partitionBy("g").orderBy("bucket")))
-    firsts = grouped.groupBy("g").agg(F.min("bucket").alias("b"))
-    after = firsts.withColumn("far", F.coalesce(F.lead("b").over(W.orderBy("g")), F.min("b").over(W.partitionBy(F.lit(0))))).select("g", "far")
-    order = near.join(after, "g").select(F.col("bucket").alias("host"), F.coalesce("next_bucket", "far").alias("bucket"))
-    firsts = scratch.table(order.join(heads, "bucket").select("host", "bucket", F.col("head").alias("h")))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    many = scratch.table(docs.groupBy(F.coalesce(F.expr(f"`{key}` div {IDS}"), F.lit(NO_ID)).alias("bucket")).agg(F.count("*").alias("n")).where(f"n > {MANY}").select("bucket"))
+    n = many.count()
+    if n:
+        fine = ((F.coalesce(F.col(key) - F.col("bucket") * IDS, F.lit(0)) + IDS) * (1 << SPLIT) + order).cast("long")
+        split = many.withColumn("_many", F.lit(True))
+        rows = rows.join(F.broadcast(split) if n <= MAX_BROADCAST else split, "bucket", "left").withColumn("sub", F.when(F.col("_many"), fine).otherwise(0)).drop("_many")
+    else:
+        rows = rows.withColumn("sub", F.lit(0).cast("long"))
+    # without a split the first row of a bucket is the one of its smallest id, which needs no text
+    first = F.min(F.struct(key, order.alias("o"), "h")) if n else F.min(F.struct(key))
+    heads = scratch.table(rows.groupBy("bucket", "sub").agg(first.alias("head")))
+    chain = heads.select(F.col("bucket").alias("host"), F.col("sub").alias("hostsub"), F.lead("sub").over(W.partitionBy("bucket").orderBy("sub")).alias("s"))
+    tops = heads.groupBy("bucket").agg(F.min("sub").alias("top"))
+    after = following(tops.select("bucket"), scratch).select(F.col("bucket").alias("host"), F.col("next").alias("bucket")).join(tops, "bucket")
+    order_ = chain.join(after, "host").select("host", "hostsub", F.when(F.col("s").isNotNull(), F.col("host")).otherwise(F.col("bucket")).alias("bucket"), F.coalesce("s", "top").alias("sub"))
+    firsts = scratch.table(order_.join(heads, ["bucket", "sub"]))
     if firsts.count() <= MAX_BROADCAST:  # beyond, both sides of the join are shuffled
         firsts = F.broadcast(firsts)
-    guests = rows.join(firsts, "bucket").where(F.col(key).eqNullSafe(F.col("h")))
-    both = rows.withColumn("guest", F.lit(0)).unionByName(guests.select(F.col("host").alias("bucket"), key, "text", F.lit(1).alias("guest")))
-    w = W.partitionBy("bucket").orderBy("guest", key, "text")
+    met = rows.join(firsts, ["bucket", "sub"]).where(F.col(key).eqNullSafe(F.col(f"head.{key}")))
+    if n:
+        met = met.where(F.col("h") == F.col("head.h"))
+    one = F.min(F.struct(order.alias("o"), "h", key, "text"))
+    guests = met.groupBy("host", "hostsub").agg(one.alias("x")).select(F.col("host").alias("bucket"), F.col("hostsub").alias("sub"), f"x.{key}", "x.text", "x.h", F.lit(1).alias("guest"))
+    both = rows.withColumn("guest", F.lit(0)).unionByName(guests)
+    w = W.partitionBy("bucket", "sub").orderBy("guest", key, order, "h", "text")
     return both.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next_text"))
 
 
@@ -95,19 +130,20 @@ def edited(text: str = "text", other: str = "next_text") -> Column:
 def document_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """(key, n_chars, edited_sha256, hi, lo, ehi, elo, nhi, nlo) for every row: its fingerprint, its edited text's and the next row's.
 
-    Null texts count as empty (fingerprint zero), null keys come first, rows with equal keys follow each other by text, a single
-    row is its own next one. Other columns are left out; an empty table gives an empty one.
+    Null texts count as empty (fingerprint zero), null keys come first, rows with equal keys follow each other by their text's
+    hash, a single row is its own next one. Keys are integers. Other columns are left out; an empty table gives an empty one.
+    Rows that agree in key and text are ordered in one task.
     """
     scratch = scratch or Scratch(docs.sparkSession, "fingerprints")
     rows = with_next(docs, scratch, text, key)
-    rows = rows.select("bucket", "rn", "guest", key, F.char_length("text").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited()).alias("edited"))
+    rows = rows.select("bucket", "sub", "rn", "guest", key, F.char_length("text").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, edited()).alias("edited"))
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
-    keys = ["bucket", "rn", "guest", key, "n_chars", "sha", "which"]
+    keys = ["bucket", "sub", "rn", "guest", key, "n_chars", "sha", "which"]
     pair = F.posexplode(F.array("text", "edited")).alias("which", "s")
-    prints = fingerprint(rows.select("bucket", "rn", "guest", key, "n_chars", "sha", pair), keys, "s")
+    prints = fingerprint(rows.select("bucket", "sub", "rn", "guest", key, "n_chars", "sha", pair), keys, "s")
     pick = lambda c, i: F.max(F.when(F.col("which") == i, F.col(c)))
     one = prints.groupBy(*keys[:-1]).agg(pick("hi", 0).alias("hi"), pick("lo", 0).alias("lo"), pick("hi", 1).alias("ehi"), pick("lo", 1).alias("elo"))
-    w = W.partitionBy("bucket").orderBy("rn")
+    w = W.partitionBy("bucket", "sub").orderBy("rn")
     one = one.select("*", F.lead("hi").over(w).alias("nhi"), F.lead("lo").over(w).alias("nlo"))
     return scratch.table(one.where("guest = 0").select(key, "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "hi", "lo", "ehi", "elo", "nhi", "nlo"))
 
