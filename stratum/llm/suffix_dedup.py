@@ -7,9 +7,10 @@ A suffix array of a whole corpus can't be spread over executors, so it is built
 2. A group's windows are laid under each other with their anchors in one column. From the last column to the first, a
    stable sort by one byte turns the suffix order of column c + 1 into that of column c, together with the common prefixes
    of neighbours: the suffix arrays and LCP arrays of all columns at once.
-3. In each column's suffix order the previous and the next suffix of smaller rank (rank: order of the texts and positions) are
-   the only candidates for the longest previous factor, which is the longer of the two common prefixes. A window with a
-   factor of ``length`` bytes occurs earlier; the suffix that such a factor points to is the earlier match.
+3. In a column's suffix order, neighbours that share ``length`` bytes form runs of equal windows. The longest previous factor
+   of a suffix is its common prefix with the previous or the next suffix of smaller rank (rank: order of the texts and their
+   positions), so it reaches ``length`` just where the run holds a smaller rank: for all of a run but its minimum. Run minima
+   decide this in one pass; the pointers of previous and next smaller ranks give the same rows at seven times the cost.
 
 Groups of over GROUP windows aren't laid out in one task: their windows are hashed and counted by key instead.
 """
@@ -158,40 +159,8 @@ def suffix_orders(group: np.ndarray, data: np.ndarray, starts: int):
             yield c, order, differs
 
 
-def smaller(rank: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, common prefixes) of the nearest position before each one whose rank is smaller, by pointer jumping.
-
-    lcp[i] is the common prefix of i - 1 and i. A position whose common prefix falls below ``least`` is given up (-1, 0).
-    Everything that a pointer leaps over has a larger rank, so jumping from a larger rank to its own pointer loses nothing,
-    and pointers of pointers halve what is left.
-    """
-    at, common = np.arange(len(rank)) - 1, lcp.copy()
-    while True:
-        common[at < 0] = 0
-        at[common < least] = -1
-        todo = np.flatnonzero((at >= 0) & (rank[at] > rank))
-        if not len(todo):
-            common[at < 0] = 0
-            return at, common
-        over = at[todo]
-        common[todo] = np.where(at[over] >= 0, np.minimum(common[todo], common[over]), 0)
-        at[todo] = at[over]
-
-
-def previous_factors(rank: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(length of the longest previous factor, its source) of each suffix in suffix order; both zero and -1 below ``least``."""
-    before, common = smaller(rank, lcp, least)
-    after, common2 = smaller(rank[::-1], np.append(0, lcp[:0:-1]), least)
-    after, common2 = np.where(after < 0, -1, len(rank) - 1 - after)[::-1], common2[::-1]
-    further = common2 > common
-    return np.where(further, common2, common), np.where(further, after, before)
-
-
 def repeats(group: np.ndarray, rank: np.ndarray, p0: np.ndarray, p1: np.ndarray, pos: np.ndarray, ctx: list[bytes], length: int, k: int, keep_first: bool) -> list[tuple[int, int, int]]:
-    """(row, first, last): runs of window starts that have a longest previous factor of ``length``, or, unless the first stays, are the source of one.
-
-    Following sources leads to smaller and smaller ranks, so the first of several equal windows is a source itself.
-    """
+    """(row, first, last): runs of window starts that occur elsewhere, or, to keep the first, that have a longest previous factor of ``length``."""
     w = length - k + 1
     data = np.full((len(ctx), w - 1 + length), 256, np.int16)
     for i, c in enumerate(ctx):
@@ -202,12 +171,12 @@ def repeats(group: np.ndarray, rank: np.ndarray, p0: np.ndarray, p1: np.ndarray,
         linked = differs - c >= length
         if not linked.any():
             continue
-        runs = np.flatnonzero(linked | np.append(linked[1:], False))  # a suffix outside has no factor of this length
-        own = order[runs]
-        factor, source = previous_factors(rank[own], np.where(linked[runs], differs[runs] - c, 0), length)
-        hit[own[factor >= length], c + 1] = True
-        if not keep_first:
-            hit[own[source[factor >= length]], c + 1] = True
+        either = linked | np.append(linked[1:], False)
+        if keep_first:  # all of a run but its smallest rank have a longest previous factor of this length
+            head = np.flatnonzero(~linked)
+            first = np.repeat(np.minimum.reduceat(rank[order], head), np.diff(np.append(head, len(order))))
+            either &= rank[order] > first
+        hit[order[either], c + 1] = True
     column = np.arange(-1, w)
     hit &= (column >= (w - 1 - pos + p0)[:, None]) & (column <= (w - 1 - pos + p1)[:, None])  # beyond its windows a row is filled up
     edge = np.diff(np.concatenate([hit, np.zeros((len(ctx), 1), bool)], 1).astype(np.int8), axis=1)
