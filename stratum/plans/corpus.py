@@ -51,12 +51,18 @@ def provenance_chunks(spark, sf_dir):
     return lines.groupBy(F.col("page").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.sum(F.char_length("line")).alias("chars"))
 
 
-TOKEN_SQL = "list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё-]{2,}'), lambda x: translate(lower(x), 'ё', 'е')), lambda x: x NOT IN ('как', 'для', 'или'))"
+SAID = ["Скважины площадей и ёлками, отчёт: структурами 12-а", "КАК залежью нефтяного месторождения между пластов", "Ёмкость по-новому; Для или горизонтами, его"]
+STOPS = ", ".join(f"'{w.replace('ё', 'е')}'" for w in T.STOPWORDS)
+SPOKEN_SQL = "text || ' ' || CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SAID)) + " END"
+TOKEN_SQL = f"list_filter(list_transform(regexp_extract_all({SPOKEN_SQL}, '[0-9A-Za-zА-Яа-яЁё-]{{2,}}'), lambda x: translate(lower(x), 'ё', 'е')), lambda x: x NOT IN ({STOPS}))"
+STEM_SQL = f"CASE WHEN regexp_full_match(token, '[а-я-]+') THEN regexp_replace(token, '^(.{{4,}}?)({'|'.join(T.ENDINGS)})$', '\\1') ELSE token END"
 
 
-@query(f"WITH t AS (SELECT unnest({TOKEN_SQL}) AS token FROM documents) SELECT token, count(*) AS n FROM t GROUP BY 1")
+@query(f"WITH t AS (SELECT unnest({TOKEN_SQL}) AS token FROM documents) SELECT {STEM_SQL} AS token, count(*) AS n FROM t GROUP BY 1")
 def tokens_stem(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(T.tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """Words of the documents, each followed by a Russian phrase."""
+    spoken = F.concat("text", F.lit(" "), F.get(F.lit(SAID), (F.col("doc_id") % 3).cast("int")))
+    return table(spark, sf_dir, "documents").select(F.explode(T.tokens(spoken)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '1' || p_size || '0,5 ОТ' ELSE 'T'|| '' || 'от ' || p_size || '-01' END AS fixed FROM part")
@@ -114,13 +120,16 @@ BITS = "list_transform(range(1, 64), lambda i: (embedding[i + 1] > embedding[i])
 
 
 @query(f"""
-WITH b AS (SELECT vec_id, {BITS} AS b FROM embeddings)
+WITH v AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, list_concat(embedding[1:8], [9.0::FLOAT], embedding[10:]) FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id, {BITS} AS b FROM v)
 SELECT x.vec_id AS first, y.vec_id AS second, list_sum(list_transform(range(1, 64), lambda i: (x.b[i] <> y.b[i])::INT))::INT AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id
 WHERE list_sum(list_transform(range(1, 64), lambda i: (x.b[i] <> y.b[i])::INT)) <= 2
 """)
 def dhash_pairs(spark, sf_dir):
-    """Pairs of difference hashes with at most 4 % differing bits: of 63 bits in three blocks, such pairs agree on one."""
-    bits = table(spark, sf_dir, "embeddings").select("vec_id", G.rising_bits("embedding").alias("b"))
+    """Pairs of difference hashes with at most 4 % differing bits, among vectors and retouched copies: of 63 bits in three blocks, such pairs agree on one."""
+    items = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    touched = F.concat(F.slice("embedding", 1, 8), F.array(F.lit(9.0).cast("float")), F.slice("embedding", 10, 1000))
+    items = items.unionByName(items.where("vec_id % 2 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), touched.alias("embedding")))
+    bits = items.select("vec_id", G.rising_bits("embedding").alias("b"))
     rows = bits.select("vec_id", "b", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.array_join(F.slice("b", i * 21 + 1, 21).cast("array<string>"), ""))).alias("t", "k"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.vec_id") < F.col("b.vec_id")))

@@ -55,7 +55,7 @@ def verification_queue(spark, sf_dir):
     return evidence.verification_queue(rows, "agent", "status", "e")
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_right, false AS same")
+@query("SELECT *, only_left = 0 AND only_right = 0 AS same FROM (SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_right)")
 def queue_equality(spark, sf_dir):
     return evidence.same_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 

@@ -119,22 +119,33 @@ def admission(spark, sf_dir):
 
 
 EDGES = [("bundle", "rag", "requires"), ("rag", "markdown", "requires"), ("markdown", "ocr", "requires"), ("ocr", "routing", "requires"), ("map", "routing", "requires"), ("qc", "rag", "requires"), ("qc", "map", "observes"), ("export", "qc", "requires"), ("export", "map", "observes")]
-EDGE_SQL = ", ".join(f"('{c}', '{p}')" for c, p, _ in EDGES)
 
 
-@query(f"""
-WITH RECURSIVE e(child, parent) AS (VALUES {EDGE_SQL}), r(node) AS (SELECT 'ocr' UNION SELECT child FROM e JOIN r ON parent = node)
-SELECT node FROM r
-""")
+NODE_SQL = "SELECT p_partkey AS name, CASE p_size % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' WHEN 3 THEN 'blocked' ELSE 'pending' END AS status FROM part"
+EDGE_SQL = "SELECT p_partkey AS child, (p_partkey * 7 + 3) % 200 AS parent, CASE WHEN p_size % 2 = 0 THEN 'requires' ELSE 'observes' END AS kind FROM part UNION ALL SELECT p_partkey, (p_partkey + p_size) % 200, 'observes' FROM part WHERE p_size > 20"
+
+
+def _graph(spark, sf_dir):
+    """Parts as nodes of a graph of dependencies."""
+    part, k, size = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    state = F.when(size % 6 == 0, "completed").when(size % 6 == 1, "skipped").when(size % 6 == 2, "failed").when(size % 6 == 3, "blocked").otherwise("pending")
+    first = part.select(k.alias("child"), ((k * 7 + 3) % 200).alias("parent"), F.when(size % 2 == 0, "requires").otherwise("observes").alias("kind"))
+    return part.select(k.alias("name"), state.alias("status")), first.unionByName(part.where("p_size > 20").select(k.alias("child"), ((k + size) % 200).alias("parent"), F.lit("observes").alias("kind")))
+
+
+@query(f"WITH RECURSIVE e AS ({EDGE_SQL}), r(node) AS (SELECT p_partkey FROM part WHERE p_size = 13 UNION SELECT child FROM e JOIN r ON parent = node) SELECT node FROM r")
 def dag_invalidate(spark, sf_dir):
-    edges = spark.createDataFrame(EDGES, "child string, parent string, kind string")
-    return status.invalidated(spark, edges, spark.createDataFrame([("ocr",)], "node string"), Scratch(spark, "dag"))
+    edges = _graph(spark, sf_dir)[1]
+    return status.invalidated(spark, edges, table(spark, sf_dir, "part").where("p_size = 13").select(F.col("p_partkey").alias("node")), Scratch(spark, "dag"))
 
 
-@query("SELECT name, verdict FROM (VALUES ('rag', 'blocked'), ('map', 'ready'), ('bundle', 'waiting'), ('qc', 'waiting'), ('export', 'waiting')) t(name, verdict)")
+@query(f"""
+WITH n AS ({NODE_SQL}), e AS ({EDGE_SQL}), s AS (SELECT child, kind = 'requires' AS must, p.status AS p FROM e LEFT JOIN n p ON p.name = parent),
+j AS (SELECT child, bool_and(CASE WHEN must THEN p IN ('completed', 'skipped') ELSE p <> 'pending' END) AS ok, bool_or(must AND p IN ('failed', 'blocked')) AS bad FROM s GROUP BY 1)
+SELECT name, CASE WHEN bad THEN 'blocked' WHEN ok THEN 'ready' ELSE 'waiting' END AS verdict FROM n JOIN j ON child = name WHERE status = 'pending'
+""")
 def dag_ready(spark, sf_dir):
-    nodes = [("routing", "completed"), ("ocr", "completed"), ("markdown", "failed"), ("rag", "pending"), ("map", "pending"), ("bundle", "pending"), ("qc", "pending"), ("export", "pending")]
-    return status.ready(spark.createDataFrame(nodes, "name string, status string"), spark.createDataFrame(EDGES, "child string, parent string, kind string"))
+    return status.ready(*_graph(spark, sf_dir))
 
 
 @query("SELECT event_type, event_id, age FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)::INT AS age FROM events) WHERE age <= 300")
