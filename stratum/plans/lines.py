@@ -29,8 +29,8 @@ def skeleton_chains(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT o_orderstatus AS map, o_orderkey AS label, o_totalprice / 1000 AS x, o_custkey % 97 * 4.0 AS y, round(o_orderkey % 14 * 0.1, 1) AS v FROM orders WHERE o_orderkey % 2 = 0),
-w AS (SELECT o_orderstatus AS map, o_orderkey AS vertex, o_custkey % 9 AS line, o_totalprice / 1000 + 1 AS x, o_custkey % 89 * 4.0 AS y FROM orders WHERE o_orderkey % 2 = 1),
+WITH l AS (SELECT o_orderkey // 3000 AS map, o_orderkey AS label, o_totalprice / 1000 AS x, o_custkey % 97 * 4.0 AS y, round(o_orderkey % 14 * 0.1, 1) AS v FROM orders WHERE o_orderkey % 2 = 0),
+w AS (SELECT o_orderkey // 3000 AS map, o_orderkey AS vertex, o_custkey % 9 AS line, o_totalprice / 1000 + 1 AS x, o_custkey % 89 * 4.0 AS y FROM orders WHERE o_orderkey % 2 = 1),
 g AS (SELECT map, v, coalesce((v - lag(v) OVER (PARTITION BY map ORDER BY v) > 0.8)::INT, 0) AS new FROM l), u AS (SELECT map, v, sum(new) OVER (PARTITION BY map ORDER BY v ROWS UNBOUNDED PRECEDING) AS run FROM g),
 a AS (SELECT map, run, count(*) AS n, min(v) AS lo, max(v) AS hi FROM u GROUP BY ALL), b AS (SELECT *, sum(n) OVER (PARTITION BY map) AS total, row_number() OVER (PARTITION BY map ORDER BY n DESC, hi - lo, lo) AS k FROM a),
 z AS (SELECT map, lo - 0.1 AS low, hi + 0.1 AS high FROM b WHERE k = 1 AND total >= 6 AND n >= greatest(3, total * 0.25)),
@@ -40,8 +40,8 @@ t AS (SELECT map, line, sum(c) AS total, count(*) AS kinds FROM c GROUP BY ALL),
 SELECT map, line, v AS value, c AS votes, total::BIGINT AS total, CASE WHEN (kinds = 1 OR c >= 2 * (total - c)) AND line <> 7 THEN 'confident' ELSE 'conflict' END AS verdict FROM o JOIN t USING (map, line) WHERE k = 1
 """)
 def assign_lines(spark, sf_dir):
-    """Labels against lines on three maps: line 0 is a leak, line 4 too short, line 7 under suspicion."""
-    rows, by = table(spark, sf_dir, "orders"), F.col("o_orderstatus").alias("map")
+    """Labels against lines on maps of 3,000 orders: line 0 is a leak, line 4 too short, line 7 under suspicion."""
+    rows, by = table(spark, sf_dir, "orders"), F.expr("o_orderkey div 3000").alias("map")
     x, k = F.col("o_totalprice") / 1000, F.col("o_custkey")
     labels = rows.where("o_orderkey % 2 = 0").select(by, F.col("o_orderkey").alias("label"), x.alias("x"), (k % 97 * 4.0).alias("y"), F.round(F.col("o_orderkey") % 14 * 0.1, 1).alias("value"))
     vertices = rows.where("o_orderkey % 2 = 1").select(by, F.col("o_orderkey").alias("vertex"), (k % 9).alias("line"), (x + 1).alias("x"), (k % 89 * 4.0).alias("y"))
@@ -96,13 +96,13 @@ def similarity(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT c_nationkey % 3 AS map, c_custkey AS k, (c_custkey % 101) * 7.0 AS x, c_acctbal / 20 AS y, (c_custkey * 53 % 180)::DOUBLE AS t FROM customer WHERE c_custkey % 5 <> 0),
+WITH d AS (SELECT c_custkey // 500 AS map, c_custkey AS k, (c_custkey % 101) * 7.0 AS x, c_acctbal / 20 AS y, (c_custkey * 53 % 180)::DOUBLE AS t FROM customer WHERE c_custkey % 5 <> 0),
 p AS (SELECT a.map, a.k AS first, b.k AS second, a.t AS t1, b.t AS t2, degrees(atan2(b.y - a.y, b.x - a.x)) AS l, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM d a JOIN d b ON a.map = b.map AND a.k < b.k),
 g AS (SELECT *, (((t1 - t2) % 180) + 180) % 180 AS a, (((t1 - l) % 180) + 180) % 180 AS b, (((t2 - l) % 180) + 180) % 180 AS c FROM p WHERE distance <= 200)
 SELECT map, first, second, round(distance, 5) AS distance FROM g WHERE greatest(least(a, 180 - a), least(b, 180 - b), least(c, 180 - c)) <= 15
 """)
 def dash_links(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 3).alias("map"), F.col("c_custkey").alias("k"), (F.col("c_custkey") % 101 * 7.0).alias("x"), (F.col("c_acctbal") / 20).alias("y"), (F.col("c_custkey") * 53 % 180).cast("double").alias("angle"), F.when(F.col("c_custkey") % 5 == 0, 0.9).otherwise(0.1).alias("elongation"))
+    rows = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 500").alias("map"), F.col("c_custkey").alias("k"), (F.col("c_custkey") % 101 * 7.0).alias("x"), (F.col("c_acctbal") / 20).alias("y"), (F.col("c_custkey") * 53 % 180).cast("double").alias("angle"), F.when(F.col("c_custkey") % 5 == 0, 0.9).otherwise(0.1).alias("elongation"))
     return lines.dash_links(rows, "map", "k", 200.0).withColumn("distance", F.round("distance", 5))
 
 
