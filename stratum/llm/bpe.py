@@ -11,6 +11,7 @@ import json
 import struct
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,7 @@ class Bpe:
             self.table[i] = raw(token)
         for token, i in self.special.items():
             self.table[i] = token.encode()
+        self.lengths = np.fromiter(map(len, self.table), np.int64, size)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words, self.find = Words(self), regex.compile(PATTERN).findall
         self.merged: dict[str, bytes] = {}
@@ -155,6 +157,14 @@ class Bpe:
             at = m.end()
         return b"".join([*out, self.encode_part(text[at:])])
 
+    def encode_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and n x 2 offsets in code points; special tokens are read as plain text. A token that holds a part of a character spans all of it."""
+        ids = np.frombuffer(self.encode_part(text) if text else b"", "<u4")
+        nth = np.cumsum(np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80)
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        return ids, np.stack([nth[ends - sizes] - 1, nth[ends - 1]], axis=1)
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.table.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 

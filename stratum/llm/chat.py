@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import tokenizer_path
+from .bpe import load, tokenizer_path
 
 HEAD, END = "### ", "\n</turn>\n"
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -81,13 +80,8 @@ def loss_spans(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.nd
     return mask, cuts
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+#: Conversations and code points of formatted text that a worker holds before it hands them on; a longer conversation goes alone.
+ROWS, HELD = 200, 8 << 20
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant", conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", path: str | None = None) -> DataFrame:
@@ -96,35 +90,41 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant", conv: s
     Rows stand in the order of turn, then role and text, so ties give one result; null roles and texts count as empty, null
     turns come first. Repeated rows are repeated turns. loss_start and loss_end are the spans of ``formatted`` under the mask,
     in code points. A null conversation id is a conversation of its own; other columns are left out; an empty table gives
-    an empty one. Rows are sorted within partitions and read as a stream: memory holds one conversation.
+    an empty one. Rows are sorted within partitions and read as a stream: memory holds one conversation, or HELD code points.
     """
     kind = to_arrow_type(turns.schema[conv].dataType)
     names = [conv, "n_turns", "formatted", "ids", "token_mask", "loss_start", "loss_end"]
-    types = [kind, pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def one(coder, key, rows):
         formatted, spans = render(rows)
-        enc = coder.encode(formatted, add_special_tokens=False)
-        mask, cuts = loss_spans(np.array(enc.offsets, np.int64).reshape(-1, 2), [(a, b) for r, a, b in spans if r == loss_role])
-        return key, len(rows), formatted, enc.ids, mask.tolist(), [c[2] for c in cuts], [c[3] for c in cuts]
+        ids, offsets = coder.encode_offsets(formatted)
+        mask, cuts = loss_spans(offsets, [(a, b) for r, a, b in spans if r == loss_role])
+        cuts = np.array(cuts, np.int64).reshape(-1, 4)
+        return key, len(rows), formatted, ids.astype(np.int32), mask, cuts[:, 2], cuts[:, 3]
+
+    def lists(parts):
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+
+    def batch(done):
+        keys, sizes, texts, *arrays = zip(*done)
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(sizes, pa.int64()), pa.array(texts, pa.string()), *map(lists, arrays)], names=names)
 
     def run(batches):
-        coder, done, key, rows = _tokenizer(path or tokenizer_path()), [], None, []
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=names)
+        coder, done, held, key, rows = load(path or tokenizer_path()), [], 0, None, []
         for b in batches:
             for k, r, t in zip(*(c.to_pylist() for c in b.columns)):
                 if rows and k != key:
                     done.append(one(coder, key, rows))
-                    rows = []
-                    if len(done) >= 200:
-                        yield batch()
-                        done.clear()
+                    held, rows = held + len(done[-1][2]), []
+                    if len(done) >= ROWS or held > HELD:
+                        yield batch(done)
+                        done, held = [], 0
                 key = k
                 rows.append((r or "", t or ""))
         if rows:
             done.append(one(coder, key, rows))
         if done:
-            yield batch()
+            yield batch(done)
 
     rows = turns.select(conv, turn, F.col(role).cast("string").alias(role), F.col(text).cast("string").alias(text))
     rows = rows.repartition(conv).sortWithinPartitions(conv, turn, role, text).select(conv, role, text)

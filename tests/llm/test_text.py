@@ -111,6 +111,27 @@ def test_chat_mask_is_whole_tokens(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_offsets_equal_the_library():
+    import tokenizers
+
+    path = bpe.tokenizer_path()
+    library, own = tokenizers.Tokenizer.from_file(path), bpe.load(path)
+    library.encode_special_tokens = True
+    rng = random.Random(5)
+    special = [*own.special, "é😀", "\u0301", "  ", "\n\n", "don't", " 日本語", "1234", "</turn>", "x" * 700]
+    for text in ["", " ", "a", *("".join(rng.choice([*special, *"ab é\n\t#"]) for _ in range(rng.randint(1, 60))) for _ in range(300))]:
+        want = library.encode(text, add_special_tokens=False)
+        ids, offsets = own.encode_offsets(text)
+        assert ids.tolist() == want.ids and offsets.tolist() == [list(o) for o in want.offsets], text
+
+
+def test_chat_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(chat, "HELD", 1000)
+    rows = [(c, t, "assistant", "long é text " * (40_000 if c == 1 else 30)) for c in range(40) for t in range(3)]
+    got = chat.digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert len(got) == 40 and all(r.loss_chars == 3 * len(rows[3 * r.conv_id][3]) for r in got)
+
+
 def test_loss_spans():
     offsets = np.array([[0, 2], [2, 5], [5, 5], [5, 9], [9, 10]])
     mask, cuts = chat.loss_spans(offsets, [(1, 2), (3, 9)])
