@@ -26,33 +26,47 @@ def contexts(chunks: DataFrame, agent: str, ident: str, content: str, order: str
     return out.select(agent, F.array_join(F.transform("x", lambda i: i.t), "\n\n").alias("context"), allowed.alias("allowed"))
 
 
-def run_agents(asked: DataFrame, agents: DataFrame, retrieve: Callable[[DataFrame], DataFrame], answer: Callable[[DataFrame], DataFrame], agent: str = "agent") -> DataFrame:
-    """(agent, status, reply, n_items, invalid, missing): every agent's reply to its chunks, checked against their references.
+def run_agents(asked: DataFrame, agents: DataFrame, retrieve: Callable[[DataFrame], DataFrame], answer: Callable[[DataFrame], DataFrame], agent: str = "agent", saved: DataFrame | None = None, model: str = "") -> DataFrame:
+    """(agent, status, reply, n_items, invalid, missing, key, cached): every agent's reply to its chunks, checked against their references.
 
     ``retrieve`` maps (agent, query) to chunks (agent, id, content, order), ``answer`` maps (agent, context) to (agent, reply).
     Agents without a chunk fail; replies that aren't an object, name a reference that no chunk has, or leave an item without
-    evidence go to review.
+    evidence go to review. ``key`` is the hash of model, agent and context; agents whose key is in ``saved`` (key, reply; the
+    least reply of several) take that reply and aren't asked.
     """
     context = contexts(retrieve(asked), agent, "id", "content", "order")
-    replies = answer(context.select(agent, "context"))
-    value = replies.select(agent, "reply", T.json_object("reply").alias("v"))
+    context = context.withColumn("key", F.sha2(F.concat_ws("\n", F.lit(model), F.col(agent).cast("string"), "context"), 256))
+    if saved is None:
+        replies = answer(context.select(agent, "context")).select(agent, "reply", F.lit(False).alias("cached"))
+    else:
+        known = saved.where("reply is not null").groupBy("key").agg(F.min("reply").alias("reply"))
+        replies = answer(context.join(known, "key", "left_anti").select(agent, "context")).select(agent, "reply", F.lit(False).alias("cached"))
+        replies = replies.unionByName(context.join(known, "key").select(agent, "reply", F.lit(True).alias("cached")))
+    value = replies.select(agent, "reply", "cached", T.json_object("reply").alias("v"))
     items = F.coalesce(F.try_variant_get("v", "$.items", "array<struct<evidence: array<string>>>"), F.array().cast("array<struct<evidence: array<string>>>"))
     refs = F.array_distinct(F.flatten(F.transform("items", lambda i: F.coalesce(i.evidence, F.array().cast("array<string>")))))
-    joined = agents.select(agent).distinct().join(context.select(agent, "allowed"), agent, "left").join(value.withColumn("items", items), agent, "left")
+    joined = agents.select(agent).distinct().join(context.select(agent, "allowed", "key"), agent, "left").join(value.withColumn("items", items), agent, "left")
     out = joined.withColumn("invalid", F.array_sort(F.array_except(refs, F.coalesce("allowed", F.array().cast("array<string>")))))
     bare = F.size(F.filter("items", lambda i: F.coalesce(F.size(i.evidence), F.lit(0)) <= 0))
     verdict = F.when(F.col("allowed").isNull(), "failed").when(F.col("v").isNull() | (F.size("invalid") > 0) | (bare > 0), "review").otherwise("completed")
-    return out.select(agent, verdict.alias("status"), "reply", F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), "invalid", bare.alias("missing"))
+    return out.select(agent, verdict.alias("status"), "reply", F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), "invalid", bare.alias("missing"), "key", F.coalesce("cached", F.lit(False)).alias("cached"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, question: str, answer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, question: str, answer: Callable[[DataFrame], DataFrame] | None = None, saved: DataFrame | None = None) -> DataFrame:
     """(question, answer, mode, cited, invalid_citations, qc) for each question of proper length.
 
     chunks: question, rank, evidence (array of page ids), content. Without a model the mode is retrieval_only. An answer with
     citations that no chunk has is asked for once more; if it is still wrong, excerpts with their pages take its place.
-    Questions without chunks get an empty answer.
+    Questions without chunks get an empty answer. ``saved`` holds rows of an earlier call: with a model, a question of the same
+    text (blanks at the ends and case aside) that a model answered then takes that row, the least of several, as mode cached.
     """
     asked = questions.where(retrieval.question_ok(question)).select(question).distinct()
+    if answer is not None and saved is not None:
+        told = F.struct("answer", "cited", "invalid_citations", "qc")
+        known = saved.where("mode not in ('no_chunks', 'retrieval_only')").groupBy(F.lower(F.trim(question)).alias("_k")).agg(F.min(told).alias("_a"))
+        asked = asked.withColumn("_k", F.lower(F.trim(question)))
+        cached = asked.join(known, "_k").select(question, "_a.answer", F.lit("cached").alias("mode"), "_a.cited", "_a.invalid_citations", "_a.qc")
+        return ask(asked.join(known, "_k", "left_anti").select(question), chunks, question, answer).unionByName(cached)
     page = F.transform(F.flatten(F.collect_list("evidence")), lambda e: F.regexp_extract(e, r"(\d+)$", 1).try_cast("int"))
     valid = chunks.groupBy(question).agg(F.array_sort(F.array_distinct(F.filter(page, lambda p: p.isNotNull()))).alias("valid"))
     base = asked.join(valid, question, "left")

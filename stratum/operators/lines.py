@@ -225,3 +225,47 @@ def inside_border(pixels: DataFrame, sizes: DataFrame, by: str, margin: int) ->
     out = pixels.join(sizes, by)
     return out.where(F.col("row").between(margin, F.col("height") - 1 - margin) & F.col("col").between(margin, F.col("width") - 1 - margin)).select(pixels.columns)
 
+
+def profile_labels(readings: DataFrame, inventory: DataFrame, by: str, text: str, profile: str, scale: float, least: float = 0.8) -> DataFrame:
+    """Readings (by, text, score, polygon) whose digits name a profile of the inventory, with its id, the middle (x, y) of their scaled polygon and the angle of its first edge.
+
+    Readings under the least score, or whose polygon hasn't four corners, name none; ids are text and equal digit by digit.
+    """
+    p = F.col("polygon")
+    mean = lambda i: F.aggregate(p, F.lit(0.0), lambda s, q: s + q[i]) / 4 * scale
+    edge = lambda i: p[1][i] - p[0][i]
+    named = readings.where((F.col("score") >= least) & (F.size("polygon") == 4)).withColumn(profile, F.regexp_replace(text, r"\P{Nd}", ""))
+    known = inventory.select(F.col(profile).cast("string").alias(profile)).distinct()
+    angle = F.pmod(F.degrees(F.atan2(edge(1), edge(0))), F.lit(180.0))
+    return named.join(known, profile).select(*(c for c in readings.columns if c != "polygon"), profile, mean(0).alias("x"), mean(1).alias("y"), angle.alias("angle"))
+
+
+def consolidate(segments: DataFrame, by: str, key: str, least: float, scratch: Scratch, angle: float = 3.0, offset: float = 24.0, gap: float = 180.0) -> DataFrame:
+    """(by, line, support, x, y, x1, y1, angle, length): lines through the segments (by, key, x1, y1, x2, y2) that continue each other.
+
+    Segments of at least the least length are linked when their angles, their distances from the origin and the gap along the
+    one with the smaller key stay within the limits; they meet in cells of angle and distance. Each component's ends are fitted by
+    their main axis, and ``line`` is its smallest key. Keys are unique over maps.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    rows = segments.select(by, F.col(key).alias("k"), "x1", "y1", "x2", "y2", F.hypot(dx, dy).alias("len"), F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(180.0)).alias("t")).where(F.col("len") >= least)
+    c, s, turns = F.cos(F.radians("t")), F.sin(F.radians("t")), max(int(180 // angle), 1)
+    rows = rows.withColumn("rho", (c * (F.col("y1") + F.col("y2")) - s * (F.col("x1") + F.col("x2"))) / 2)
+    cells = rows.withColumns({"ct": F.least(F.floor(F.col("t") * turns / 180), F.lit(turns - 1)), "cr": F.floor(F.col("rho") / offset)})
+    near = lambda n, w: F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: w(F.col(n) + d))))
+    spread = cells.withColumn("ct", near("ct", lambda v: F.pmod(v, F.lit(turns)))).withColumn("cr", near("cr", lambda v: v))
+    a, b = spread.alias("a"), cells.alias("b")
+    met = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.ct") == F.col("b.ct")) & (F.col("a.cr") == F.col("b.cr")) & (F.col("a.k") < F.col("b.k")))
+    along = lambda p, i: (F.col(f"{p}.x{i}") * (F.col("a.x2") - F.col("a.x1")) + F.col(f"{p}.y{i}") * (F.col("a.y2") - F.col("a.y1"))) / F.col("a.len")
+    lo, hi = (lambda p: F.least(along(p, 1), along(p, 2))), (lambda p: F.greatest(along(p, 1), along(p, 2)))
+    linked = (G.angle_between(F.col("a.t"), F.col("b.t")) <= angle) & (F.abs(F.col("a.rho") - F.col("b.rho")) <= offset) & (F.greatest(lo("a"), lo("b")) <= F.least(hi("a"), hi("b")) + gap)
+    stars = components(met.where(linked).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")), scratch)
+    named = rows.join(stars, rows.k == stars.node, "left").withColumn("line", F.coalesce("root", "k"))
+    ends = named.select(by, "line", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select(by, "line", "p.x", "p.y")
+    axis = main_axis(ends, [by, "line"]).select(by, "line", F.col("x").alias("mx"), F.col("y").alias("my"), "angle", (F.col("n") / 2).cast("bigint").alias("support"))
+    u, v = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
+    at = u * (F.col("x") - F.col("mx")) + v * (F.col("y") - F.col("my"))
+    out = ends.join(axis, [by, "line"]).groupBy(by, "line", "mx", "my", "angle", "support").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where(F.col("hi") - F.col("lo") >= least)
+    point = lambda d: (F.col("mx") + u * F.col(d), F.col("my") + v * F.col(d))
+    (x0, y0), (x1, y1) = point("lo"), point("hi")
+    return out.select(by, "line", "support", x0.alias("x"), y0.alias("y"), x1.alias("x1"), y1.alias("y1"), "angle", (F.col("hi") - F.col("lo")).alias("length"))

@@ -35,15 +35,20 @@ def vector_topk(items: DataFrame, queries: DataFrame, key: str, vector: str, k:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), key))).where(F.col("rank") <= k)
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, question: str, tokens: str, vector: str, key: str, k: int = 8, top: int = 64, threshold: float = 0.1, vector_weight: float = 0.3) -> DataFrame:
+def hybrid(chunks: DataFrame, questions: DataFrame, question: str, tokens: str, vector: str, key: str, k: int = 8, top: int = 64, threshold: float = 0.1, vector_weight: float = 0.3, document: str | None = None, documents: str | None = None) -> DataFrame:
     """(question, key, similarity, rank): token overlap and cosine, weighted; candidates share a token with the question.
 
     The share of the question's distinct tokens is an equi-join on tokens. Of the best ``top`` by that share, those over
-    the threshold are ranked by the weighted sum.
+    the threshold are ranked by the weighted sum. ``documents`` names an array column of the questions: only chunks whose
+    ``document`` is in it count; an empty or null one searches all.
     """
-    q = questions.select(question, F.explode(F.array_distinct(F.col(tokens))).alias("t"), F.size(F.array_distinct(F.col(tokens))).alias("n"))
-    c = chunks.select(key, F.explode(F.array_distinct(F.col(tokens))).alias("t"))
-    shared = q.join(c, "t").groupBy(question, key).agg((F.count("*") / F.max("n")).alias("words"))
+    scope, own = ([F.col(documents).alias("_scope")], [F.col(document).alias("_doc")]) if documents else ([], [])
+    q = questions.select(question, *scope, F.explode(F.array_distinct(F.col(tokens))).alias("t"), F.size(F.array_distinct(F.col(tokens))).alias("n"))
+    c = chunks.select(key, *own, F.explode(F.array_distinct(F.col(tokens))).alias("t"))
+    met = q.join(c, "t")
+    if documents:
+        met = met.where((F.coalesce(F.size("_scope"), F.lit(0)) <= 0) | F.array_contains("_scope", F.col("_doc")))
+    shared = met.groupBy(question, key).agg((F.count("*") / F.max("n")).alias("words"))
     pre = shared.withColumn("r", F.row_number().over(W.partitionBy(question).orderBy(F.desc("words"), key))).where(F.col("r") <= top)
     both = pre.join(questions.select(question, F.col(vector).alias("qv")), question).join(chunks.select(key, F.col(vector).alias("cv")), key)
     score = F.round(vector_weight * G.cosine("qv", "cv") + (1 - vector_weight) * F.col("words"), 4)

@@ -171,14 +171,29 @@ def cps3_lines(grid: DataFrame, order: str = "n", by: list[str] | None = None) -
     return rows.groupBy(*by, order).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x.v), " ").alias("line"))
 
 
-def cps3_header(grid: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """One row of header lines from the grid's limits."""
-    s = grid.agg(*(f(c).alias(f"{n}{c}") for c in (x, y, "z") for n, f in (("lo_", F.min), ("hi_", F.max))), F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols"))
+def cps3_header(grid: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None) -> DataFrame:
+    """One row of header lines per map (``by``) from the grid's limits."""
+    by = by or []
+    s = grid.groupBy(*by).agg(*(f(c).alias(f"{n}{c}") for c in (x, y, "z") for n, f in (("lo_", F.min), ("hi_", F.max))), F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols"))
     d = lambda c, n: (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / F.greatest(F.col(n) - 1, F.lit(1))
     limits = F.format_string("FSLIMI %.6f %.6f %.6f %.6f %.6f %.6f", *(F.col(f"{n}{c}").cast("double") for c in (x, y, "z") for n in ("lo_", "hi_")))
-    return s.select(F.array(F.lit("FSASCI 0 1 COMPUTED 0 1E30 0"), F.lit("FSATTR 0 0"), limits, F.format_string("FSNROW %d %d", "rows", "cols"), F.format_string("FSXINC %.6f %.6f", d(x, "cols"), d(y, "rows"))).alias("lines"))
+    return s.select(*by, F.array(F.lit("FSASCI 0 1 COMPUTED 0 1E30 0"), F.lit("FSATTR 0 0"), limits, F.format_string("FSNROW %d %d", "rows", "cols"), F.format_string("FSXINC %.6f %.6f", d(x, "cols"), d(y, "rows"))).alias("lines"))
+
+
+def xyz_lines(grid: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, row, col, line): filled cells with three decimals."""
+    return grid.where("z is not null").select(*(by or []), "row", "col", F.format_string("%.3f %.3f %.3f", F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")).alias("line"))
 
 
-def xyz_lines(grid: DataFrame) -> DataFrame:
-    """(row, col, line): filled cells with three decimals."""
-    return grid.where("z is not null").select("row", "col", F.format_string("%.3f %.3f %.3f", F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")).alias("line"))
+def local_exports(grid: DataFrame, by: str) -> DataFrame:
+    """(by, file, n, line): the lines of each map's exchange files in pixel coordinates, in the order of n: cps3, xyz and json (one line that describes the map).
+
+    A map that isn't georeferenced says so; all its cells count, filled or not.
+    """
+    head = cps3_header(grid, by=[by]).select(by, F.posexplode("lines").alias("n", "line"))
+    body = cps3_lines(grid, by=[by]).select(by, (F.col("n") + 5).alias("n"), "line")
+    xyz = xyz_lines(grid, [by]).select(by, F.lit("xyz").alias("file"), (F.col("row").cast("bigint") * (1 << 31) + F.col("col")).alias("n"), "line")
+    about = F.to_json(F.struct(F.lit("local_pixel_coordinates").alias("coordinate_system"), F.lit(False).alias("georeferenced"), F.lit("interpolation_between_traced_contours").alias("grid_role"), "cells", "filled"))
+    meta = grid.groupBy(by).agg(F.count("*").alias("cells"), F.count("z").alias("filled")).select(by, F.lit("json").alias("file"), F.lit(0).cast("bigint").alias("n"), about.alias("line"))
+    cps3 = head.select(by, F.lit("cps3").alias("file"), F.col("n").cast("bigint").alias("n"), "line").unionByName(body.select(by, F.lit("cps3").alias("file"), F.col("n").cast("bigint").alias("n"), "line"))
+    return cps3.unionByName(xyz).unionByName(meta)

@@ -175,3 +175,22 @@ def greedy_dedup(spark, sf_dir):
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", G.rising_bits("embedding").alias("bits"))
     return keep_first(rows, "label", "vec_id", "bits", 0.4)
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[0-9a-zа-я-]{2,}')) AS t FROM conversations WHERE role = 'user'), q AS (SELECT conv_id, turn, unnest(t) AS t, len(t) AS n FROM t),
+c AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[0-9a-zа-я-]{2,}'))) AS t FROM benchmark),
+s AS (SELECT conv_id, turn, item_id, count(*) / max(n) AS w FROM q JOIN c USING (t) WHERE conv_id % 4 = 0 OR item_id % 5 = conv_id % 5 OR item_id % 5 = (conv_id + 2) % 5 GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY w DESC, item_id) AS r FROM s),
+f AS (SELECT conv_id, turn, item_id, round(0.3 * (1 + conv_id % 3 * (item_id % 4 + 0.3)) / sqrt(1 + (conv_id % 3) ** 2) / sqrt(1 + (item_id % 4 + 0.3) ** 2) + 0.7 * w, 4) AS similarity FROM p WHERE r <= 64)
+SELECT conv_id, turn, item_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY similarity DESC, item_id) AS rank FROM f WHERE similarity >= 0.1) WHERE rank <= 8
+""")
+def scoped_search(spark, sf_dir):
+    """Questions that search two of five documents, or all of them where no document is named (every fourth conversation)."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([0-9a-zа-я-]{2,})"), F.lit(1))
+    vector = lambda x: F.array(F.lit(1.0), x.cast("double"))
+    c = F.col("conv_id")
+    scope = F.when(c % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(c % 5, (c + 2) % 5))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("q"), words("text").alias("t"), vector(c % 3).alias("v"), scope.alias("scope"))
+    chunks = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("t"), vector(F.col("item_id") % 4 + 0.3).alias("v"), (F.col("item_id") % 5).alias("doc"))
+    out = retrieval.hybrid(chunks, asked, "q", "t", "v", "item_id", document="doc", documents="scope")
+    return out.select("q.conv_id", "q.turn", "item_id", "similarity")

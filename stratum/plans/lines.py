@@ -162,3 +162,53 @@ def reading_agreement(spark, sf_dir):
     a = point("customer", "c_custkey", "c_nationkey", "c_acctbal", F.col("c_custkey"))
     b = point("supplier", "s_suppkey", "s_nationkey", "s_acctbal", -F.col("s_suppkey") - 1)
     return spatial.agreement(a, b, "k", "v", 20.0, ["map"]).withColumn("rate", F.round("rate", 6))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_orderkey // 3000 AS map, 'PR ' || (o_custkey % 40) || ' m' AS text, (o_orderkey % 11) / 10.0 AS score, o_totalprice / 100 AS x, o_custkey * 1.0 AS y, o_custkey % 7 - 3.0 AS dy FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT map, o_orderkey, n_nationkey::VARCHAR AS profile_id, round((x + 5) / 2, 5) AS x, round((y + dy / 2 + 2) / 2, 5) AS y, round(CASE WHEN dy < 0 THEN degrees(atan2(dy, 10)) + 180 ELSE degrees(atan2(dy, 10)) END, 5) AS angle
+FROM r JOIN nation ON regexp_replace(text, '[^0-9]', '', 'g') = n_nationkey::VARCHAR WHERE score >= 0.8
+""")
+def profile_labels(spark, sf_dir):
+    """Orders as readings of profile names, every 13th without a fourth corner, against the nations as inventory."""
+    x, y, dy = F.col("o_totalprice") / 100, F.col("o_custkey") * 1.0, F.col("o_custkey") % 7 - 3.0
+    corners = [F.array(x, y), F.array(x + 10, y + dy), F.array(x + 10, y + dy + 4), F.array(x, y + 4)]
+    polygon = F.when(F.col("o_orderkey") % 13 == 0, F.array(*corners[:3])).otherwise(F.array(*corners))
+    readings = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 3000").alias("map"), "o_orderkey", F.concat(F.lit("PR "), (F.col("o_custkey") % 40).cast("string"), F.lit(" m")).alias("text"), (F.col("o_orderkey") % 11 / 10).alias("score"), polygon.alias("polygon"))
+    out = lines.profile_labels(readings, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("profile_id")), "map", "text", "profile_id", 0.5)
+    return out.select("map", "o_orderkey", "profile_id", *(F.round(c, 5).alias(c) for c in ("x", "y", "angle")))
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT c_custkey AS k, c_nationkey AS map, (c_custkey * 37 % 400) * 1.0::DOUBLE AS x1, (c_custkey * 91 % 400) * 1.0::DOUBLE AS y1, 60.0::DOUBLE + c_custkey % 7 * 20 AS len, (c_custkey * 7 % 12 * 15.0 + c_custkey % 5 * 0.9)::DOUBLE AS t FROM customer),
+h AS (SELECT *, cos(radians(t)) AS c, sin(radians(t)) AS n, x1 + len * cos(radians(t)) AS x2, y1 + len * sin(radians(t)) AS y2, cos(radians(t)) * y1 - sin(radians(t)) * x1 AS rho FROM s WHERE len >= 90),
+p AS (SELECT a.k AS a, b.k AS b FROM h a JOIN h b ON a.map = b.map AND a.k < b.k AND least(abs(a.t - b.t) % 180, 180 - abs(a.t - b.t) % 180) <= 3 AND abs(a.rho - b.rho) <= 24
+  AND greatest(a.x1 * a.c + a.y1 * a.n, least(b.x1 * a.c + b.y1 * a.n, b.x2 * a.c + b.y2 * a.n)) <= least(a.x2 * a.c + a.y2 * a.n, greatest(b.x1 * a.c + b.y1 * a.n, b.x2 * a.c + b.y2 * a.n)) + 180),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(a, b) AS (SELECT k, k FROM h UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT a AS k, min(b) AS line FROM r GROUP BY 1),
+q AS (SELECT map, line, x1 AS x, y1 AS y FROM h JOIN m USING (k) UNION ALL SELECT map, line, x2, y2 FROM h JOIN m USING (k)),
+z AS (SELECT map, line, count(*) // 2 AS support, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS th FROM q GROUP BY 1, 2)
+SELECT map, line, support, round(max((x - mx) * cos(th) + (y - my) * sin(th)) - min((x - mx) * cos(th) + (y - my) * sin(th)), 4) AS length FROM q JOIN z USING (map, line) GROUP BY 1, 2, 3
+""")
+def consolidated_lines(spark, sf_dir):
+    k = F.col("c_custkey")
+    t, length = F.radians(k * 7 % 12 * 15.0 + k % 5 * 0.9), F.lit(60.0) + k % 7 * 20
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("map"), k.alias("k"), (k * 37 % 400 * 1.0).alias("x1"), (k * 91 % 400 * 1.0).alias("y1"), t.alias("t"), length.alias("len"))
+    rows = rows.select("map", "k", "x1", "y1", (F.col("x1") + F.col("len") * F.cos("t")).alias("x2"), (F.col("y1") + F.col("len") * F.sin("t")).alias("y2"))
+    return lines.consolidate(rows, "map", "k", 90.0, Scratch(spark, "segments")).select("map", "line", "support", F.round("length", 4).alias("length"))
+
+
+@query("""
+WITH g AS (SELECT l_returnflag AS map, l_quantity::BIGINT AS row, round(l_discount * 100)::BIGINT AS col, CASE WHEN (l_quantity::BIGINT + round(l_discount * 100)::BIGINT) % 7 > 0 THEN max(round(l_extendedprice)) END AS z FROM lineitem GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY map ORDER BY col, row DESC) - 1 AS k FROM g), s AS (SELECT map, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1, min(z) AS z0, max(z) AS z1, count(DISTINCT row) AS nr, count(DISTINCT col) AS nc, count(*) AS n, count(z) AS f FROM g GROUP BY 1),
+o AS (SELECT map, 'cps3' AS file, k // 5 + 5 AS n, string_agg(printf('%.8E', coalesce(z, 1e30)), ' ' ORDER BY k) AS line FROM k GROUP BY 1, k // 5
+UNION ALL SELECT map, 'cps3', unnest([0, 1, 2, 3, 4]), unnest(['FSASCI 0 1 COMPUTED 0 1E30 0', 'FSATTR 0 0', printf('FSLIMI %.6f %.6f %.6f %.6f %.6f %.6f', 2.0 * c0, 2.0 * c1, 4.0 * r0, 4.0 * r1, z0, z1), printf('FSNROW %d %d', nr, nc), printf('FSXINC %.6f %.6f', 2.0 * (c1 - c0) / greatest(nc - 1, 1), 4.0 * (r1 - r0) / greatest(nr - 1, 1))]) FROM s
+UNION ALL SELECT map, 'xyz', row * 2147483648 + col, printf('%.3f %.3f %.3f', 2.0 * col, 4.0 * row, z) FROM g WHERE z IS NOT NULL
+UNION ALL SELECT map, 'json', 0, '{"coordinate_system":"local_pixel_coordinates","georeferenced":false,"grid_role":"interpolation_between_traced_contours","cells":' || n || ',"filled":' || f || '}' FROM s)
+SELECT * FROM o
+""")
+def local_exports(spark, sf_dir):
+    """Every line of every export file of three maps."""
+    row, col = F.col("l_quantity").cast("bigint"), F.round(F.col("l_discount") * 100).cast("bigint")
+    grid = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("map"), row.alias("row"), col.alias("col")).agg(F.max(F.round("l_extendedprice")).alias("z"))
+    grid = grid.select("map", "row", "col", (F.col("col") * 2.0).alias("x"), (F.col("row") * 4.0).alias("y"), F.when((F.col("row") + F.col("col")) % 7 > 0, F.col("z")).alias("z"))
+    return surface.local_exports(grid, "map")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,6 +48,24 @@ def ocr_lines(raw: DataFrame, text: str, key: str) -> DataFrame:
     return v.select(key, F.posexplode(lines).alias("line_no", "x")).select(key, "line_no", "x.text", "x.score", "x.polygon")
 
 
+def npz_grids(spark: SparkSession, root: str) -> DataFrame:
+    """(path, row, col, x, y, z) of the grids in NumPy archives with the arrays x (columns), y (rows) and z; cells that are not a number are null."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(root).select("path", "content")
+
+    def cells(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                with np.load(io.BytesIO(content.as_buffer())) as f:
+                    x, y, z = (np.asarray(f[n], np.float64) for n in "xyz")
+                step = max(1, (1 << 18) // max(len(x), 1))
+                for top in range(0, len(y), step):
+                    rows, cols = np.meshgrid(np.arange(top, min(top + step, len(y))), np.arange(len(x)), indexing="ij")
+                    r, c = rows.ravel(), cols.ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(r)), pa.array(r, pa.int64()), pa.array(c, pa.int64()), pa.array(x[c]), pa.array(y[r]), pa.array(z[r, c], from_pandas=True)], names=["path", "row", "col", "x", "y", "z"])
+
+    return files.mapInArrow(cells, "path string, row bigint, col bigint, x double, y double, z double")
+
+
 def geojson_features(raw: DataFrame, text: str, key: str) -> DataFrame:
     """(key, feature, geom_type, coordinates, properties) of feature collections; coordinates and properties as JSON text."""
     schema = "struct<features: array<struct<geometry: struct<type: string, coordinates: string>, properties: string>>>"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,21 @@ def write_cps3(grid: DataFrame, path: str) -> None:
     head.unionByName(body).repartition(1).sortWithinPartitions("n").select("line").write.mode("overwrite").text(path)
 
 
+def npz_files(grid: DataFrame, by: str) -> DataFrame:
+    """(by, content): each map's grid (by, row, col, x, y, z) as a NumPy archive of x, y and z; missing cells are not a number. A map's cell limit bounds a task."""
+
+    def one(cells: pd.DataFrame) -> pd.DataFrame:
+        (row, rows), (col, cols) = (np.unique(cells[c], return_inverse=True) for c in ("row", "col"))
+        x, y, z = np.full(len(col), np.nan), np.full(len(row), np.nan), np.full((len(row), len(col)), np.nan)
+        x[cols], y[rows], z[rows, cols] = cells["x"], cells["y"], cells["z"]
+        out = io.BytesIO()
+        np.savez_compressed(out, x=x, y=y, z=z)
+        return pd.DataFrame({by: cells[by].iloc[:1], "content": [out.getvalue()]})
+
+    wanted = grid.select(by, "row", "col", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    return wanted.groupBy(by).applyInPandas(one, f"`{by}` {grid.schema[by].dataType.simpleString()}, content binary")
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Parquet by the commit protocol: readers see the old table or the new one."""
     df.write.mode("overwrite").parquet(path)

@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def changes(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream of Parquet change rows from a folder."""
-    return spark.readStream.schema(schema).parquet(path)
+def changes(spark: SparkSession, path: str, schema: str, files: int | None = None) -> DataFrame:
+    """A stream of Parquet change rows from a folder; ``files``: how many of its files a batch takes at most."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def fingerprint(files: DataFrame, path: str, size: str, mtime: str, by: list[str]) -> DataFrame:
@@ -61,3 +62,11 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     """Processes what is there, batch by batch, and stops; one writer at a time."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     q.awaitTermination()
+
+
+def run_pages(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Writes what ``work`` makes of each batch to path/batch=<n> before the next one begins, so a run that was stopped goes on from there.
+
+    A batch that is done again replaces its own rows. With ``changes(..., files=1)`` a batch is one page's file.
+    """
+    run_available(stream, lambda rows, n: work(rows).write.mode("overwrite").parquet(f"{path}/batch={n}"), checkpoint)

@@ -53,3 +53,24 @@ def test_stage_checks(spark):
     rows = spark.createDataFrame([("r1", 1, None), ("r1", 1, "x"), ("r2", 0, "y")], "r string, a int, b string")
     got = {(x.r, x.stage): x.valid for x in agents.stage_checks(rows, ["r"], {"routing": F.col("a") == 1, "ocr": F.col("b").isNotNull()}).collect()}
     assert got == {("r1", "routing"): True, ("r1", "ocr"): False, ("r2", "routing"): False, ("r2", "ocr"): True}
+
+
+def test_saved_replies(spark):
+    q = spark.createDataFrame([(" Good question",), ("new question",)], "question string")
+    chunks = spark.createDataFrame([(x, 1, ["text:00007"], "c") for x in (" Good question", "new question")], "question string, rank int, evidence array<string>, content string")
+    asked = []
+
+    def model(rows):
+        asked.append({r[0] for r in rows.collect()})
+        return rows.withColumn("answer", F.lit("yes [стр. 7]"))
+
+    saved = spark.createDataFrame([("good question", "old [стр. 7]", "model", [7], [], "pass"), ("new question", "excerpt", "retrieval_only", [], [], "review")], "question string, answer string, mode string, cited array<int>, invalid_citations array<int>, qc string")
+    got = {r.question: (r.mode, r.answer, r.qc) for r in agents.ask(q, chunks, "question", model, saved).collect()}
+    assert got == {" Good question": ("cached", "old [стр. 7]", "pass"), "new question": ("model", "yes [стр. 7]", "pass")} and asked[0] == {"new question"}
+
+    names = spark.createDataFrame([("a",), ("b",)], "agent string")
+    pages = spark.createDataFrame([(n, "i", "[SOURCE_PAGE: page:00001] " + n, 1) for n in "ab"], "agent string, id string, content string, order int")
+    reply = '{"items": [{"evidence": ["page:00001"]}]}'
+    first = agents.run_agents(names.where("agent = 'a'"), names, lambda _: pages.where("agent = 'a'"), lambda c: c.select("agent", F.lit(reply).alias("reply")), model="m").where("status = 'completed'")
+    again = {r.agent: (r.status, r.reply, r.cached) for r in agents.run_agents(names, names, lambda _: pages, lambda c: c.select("agent", F.lit("no").alias("reply")), saved=first.select("key", "reply"), model="m").collect()}
+    assert again == {"a": ("completed", reply, True), "b": ("review", "no", False)}

@@ -106,3 +106,34 @@ def test_unknown_stages_fail(spark):
 def test_zero_filled_by_group(spark):
     rows, domain = spark.createDataFrame([("a", "x"), ("b", "y")], "g string, s string"), spark.createDataFrame([(f"s{i}",) for i in range(1500)] + [("x",)], "s string")
     assert status.zero_filled(rows, domain, "s", ["g"]).count() == 2 * 1501
+
+
+def test_npz_round_trip(spark, tmp_path):
+    from stratum.sources import readers, writers
+
+    cells = [(m, r, c, c * 2.0, r * 3.0, None if (r + c) % 4 == 0 else r + c + m / 10) for m in (1, 2) for r in range(5) for c in range(3 + m)]
+    for row in writers.npz_files(spark.createDataFrame(cells, "map long, row long, col long, x double, y double, z double"), "map").collect():
+        (tmp_path / f"{row['map']}.npz").write_bytes(row["content"])
+    back = readers.npz_grids(spark, str(tmp_path)).collect()
+    assert sorted((int(r.path[-5]), *r[1:]) for r in back) == sorted(cells, key=lambda t: t[:3])
+
+
+def test_pages_go_on_after_a_stop(spark, tmp_path):
+    from stratum.streaming import inbox
+
+    for i in range(3):
+        spark.createDataFrame([(i, "p")], "page long, t string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+
+    def work(rows):
+        seen.append([r.page for r in rows.collect()])
+        if len(seen) == 2:
+            raise RuntimeError("stopped")
+        return rows.withColumn("done", F.lit(True))
+
+    run = lambda: inbox.run_pages(inbox.changes(spark, str(tmp_path / "in"), "page long, t string", files=1), work, str(tmp_path / "out"), str(tmp_path / "ck"))
+    with pytest.raises(Exception, match="stopped"):
+        run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    run()
+    assert sorted(r.page for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2] and all(len(s) == 1 for s in seen) and len(seen) == 4
