@@ -28,14 +28,14 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def write(self, df: DataFrame, **options: str) -> tuple[DataFrame, str]:
         self.n += 1
         path = f"{self.base}/t{self.n}"
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
         return self.spark.read.schema(df.schema).parquet(path), path
 
-    def table(self, df: DataFrame) -> DataFrame:
-        return self.write(df)[0]
+    def table(self, df: DataFrame, **options: str) -> DataFrame:
+        return self.write(df, **options)[0]
 
     def drop(self, path: str) -> None:
         """Removes a table that no later plan reads."""
