@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, html, media, packing, pii, simhash_dedup, suffix_dedup, toxicity
+from . import align, bpe, chat, fim, fingerprints, html, media, packing, pieces, pii, simhash_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_simhash": simhash_dedup.op1_simhash,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_fim": fim.op11_fim,
+    "op12_alignment": align.op12_alignment,
+    "op13_pieces": pieces.op13_pieces,
     "op2_chat": chat.op2_chat,
     "op3_media": media.op3_media,
     "op4_pii": pii.op4_pii,
@@ -27,6 +30,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length('### ') + length(replace({_ESCAPED.format('role')}, chr(10), '\' || chr(10))) + 1 + length({_ESCAPED.format('text')}) + length(chr(10) || '</turn>' || chr(10)))::BIGINT AS formatted_chars
 FROM k GROUP BY conv_id
+""",
+    "op11_fim": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
 """,
     # bytes as hexadecimal digits; the last pattern keeps pairs of digits aligned where a character is incomplete
     "op5_suffix": """
