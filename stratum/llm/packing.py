@@ -12,16 +12,19 @@ import json
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.taskcontext import TaskContext
 
 from .common import Scratch, cut
-from .bpe import byte_alphabet, tokenizer_path
+from .bpe import byte_alphabet, load, tokenizer_path
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space of this length or more overflows the library's pattern; such texts are encoded by the own merges, with the same ids.
+MAX_BLANKS = 50_000
 #: Partitions whose leftovers meet in one task of the next round.
 MERGE = 4096
 PIECE = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -39,8 +42,11 @@ class Encoder:
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.blanks, self.path = regex.compile(r"\s{%d}" % MAX_BLANKS), path
 
     def encode(self, text: str) -> bytes:
+        if len(text) >= MAX_BLANKS and self.blanks.search(text):
+            return load(self.path).encode(text)
         return self.coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
@@ -50,7 +56,9 @@ def encoder(path: str) -> Encoder:
 
 
 class Windows:
-    """The open windows of one partition. A piece is (key, start, ids, doc_tokens); windows come out as lists of pieces."""
+    """The open windows of one partition. A piece is (key, start, ids, doc_tokens); windows come out as lists of pieces.
+
+    A document's ids are walked through by a view, so a long one is copied once."""
 
     def __init__(self, width: int, n_open: int) -> None:
         self.width, self.n_open = width, n_open
@@ -59,10 +67,11 @@ class Windows:
 
     def add(self, piece: tuple):
         key, start, ids, total = piece
+        ids = memoryview(ids)
         while ids:
             n = len(ids) // 4
             if n >= self.width:
-                yield [(key, start, ids[: 4 * self.width], total)]
+                yield [(key, start, bytes(ids[: 4 * self.width]), total)]
                 start, ids = start + self.width, ids[4 * self.width :]
                 continue
             best = max((u, i) for i, u in enumerate(self.used) if u + n <= self.width)[1] if any(u + n <= self.width for u in self.used) else None
@@ -71,14 +80,14 @@ class Windows:
                 self.used.append(0)
                 best = len(self.open) - 1
             if best is not None:
-                self.open[best].append((key, start, ids, total))
+                self.open[best].append((key, start, bytes(ids), total))
                 self.used[best] += n
                 if self.used[best] == self.width:
                     yield self.take(best)
                 return
             full = self.used.index(max(self.used))
             room = self.width - self.used[full]
-            self.open[full].append((key, start, ids[: 4 * room], total))
+            self.open[full].append((key, start, bytes(ids[: 4 * room]), total))
             start, ids = start + room, ids[4 * room :]
             yield self.take(full)
 

@@ -75,6 +75,24 @@ def test_packing(spark, texts, tokenizer, parts):
     assert short <= 1
 
 
+def test_packing_long_texts(spark, tokenizer):
+    """White space that overflows the library's pattern, one long word, and many windows of one document."""
+    texts = [" " * 1_000_000 + "x", "\n" * 1_000_000, "a" * 300_000, "\u3000" * 300_000 + "<|endoftext|>y", "ab " * 60_000 + " " * 49_999 + "c"]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    for i, t in enumerate(texts):
+        own = sorted((r.start, r.ids) for r in out if r.doc_id == i)
+        assert np.frombuffer(b"".join(x for _, x in own), "<u4").tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_windows_are_linear():
+    took = []
+    for n in (500_000, 4_000_000):
+        began = time.process_time()
+        assert sum(len(w[0][2]) for w in packing.Windows(2048, 4).add((0, 0, bytes(4 * n), n)) if len(w) == 1) == n // 2048 * 8192
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.005)
+
+
 def test_packing_empty(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
