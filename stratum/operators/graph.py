@@ -86,3 +86,41 @@ def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, scratch:
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
+
+
+def list_ranks(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, list, seq, n, closed): the place of every node of linked lists (node, next), next being null at the end of a list.
+
+    Each node has one row and is the next of one node at most. A list is named by its first node, a closed one by its smallest, where it is
+    cut; n counts its nodes. Pointers jump to twice the distance in each round and carry the smallest node that they passed: two windows that
+    follow each other hold the same smallest node only where they overlap, on a ring. So the rounds grow with the logarithm of the
+    longest list. Nodes are compared by their own order; a next without a row of its own ends its list too.
+    """
+    kind = links.schema["node"].dataType
+    known = links.select(F.col("node").alias("_k"))
+    own = links.join(known, F.col("next") == F.col("_k"), "left").select("node", F.col("_k").alias("to"))
+    heads = own.select("node").join(own.where("to is not null").select(F.col("to").alias("node")), "node", "left_anti")
+
+    def jump(rows: DataFrame) -> DataFrame:
+        """rows (node, to) as (node, to, d, low, last): to is null and last is the end for all nodes of open lists; low is the smallest node of closed ones."""
+        state, path = scratch.write(rows.select("node", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint").alias("d"), F.col("node").alias("low"), F.when(F.col("to").isNull(), F.col("node")).alias("last"), F.lit(False).alias("same")))
+        while state.where("to is not null and not same").limit(1).count():
+            ahead = state.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("low").alias("low2"), F.col("last").alias("last2"))
+            moved = state.where("to is not null").join(ahead, "to").select("node", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), F.least("low", "low2").alias("low"), F.col("last2").alias("last"), (F.col("low") == F.col("low2")).alias("same"))
+            nxt, nxt_path = scratch.write(state.where("to is null").unionByName(moved))
+            scratch.drop(path)
+            state, path = nxt, nxt_path
+        return state
+
+    def placed(state: DataFrame, starts: DataFrame, closed: bool) -> DataFrame:
+        first = state.join(starts, "node", "left_semi").select(F.col("node").alias("list"), "last", (F.col("d") + 1).alias("n"))
+        return state.join(first, "last").select("node", "list", (F.col("n") - 1 - F.col("d")).alias("seq"), "n", F.lit(closed).alias("closed"))
+
+    state = jump(own)
+    out = placed(state.where("to is null"), heads, False)
+    rings = state.where("to is not null").select("node", "low")
+    if rings.isEmpty():
+        return out
+    cut = own.join(rings, "node").select("node", F.when(F.col("to") != F.col("low"), F.col("to")).alias("to"))
+    starts = rings.select(F.col("low").cast(kind).alias("node")).distinct()
+    return out.unionByName(placed(jump(cut), starts, True))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import contours, raster, spatial
-from .graph import Scratch, components
+from .graph import Scratch, components, list_ranks
 
 #: Gaps in pixels that stitching bridges, and how well both ends must be aligned for each.
 STITCHES = [(6.0, 0.82), (45.0, 0.93), (130.0, 0.965), (210.0, 0.985)]
@@ -35,6 +36,36 @@ def chains(pixels: DataFrame, by: str, scratch: Scratch) -> DataFrame:
     return own.unionByName(ends).unionByName(pairs)
 
 
+def paths(pixels: DataFrame, by: str, scratch: Scratch) -> DataFrame:
+    """(by, line, seq, row, col, n, closed): each map's skeleton as lines of pixels in their order.
+
+    A line runs over pixels of degree two from node to node; two nodes that touch are a line of two pixels. It starts at the end with
+    the smaller (row, col), a loop from one node on its smaller side; a ring without a node starts and ends at its smallest pixel. Steps between touching
+    pixels are ranked in both directions, and the one that starts right is kept. Pixels without neighbours are no line.
+    """
+    at = raster.skeleton_degrees(pixels.select(by, F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")).distinct(), by)
+    at = at.select(by, F.struct("row", "col").alias("q"), F.col("node").alias("qn"))
+    moves = F.explode(F.array(*(F.struct((F.col("q.row") + a).alias("row"), (F.col("q.col") + b).alias("col")) for a, b in raster.NEIGHBOURS)))
+    moved = at.select(by, F.col("q").alias("p"), F.col("qn").alias("pn"), moves.alias("q"))
+    steps = moved.join(at, [by, "q"]).withColumn("node", F.xxhash64(by, "p.row", "p.col", "q.row", "q.col"))
+    steps = scratch.table(steps)
+    pairs = steps.where("pn and qn and p < q").select(by, F.col("node").alias("line"), F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), "p"), F.struct(F.lit(1).cast("bigint").alias("seq"), F.col("q").alias("p")))).alias("v"), F.lit(2).cast("bigint").alias("n"), F.lit(False).alias("closed")).select(by, "line", "v.seq", "v.p", "n", "closed")
+    own = steps.where("not (pn and qn)")
+    ahead = own.where("not pn").select(by, F.col("p").alias("q"), F.col("node").alias("next"), F.col("q").alias("_w"))
+    links = own.where("not qn").join(ahead, [by, "q"]).where("_w <> p").select("node", "next")
+    links = links.unionByName(own.where("qn").select("node", F.lit(None).cast("bigint").alias("next")))
+    ranked = scratch.table(own.join(list_ranks(links, scratch), "node"))
+    ends = ranked.where("not closed").groupBy("list").agg(F.min_by(F.struct("p", "q"), "seq").alias("a"), F.max_by(F.struct(F.col("q").alias("p"), F.col("p").alias("q")), "seq").alias("b"))
+    kept = ends.where("a < b").select("list", F.lit(0).cast("bigint").alias("_from"))
+    first = ranked.where("closed").groupBy(by, "list").agg(F.min(F.struct("p", "q", "seq")).alias("a"))
+    first = first.groupBy(by, "a.p").agg(F.min(F.struct("a.q", "list", "a.seq")).alias("b")).select("b.list", F.col("b.seq").alias("_from"))
+    whole = ranked.join(kept.unionByName(first), "list").withColumn("seq", F.pmod(F.col("seq") - F.col("_from"), F.col("n")))
+    named = whole.join(whole.where("seq = 0").select("list", F.col("node").alias("line"), F.col("p").alias("_p")), "list")
+    tails = named.where("seq = 0").select(by, "line", "seq", "p", (F.col("n") + 1).alias("n"), "closed")
+    heads = named.select(by, "line", (F.col("seq") + 1).alias("seq"), F.col("q").alias("p"), (F.col("n") + 1).alias("n"), "closed")
+    return tails.unionByName(heads).unionByName(pairs).select(by, "line", "seq", "p.row", "p.col", "n", "closed")
+
+
 def stitch_pairs(ends: DataFrame, by: str, line: str, gap: float, alignment: float) -> DataFrame:
     """(by, line, end, line2, end2, distance) of line ends that one pass of stitching may join.
 
@@ -50,8 +81,8 @@ def stitch_pairs(ends: DataFrame, by: str, line: str, gap: float, alignment: flo
     return met.where(good).select(F.col(f"l.{by}").alias(by), F.col(f"l.{line}").alias(line), F.col("l.end").alias("end"), F.col(f"r.{line}").alias(f"{line}2"), F.col("r.end").alias("end2"), "distance")
 
 
-def stitch(ends: DataFrame, by: str, line: str, scratch: Scratch, stitches: list[tuple[float, float]] = STITCHES) -> DataFrame:
-    """(line, whole): the number of the stitched line that each line becomes part of, the smallest of its parts.
+def bridges(ends: DataFrame, by: str, line: str, scratch: Scratch, stitches: list[tuple[float, float]] = STITCHES) -> DataFrame:
+    """(line, end, line2, end2) of line ends that stitching joins, each end at most once.
 
     The gaps grow; at each, an end is joined to the nearest free end that may be joined, pairs by rising distance, so no end is
     used twice and no line is closed on itself by one bridge.
@@ -68,11 +99,44 @@ def stitch(ends: DataFrame, by: str, line: str, scratch: Scratch, stitches: list
         free = scratch.table(free.join(used, key(line, "end") == F.col("_u"), "left_anti"))
     kind = dict(ends.dtypes)[line]
     number = lambda c: F.substring_index(c, "|", 1).cast(kind)
-    roots = components(links.select(number("a").alias("a"), number("b").alias("b")), scratch)
+    return scratch.table(links.select(number("a").alias(line), F.substring_index("a", "|", -1).alias("end"), number("b").alias(f"{line}2"), F.substring_index("b", "|", -1).alias("end2")))
+
+
+def stitch(ends: DataFrame, by: str, line: str, scratch: Scratch, stitches: list[tuple[float, float]] = STITCHES) -> DataFrame:
+    """(line, whole): the number of the stitched line that each line becomes part of, the smallest of its parts; see ``bridges``."""
+    links = bridges(ends, by, line, scratch, stitches)
+    roots = components(links.select(F.col(line).alias("a"), F.col(f"{line}2").alias("b")), scratch)
     lines = ends.select(line).distinct()
     return lines.join(roots, lines[line] == roots.node, "left").select(line, F.coalesce("root", line).alias("whole"))
 
 
+def joined(vertices: DataFrame, links: DataFrame, by: str, line: str, seq: str, scratch: Scratch) -> DataFrame:
+    """(by, whole, seq, x, y, parts, closed): the vertices of lines in the order in which bridges (line, end, line2, end2) join them.
+
+    Every line is ranked in both directions: after its stop comes the line that is bridged to it, forward from a start and backward from a
+    stop. Of the two ways through a joined line the one with the smaller first part is kept, or the one that takes a line alone forward. A whole
+    is named by its first part; a ring of bridges is opened before its smallest part. Lines are long (bigint) numbers, unique over maps.
+    """
+    w = W.partitionBy(line).orderBy(seq)
+    rows = vertices.select(by, line, seq, "x", "y").withColumn("_i", F.row_number().over(w).cast("bigint") - 1)
+    sizes = rows.groupBy(by, line).agg(F.count("*").alias("_n"))
+    # a direction of a line is one number: twice the line, and one more for backward
+    both = links.select(line, "end", f"{line}2", "end2").unionByName(links.select(F.col(f"{line}2").alias(line), F.col("end2").alias("end"), F.col(line).alias(f"{line}2"), F.col("end").alias("end2")))
+    way = lambda c, back: F.struct(F.col(c).alias("k"), back.alias("b"))
+    leave = both.select(way(line, F.col("end") == "start").alias("node"), way(f"{line}2", F.col("end2") == "stop").alias("next"))
+    ways = sizes.select(F.explode(F.array(way(line, F.lit(False)), way(line, F.lit(True)))).alias("node")).join(leave, "node", "left")
+    ranked = scratch.table(list_ranks(ways, scratch))
+    kept = ranked.groupBy("list").agg(F.min_by("node", "seq").alias("a"), F.max_by("node", "seq").alias("b"), F.min("node").alias("low"), F.first("closed").alias("_c"))
+    # a way back starts with the last part, turned; a ring's two ways both start at its smallest part
+    right = F.when(F.col("_c"), ~F.col("low.b")).otherwise((F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & ~F.col("a.b")))
+    order = ranked.join(kept.where(right).select("list"), "list").select("node.k", "node.b", "list", F.col("seq").alias("_s"), "n", "closed")
+    order = order.select(F.col("k").alias(line), F.col("b").alias("_b"), F.col("list.k").alias("whole"), "_s", F.col("n").alias("parts"), "closed").join(sizes, line)
+    before = W.partitionBy("whole").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    order = order.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    at = F.col("_at") + F.when(F.col("_b"), F.col("_n") - 1 - F.col("_i")).otherwise(F.col("_i"))
+    return rows.drop(by).join(order, line).select(by, "whole", at.alias("seq"), "x", "y", "parts", "closed")
+
+
 def prune_crossings(lines: DataFrame, crossings: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """``lines`` with accepted and rejection_reason after the weaker of every two crossing lines of different levels is rejected.
 
@@ -178,19 +242,34 @@ def main_axis(points: DataFrame, by: list[str]) -> DataFrame:
     return s.select(*by, "n", "x", "y", angle.alias("angle"), ratio.alias("elongation"))
 
 
-def label_lines(labels: DataFrame, lines: DataFrame, by: str, label: str, line: str, distance: float = 45.0, angle: float = 20.0) -> DataFrame:
+def label_lines(labels: DataFrame, lines: DataFrame, by: str, label: str, line: str, distance: float = 45.0, angle: float = 20.0, profile: str | None = None, score: str | None = None) -> DataFrame:
     """(by, label, line, cost): each label's best line by distance and one and a half times the angle between them.
 
-    labels: (by, label, x, y, angle); lines: (by, line, x, y, x1, y1, angle) with (x, y) and (x1, y1) two points of the line; label
-    and line meet where the line's middle lies within eight distances. Ties go to the smaller line.
+    labels: (by, label, x, y, angle); lines: (by, line, x, y, x1, y1, angle) with (x, y) and (x1, y1) two points of the infinite line and angle its direction in degrees of
+    [0, 180). A line lies in one band of direction and of distance from the origin; a label looks up all bands that lines within its limits can lie in, so the join is
+    exact and compares no other pairs. Ties go to the smaller line. With ``profile`` and ``score``, columns of the labels, only the label with the
+    highest score is kept of those that give one line the same profile, ties to the smaller label.
     """
-    middle = lines.select(by, F.col(line), F.col("x").alias("_x0"), F.col("y").alias("_y0"), "x1", "y1", F.col("angle"), ((F.col("x") + F.col("x1")) / 2).alias("x"), ((F.col("y") + F.col("y1")) / 2).alias("y"))
-    met = spatial.within(labels, middle, distance * 8, [by])
-    d = G.line_distance(F.col("l.x"), F.col("l.y"), F.col("r._x0"), F.col("r._y0"), F.col("r.x1"), F.col("r.y1"))
-    a = G.angle_between(F.col("l.angle"), F.col("r.angle"))
-    met = met.select(F.col(f"l.{by}").alias(by), F.col(f"l.{label}").alias(label), F.col(f"r.{line}").alias(line), d.alias("_d"), a.alias("_a")).where((F.col("_d") <= distance) & (F.col("_a") <= angle))
-    best = met.groupBy(by, label).agg(F.min(F.struct((F.col("_d") + 1.5 * F.col("_a")).alias("cost"), F.col(line).alias("line"))).alias("b"))
-    return best.select(by, label, F.col("b.line").alias(line), "b.cost")
+    turn, cell = 2.0, 2 * distance  # degrees and pixels of a band
+    turns = int(180 // turn)
+    rows = lines.select(by, F.col(line).alias("_line"), F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.col("x1").alias("_x1"), F.col("y1").alias("_y1"), F.col("angle").cast("double").alias("_t"))
+    rho = lambda t, x, y: F.cos(F.radians(t)) * F.col(y) - F.sin(F.radians(t)) * F.col(x)
+    rows = rows.withColumns({"_b": F.least(F.floor(F.col("_t") / turn), F.lit(turns - 1)).cast("bigint"), "_c": F.floor(rho(F.col("_t"), "_x0", "_y0") / cell)})
+    bands = F.explode(F.array_distinct(F.transform(F.sequence(F.floor((F.col("angle") - angle) / turn) - 1, F.floor((F.col("angle") + angle) / turn) + 1), lambda b: F.pmod(b, F.lit(turns)))))
+    own = labels.select("*", bands.alias("_b"))
+    middle, slack = rho((F.col("_b") + 0.5) * turn, "x", "y"), F.hypot("x", "y") * F.radians(F.lit(turn / 2)) + distance + 1e-6
+    own = own.withColumn("_c", F.explode(F.sequence(F.floor((middle - slack) / cell), F.floor((middle + slack) / cell))))
+    met = own.join(rows, [by, "_b", "_c"])
+    d = G.line_distance(F.col("x"), F.col("y"), F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"))
+    a = G.angle_between(F.col("angle"), F.col("_t"))
+    met = met.withColumns({"_d": d, "_a": a}).where((F.col("_d") <= distance) & (F.col("_a") <= angle))
+    extra = [c for c in (profile, score) if c]
+    best = met.groupBy(by, label, *extra).agg(F.min(F.struct((F.col("_d") + 1.5 * F.col("_a")).alias("cost"), "_line")).alias("b"))
+    best = best.select(by, label, *extra, F.col("b._line").alias(line), "b.cost")
+    if not profile or not score:
+        return best.select(by, label, line, "cost")
+    first = best.groupBy(by, profile, line).agg(F.min(F.struct(F.negate(score).alias("s"), F.col(label).alias("label"), "cost")).alias("f"))
+    return first.select(by, F.col("f.label").alias(label), profile, line, F.negate("f.s").alias(score), "f.cost")
 
 
 def similarity(x: Column, y: Column, scale: Column, degrees: Column, dx: Column, dy: Column, mirrored: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .graph import Scratch, components
+from .graph import Scratch, components, list_ranks
 
 
 def median_of_duplicates(points: DataFrame, value: str, by: list[str] | None = None, digits: int = 3) -> DataFrame:
@@ -103,9 +103,10 @@ CASES = {1: "lt", 2: "tr", 3: "lr", 4: "rb", 5: "lt rb", 6: "tb", 7: "lb", 8: "b
 
 
 def contour_segments(grid: DataFrame, interval: float, by: list[str] | None = None) -> DataFrame:
-    """(by, level, row, col, case, x1, y1, x2, y2): segments of the level lines at multiples of the interval by marching squares.
+    """(by, level, row, col, case, x1, y1, x2, y2, e1, e2): segments of the level lines at multiples of the interval by marching squares.
 
-    The corners of a cell meet by three equi-joins; cells beside blanks give nothing. Coordinates are in cells.
+    The corners of a cell meet by three equi-joins; cells beside blanks give nothing. Coordinates are in cells. Segments have the higher
+    ground on their left; e1 and e2 (struct<down, row, col>) name the cell edges that they come from and lead to, so segments of one level meet at equal edges.
     """
     by = by or []
     g = grid.where("z is not null").select(*by, "row", "col", "z")
@@ -126,7 +127,9 @@ def contour_segments(grid: DataFrame, interval: float, by: list[str] | None = No
         return x, y
 
     (xa, ya), (xb, yb) = point(F.substring("seg", 1, 1)), point(F.substring("seg", 2, 1))
-    return cells.select(*by, "level", "row", "col", "case", xa.alias("x1"), ya.alias("y1"), xb.alias("x2"), yb.alias("y2"))
+    side = lambda e: F.struct(e.isin("l", "r").alias("down"), (F.col("row") + (e == "b").cast("int")).cast("bigint").alias("row"), (F.col("col") + (e == "r").cast("int")).cast("bigint").alias("col"))
+    e1, e2 = side(F.substring("seg", 1, 1)), side(F.substring("seg", 2, 1))
+    return cells.select(*by, "level", "row", "col", "case", xa.alias("x1"), ya.alias("y1"), xb.alias("x2"), yb.alias("y2"), e1.alias("e1"), e2.alias("e2"))
 
 
 def contour_lines(segments: DataFrame, scratch: Scratch, by: list[str] | None = None, digits: int = 6) -> DataFrame:
@@ -140,11 +143,47 @@ def contour_lines(segments: DataFrame, scratch: Scratch, by: list[str] | None =
     return placed.groupBy(*keys, "line").agg(F.count("*").alias("segments"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length")).join(ends, "line")
 
 
-def segment_crossings(segments: DataFrame, key: str, group: str, size: float, by: list[str] | None = None) -> DataFrame:
-    """Pairs (by, first, second) of one map (``by``) and different groups whose segments (x1, y1, x2, y2) properly cross; segments meet in the cells of their boxes."""
+def contour_paths(segments: DataFrame, scratch: Scratch, by: list[str] | None = None, least_points: int = 4, least_length: float = 2.0) -> DataFrame:
+    """(by, level, line, seq, x, y, n, length, closed): level lines as vertices in their order, from ``contour_segments``.
+
+    Each cell edge starts one segment of a level at most and ends one at most, so the edges form lists, which are ranked. The higher
+    ground lies on a line's left. A closed line starts and ends at its smallest edge (those across before those down, then by row and column). Lines of fewer
+    points or less length (in cells) are left out; ``line`` is a hash of the first edge.
+    """
+    keys = [*(by or []), "level"]
+    edge = lambda e: F.struct(*keys, F.col(f"{e}.down"), F.col(f"{e}.row"), F.col(f"{e}.col"))
+    rows = scratch.table(segments.select(*keys, edge("e1").alias("node"), edge("e2").alias("next"), "x1", "y1", "x2", "y2"))
+    # the last edge of an open line starts no segment
+    last = rows.select(F.col("next").alias("node")).join(rows.select("node"), "node", "left_anti").withColumn("next", F.lit(None).cast(rows.schema["next"].dataType))
+    ranked = list_ranks(rows.select("node", "next").unionByName(last), scratch)
+    placed = scratch.table(rows.join(ranked, "node").withColumn("line", F.xxhash64("list")).drop("list"))
+    points = (F.col("n") + F.col("closed").cast("int")).alias("n")
+    size = placed.groupBy("line").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length"))
+    size = size.where(F.col("length") >= least_length)
+    starts = placed.where("seq = 0").select(*keys, "line", F.lit(0).cast("bigint").alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y"), points, "closed")
+    ends = placed.select(*keys, "line", (F.col("seq") + 1).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y"), points, "closed")
+    return starts.unionByName(ends).where(F.col("n") >= least_points).join(size, "line").select(*keys, "line", "seq", "x", "y", "n", "length", "closed")
+
+
+def topology(vertices: DataFrame, size: float, by: list[str]) -> DataFrame:
+    """(by, lines, levels, closed, crossing_pairs) of each map's level lines (by, level, line, seq, x, y, closed): pairs of lines of any levels that properly cross.
+
+    Lines are unique over maps; segments meet in cells of the given size.
+    """
+    w = W.partitionBy("line").orderBy("seq")
+    seg = vertices.select(*by, "line", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"), F.xxhash64("line", "seq").alias("_k")).where("x2 is not null")
+    met = segment_crossings(seg, "_k", "line", size, by, ["line"]).select(*by, F.array_sort(F.array("first_line", "second_line")).alias("p")).distinct()
+    crossing = met.groupBy(*by).agg(F.count("*").alias("crossing_pairs"))
+    lines = vertices.where("seq = 0").groupBy(*by).agg(F.count("*").alias("lines"), F.count_distinct("level").alias("levels"), F.count_if("closed").alias("closed"))
+    return lines.join(crossing, by, "left").withColumn("crossing_pairs", F.coalesce("crossing_pairs", F.lit(0).cast("bigint")))
+
+
+def segment_crossings(segments: DataFrame, key: str, group: str, size: float, by: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Pairs (by, first, second, and first_ and second_ of the columns ``carry``) of one map (``by``) and different groups whose segments (x1, y1, x2, y2) properly cross; segments meet in the cells of their boxes."""
     span = lambda lo, hi: F.sequence(F.floor(F.least(lo, hi) / size), F.floor(F.greatest(lo, hi) / size))
     by = by or []
-    rows = segments.select(*by, key, group, "x1", "y1", "x2", "y2", F.explode(span(F.col("x1"), F.col("x2"))).alias("cx"), span(F.col("y1"), F.col("y2")).alias("ys")).withColumn("cy", F.explode("ys"))
+    carry = carry or []
+    rows = segments.select(*dict.fromkeys([*by, key, group, *carry]), "x1", "y1", "x2", "y2", F.explode(span(F.col("x1"), F.col("x2"))).alias("cx"), span(F.col("y1"), F.col("y2")).alias("ys")).withColumn("cy", F.explode("ys"))
     a, b = rows.alias("a"), rows.alias("b")
     side = lambda p, q, r: F.signum((F.col(f"{q}.x2") - F.col(f"{q}.x1")) * (F.col(f"{p}.y{r}") - F.col(f"{q}.y1")) - (F.col(f"{q}.y2") - F.col(f"{q}.y1")) * (F.col(f"{p}.x{r}") - F.col(f"{q}.x1")))
     crosses = (side("a", "b", 1) * side("a", "b", 2) < 0) & (side("b", "a", 1) * side("b", "a", 2) < 0)
@@ -152,7 +191,7 @@ def segment_crossings(segments: DataFrame, key: str, group: str, size: float, by
     for c in by:
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
     met = a.join(b, same & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col(f"a.{group}") != F.col(f"b.{group}")))
-    return met.where(crosses).select(*(F.col(f"a.{c}").alias(c) for c in by), F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second")).distinct()
+    return met.where(crosses).select(*(F.col(f"a.{c}").alias(c) for c in by), F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second"), *(F.col(f"{side_}.{c}").alias(f"{name}_{c}") for c in carry for side_, name in (("a", "first"), ("b", "second")))).distinct()
 
 
 def cps3_lines(grid: DataFrame, order: str = "n", by: list[str] | None = None) -> DataFrame:

@@ -74,17 +74,19 @@ def main_axis(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT s_suppkey AS label, s_nationkey % 3 AS map, (s_suppkey % 101) * 7.0 AS x, s_acctbal / 20 AS y, (s_suppkey * 37 % 180)::DOUBLE AS t FROM supplier), b AS (SELECT c_custkey AS line, c_nationkey % 3 AS map, (c_custkey % 101) * 7.0 AS x, c_acctbal / 20 AS y, (c_custkey * 53 % 180)::DOUBLE AS t FROM customer),
-m AS (SELECT a.map, label, line, abs(cos(radians(b.t)) * (a.y - b.y) - sin(radians(b.t)) * (a.x - b.x)) AS d, least((((a.t - b.t) % 180) + 180) % 180, 180 - (((a.t - b.t) % 180) + 180) % 180) AS g FROM a JOIN b ON a.map = b.map AND sqrt((a.x - b.x - 5 * cos(radians(b.t))) ** 2 + (a.y - b.y - 5 * sin(radians(b.t))) ** 2) <= 360),
-k AS (SELECT *, row_number() OVER (PARTITION BY map, label ORDER BY d + 1.5 * g, line) AS r FROM m WHERE d <= 45 AND g <= 20)
-SELECT map, label, line, round(d + 1.5 * g, 5) AS cost FROM k WHERE r = 1
+WITH a AS (SELECT s_suppkey AS label, s_nationkey % 3 AS map, s_suppkey % 7 AS profile, s_suppkey % 11 / 10.0 AS score, (s_suppkey % 101) * 7.0 AS x, s_acctbal / 20 AS y, (s_suppkey * 37 % 180)::DOUBLE AS t FROM supplier), b AS (SELECT c_custkey AS line, c_nationkey % 3 AS map, (c_custkey % 101) * 7.0 AS x, c_acctbal / 20 AS y, (c_custkey * 53 % 180)::DOUBLE AS t FROM customer),
+m AS (SELECT a.map, profile, score, label, line, abs(cos(radians(b.t)) * (a.y - b.y) - sin(radians(b.t)) * (a.x - b.x)) AS d, least((((a.t - b.t) % 180) + 180) % 180, 180 - (((a.t - b.t) % 180) + 180) % 180) AS g FROM a JOIN b ON a.map = b.map),
+k AS (SELECT *, row_number() OVER (PARTITION BY map, label ORDER BY d + 1.5 * g, line) AS r FROM m WHERE d <= 45 AND g <= 20),
+f AS (SELECT *, row_number() OVER (PARTITION BY map, profile, line ORDER BY score DESC, label) AS s FROM k WHERE r = 1)
+SELECT map, label, profile, line, score::DOUBLE AS score, round(d + 1.5 * g, 5) AS cost FROM f WHERE s = 1
 """)
 def label_lines(spark, sf_dir):
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    labels = s.select((F.col("s_nationkey") % 3).alias("map"), F.col("s_suppkey").alias("label"), (F.col("s_suppkey") % 101 * 7.0).alias("x"), (F.col("s_acctbal") / 20).alias("y"), (F.col("s_suppkey") * 37 % 180).cast("double").alias("angle"))
+    """Labels against infinite lines, of which ten pixels are known; a line keeps the best label of each of seven profiles."""
+    s, c, k = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"), F.col("s_suppkey")
+    labels = s.select((F.col("s_nationkey") % 3).alias("map"), k.alias("label"), (k % 7).alias("profile"), (k % 11 / 10).alias("score"), (k % 101 * 7.0).alias("x"), (F.col("s_acctbal") / 20).alias("y"), (k * 37 % 180).cast("double").alias("angle"))
     own = c.select((F.col("c_nationkey") % 3).alias("map"), F.col("c_custkey").alias("line"), (F.col("c_custkey") % 101 * 7.0).alias("x"), (F.col("c_acctbal") / 20).alias("y"), (F.col("c_custkey") * 53 % 180).cast("double").alias("angle"))
     own = own.withColumns({"x1": F.col("x") + 10 * F.cos(F.radians("angle")), "y1": F.col("y") + 10 * F.sin(F.radians("angle"))})
-    return lines.label_lines(labels, own, "map", "label", "line").withColumn("cost", F.round("cost", 5))
+    return lines.label_lines(labels, own, "map", "label", "line", profile="profile", score="score").withColumn("cost", F.round("cost", 5))
 
 
 @query("SELECT s_suppkey, round(3 * (cos(radians(30)) * s_suppkey + sin(radians(30)) * s_acctbal) + 5, 4) AS x, round(3 * (sin(radians(30)) * s_suppkey - cos(radians(30)) * s_acctbal) - 7, 4) AS y, s_suppkey::DOUBLE AS back_x, round(s_acctbal, 4) AS back_y FROM supplier")
@@ -212,3 +214,82 @@ def local_exports(spark, sf_dir):
     grid = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("map"), row.alias("row"), col.alias("col")).agg(F.max(F.round("l_extendedprice")).alias("z"))
     grid = grid.select("map", "row", "col", (F.col("col") * 2.0).alias("x"), (F.col("row") * 4.0).alias("y"), F.when((F.col("row") + F.col("col")) % 7 > 0, F.col("z")).alias("z"))
     return surface.local_exports(grid, "map")
+
+
+SPECKS_SQL = "SELECT DISTINCT l_returnflag AS map, l_quantity::BIGINT AS row, l_suppkey % 60 AS col FROM lineitem WHERE l_partkey * 7919 % 1000 < 30"
+
+
+def _specks(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_partkey * 7919 % 1000 < 30")
+    return rows.select(F.col("l_returnflag").alias("map"), F.col("l_quantity").cast("bigint").alias("row"), (F.col("l_suppkey") % 60).alias("col")).distinct()
+
+
+@query(f"""
+WITH RECURSIVE p AS ({SPECKS_SQL}), t AS (SELECT p.map, p.row * 1000 + p.col AS a, q.row * 1000 + q.col AS b FROM {TOUCH_SQL}), d AS (SELECT map, a, count(*) <> 2 AS node FROM t GROUP BY ALL),
+s AS (SELECT t.map, a, b, x.node AS an, y.node AS bn FROM t JOIN d x USING (map, a) JOIN (SELECT map, a AS b, node FROM d) y USING (map, b)),
+w(map, a0, b0, a, b, bn, seq) AS (SELECT map, a, b, a, b, bn, 1 FROM s WHERE an UNION ALL SELECT w.map, a0, b0, s.a, s.b, s.bn, seq + 1 FROM w JOIN s ON w.map = s.map AND s.a = w.b AND s.b <> w.a WHERE NOT w.bn),
+k AS (SELECT map, a0, b0, seq AS n FROM w WHERE bn AND (a0, b0) < (b, a)), o AS (SELECT w.map, a0, b0, w.seq, w.b, n + 1 AS n, false AS closed FROM w JOIN k USING (map, a0, b0)),
+r(map, a, b) AS (SELECT map, a, a FROM d WHERE NOT node UNION SELECT r.map, r.a, s.b FROM r JOIN s ON r.map = s.map AND r.b = s.a AND NOT s.an AND NOT s.bn),
+c AS (SELECT map, a, min(b) AS c, count(*) AS n FROM r GROUP BY ALL), f AS (SELECT * FROM c WHERE (map, c) NOT IN (SELECT map, c FROM c JOIN s USING (map, a) WHERE bn)),
+z(map, a0, b0, a, b, seq, n) AS (SELECT f.map, f.a, min(s.b), f.a, min(s.b), 1, any_value(n) FROM f JOIN s USING (map, a) WHERE f.a = f.c GROUP BY f.map, f.a UNION ALL SELECT z.map, a0, b0, s.a, s.b, seq + 1, n FROM z JOIN s ON z.map = s.map AND s.a = z.b AND s.b <> z.a WHERE seq < n),
+u AS (SELECT * FROM o UNION ALL SELECT map, a0, b0, 0, a0, n, false FROM (SELECT DISTINCT map, a0, b0, n FROM o) UNION ALL SELECT map, a0, b0, seq, b, n + 1, true FROM z UNION ALL SELECT map, a, min(b), 0, a, any_value(n) + 1, true FROM f JOIN s USING (map, a) WHERE f.a = f.c GROUP BY map, a)
+SELECT map, a0 // 1000 AS row0, a0 % 1000 AS col0, b0 // 1000 AS row1, b0 % 1000 AS col1, seq::BIGINT AS seq, b // 1000 AS row, b % 1000 AS col, n::BIGINT AS n, closed FROM u
+""")
+def skeleton_paths(spark, sf_dir):
+    """Every pixel of every line of three maps of specks, in order; a line is named by its first two pixels."""
+    out = lines.paths(_specks(spark, sf_dir), "map", Scratch(spark, "paths"))
+    first = out.where("seq < 2").groupBy("map", "line").agg(F.min_by("row", "seq").alias("row0"), F.min_by("col", "seq").alias("col0"), F.max_by("row", "seq").alias("row1"), F.max_by("col", "seq").alias("col1"))
+    return out.join(first, ["map", "line"]).select("map", "row0", "col0", "row1", "col1", "seq", "row", "col", "n", "closed")
+
+
+@query()
+def joined_lines(spark, sf_dir):
+    """The vertices of stitched skeleton lines of three maps in their order."""
+    scratch = Scratch(spark, "joined")
+    vertices = scratch.table(lines.paths(_specks(spark, sf_dir), "map", scratch).where("not closed and n >= 4").select("map", "line", "seq", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y")))
+    ends = traces.tangents(vertices, "line", "seq").join(vertices.select("map", "line").distinct(), "line")
+    links = lines.bridges(ends, "map", "line", scratch, [(6.0, 0.82), (12.0, 0.93)])
+    return lines.joined(vertices, links, "map", "line", "seq", scratch)
+
+
+GRID_SQL = "SELECT l_returnflag AS map, floor(l_quantity / 5)::BIGINT AS row, floor(l_discount * 100 / 2 + 0.25)::BIGINT AS col, round(avg(l_extendedprice / 1000), 6) AS z FROM lineitem GROUP BY 1, 2, 3"
+CASES_SQL = "(VALUES " + ", ".join(f"({c}, '{e}')" for c, s in surface.CASES.items() for e in s.split()) + ") t(k, seg)"
+
+
+def _grid(spark, sf_dir):
+    by = F.col("l_returnflag").alias("map")
+    return table(spark, sf_dir, "lineitem").groupBy(by, F.floor(F.col("l_quantity") / 5).alias("row"), F.floor(F.col("l_discount") * 100 / 2 + 0.25).alias("col")).agg(F.round(F.avg(F.col("l_extendedprice") / 1000), 6).alias("z"))
+
+
+LEVELS_SQL = f"""g AS ({GRID_SQL}), q AS (SELECT a.map, a.row, a.col, a.z AS z1, b.z AS z2, c.z AS z4, d.z AS z8 FROM g a JOIN g b ON b.map = a.map AND b.row = a.row AND b.col = a.col + 1 JOIN g c ON c.map = a.map AND c.row = a.row + 1 AND c.col = a.col + 1 JOIN g d ON d.map = a.map AND d.row = a.row + 1 AND d.col = a.col),
+l AS (SELECT *, unnest(range(ceil(least(z1, z2, z4, z8) / 0.5)::INT, floor(greatest(z1, z2, z4, z8) / 0.5)::INT + 1)) AS i FROM q), k AS (SELECT *, i * 0.5 AS v, (z1 > i * 0.5)::INT + 2 * (z2 > i * 0.5)::INT + 4 * (z4 > i * 0.5)::INT + 8 * (z8 > i * 0.5)::INT AS k FROM l),
+p AS (SELECT map, i, row, col, seg, unnest([1, 2]) AS e, CASE WHEN substr(seg, unnest([1, 2]), 1) = 't' THEN [0, row, col] WHEN substr(seg, unnest([1, 2]), 1) = 'b' THEN [0, row + 1, col] WHEN substr(seg, unnest([1, 2]), 1) = 'l' THEN [1, row, col] ELSE [1, row, col + 1] END AS edge,
+  CASE substr(seg, unnest([1, 2]), 1) WHEN 't' THEN col + (v - z1) / (z2 - z1) WHEN 'b' THEN col + (v - z8) / (z4 - z8) WHEN 'l' THEN col ELSE col + 1 END AS x, CASE substr(seg, unnest([1, 2]), 1) WHEN 'l' THEN row + (v - z1) / (z8 - z1) WHEN 'r' THEN row + (v - z2) / (z4 - z2) WHEN 't' THEN row ELSE row + 1 END AS y FROM k JOIN {CASES_SQL} USING (k)),
+s AS (SELECT a.map, a.i, a.edge AS a, b.edge AS b, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON (a.map, a.i, a.row, a.col, a.seg) = (b.map, b.i, b.row, b.col, b.seg) AND a.e = 1 AND b.e = 2),
+w(map, i, line, b, seq, x, y, d) AS (SELECT map, i, a, b, 1, x2, y2, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE (t.map, t.i, t.b) = (s.map, s.i, s.a)) UNION ALL SELECT s.map, s.i, line, s.b, seq + 1, s.x2, s.y2, d + sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) FROM w JOIN s ON (s.map, s.i, s.a) = (w.map, w.i, w.b)),
+r(map, i, a, b) AS (SELECT map, i, a, b FROM s UNION SELECT r.map, r.i, r.a, s.b FROM r JOIN s ON (s.map, s.i, s.a) = (r.map, r.i, r.b)), c AS (SELECT map, i, a FROM r GROUP BY ALL HAVING bool_or(a = b) AND a = min(b)),
+z(map, i, line, b, seq, x, y, d) AS (SELECT map, i, a, b, 1, x2, y2, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) FROM s SEMI JOIN c USING (map, i, a) UNION ALL SELECT s.map, s.i, line, s.b, seq + 1, s.x2, s.y2, d + sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) FROM z JOIN s ON (s.map, s.i, s.a) = (z.map, z.i, z.b) WHERE z.b <> z.line),
+u AS (SELECT *, false AS closed FROM w UNION ALL SELECT *, true FROM z), m AS (SELECT map, i, line, max(seq) + 1 AS n, max(d) AS length FROM u GROUP BY ALL HAVING max(seq) >= 3 AND max(d) >= 2),
+v AS (SELECT map, i, line, seq, x, y, closed FROM u UNION ALL SELECT s.map, s.i, s.a, 0, x1, y1, closed FROM s JOIN u ON (u.map, u.i, u.line, u.seq) = (s.map, s.i, s.a, 1))"""
+
+
+@query(f"""
+WITH RECURSIVE {LEVELS_SQL}
+SELECT map, i * 0.5::DOUBLE AS level, line[1] = 1 AS down, line[2] AS row, line[3] AS col, seq::BIGINT AS seq, round(x, 5) AS x, round(y, 5) AS y, n::BIGINT AS n, round(length, 5) AS length, closed FROM v JOIN m USING (map, i, line)
+""")
+def contour_paths(spark, sf_dir):
+    """Every vertex of every level line of three maps; a line is named by the cell edge that it starts from."""
+    segments = surface.contour_segments(_grid(spark, sf_dir), 0.5, ["map"])
+    out = surface.contour_paths(segments, Scratch(spark, "levels"), ["map"])
+    first = out.where("seq = 0").select("line", (F.col("y") % 1 != 0).alias("down"), F.floor("y").alias("row"), F.floor("x").alias("col"))
+    return out.join(first, "line").select("map", "level", "down", "row", "col", "seq", *(F.round(c, 5).alias(c) for c in ("x", "y")), "n", F.round("length", 5).alias("length"), "closed")
+
+
+@query(f"""
+WITH RECURSIVE {LEVELS_SQL}
+SELECT map, count(*) AS lines, count(DISTINCT i) AS levels, count(*) FILTER (closed) AS closed, 0::BIGINT AS crossing_pairs FROM v JOIN m USING (map, i, line) WHERE seq = 0 GROUP BY 1
+""")
+def contour_topology(spark, sf_dir):
+    """Lines, levels and rings of three maps; level lines of one surface don't cross."""
+    out = surface.contour_paths(surface.contour_segments(_grid(spark, sf_dir), 0.5, ["map"]), Scratch(spark, "levels"), ["map"])
+    return surface.topology(out, 1.0, ["map"])
