@@ -25,7 +25,7 @@ CELLS = {"li", "dt", "dd", "td", "th", "option", "summary", "figcaption", "capti
 BLOCKS = HEADINGS | CELLS | {"p", "div", "article", "section", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table", "tr", "thead", "tbody", "tfoot", "blockquote", "pre", "figure", "hr", "body", "html", "head", "address", "fieldset", "details", "dialog", "menu", "center", "hgroup", "search"}
 #: What closes an open paragraph or list item.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
-AWAY_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "search"}
+AWAY_TAGS = {"nav", "footer", "aside", "menu", "dialog", "head", "search"}
 BODY_TAGS = {"article", "main"}
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
 AWAY_WORDS = set(
@@ -35,10 +35,12 @@ AWAY_WORDS = set(
 )
 BODY_WORDS = set("article content post entry story main body text prose".split())
 MIXED = {"has", "with", "no", "without", "not", "is"}
+#: Parts of class names that say where or how, but not what.
+PLAIN_WORDS = set("list item items box block wrapper wrap container section area inner outer holder slot unit left right top bottom primary secondary site page global main bar buttons button links link icons icon title heading posts articles stories".split())
 
 
 def _kind_of(tag: str, attrs: str) -> int:
-    """-1: the element says that it holds no main text; 1: it says that it does; 2: a page or article header; 0: neither."""
+    """-1: the element says that it holds no main text; 1: it says that it does; 2: a page or article header; 3: a form; 0: none of these."""
     if tag in AWAY_TAGS:
         return -1
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip() else {}
@@ -48,18 +50,21 @@ def _kind_of(tag: str, attrs: str) -> int:
         return -1
     if tag in ("body", "html"):
         return 0
-    away = body = False
+    away, sure, body = False, False, tag in BODY_TAGS
     for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
-        words = re.split(r"[-_]+|(?<=\D)\d+$", name)
-        if MIXED & set(words):
+        words = set(re.split(r"[-_]+|(?<=\D)\d+$", name)) - {""}
+        if MIXED & words:
             continue
-        away |= bool(AWAY_WORDS & set(words)) and not (BODY_WORDS & set(words) and "header" in words)
-        body |= bool(BODY_WORDS & set(words))
-    if away:
+        if AWAY_WORDS & words and not (BODY_WORDS & words and "header" in words):
+            away = True
+            # a category or topic that holds such a word ("tags-news") says nothing of an element that is an article otherwise
+            sure |= all(w in AWAY_WORDS or w in BODY_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words)
+        body |= bool(BODY_WORDS & words)
+    if sure or (away and not body):
         return -1
     if tag in BODY_TAGS or body or found.get("itemprop") == "articleBody" or found.get("role", "").lower() in ("main", "article"):
         return 1
-    return 2 if tag == "header" else 0
+    return 2 if tag == "header" else 3 if tag == "form" else 0
 
 
 def tokens(html: str):
@@ -109,7 +114,7 @@ class Stack:
     def __init__(self) -> None:
         self.held: list[tuple[str, int]] = []
         self.tags: dict[str, int] = {}
-        self.kinds = {-1: 0, 0: 0, 1: 0, 2: 0}
+        self.kinds = {-1: 0, 0: 0, 1: 0, 2: 0, 3: 0}
 
     def top(self) -> str:
         return self.held[-1][0] if self.held else ""
@@ -127,7 +132,11 @@ class Stack:
 
 
 def blocks(html: str) -> list[dict]:
-    """The flat text blocks of a page in order: text, words, link density, tag kind, and whether the enclosing elements say away or body."""
+    """The flat text blocks of a page in order: text, words, link density, tag kind, and whether the enclosing elements say away or body.
+
+    A form says away, unless it holds more than half of the words that nothing else puts away: then the page was wrapped in it. The head ends at the first
+    element that can't be in it, whether it is closed or not.
+    """
     out, stack, text, linked, in_link = [], Stack(), [], [], False
 
     def flush() -> None:
@@ -142,6 +151,7 @@ def blocks(html: str) -> list[dict]:
                 "tag": 3 if inner in HEADINGS else 2 if inner in ("p", "blockquote", "pre") else 1 if inner in CELLS else 0,
                 "away": stack.kinds[-1] > 0 or (stack.kinds[2] > 0 and (not body or inner not in HEADINGS)),
                 "body": body,
+                "form": stack.kinds[3] > 0,
             })
         text.clear()
         linked.clear()
@@ -168,6 +178,8 @@ def blocks(html: str) -> list[dict]:
             in_link = True
         elif tag in BLOCKS:
             flush()
+            while stack.tags.get("head"):
+                stack.pop()
             if stack.top() == "p":
                 stack.pop()
             while stack.top() in CLOSES.get(tag, ()):
@@ -175,6 +187,10 @@ def blocks(html: str) -> list[dict]:
             if tag not in VOID and not attrs.endswith("/"):
                 stack.push(tag, _kind_of(tag, attrs))
     flush()
+    inside, all_ = (sum(b["words"] for b in out if not b["away"] and (b["form"] or every)) for every in (False, True))
+    if 2 * inside <= all_:
+        for b in out:
+            b["away"] |= b["form"]
     return out
 
 

@@ -206,6 +206,31 @@ def test_pages(spark):
     assert html.block_table(df).where("page_id = 1").count() > 20
 
 
+@pytest.mark.parametrize("before, after", [
+    ("<html><head><title>t</title><meta charset=utf-8><body><article>", "</article>"),
+    ("<html><head><title>t</title><article>", "</article>"),
+    ('<body><article class="post category-notice">', "</article>"),
+    ('<body><article class="post type-post tags-news tag-related status-publish">', "</article>"),
+    ('<body><div class="article social-science">', "</div>"),
+    ('<body><main class="theme-banner-free">', "</main>"),
+    ("<body><form id=aspnetForm><div id=content>", "</div></form>"),
+    ("<body><form id=aspnetForm>", "</form>"),
+    ("<body><form><nav><a href=x>Home</a></nav><article>", "</article></form>"),
+    ("<body>", ""),
+])
+def test_page_shapes(before, after):
+    """Implied tags, class words of themes, pages wrapped in a form, and no containers at all."""
+    text = "These are the words of the first paragraph, which is long enough to be read as main text by anyone."
+    more = "Here the second paragraph goes on with as many words again, so that neighbours are long as well, and ends."
+    away = '<div class="comments"><p>Nice one, thanks a lot</p></div><div class="related-posts"><p>More of this kind</p></div><footer><p>Imprint</p></footer>'
+    assert html.main_text(f"{before}<p>{text}</p><p>{more}</p>{after}{away}") == f"{text}\n{more}"
+
+
+def test_forms_and_comments_stay_away():
+    page = '<body><article class=post><p>One paragraph of the article with some words in it.</p><form><p>Subscribe to our letter</p></form><article class="comment depth-2"><p>I like it</p></article><div class="post-comments"><p>So do I</p></div></article>'
+    assert html.main_text(page) == "One paragraph of the article with some words in it."
+
+
 def test_pages_without_containers():
     text = "This is a long paragraph with many words, and it is the main text of the page."
     page = f"<ul><li><a href=x>Home</a></li><li><a href=x>News</a></li></ul><h1>Some title of the page</h1><p>{text}</p><p>Short.</p><p>{text}</p><div><a>More</a> <a>links</a></div>"
