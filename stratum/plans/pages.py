@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evidence, routing, status
 from ..operators.graph import Scratch
-from ..streaming import inbox
+from ..streaming import inbox, timers
 from .registry import query, table
 
 PATH_SQL = "CASE lang WHEN 'fr' THEN 'Том 1/Текст/' WHEN 'de' THEN 'Том 2/Графика/' WHEN 'es' THEN 'Оглавление/' ELSE source || '/' END || doc_id || '.jpg'"
@@ -154,13 +154,21 @@ def event_cap(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT l_partkey, count(*) FILTER (l_returnflag = 'N') AS confident, count(*) FILTER (l_returnflag = 'R') AS conflicting, count(*) FILTER (l_linestatus = 'X') AS crossings, count(DISTINCT l_suppkey) AS levels, count(*) FILTER (l_linestatus = 'F') AS closed, count(*) AS support FROM lineitem GROUP BY 1),
-r AS (SELECT *, list_filter([CASE WHEN confident < 3 THEN 'fewer_than_3_direct_contours' END, CASE WHEN conflicting >= 3 AND conflicting / greatest(1, confident + conflicting) > 0.35 THEN 'high_direct_contour_conflict_rate' END, CASE WHEN crossings > 0 THEN 'contour_crossings' END, CASE WHEN closed > greatest(8, least(greatest(1, levels) * 2, greatest(1, support) * 2)) THEN 'excessive_closed_contours' END, CASE WHEN levels > 40 THEN 'excessive_contour_levels' END], lambda x: x IS NOT NULL) AS reasons FROM m)
-SELECT l_partkey, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 'accepted' ELSE 'review' END AS status FROM r
+WITH g AS (SELECT l_partkey AS p, count(*) FILTER (l_returnflag = 'N') AS confident, count(*) FILTER (l_returnflag = 'R') AS conflicting, count(*) FILTER (l_quantity > 49) AS crossings, count(DISTINCT l_suppkey) + l_partkey % 40 AS levels, count(*) FILTER (l_linestatus = 'F') AS closed, count(*) // 4 AS support, count(*) AS compared, count(*) FILTER (l_discount < 0.055) / count(*) AS within_rate, max(l_tax) * 1000 AS p95 FROM lineitem GROUP BY 1),
+m AS (SELECT *, p % 20 AS ids, p % 3 = 0 AS preserving, 100 + p % 100 AS interval, p % 7 > 0 AS kept, CASE WHEN p % 5 > 0 THEN p % 10 / 10 END AS inferred FROM g),
+r AS (SELECT *, list_filter([CASE WHEN confident < 3 THEN 'fewer_than_3_direct_contours' END, CASE WHEN conflicting >= 3 AND conflicting / greatest(1, confident + conflicting) > 0.35 THEN 'high_direct_contour_conflict_rate' END, CASE WHEN crossings > 0 THEN 'contour_crossings' END,
+  CASE WHEN closed > greatest(8, least(greatest(1, levels) * 2, greatest(1, support) * 2)) THEN 'excessive_closed_contours' END, CASE WHEN levels > 40 THEN 'excessive_contour_levels' END, CASE WHEN preserving AND ids < 10 THEN 'weak_profile_network_evidence' END, CASE WHEN preserving THEN 'trace_preserving_reconstruction_requires_review' END,
+  CASE WHEN compared >= 10 AND within_rate < 0.6 THEN 'low_label_surface_agreement' END, CASE WHEN p95 > interval * 0.5 THEN 'constraint_error_exceeds_half_interval' END, CASE WHEN NOT kept THEN 'value_range_not_preserved' END, CASE WHEN inferred < 0.7 THEN 'low_contour_interval_confidence' END], lambda x: x IS NOT NULL) AS reasons FROM m)
+SELECT p AS l_partkey, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 'accepted' ELSE 'review' END AS status FROM r
 """)
 def quality_reasons(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_if(F.expr("l_returnflag = 'N'")).alias("confident"), F.count_if(F.expr("l_returnflag = 'R'")).alias("conflicting"), F.count_if(F.expr("l_linestatus = 'X'")).alias("crossings"), F.count_distinct("l_suppkey").alias("levels"), F.count_if(F.expr("l_linestatus = 'F'")).alias("closed"), F.count("*").alias("support"))
-    m = m.withColumns({"profile_ids": F.lit(0), "preserving": F.lit(False), "compared": F.lit(0), "within_rate": F.lit(1.0), "p95_error_m": F.lit(0.0), "interval_m": F.lit(1.0), "range_kept": F.lit(True), "interval_support": F.lit(1.0)})
+    """Parts as maps: every one of the eleven rules holds for some and not for others; the interval's support is unknown for each fifth."""
+    p = F.col("l_partkey")
+    m = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.count_if(F.expr("l_returnflag = 'N'")).alias("confident"), F.count_if(F.expr("l_returnflag = 'R'")).alias("conflicting"), F.count_if(F.expr("l_quantity > 49")).alias("crossings"), F.count_distinct("l_suppkey").alias("_s"),
+        F.count_if(F.expr("l_linestatus = 'F'")).alias("closed"), F.floor(F.count("*") / 4).alias("support"), F.count("*").alias("compared"), (F.count_if(F.expr("l_discount < 0.055")) / F.count("*")).alias("within_rate"), (F.max("l_tax") * 1000).alias("p95_error_m"),
+    )
+    m = m.withColumns({"levels": F.col("_s") + p % 40, "profile_ids": p % 20, "preserving": p % 3 == 0, "interval_m": 100 + p % 100, "range_kept": p % 7 > 0, "interval_support": F.when(p % 5 > 0, p % 10 / 10)})
     return evidence.quality(m).select("l_partkey", F.array_join("reasons", ",").alias("reasons"), "status")
 
 
@@ -184,3 +192,23 @@ def stream_settle(spark, sf_dir):
     inbox.run_available(inbox.settled_sessions(rows, "user_id", "ts", "30 minutes"), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/b={i}-{uuid.uuid4().hex}"), f"{scratch.base}/ckpt")
     return spark.read.schema("user_id bigint, start timestamp, end timestamp, n bigint").option("recursiveFileLookup", True).parquet(out)
 
+
+
+@query("""
+WITH o AS (SELECT user_id::VARCHAR AS key, event_type AS f, epoch_us(ts) // 1000 AS ms, event_id FROM events), c AS (SELECT *, lag(f) OVER (PARTITION BY key ORDER BY ms, event_id) AS before FROM o),
+s AS (SELECT key, f, ms, lead(ms) OVER (PARTITION BY key ORDER BY ms, event_id) AS until FROM c WHERE before IS DISTINCT FROM f),
+t AS (SELECT key, f, ms, lag(f) OVER (PARTITION BY key ORDER BY ms) AS reported FROM s WHERE coalesce(until, (SELECT max(ms) FROM o)) >= ms + 21600000)
+SELECT key, f AS fingerprint, ms AS since_ms, ms + 21600000 AS settled_ms FROM t WHERE reported IS DISTINCT FROM f
+""")
+def settled_folders(spark, sf_dir):
+    """Users as folders, event types as fingerprints: those that stayed for six hours, by timers over keyed state in a stream."""
+    import uuid
+
+    scratch, own = Scratch(spark, "timers"), spark.newSession()
+    timers.use_rocksdb(own)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("fingerprint"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"))
+    source = own.readStream.schema(rows.schema).parquet(scratch.write(rows)[1])
+    out = f"{scratch.base}/out"
+    inbox.run_available(timers.settled(source, 21600), lambda b, i: b.write.parquet(f"{out}/b={i}-{uuid.uuid4().hex}"), f"{scratch.base}/ckpt")
+    done = spark.read.schema(timers.SETTLED).option("recursiveFileLookup", True).parquet(out)
+    return done.select("key", "fingerprint", F.unix_millis("since").alias("since_ms"), F.unix_millis("settled").alias("settled_ms"))
