@@ -208,7 +208,9 @@ def georeference(grid: DataFrame, fits: DataFrame, by: str, size: float, most: i
     """(by, row, col, x, y, z): each map's grid (by, row, col, z) on a lattice of map coordinates.
 
     fits: (by, ax, bx, cx, ay, by_, cy), map coordinates as affine functions of col and row. A target node is carried back by the
-    inverse and read between four cells; outside and beside blanks it is left out. A map of over ``most`` nodes is refused.
+    inverse and read on the Delaunay triangle of the grid's nodes that it lies in: the images of cells are equal parallelograms, whose shorter
+    diagonal parts them (rectangles: the one from the first corner). A node outside, or in a triangle with a blank corner, is left out. A map of
+    over ``most`` nodes is refused.
     """
     from . import surface
 
@@ -223,7 +225,9 @@ def georeference(grid: DataFrame, fits: DataFrame, by: str, size: float, most: i
     det = F.col("bx") * F.col("cy") - F.col("cx") * F.col("by_")
     u, v = F.col("tx") - F.col("ax"), F.col("ty") - F.col("ay")
     back = nodes.withColumns({"x": (F.col("cy") * u - F.col("cx") * v) / det, "y": (F.col("bx") * v - F.col("by_") * u) / det, "node": F.struct("r", "c")})
-    z = surface.bilinear(back.select(by, "node", "x", "y"), grid, 0.0, 0.0, 1.0, "node", [by])
+    # lengths of the images of the diagonals (1, 1) and (1, -1)
+    first = F.hypot(F.col("bx") + F.col("cx"), F.col("by_") + F.col("cy")) <= F.hypot(F.col("bx") - F.col("cx"), F.col("by_") - F.col("cy")) + 1e-9
+    z = surface.triangular(back.select(by, "node", "x", "y", first.alias("first")), grid, "node", [by])
     out = back.join(z, [by, "node"]).where("z is not null")
     return out.select(by, (F.col("r") - F.col("r0")).alias("row"), (F.col("c") - F.col("c0")).alias("col"), F.col("tx").alias("x"), F.col("ty").alias("y"), "z")
 
@@ -233,6 +237,17 @@ def georeference_verdict(controls: Column, p95: Column, size: float) -> Column:
     return F.when((controls >= 4) & (p95 <= size * 0.5), "accepted").otherwise("review")
 
 
+def cell_side(grid: DataFrame, fits: DataFrame, by: str) -> DataFrame:
+    """(by, size): the side of a target cell for each map, from the fit and the median steps of its grid's columns and rows; one where a map has one of them."""
+    def steps(c: str) -> DataFrame:
+        own = grid.select(by, F.col(c).alias("v")).distinct()
+        own = own.withColumn("d", F.col("v") - F.lag("v").over(W.partitionBy(by).orderBy("v")))
+        return own.groupBy(by).agg(F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(1.0)).alias(f"d_{c}"))
+
+    det = F.col("bx") * F.col("cy") - F.col("cx") * F.col("by_")
+    return fits.join(steps("col"), by).join(steps("row"), by).select(by, cell_size(det, F.col("d_col"), F.col("d_row")).alias("size"))
+
+
 def main_axis(points: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, x, y, angle, elongation): centre, direction in degrees of [0, 180) and the ratio of the small to the large spread of point groups."""
     s = points.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"))

@@ -97,6 +97,22 @@ def bilinear(points: DataFrame, grid: DataFrame, x0: float, y0: float, size: flo
     return met.groupBy(*by, key).agg(F.when(F.count_if(F.col("z").isNull() & (F.col("w") > 0)) == 0, F.sum(F.col("z") * F.col("w"))).alias("z"))
 
 
+def triangular(points: DataFrame, grid: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """(by, key, z): values at points (by, key, x, y, first) in cells of a grid, each cell parted by one diagonal; null outside and at blank corners.
+
+    first: whether the diagonal runs from the cell's first corner to the opposite one, else between the other two. A point meets the three corners of its
+    triangle by one equi-join.
+    """
+    at = points.select(*by, key, "first", F.floor("x").cast("bigint").alias("c"), F.floor("y").cast("bigint").alias("r"), F.col("x").alias("u"), F.col("y").alias("v"))
+    u, v = F.col("u") - F.col("c"), F.col("v") - F.col("r")
+    corner = lambda i, j, w: F.struct((F.col("r") + i).alias("row"), (F.col("c") + j).alias("col"), w.alias("w"))
+    along = F.when(u >= v, F.array(corner(0, 0, 1 - u), corner(0, 1, u - v), corner(1, 1, v))).otherwise(F.array(corner(0, 0, 1 - v), corner(1, 0, v - u), corner(1, 1, u)))
+    across = F.when(u + v <= 1, F.array(corner(0, 0, 1 - u - v), corner(0, 1, u), corner(1, 0, v))).otherwise(F.array(corner(1, 1, u + v - 1), corner(1, 0, 1 - u), corner(0, 1, 1 - v)))
+    rows = at.select(*by, key, F.explode(F.when(F.col("first"), along).otherwise(across)).alias("_at")).select(*by, key, "_at.row", "_at.col", "_at.w")
+    met = rows.join(grid.select(*by, "row", "col", "z"), [*by, "row", "col"], "left")
+    return met.groupBy(*by, key).agg(F.when(F.count_if(F.col("z").isNull() & (F.col("w") > 1e-12)) == 0, F.sum(F.when(F.col("w") > 1e-12, F.col("z") * F.col("w")))).alias("z"))
+
+
 #: Edges that a contour crosses in each of the 16 cases of marching squares (t top, r right, b bottom, l left);
 #: corners count 1, 2, 4, 8 from the upper left clockwise. Saddles separate the high corners.
 CASES = {1: "lt", 2: "tr", 3: "lr", 4: "rb", 5: "lt rb", 6: "tb", 7: "lb", 8: "bl", 9: "bt", 10: "tr bl", 11: "br", 12: "rl", 13: "rt", 14: "tl"}

@@ -34,33 +34,39 @@ w AS (SELECT o_orderkey // 3000 AS map, o_orderkey AS vertex, o_custkey % 9 AS l
 g AS (SELECT map, v, coalesce((v - lag(v) OVER (PARTITION BY map ORDER BY v) > 0.8)::INT, 0) AS new FROM l), u AS (SELECT map, v, sum(new) OVER (PARTITION BY map ORDER BY v ROWS UNBOUNDED PRECEDING) AS run FROM g),
 a AS (SELECT map, run, count(*) AS n, min(v) AS lo, max(v) AS hi FROM u GROUP BY ALL), b AS (SELECT *, sum(n) OVER (PARTITION BY map) AS total, row_number() OVER (PARTITION BY map ORDER BY n DESC, hi - lo, lo) AS k FROM a),
 z AS (SELECT map, lo - 0.1 AS low, hi + 0.1 AS high FROM b WHERE k = 1 AND total >= 6 AND n >= greatest(3, total * 0.25)),
-f AS (SELECT l.* FROM l LEFT JOIN z USING (map) WHERE low IS NULL OR v BETWEEN low AND high), d AS (SELECT f.map, f.label, f.v, w.vertex, w.line, sqrt((f.x - w.x) ** 2 + (f.y - w.y) ** 2) AS d FROM f JOIN w ON f.map = w.map AND w.line NOT IN (0, 4)),
+f AS (SELECT l.* FROM l LEFT JOIN z USING (map) WHERE low IS NULL OR v BETWEEN low AND high),
+h AS (SELECT l.map, w.line, row_number() OVER (PARTITION BY l.label ORDER BY sqrt((l.x - w.x) ** 2 + (l.y - w.y) ** 2), w.vertex) AS k FROM l JOIN w ON l.map = w.map AND w.line IN (0, 2, 5) AND sqrt((l.x - w.x) ** 2 + (l.y - w.y) ** 2) <= 87.5 WHERE l.label % 202 = 0),
+d AS (SELECT f.map, f.label, f.v, w.vertex, w.line, sqrt((f.x - w.x) ** 2 + (f.y - w.y) ** 2) AS d FROM f JOIN w ON f.map = w.map AND w.line NOT IN (0, 4) AND NOT EXISTS (SELECT 1 FROM h WHERE h.map = w.map AND h.line = w.line AND k = 1)),
 e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vertex) AS k FROM d WHERE d <= 70), c AS (SELECT map, line, v, count(*) AS c, min(label) AS first FROM e WHERE k = 1 GROUP BY ALL),
 t AS (SELECT map, line, sum(c) AS total, count(*) AS kinds FROM c GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY map, line ORDER BY c DESC, first) AS k FROM c)
 SELECT map, line, v AS value, c AS votes, total::BIGINT AS total, CASE WHEN (kinds = 1 OR c >= 2 * (total - c)) AND line <> 7 THEN 'confident' ELSE 'conflict' END AS verdict FROM o JOIN t USING (map, line) WHERE k = 1
 """)
 def assign_lines(spark, sf_dir):
-    """Labels against lines on maps of 3,000 orders: line 0 is a leak, line 4 too short, line 7 under suspicion."""
+    """Labels against lines on maps of 3,000 orders: line 0 is a leak, line 4 too short, line 7 under suspicion; lines 2 and 5 are straight, and leaks where a profile's number lies by."""
     rows, by = table(spark, sf_dir, "orders"), F.expr("o_orderkey div 3000").alias("map")
     x, k = F.col("o_totalprice") / 1000, F.col("o_custkey")
     labels = rows.where("o_orderkey % 2 = 0").select(by, F.col("o_orderkey").alias("label"), x.alias("x"), (k % 97 * 4.0).alias("y"), F.round(F.col("o_orderkey") % 14 * 0.1, 1).alias("value"))
     vertices = rows.where("o_orderkey % 2 = 1").select(by, F.col("o_orderkey").alias("vertex"), (k % 9).alias("line"), (x + 1).alias("x"), (k % 89 * 4.0).alias("y"))
     n = F.col("line")
-    stats = vertices.select("map", "line").distinct().withColumns({"length": F.when(n == 4, 60.0).when(n == 7, 120.0).otherwise(500.0), "straightness": F.when(n == 0, 0.02).when(n == 7, 0.005).otherwise(0.5)})
-    return lines.assign(labels, vertices, stats, "map", "line", "label", 0.1)
+    stats = vertices.select("map", "line").distinct().withColumns({"length": F.when(n == 4, 60.0).when(n == 7, 120.0).otherwise(500.0), "straightness": F.when(n == 0, 0.02).when(n == 7, 0.005).when(n.isin(2, 5), 0.05).otherwise(0.5)})
+    return lines.assign(labels, vertices, stats, "map", "line", "label", 0.1, profiles=labels.where("label % 202 = 0").select("map", "label", "x", "y"))
 
 
 @query("""
 WITH g AS (SELECT l_returnflag AS map, floor(l_quantity / 5)::BIGINT AS row, floor(l_discount * 100 / 2 + 0.25)::BIGINT AS col, avg(l_extendedprice / 1000) AS z FROM lineitem GROUP BY 1, 2, 3),
-f AS (SELECT *, 10.0 + 2 * col AS mx, 5.0 + 2 * row AS my FROM g), b AS (SELECT map, ceil(min(mx) / 1.5 - 1 + 1 - 1e-9)::BIGINT AS u, floor(min(mx) / 1.5 + 1e-9)::BIGINT AS c0, ceil(max(mx) / 1.5 - 1e-9)::BIGINT AS c1, floor(min(my) / 1.5 + 1e-9)::BIGINT AS r0, ceil(max(my) / 1.5 - 1e-9)::BIGINT AS r1 FROM f GROUP BY 1),
-n AS (SELECT map, c0, r0, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM b)), t AS (SELECT *, (c * 1.5 - 10) / 2 AS x, (r * 1.5 - 5) / 2 AS y FROM n), k AS (SELECT *, floor(x)::BIGINT AS fc, floor(y)::BIGINT AS fr FROM t),
-w AS (SELECT k.map, k.r - k.r0 AS row, k.c - k.c0 AS col, (1 - abs(y - (fr + i))) * (1 - abs(x - (fc + j))) AS w, g.z FROM k, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) s(i, j) LEFT JOIN g ON g.map = k.map AND g.row = fr + i AND g.col = fc + j)
-SELECT map, row, col, round(sum(z * w) FILTER (w > 1e-12), 5) AS z FROM w GROUP BY 1, 2, 3 HAVING count(*) FILTER (w > 1e-12 AND z IS NULL) = 0
+q AS (SELECT *, 2.0 AS bx, CASE map WHEN 'A' THEN 0.0 WHEN 'N' THEN 0.7 ELSE -0.7 END AS cx, CASE map WHEN 'A' THEN 0.0 WHEN 'N' THEN 0.4 ELSE 0.3 END AS by_, 2.1 AS cy FROM g), f AS (SELECT *, 10.0 + bx * col + cx * row AS mx, 5.0 + by_ * col + cy * row AS my FROM q),
+b AS (SELECT map, bx, cx, by_, cy, floor(min(mx) / 1.5 + 1e-9)::BIGINT AS c0, ceil(max(mx) / 1.5 - 1e-9)::BIGINT AS c1, floor(min(my) / 1.5 + 1e-9)::BIGINT AS r0, ceil(max(my) / 1.5 - 1e-9)::BIGINT AS r1 FROM f GROUP BY 1, 2, 3, 4, 5),
+n AS (SELECT *, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM b)), t AS (SELECT *, (cy * (c * 1.5 - 10) - cx * (r * 1.5 - 5)) / (bx * cy - cx * by_) AS x, (bx * (r * 1.5 - 5) - by_ * (c * 1.5 - 10)) / (bx * cy - cx * by_) AS y FROM n),
+k AS (SELECT *, floor(x)::BIGINT AS fc, floor(y)::BIGINT AS fr, x - floor(x) AS u, y - floor(y) AS v, (bx + cx) ** 2 + (by_ + cy) ** 2 <= (bx - cx) ** 2 + (by_ - cy) ** 2 + 1e-9 AS d FROM t),
+w AS (SELECT map, r, r0, c, c0, fr, fc, unnest(CASE WHEN d AND u >= v THEN [{i: 0, j: 0, w: 1 - u}, {i: 0, j: 1, w: u - v}, {i: 1, j: 1, w: v}] WHEN d THEN [{i: 0, j: 0, w: 1 - v}, {i: 1, j: 0, w: v - u}, {i: 1, j: 1, w: u}] WHEN u + v <= 1 THEN [{i: 0, j: 0, w: 1 - u - v}, {i: 0, j: 1, w: u}, {i: 1, j: 0, w: v}] ELSE [{i: 1, j: 1, w: u + v - 1}, {i: 1, j: 0, w: 1 - u}, {i: 0, j: 1, w: 1 - v}] END) AS s FROM k)
+SELECT w.map, r - r0 AS row, c - c0 AS col, round(sum(z * s.w) FILTER (s.w > 1e-12), 5) AS z FROM w LEFT JOIN g ON g.map = w.map AND g.row = fr + s.i AND g.col = fc + s.j GROUP BY 1, 2, 3 HAVING count(*) FILTER (s.w > 1e-12 AND z IS NULL) = 0
 """)
 def georeferenced(spark, sf_dir):
-    by = F.col("l_returnflag").alias("map")
+    """Three maps: one straight, and two turned and sheared, whose triangles lie along either diagonal."""
+    by, flag = F.col("l_returnflag").alias("map"), F.col("map")
     grid = table(spark, sf_dir, "lineitem").groupBy(by, F.floor(F.col("l_quantity") / 5).alias("row"), F.floor(F.col("l_discount") * 100 / 2 + 0.25).alias("col")).agg(F.avg(F.col("l_extendedprice") / 1000).alias("z"))
-    fits = grid.select("map").distinct().withColumns({"ax": F.lit(10.0), "bx": F.lit(2.0), "cx": F.lit(0.0), "ay": F.lit(5.0), "by_": F.lit(0.0), "cy": F.lit(2.0)})
+    turn = lambda a, n, r: F.when(flag == "A", a).when(flag == "N", n).otherwise(r)
+    fits = grid.select("map").distinct().withColumns({"ax": F.lit(10.0), "bx": F.lit(2.0), "cx": turn(0.0, 0.7, -0.7), "ay": F.lit(5.0), "by_": turn(0.0, 0.4, 0.3), "cy": F.lit(2.1)})
     return lines.georeference(grid, fits, "map", 1.5).select("map", "row", "col", F.round("z", 5).alias("z"))
 
 

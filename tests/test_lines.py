@@ -211,3 +211,39 @@ def test_label_lines_against_all_pairs(spark):
             want[k, min(met)[1], min(met)[0]] += 1
     got = lines.label_lines(spark.createDataFrame(labels, "map string, label int, x double, y double, angle double"), spark.createDataFrame(own, "map string, line int, x double, y double, x1 double, y1 double, angle double"), "map", "label", "line")
     assert Counter((r.label, r.line, round(r.cost, 6)) for r in got.collect()) == want and len(want) > 10
+
+
+@pytest.mark.parametrize("bx, cx, by_, cy", [(2.0, 0.7, 0.4, 2.1), (2.0, -0.7, 0.3, 2.1), (1.0, 0.3, -0.9, 1.4)])
+def test_georeference_is_delaunay(spark, bx, cx, by_, cy):
+    """Values on the lattice equal those of the triangles whose circumcircles hold no other node, found by trying all triples."""
+    rng = random.Random(1)
+    z = {(r, c): rng.uniform(0, 50) for r in range(5) for c in range(5)}
+    at = {p: np.array([3 + bx * p[1] + cx * p[0], -7 + by_ * p[1] + cy * p[0]]) for p in z}
+    triangles, names = [], sorted(z)
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[:i]):
+            for c in names[:j]:
+                m = np.array([at[b] - at[a], at[c] - at[a]])
+                if abs(np.linalg.det(m)) < 1e-9:
+                    continue
+                centre = np.linalg.solve(m, (m * m).sum(1) / 2)
+                if all(np.hypot(*(at[p] - at[a] - centre)) >= np.hypot(*centre) - 1e-9 for p in names):
+                    triangles.append((a, b, c))
+    want = {}
+    size = 0.8
+    xs, ys = zip(*at.values())
+    for i in range(math.floor(min(ys) / size + 1e-9), math.ceil(max(ys) / size - 1e-9) + 1):
+        for j in range(math.floor(min(xs) / size + 1e-9), math.ceil(max(xs) / size - 1e-9) + 1):
+            for a, b, c in triangles:
+                w = np.linalg.solve(np.array([[*at[p], 1] for p in (a, b, c)]).T, [j * size, i * size, 1])
+                if (w >= -1e-9).all():
+                    want[round(j * size, 6), round(i * size, 6)] = w @ [z[a], z[b], z[c]]
+    grid = spark.createDataFrame([("m", r, c, v) for (r, c), v in z.items()], "map string, row int, col int, z double")
+    fits = spark.createDataFrame([("m", 3.0, bx, cx, -7.0, by_, cy)], "map string, ax double, bx double, cx double, ay double, by_ double, cy double")
+    got = {(round(r.x, 6), round(r.y, 6)): r.z for r in lines.georeference(grid, fits, "map", size).collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    assert all(abs(got[p] - want[p]) < 1e-6 for p in got)
+    blank = lines.georeference(grid.where("not (row = 2 and col = 2)"), fits, "map", size)
+    assert 0 < blank.count() < len(got)
+    side = lines.cell_side(grid.withColumn("col", F.col("col") * 4), fits, "map").first()
+    assert abs(side["size"] - math.sqrt(abs(bx * cy - cx * by_) * 4)) < 1e-9
