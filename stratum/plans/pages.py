@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evidence, routing, status
 from ..operators.graph import Scratch
+from ..sources import pdf
 from ..streaming import inbox, timers
 from .registry import query, table
 
@@ -212,3 +213,27 @@ def settled_folders(spark, sf_dir):
     inbox.run_available(timers.settled(source, 21600), lambda b, i: b.write.parquet(f"{out}/b={i}-{uuid.uuid4().hex}"), f"{scratch.base}/ckpt")
     done = spark.read.schema(timers.SETTLED).option("recursiveFileLookup", True).parquet(out)
     return done.select("key", "fingerprint", F.unix_millis("since").alias("since_ms"), F.unix_millis("settled").alias("settled_ms"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, unnest(range(c_custkey % 7)) AS i, c_custkey % 7 AS n FROM customer)
+SELECT c_custkey::VARCHAR AS path, i::INT AS pdf_page, n::INT AS n_pages, (500 + c_custkey % 90 + i)::DOUBLE AS width, 700::DOUBLE AS height, (i % 4 * 90)::INT AS rotation FROM c
+UNION ALL SELECT c_custkey::VARCHAR, NULL, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 91 = 0
+""")
+def pdf_page_rows(spark, sf_dir):
+    """Customers as files of up to six pages with a table of cross-references; each 91st has a second file that breaks off."""
+    k = F.col("c_custkey")
+    n = (k % 7).cast("int")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", n.alias("n"))
+    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    kids = F.array_join(F.transform(numbers, lambda i: F.concat((i + 3).cast("string"), F.lit(" 0 R"))), " ")
+    page = lambda i: F.format_string("%d 0 obj\n<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d 700] /Rotate %d >>\nendobj\n", i + 3, 500 + k % 90 + i, i % 4 * 90)
+    objects = F.concat(F.array(F.lit("1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"), F.concat(F.lit("2 0 obj\n<< /Type /Pages /Kids ["), kids, F.lit("] >>\nendobj\n"))), F.transform(numbers, page))
+    rows = rows.withColumn("objects", objects)
+    head = "%PDF-1.4\n"
+    place = lambda i: F.aggregate(F.slice("objects", 1, i), F.lit(len(head)), lambda a, x: a + F.length(x))
+    entries = F.array_join(F.transform(F.sequence(F.lit(0), F.size("objects") - 1), lambda i: F.format_string("%010d 00000 n \n", place(i))), "")
+    end = F.concat(F.lit("xref\n1 "), F.size("objects").cast("string"), F.lit("\n"), entries, F.lit("trailer\n<< /Root 1 0 R >>\nstartxref\n"), place(F.size("objects")).cast("string"), F.lit("\n%%EOF\n"))
+    whole = rows.select("c_custkey", F.concat(F.lit(head), F.array_join("objects", ""), end).alias("content"))
+    cut = whole.where("c_custkey % 91 = 0").withColumn("content", F.substring("content", 1, 30))
+    return pdf.page_rows(whole.unionByName(cut).withColumn("content", F.col("content").cast("binary")), "c_custkey").drop("error")
