@@ -96,7 +96,6 @@ def list_ranks(links: DataFrame, scratch: Scratch) -> DataFrame:
     follow each other hold the same smallest node only where they overlap, on a ring. So the rounds grow with the logarithm of the
     longest list. Nodes are compared by their own order; a next without a row of its own ends its list too.
     """
-    kind = links.schema["node"].dataType
     known = links.select(F.col("node").alias("_k"))
     own = links.join(known, F.col("next") == F.col("_k"), "left").select("node", F.col("_k").alias("to"))
     heads = own.select("node").join(own.where("to is not null").select(F.col("to").alias("node")), "node", "left_anti")
@@ -122,5 +121,5 @@ def list_ranks(links: DataFrame, scratch: Scratch) -> DataFrame:
     if rings.isEmpty():
         return out
     cut = own.join(rings, "node").select("node", F.when(F.col("to") != F.col("low"), F.col("to")).alias("to"))
-    starts = rings.select(F.col("low").cast(kind).alias("node")).distinct()
+    starts = rings.select(F.col("low").alias("node")).distinct()
     return out.unionByName(placed(jump(cut), starts, True))
