@@ -72,12 +72,26 @@ def measurements(readings: DataFrame, text: str) -> DataFrame:
     return readings.withColumns({"kind": F.when(signed, "label").when(mark, "mark"), "value": value})
 
 
-def eligibility(readings: DataFrame, by: list[str], text: str, score: str, least_score: float = 0.75) -> DataFrame:
-    """(by, labels, retained, levels, marks, eligible): whether a map's readings hold enough depth labels or marks."""
+#: Fixed value: how much longer than wide a map's image may be.
+MOST_ASPECT = 2.5
+
+
+def eligibility(readings: DataFrame, by: list[str], text: str, score: str, least_score: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
+    """(by, labels, retained, levels, marks, aspect, eligible, reasons): whether a map's readings hold enough depth labels or marks.
+
+    sizes: (by, height, width) of the maps' images; one much longer than wide isn't eligible, and aspect is null without a size. The names of the reasons are
+    fixed values.
+    """
     rows = measurements(readings.where(F.coalesce(score, F.lit(0.0)) >= least_score), text).where("kind is not null").withColumn("v", F.abs("value"))
     labels = rows.where("kind = 'label'")
     band = value_band(labels, "v", by, 0.1).select(*by, "low", "high")
     kept = labels.join(band, by, "left").where("low is null or v between low and high").groupBy(*by).agg(F.count("*").alias("retained"), F.count_distinct(F.round("v", 3)).alias("levels"))
     out = readings.select(*by).distinct().join(rows.groupBy(*by).agg(F.count_if(F.expr("kind = 'label'")).alias("labels"), F.count_if(F.expr("kind = 'mark'")).alias("marks")), by, "left").join(kept, by, "left").fillna(0, ["labels", "marks", "retained", "levels"])
+    if sizes is not None:
+        out = out.join(sizes.select(*by, (F.greatest("height", "width") / F.greatest(F.lit(1), F.least("height", "width"))).alias("aspect")), by, "left")
+    else:
+        out = out.withColumn("aspect", F.lit(None).cast("double"))
     good = ((F.col("retained") >= 5) & (F.col("levels") >= 3)) | ((F.col("marks") >= 20) & (F.col("retained") >= 3))
-    return out.withColumn("eligible", good)
+    long = F.coalesce(F.col("aspect") > MOST_ASPECT, F.lit(False))
+    reasons = F.filter(F.array(F.when(~good, F.lit("insufficient_depth_label_evidence")), F.when(long, F.lit("extreme_aspect_ratio"))), lambda x: x.isNotNull())
+    return out.withColumns({"eligible": good & ~long, "reasons": reasons})
