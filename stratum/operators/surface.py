@@ -181,6 +181,13 @@ def contour_paths(segments: DataFrame, scratch: Scratch, by: list[str] | None =
     return starts.unionByName(ends).where(F.col("n") >= least_points).join(size, "line").select(*keys, "line", "seq", "x", "y", "n", "length", "closed")
 
 
+def range_kept(grid: DataFrame, marks: DataFrame, value: str, by: list[str], slack: float = 1e-6) -> DataFrame:
+    """(by, kept): whether each map's grid stays within the range of the values that it was made from; null for a grid without values or cells."""
+    own = grid.groupBy(*by).agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+    given = marks.groupBy(*by).agg(F.min(value).alias("v0"), F.max(value).alias("v1"))
+    return own.join(given, by, "left").select(*by, ((F.col("z0") >= F.col("v0") - slack) & (F.col("z1") <= F.col("v1") + slack)).alias("kept"))
+
+
 def topology(vertices: DataFrame, size: float, by: list[str]) -> DataFrame:
     """(by, lines, levels, closed, crossing_pairs) of each map's level lines (by, level, line, seq, x, y, closed): pairs of lines of any levels that properly cross.
 

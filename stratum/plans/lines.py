@@ -299,3 +299,16 @@ def contour_topology(spark, sf_dir):
     """Lines, levels and rings of three maps; level lines of one surface don't cross."""
     out = surface.contour_paths(surface.contour_segments(_grid(spark, sf_dir), 0.5, ["map"]), Scratch(spark, "levels"), ["map"])
     return surface.topology(out, 1.0, ["map"])
+
+
+@query("""
+WITH g AS (SELECT l_suppkey % 20 AS map, l_linenumber AS k, avg(l_extendedprice) * (1 + l_suppkey % 20 % 3 * 0.3) AS z FROM lineitem GROUP BY 1, 2, l_suppkey % 20 % 3),
+v AS (SELECT l_suppkey % 20 AS map, min(l_extendedprice) AS v0, quantile_cont(l_extendedprice, 0.7) AS v1 FROM lineitem GROUP BY 1) SELECT g.map, min(z) >= any_value(v0) - 1e-6 AND max(z) <= any_value(v1) + 1e-6 AS kept FROM g JOIN v USING (map) GROUP BY 1
+""")
+def range_preserved(spark, sf_dir):
+    """Grids of means, of which some are stretched, against the range of their values up to the 70th percentile."""
+    by = (F.col("l_suppkey") % 20).alias("map")
+    rows = table(spark, sf_dir, "lineitem").select(by, F.col("l_linenumber").alias("k"), F.col("l_extendedprice").alias("v"))
+    grid = rows.groupBy("map", "k").agg(F.avg("v").alias("z")).withColumn("z", F.col("z") * (1 + F.col("map") % 3 * 0.3))
+    top = rows.groupBy("map").agg(F.percentile("v", F.lit(0.7)).alias("v")).unionByName(rows.groupBy("map").agg(F.min("v").alias("v")))
+    return surface.range_kept(grid, top, "v", ["map"])
