@@ -76,12 +76,25 @@ def reading_order(lines: DataFrame, group: list[str], x: str, y: str) -> DataFra
     return lines.withColumn("line_no", F.row_number().over(W.partitionBy(*group).orderBy(y, x)))
 
 
-def bundle(entities: DataFrame, by: str, kind: str, name: str, kinds: list[str]) -> DataFrame:
-    """(by, counts map, names map): entities of each report by kind, kinds without entities with zero and an empty list."""
+def bundle(entities: DataFrame, by: str, kind: str, name: str, kinds: list[str], agents: DataFrame | None = None) -> DataFrame:
+    """(by, counts map, names map): entities of each report by kind, kinds without entities with zero and an empty list.
+
+    agents: (by, agent, status, qc), one row per agent of a report. With them a report also has qc (map of agent to its verdict, null where it gave none) and status:
+    failed where an agent isn't completed, else review where a verdict says so, else completed; reports of agents without entities are there too.
+    """
     counts = [F.count_if(F.col(kind) == k) for k in kinds]
     names = [F.array_sort(F.collect_set(F.when(F.col(kind) == k, F.col(name)))) for k in kinds]
     keys = F.array(*map(F.lit, kinds))
-    return entities.groupBy(by).agg(F.map_from_arrays(keys, F.array(*counts)).alias("counts"), F.map_from_arrays(keys, F.array(*names)).alias("names"))
+    rows = entities.select(by, kind, name)
+    if agents is not None:
+        rows = rows.unionByName(agents.select(by).distinct(), allowMissingColumns=True)
+    out = rows.groupBy(by).agg(F.map_from_arrays(keys, F.array(*counts)).alias("counts"), F.map_from_arrays(keys, F.array(*names)).alias("names"))
+    if agents is None:
+        return out
+    failed, review = F.bool_or(F.coalesce(F.col("status") != "completed", F.lit(True))), F.bool_or(F.coalesce(F.col("qc") == "review", F.lit(False)))
+    verdicts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent", "qc"))))
+    own = agents.groupBy(by).agg(verdicts.alias("qc"), F.when(failed, "failed").when(review, "review").otherwise("completed").alias("status"))
+    return out.join(own, by, "left").withColumns({"qc": F.coalesce("qc", F.create_map().cast("map<string,string>")), "status": F.coalesce("status", F.lit("completed"))})
 
 
 def service_metrics(calls: DataFrame, by: list[str], latency: str, error: Column) -> DataFrame:

@@ -87,11 +87,19 @@ def reading_order(spark, sf_dir):
 
 
 @query("""
-SELECT p_brand, count(*) FILTER (p_type = 'ECONOMY') AS n_economy, count(*) FILTER (p_type = 'NONE') AS n_none, array_to_string(list_sort(coalesce(list(DISTINCT p_name) FILTER (p_type = 'ECONOMY'), [])), ',') AS names FROM part GROUP BY 1
+WITH n AS (SELECT p_brand || '-' || p_size % 10 AS report, count(*) FILTER (p_type = 'ECONOMY') AS n_economy, count(*) FILTER (p_type = 'NONE') AS n_none, array_to_string(list_sort(coalesce(list(DISTINCT p_name) FILTER (p_type = 'ECONOMY'), [])), ',') AS names FROM part WHERE p_size < 40 GROUP BY 1),
+a AS (SELECT p_brand || '-' || p_size % 10 AS report, p_type AS agent, CASE WHEN sum(p_partkey) % 9 = 0 THEN NULL WHEN sum(p_partkey) % 9 = 1 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN sum(p_partkey) % 5 = 0 THEN 'review' WHEN sum(p_partkey) % 5 < 4 THEN 'pass' END AS qc FROM part WHERE p_size % 10 < 8 GROUP BY 1, 2),
+s AS (SELECT report, string_agg(agent || '=' || coalesce(qc, '-'), ',' ORDER BY agent) AS qc, CASE WHEN bool_or(status IS DISTINCT FROM 'completed') THEN 'failed' WHEN bool_or(coalesce(qc = 'review', false)) THEN 'review' ELSE 'completed' END AS status FROM a GROUP BY 1)
+SELECT coalesce(n.report, s.report) AS report, coalesce(n_economy, 0) AS n_economy, coalesce(n_none, 0) AS n_none, coalesce(names, '') AS names, coalesce(qc, '') AS qc, coalesce(status, 'completed') AS status FROM n FULL JOIN s ON n.report = s.report
 """)
 def report_bundle(spark, sf_dir):
-    out = batch.bundle(table(spark, sf_dir, "part"), "p_brand", "p_type", "p_name", ["ECONOMY", "NONE"])
-    return out.select("p_brand", out.counts["ECONOMY"].alias("n_economy"), out.counts["NONE"].alias("n_none"), F.array_join(out.names["ECONOMY"], ",").alias("names"))
+    """Brands and sizes as reports, types as agents; some reports have no agents, some no entities."""
+    part, report = table(spark, sf_dir, "part"), F.concat_ws("-", "p_brand", (F.col("p_size") % 10).cast("string")).alias("report")
+    n = F.sum("p_partkey")
+    agents = part.where("p_size % 10 < 8").groupBy(report, F.col("p_type").alias("agent")).agg(F.when(n % 9 == 1, "failed").when(n % 9 > 1, "completed").alias("status"), F.when(n % 5 == 0, "review").when(n % 5 < 4, "pass").alias("qc"))
+    out = batch.bundle(part.where("p_size < 40").select(report, "p_type", "p_name"), "report", "p_type", "p_name", ["ECONOMY", "NONE"], agents)
+    verdicts = F.array_join(F.transform(F.array_sort(F.map_entries("qc")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))), ",")
+    return out.select("report", out.counts["ECONOMY"].alias("n_economy"), out.counts["NONE"].alias("n_none"), F.array_join(out.names["ECONOMY"], ",").alias("names"), verdicts.alias("qc"), "status")
 
 
 @query("SELECT event_type, count(*) AS requests, count(*) FILTER (value < 1) AS errors, round(avg(value), 2) AS latency FROM events GROUP BY 1")
