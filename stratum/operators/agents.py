@@ -67,8 +67,9 @@ def ask(questions: DataFrame, chunks: DataFrame, question: str, answer: Callable
         asked = asked.withColumn("_k", F.lower(F.trim(question)))
         cached = asked.join(known, "_k").select(question, "_a.answer", F.lit("cached").alias("mode"), "_a.cited", "_a.invalid_citations", "_a.qc")
         return ask(asked.join(known, "_k", "left_anti").select(question), chunks, question, answer).unionByName(cached)
-    page = F.transform(F.flatten(F.collect_list("evidence")), lambda e: F.regexp_extract(e, r"(\d+)$", 1).try_cast("int"))
-    valid = chunks.groupBy(question).agg(F.array_sort(F.array_distinct(F.filter(page, lambda p: p.isNotNull()))).alias("valid"))
+    # pages combine as a set before the shuffle; a question whose chunks name none has an empty one
+    page = F.regexp_extract("_e", r"(\d+)$", 1).try_cast("int")
+    valid = chunks.select(question, F.explode_outer("evidence").alias("_e")).groupBy(question).agg(F.array_sort(F.collect_set(page)).alias("valid"))
     base = asked.join(valid, question, "left")
     extract = retrieval.extractive_answer(chunks, question, "rank", "evidence", "content").withColumnRenamed("answer", "_extract")
     none = F.array().cast("array<int>")

@@ -148,6 +148,47 @@ def connector(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], sch
     return (rows.repartition(parallel) if parallel else rows).mapInPandas(run, schema)
 
 
+def captured_calls(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str, parallel: int | None = None, waits: tuple[float, ...] = (1, 2)) -> DataFrame:
+    """Results of an injected function page by page, with a column error: what failed for good is a row with its key and message, and stops nothing else.
+
+    schema: the columns of the function's results, ``key`` among them. A batch whose call fails is called again row by row, each row once more after every
+    wait. Results of one call come together, so a lost task calls its batch again.
+    """
+    names = [f.name for f in rows.sparkSession.createDataFrame([], schema).schema.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        def once(part: pd.DataFrame, tries: tuple) -> pd.DataFrame:
+            for wait in (*tries, None):
+                try:
+                    return call(part).assign(error=None)
+                except Exception as e:  # whatever the service raises is the page's result
+                    if wait is None:
+                        return pd.DataFrame({key: part[key], "error": f"{type(e).__name__}: {e}"})
+                    time.sleep(wait)
+
+        for batch in batches:
+            whole = once(batch, ())
+            parts = [whole] if not len(whole) or whole["error"].isna().all() else [once(batch.iloc[i : i + 1], waits) for i in range(len(batch))]
+            for part in parts:
+                plain = part.reindex(columns=[*names, "error"]).astype(object)
+                yield plain.where(plain.notna(), None)
+
+    return (rows.repartition(parallel) if parallel else rows).mapInPandas(run, f"{schema}, error string")
+
+
+def stage_verdict(results: DataFrame, queue: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, queued, done, failed, missing, status, first_error): completed where every page of the queue has a result without an error, else failed.
+
+    results: (by, key, error), the last word on each page. The pages that failed are the rows of ``results`` with an error; only the least message is told here.
+    """
+    last = results.groupBy(*by, key).agg(F.bool_or(F.col("error").isNull()).alias("_ok"), F.min("error").alias("_e"))
+    met = queue.select(*by, key).distinct().join(last, [*by, key], "left")
+    out = met.groupBy(*by).agg(F.count("*").alias("queued"), F.count_if("_ok").alias("done"), F.count_if(~F.col("_ok")).alias("failed"), F.count_if(F.col("_ok").isNull()).alias("missing"), F.min(F.when(~F.col("_ok"), F.col("_e"))).alias("first_error"))
+    return out.withColumn("status", F.when(F.col("done") == F.col("queued"), "completed").otherwise("failed"))
+
+
 def cached_calls(rows: DataFrame, cache: DataFrame, key: str, call: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Results from the cache by content key, and from ``call`` for the keys that it lacks."""
     known = cache.join(rows.select(key).distinct(), key, "left_semi")
