@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import batch, corpus, entities, lines, maps, pages, profiles, views  # noqa: E402,F401  each module registers its queries
+from . import batch, corpus, entities, files, lines, maps, pages, profiles, views  # noqa: E402,F401  each module registers its queries
