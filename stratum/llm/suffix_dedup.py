@@ -90,7 +90,7 @@ def _scan(batches, length: int, k: int, kind: pa.DataType):
             cols = [np.array(c, np.int64) for c in zip(*flat)] if flat else [np.zeros(0, np.int64)] * 4
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in cols], fields=list(item)))
             ids = list(zip(*map(identity, raws)))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), pa.array(map(len, raws), pa.int64()), lists], names=["id", "t1", "t2", "n_bytes", "anchors"])
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), pa.array(map(len, raws), pa.int64()), part.column(2), lists], names=["id", "t1", "t2", "n_bytes", "th", "anchors"])
 
 
 def _contexts(batches, length: int, most: int):
@@ -105,14 +105,18 @@ def _contexts(batches, length: int, most: int):
         windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], fields=item))
         return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), windows], names=names)
 
+    seen: set[tuple] = set()  # rows of one id and text come together and are laid out once; beyond the bound again, which changes nothing
     for batch in batches:
         kind = batch.schema.field("id").type
         rows, hashes, size = [], [], 0
         for part in cut(batch, "text", 32):
             for r in part.to_pylist():
-                raw = (r["text"] or "").encode()
-                if identity(raw) != (r["t1"], r["t2"]):
+                raw, node = (r["text"] or "").encode(), (r["id"], r["t1"], r["t2"])
+                if node in seen or identity(raw) != node[1:]:
                     continue
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(node)
                 for c in r["own"]:
                     p0, p1 = c["p0"], c["p1"]
                     ctx = raw[p0 : p1 + length] if c["n"] <= most else None
@@ -263,7 +267,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     another; with ``keep_first`` when such a string starts earlier, texts standing in the order of their smallest key.
     Strings are judged on the input and never cross texts. Null texts count as empty. Repeated rows are copies of each
     other; with ``keep_first`` those with the smallest key stay. Null keys are one key before all others (an integer key of
-    -2^63 counts as null). ``kept`` may cut a character in two (kept_text drops the halves). Groups of over ``most`` anchors
+    -2^63 counts as null); rows of one key, or without one, meet what is known of their own text only. ``kept`` may cut a character in two (kept_text drops the halves). Groups of over ``most`` anchors
     are counted by window. Equal texts are collapsed before anchors are compared, so a hot group of copies is one row. Long
     texts come alone, and a hot window's positions are merged to runs before a text's are gathered. Columns of any name can
     be carried; an empty table gives an empty one.
@@ -276,14 +280,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
         name, kind, ident = "bigint", pa.int64(), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long"))
     else:
         name, kind, ident = "string", pa.string(), F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
-    source = docs.select(ident.alias("id"), F.col(text).cast("string").alias("text"))
-    scan = scratch.table(source.mapInArrow(partial(_scan, length=length, k=k, kind=kind), f"id {name}, t1 bigint, t2 bigint, n_bytes bigint, anchors array<struct<h: bigint, pos: bigint, p0: bigint, p1: bigint>>"))
+    whole = F.col(text).cast("string")
+    own_hash = F.xxhash64(F.coalesce(whole, F.lit("")))  # rows of one id, or without one, meet what is known of their own text only
+    source = docs.select(ident.alias("id"), whole.alias("text"), own_hash.alias("th"))
+    scan = scratch.table(source.mapInArrow(partial(_scan, length=length, k=k, kind=kind), f"id {name}, t1 bigint, t2 bigint, n_bytes bigint, th bigint, anchors array<struct<h: bigint, pos: bigint, p0: bigint, p1: bigint>>"))
     texts = scan.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
     long = scan.where("size(anchors) > 0").join(texts, ["t1", "t2"]).where("id = rep")
-    marks = scratch.table(long.select("id", "t1", "t2", F.inline("anchors")).distinct())
+    marks = scratch.table(long.select("id", "t1", "t2", "th", F.inline("anchors")).distinct())
     twice = scratch.table(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))  # a plain table, for AQE as below
-    own = marks.join(twice, "h").groupBy("id", "t1", "t2").agg(F.collect_list(F.struct("h", "pos", "p0", "p1", "n")).alias("own"))
-    placed = source.join(own, "id")
+    own = marks.join(twice, "h").groupBy("id", "th", "t1", "t2").agg(F.collect_list(F.struct("h", "pos", "p0", "p1", "n")).alias("own"))
+    placed = source.join(own, ["id", "th"]).drop("th")
     found = placed.mapInArrow(partial(_contexts, length=length, most=most), f"h bigint, id {name}, t1 bigint, t2 bigint, pos bigint, p0 bigint, p1 bigint, ctx binary, windows array<struct<a: bigint, b: bigint>>")
     found = scratch.table(found)
 
@@ -299,12 +305,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     again = again.select("t1", "t2", "p", island.alias("i")).groupBy("t1", "t2", "i").agg(F.min("p").alias("start"), (F.max("p") + length).alias("end"))
     runs = runs.select("t1", "t2", "start", "end").unionByName(scratch.table(again.select("t1", "t2", "start", "end")))
     spans = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    told = scan.select("id", "t1", "t2").distinct().join(texts, ["t1", "t2"]).join(spans, ["t1", "t2"], "left").where("copies > 1 or spans is not null")
-    told = told.groupBy("id").agg(F.collect_list(F.struct("t1", "t2", "copies", (F.col("id") == F.col("rep")).alias("first"), "spans")).alias("own"))
+    told = scan.select("id", "t1", "t2", "th").distinct().join(texts, ["t1", "t2"]).join(spans, ["t1", "t2"], "left").where("copies > 1 or spans is not null")
+    told = told.groupBy("id", "th").agg(F.collect_list(F.struct("t1", "t2", "copies", (F.col("id") == F.col("rep")).alias("first"), "spans")).alias("own"))
     carry = [c for c in carry or [key] if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    text_, id_, own_ = (free(c, carry) for c in ("_text", "_id", "_own"))
-    rows = docs.select(*(F.col(f"`{c}`") for c in carry), F.col(text).cast("string").alias(text_), ident.alias(id_))
-    rows = rows.join(told.select(F.col("id").alias(id_), F.col("own").alias(own_)), id_, "left").drop(id_)
+    text_, id_, hash_, own_ = (free(c, carry) for c in ("_text", "_id", "_hash", "_own"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in carry), whole.alias(text_), ident.alias(id_), own_hash.alias(hash_))
+    rows = rows.join(told.select(F.col("id").alias(id_), F.col("th").alias(hash_), F.col("own").alias(own_)), [id_, hash_], "left").drop(id_, hash_)
     more = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())]
     return rows.mapInArrow(partial(_remove, length=length, keep_first=keep_first, carry=carry), StructType([docs.schema[c] for c in carry] + more))
 

@@ -316,6 +316,24 @@ def test_op10_columns(spark, tmp_path):
         assert r.n_near == (sum((full[i] ^ f).bit_count() <= 3 for f in full.values()) - 1 if i % 100 == 0 else None)
 
 
+@pytest.mark.parametrize("first", [False, True])
+def test_many_texts_of_one_key(spark, first):
+    """Texts that all share a key, or have none, and rows that repeat give what texts with keys of their own give."""
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdef ") for _ in range(80))
+    texts = ["".join(rng.choice("ghijkl ") for _ in range(300)) + shared + "".join(rng.choice("mnopq ") for _ in range(50)) for _ in range(3000)]
+    own = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, list(enumerate(texts))), length=50, keep_first=first, carry=["doc_id", "text"]).collect()}
+    for keys in ([None] * 3000, [7] * 3000):
+        got = suffix_dedup.remove_repeats(frame(spark, list(zip(keys, texts))), length=50, keep_first=first, carry=["text"]).collect()
+        assert len(got) == 3000
+        if not first:
+            assert {r.text: bytes(r.kept) for r in got} == {r.text: bytes(r.kept) for r in own.values()}
+        else:  # which text stands first among equals of a key is free
+            assert sum(r.n_removed == 0 for r in got) == sum(r.n_removed == 0 for r in own.values()) == 1
+    doubled = suffix_dedup.remove_repeats(frame(spark, [(None, shared * 2)] * 4000 + [(None, "z" * 20 + shared)]), length=50, keep_first=False).collect()
+    assert sorted({(r.n_removed, len(r.kept)) for r in doubled}) == [(80, 20), (160, 0)]
+
+
 def test_clashing_columns_and_null_strings(spark):
     rng = random.Random(2)
     text = "".join(rng.choice("abcdef ") for _ in range(300))
