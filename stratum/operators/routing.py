@@ -18,10 +18,10 @@ def with_ordinals(pages: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     """Columns ordinal (from 1, in natural order of the path) and page_id.
 
     The order is global, so ranks are found within ranges of the sort key and shifted by the ranges' counts; no task sees more
-    than one range. Ties are broken by the path itself.
+    than one range. Ties are broken by the path itself. The ranges are written once, as a second run may cut or number them otherwise.
     """
     keyed = pages.withColumn("_key", T.natural_key(path)).repartitionByRange("_key", path)
-    keyed = keyed.withColumn("_part", F.spark_partition_id())
+    keyed = scratch.table(keyed.withColumn("_part", F.spark_partition_id()))
     ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy("_key", path)))
     ends = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = ends.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")

@@ -245,3 +245,10 @@ def test_interval_and_corridor(spark):
     assert got == {1: 0.1}
     pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 2.0, 0.0), (4, 50.0, 0.0)], "k int, x double, y double")
     assert {r.k: r.corridor for r in traces.corridor(pts, "k", 1.5).collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_ordinals_of_many_rows(spark):
+    scratch = Scratch(spark, "t")
+    rows = scratch.table(spark.range(0, 300_000, 1, 4).select(F.col("id").alias("k"), F.lpad(F.col("id").cast("string"), 20, "0").alias("path")))
+    got = scratch.table(routing.with_ordinals(rows, "path", scratch))
+    assert tuple(got.agg(F.count("*"), F.count_if(F.col("ordinal") != F.col("k") + 1)).first()) == (300_000, 0)
