@@ -262,7 +262,7 @@ def label_lines(labels: DataFrame, lines: DataFrame, by: str, label: str, line:
 
     labels: (by, label, x, y, angle); lines: (by, line, x, y, x1, y1, angle) with (x, y) and (x1, y1) two points of the infinite line and angle its direction in degrees of
     [0, 180). A line lies in one band of direction and of distance from the origin; a label looks up all bands that lines within its limits can lie in, so the join is
-    exact and compares no other pairs. Ties go to the smaller line. With ``profile`` and ``score``, columns of the labels, only the label with the
+    exact and compares no other pairs. Costs count to six digits and the distance to nine, as the last bits depend on how a line is given; ties go to the smaller line. With ``profile`` and ``score``, columns of the labels, only the label with the
     highest score is kept of those that give one line the same profile, ties to the smaller label.
     """
     turn, cell = 2.0, 2 * distance  # degrees and pixels of a band
@@ -277,9 +277,9 @@ def label_lines(labels: DataFrame, lines: DataFrame, by: str, label: str, line:
     met = own.join(rows, [by, "_b", "_c"])
     d = G.line_distance(F.col("x"), F.col("y"), F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"))
     a = G.angle_between(F.col("angle"), F.col("_t"))
-    met = met.withColumns({"_d": d, "_a": a}).where((F.col("_d") <= distance) & (F.col("_a") <= angle))
+    met = met.withColumns({"_d": d, "_a": a}).where((F.col("_d") <= distance + 1e-9) & (F.col("_a") <= angle))
     extra = [c for c in (profile, score) if c]
-    best = met.groupBy(by, label, *extra).agg(F.min(F.struct((F.col("_d") + 1.5 * F.col("_a")).alias("cost"), "_line")).alias("b"))
+    best = met.groupBy(by, label, *extra).agg(F.min(F.struct(F.round(F.col("_d") + 1.5 * F.col("_a"), 6).alias("c"), "_line", (F.col("_d") + 1.5 * F.col("_a")).alias("cost"))).alias("b"))
     best = best.select(by, label, *extra, F.col("b._line").alias(line), "b.cost")
     if not profile or not score:
         return best.select(by, label, line, "cost")

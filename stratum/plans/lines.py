@@ -82,7 +82,7 @@ def main_axis(spark, sf_dir):
 @query("""
 WITH a AS (SELECT s_suppkey AS label, s_nationkey % 3 AS map, s_suppkey % 7 AS profile, s_suppkey % 11 / 10.0 AS score, (s_suppkey % 101) * 7.0 AS x, s_acctbal / 20 AS y, (s_suppkey * 37 % 180)::DOUBLE AS t FROM supplier), b AS (SELECT c_custkey AS line, c_nationkey % 3 AS map, (c_custkey % 101) * 7.0 AS x, c_acctbal / 20 AS y, (c_custkey * 53 % 180)::DOUBLE AS t FROM customer),
 m AS (SELECT a.map, profile, score, label, line, abs(cos(radians(b.t)) * (a.y - b.y) - sin(radians(b.t)) * (a.x - b.x)) AS d, least((((a.t - b.t) % 180) + 180) % 180, 180 - (((a.t - b.t) % 180) + 180) % 180) AS g FROM a JOIN b ON a.map = b.map),
-k AS (SELECT *, row_number() OVER (PARTITION BY map, label ORDER BY d + 1.5 * g, line) AS r FROM m WHERE d <= 45 AND g <= 20),
+k AS (SELECT *, row_number() OVER (PARTITION BY map, label ORDER BY round(d + 1.5 * g, 6), line) AS r FROM m WHERE d <= 45 + 1e-9 AND g <= 20),
 f AS (SELECT *, row_number() OVER (PARTITION BY map, profile, line ORDER BY score DESC, label) AS s FROM k WHERE r = 1)
 SELECT map, label, profile, line, score::DOUBLE AS score, round(d + 1.5 * g, 5) AS cost FROM f WHERE s = 1
 """)
