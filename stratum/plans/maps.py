@@ -30,10 +30,11 @@ def _cells(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT l_orderkey, l_linenumber, -round(l_extendedprice / 20000, 2) AS v FROM lineitem), s AS (SELECT *, round_even(v / 0.1, 0) * 0.1 AS s FROM v)
+WITH v AS (SELECT l_orderkey, l_linenumber, -((round(l_extendedprice * 100)::BIGINT + 10000) // 20000 / 100) AS v FROM lineitem), s AS (SELECT *, round_even(v / 0.1, 0) * 0.1 AS s FROM v)
 SELECT l_orderkey, l_linenumber, CASE WHEN v >= 0 THEN NULL WHEN abs(v - s) <= 0.03 THEN round(s, 3) END AS snapped FROM s
 """)
 def label_snap(spark, sf_dir):
+    """Prices over 20,000 as labels of two digits, halves of cents away from zero."""
     label = F.concat(F.lit("−"), F.replace(F.format_string("%.2f", F.round(F.col("l_extendedprice") / 20000, 2)), F.lit("."), F.lit(",")))
     snapped = T.label_value(label, 0.1, 0.03)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", snapped.alias("snapped"))

@@ -28,3 +28,8 @@ def test_label_lines_through_labels(same):
     supplier = "SELECT k AS s_suppkey, 0 AS s_nationkey, (k * 379 % 1000) * 10.01 AS s_acctbal FROM range(1, 300) t(k)"
     customer = "SELECT k + i * 18180 AS c_custkey, 0 AS c_nationkey, (k * 379 % 1000) * 10.01 AS c_acctbal FROM range(1, 300) t(k), range(4) r(i)"
     assert any(r[-1] == 0 for r in same("label_lines", supplier=supplier, customer=customer))
+
+
+def test_label_snap_of_halves(same):
+    rows = same("label_snap", lineitem="SELECT 1::BIGINT AS l_orderkey, k::INT AS l_linenumber, k * 500.0::DOUBLE AS l_extendedprice FROM range(1, 200) t(k)")
+    assert (1, 87, -2.2) in rows and (1, 23, -0.6) in rows
