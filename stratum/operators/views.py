@@ -90,8 +90,13 @@ def latest(rows: DataFrame, by: list[str], path: str, mtime: str) -> DataFrame:
 
 
 def confidence(lines: DataFrame, by: list[str], score: str) -> DataFrame:
-    """(by, lines, confidence): how many lines a page has, and the mean of their known scores, zero without any."""
-    return lines.groupBy(*by).agg(F.count("*").alias("lines"), F.coalesce(F.avg(score), F.lit(0.0)).alias("confidence"))
+    """(by, lines, confidence): how many lines a page has, and the mean of their known scores to nine digits, zero without any.
+
+    Scores are summed as decimals of ten digits, so the order of the rows doesn't matter; one that is no number isn't known.
+    """
+    known = F.col(score).try_cast("decimal(20,10)")
+    mean = F.round(F.sum(known).cast("double") / F.nullif(F.count(known), F.lit(0)), 9)
+    return lines.groupBy(*by).agg(F.count("*").alias("lines"), F.coalesce(mean, F.lit(0.0)).alias("confidence"))
 
 
 def better_reading(original: DataFrame, enhanced: DataFrame, by: list[str], least_lines: int = 3, least: float = 0.93) -> DataFrame:

@@ -72,7 +72,7 @@ def latest_manifest(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT l_orderkey, count(*) AS n, coalesce(avg(CASE WHEN l_linenumber <> 2 THEN 1 - l_discount END), 0) AS c FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS n, avg(1 - l_tax) AS c FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
+WITH a AS (SELECT l_orderkey, count(*) AS n, coalesce(round(sum((1 - l_discount)::DECIMAL(20, 10)) FILTER (l_linenumber <> 2)::DOUBLE / count(*) FILTER (l_linenumber <> 2), 9), 0) AS c FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS n, round(sum((1 - l_tax)::DECIMAL(20, 10))::DOUBLE / count(*), 9) AS c FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
 SELECT a.l_orderkey, CASE WHEN (a.n < 3 OR a.c < 0.93) AND b.c > a.c THEN b.n ELSE a.n END AS lines, round(CASE WHEN (a.n < 3 OR a.c < 0.93) AND b.c > a.c THEN b.c ELSE a.c END, 6) AS confidence, CASE WHEN (a.n < 3 OR a.c < 0.93) AND b.c > a.c THEN 'enhanced_retry' ELSE 'original' END AS preprocessing FROM a LEFT JOIN b USING (l_orderkey)
 """)
 def ocr_retry(spark, sf_dir):

@@ -33,3 +33,9 @@ def test_label_lines_through_labels(same):
 def test_label_snap_of_halves(same):
     rows = same("label_snap", lineitem="SELECT 1::BIGINT AS l_orderkey, k::INT AS l_linenumber, k * 500.0::DOUBLE AS l_extendedprice FROM range(1, 200) t(k)")
     assert (1, 87, -2.2) in rows and (1, 23, -0.6) in rows
+
+
+def test_ocr_retry_on_the_limit(same):
+    lineitem = "SELECT o::BIGINT AS l_orderkey, n::INT AS l_linenumber, 20.0::DOUBLE AS l_quantity, (CASE n WHEN 1 THEN 3 + o % 8 WHEN 3 THEN 11 - o % 8 ELSE 7 END / 100)::DOUBLE AS l_discount, (CASE n WHEN 1 THEN o % 7 ELSE (o + n * 3) % 9 END / 100)::DOUBLE AS l_tax FROM range(400) a(o), range(1, 6) b(n) WHERE n <= 3 + o % 3"
+    rows = same("ocr_retry", lineitem=lineitem)
+    assert any(r[2] == 0.93 for r in rows) and {r[3] for r in rows} == {"original"}
