@@ -66,13 +66,15 @@ def paths(pixels: DataFrame, by: str, scratch: Scratch) -> DataFrame:
     return tails.unionByName(heads).unionByName(pairs).select(by, "line", "seq", "p.row", "p.col", "n", "closed")
 
 
-def stitch_pairs(ends: DataFrame, by: str, line: str, gap: float, alignment: float) -> DataFrame:
+def stitch_pairs(ends: DataFrame, by: str, line: str, gap: float, alignment: float, own: str | None = None) -> DataFrame:
     """(by, line, end, line2, end2, distance) of line ends that one pass of stitching may join.
 
     ends: (by, line, end, x, y, dx, dy) with outward directions, as ``traces.tangents`` gives them. Ends meet within the gap; they
-    must point at each other, and along the bridge where it is longer than three pixels.
+    must point at each other, and along the bridge where it is longer than three pixels. ``own`` names a column whose equal values never meet.
     """
     met = spatial.within(ends, ends, gap, [by]).where(F.struct(f"l.{line}", "l.end") < F.struct(f"r.{line}", "r.end")).where(F.col(f"l.{line}") != F.col(f"r.{line}"))
+    if own:
+        met = met.where(F.col(f"l.{own}").isNull() | F.col(f"r.{own}").isNull() | (F.col(f"l.{own}") != F.col(f"r.{own}")))
     dot = lambda ax, ay, bx, by_: F.col(ax) * bx + F.col(ay) * by_
     facing = dot("l.dx", "l.dy", -F.col("r.dx"), -F.col("r.dy"))
     bx, by_ = (F.col("r.x") - F.col("l.x")) / F.col("distance"), (F.col("r.y") - F.col("l.y")) / F.col("distance")
@@ -85,21 +87,46 @@ def bridges(ends: DataFrame, by: str, line: str, scratch: Scratch, stitches: lis
     """(line, end, line2, end2) of line ends that stitching joins, each end at most once.
 
     The gaps grow; at each, an end is joined to the nearest free end that may be joined, pairs by rising distance, so no end is
-    used twice and no line is closed on itself by one bridge.
+    used twice and no line is closed on itself by one bridge. Ends of one place and direction differ by nothing that a pair depends
+    on, so places are paired: of two places that are each other's nearest, the free ends of both are joined in the order of their lines until
+    one place has none left. Equal distances go by a hash of the places, which keeps chains of ties, and so the rounds, short. Ends that
+    could close their own line are places of their own.
     """
-    from .views import disjoint_pairs
-
-    free, links = scratch.table(ends), None
+    both = ends.groupBy(by, line).agg(F.min("end").alias("e"), F.max("end").alias("f"), *(f(c, "end").alias(f"{c}{n}") for f, n in ((F.min_by, 1), (F.max_by, 2)) for c in ("x", "y", "dx", "dy"))).where("e < f")
+    reach, least = max(g for g, _ in stitches), min(a for _, a in stitches)
+    far, bx, by_ = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = F.least(F.col("dx1") * bx + F.col("dy1") * by_, -F.col("dx2") * bx - F.col("dy2") * by_)
+    close = (F.col("dx1") * F.col("dx2") + F.col("dy1") * F.col("dy2") <= -least) & (far <= reach) & ((far <= 3) | (along >= least * far - 1e-9))
+    alone = both.where(close).select(by, line, F.lit(True).alias("_own"))
+    place = F.xxhash64(by, "x", "y", "dx", "dy", F.when(F.col("_own"), F.col(line)))
+    kept = ends.join(alone, [by, line], "left").withColumn("p", place).withColumn("_i", F.row_number().over(W.partitionBy("p").orderBy(line, "end")).cast("bigint") - 1)
+    kept = scratch.table(kept.select(by, line, "end", "x", "y", "dx", "dy", "_own", "p", "_i"))
+    free = scratch.table(kept.groupBy("p").agg(*(F.first(c).alias(c) for c in (by, "x", "y", "dx", "dy")), F.min(F.when(F.col("_own"), F.col(line))).alias("own"), F.count("*").alias("n")).withColumn("used", F.lit(0).cast("bigint")))
+    taken = None
     for gap, alignment in stitches:
-        found = stitch_pairs(free, by, line, gap, alignment)
-        key = lambda c, e: F.concat_ws("|", F.col(c).cast("string"), F.col(e))
-        chosen = disjoint_pairs(found.select(key(line, "end").alias("a"), key(f"{line}2", "end2").alias("b"), F.negate("distance").alias("s")), "a", "b", "s", scratch)
-        links = chosen if links is None else links.unionByName(chosen)
-        used = chosen.select(F.explode(F.array("a", "b")).alias("_u")).distinct()
-        free = scratch.table(free.join(used, key(line, "end") == F.col("_u"), "left_anti"))
+        at = free.where("used < n").select(by, F.col("p").alias("k"), F.lit("").alias("end"), "x", "y", "dx", "dy", F.col("own").alias("_o"))
+        found = stitch_pairs(at, by, "k", gap, alignment, "_o").select("k", "k2", F.struct("distance", F.xxhash64("k", "k2").alias("h"), "k", "k2").alias("d"))
+        left = scratch.table(found)
+        while not left.isEmpty():
+            best = left.select("d", F.explode(F.array("k", "k2")).alias("p")).groupBy("p").agg(F.min("d").alias("d"))
+            pairs = best.groupBy("d").agg(F.count("*").alias("c")).where("c = 2").select(F.col("d.k").alias("k"), F.col("d.k2").alias("k2"))
+            own = lambda c: free.select(F.col("p").alias(c), F.col("n").alias(f"{c}n"), F.col("used").alias(f"{c}u"))
+            m = F.least(F.col("kn") - F.col("ku"), F.col("k2n") - F.col("k2u"))
+            now = scratch.table(pairs.join(own("k"), "k").join(own("k2"), "k2").select("k", "k2", "ku", "k2u", m.alias("m")))
+            taken = now if taken is None else taken.unionByName(now)
+            more = now.select(F.explode(F.array(F.col("k"), F.col("k2"))).alias("p"), "m")
+            free = scratch.table(free.join(more, "p", "left").withColumn("used", F.col("used") + F.coalesce("m", F.lit(0))).drop("m"))
+            gone = free.where("used >= n").select("p")
+            left = left.join(gone.withColumnRenamed("p", "k"), "k", "left_anti").join(gone.withColumnRenamed("p", "k2"), "k2", "left_anti")
+            left = scratch.table(left.select("k", "k2", "d"))
     kind = dict(ends.dtypes)[line]
-    number = lambda c: F.substring_index(c, "|", 1).cast(kind)
-    return scratch.table(links.select(number("a").alias(line), F.substring_index("a", "|", -1).alias("end"), number("b").alias(f"{line}2"), F.substring_index("b", "|", -1).alias("end2")))
+    if taken is None:
+        return scratch.table(ends.limit(0).select(line, "end", F.col(line).alias(f"{line}2"), F.col("end").alias("end2")))
+    steps = taken.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("i")).select("k", (F.col("ku") + F.col("i")).alias("i"), "k2", (F.col("k2u") + F.col("i")).alias("i2"))
+    end = lambda k, i, n: kept.select(F.col("p").alias(k), F.col("_i").alias(i), F.struct(F.col(line).cast(kind).alias("l"), F.col("end").alias("e")).alias(n))
+    met = steps.join(end("k", "i", "_a"), ["k", "i"]).join(end("k2", "i2", "_b"), ["k2", "i2"])
+    met = met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return scratch.table(met.select(F.col("a.l").alias(line), F.col("a.e").alias("end"), F.col("b.l").alias(f"{line}2"), F.col("b.e").alias("end2")))
 
 
 def stitch(ends: DataFrame, by: str, line: str, scratch: Scratch, stitches: list[tuple[float, float]] = STITCHES) -> DataFrame:

@@ -247,3 +247,16 @@ def test_georeference_is_delaunay(spark, bx, cx, by_, cy):
     assert 0 < blank.count() < len(got)
     side = lines.cell_side(grid.withColumn("col", F.col("col") * 4), fits, "map").first()
     assert abs(side["size"] - math.sqrt(abs(bx * cy - cx * by_) * 4)) < 1e-9
+
+
+def test_bridges_of_many_ends_at_one_place(spark):
+    """Ends at one place are joined in few rounds in the order of their lines, never an end to its own line's."""
+    scratch = Scratch(spark, "t")
+    ends = [("m", k, "stop", 0.0, 0.0, 1.0, 0.0) for k in range(40)] + [("m", k, "start", 1.0, 0.0, -1.0, 0.0) for k in range(100, 140)]
+    ends += [("m", 200, "start", 500.0, 0.0, 1.0, 0.0), ("m", 200, "stop", 502.0, 0.0, -1.0, 0.0)]
+    ends += [("r", 300 + k, e, x, 0.0, d, 0.0) for k in range(2) for e, x, d in (("start", 0.0, 1.0), ("stop", 2.0, -1.0))]
+    got = lines.bridges(spark.createDataFrame(ends, "map string, line long, end string, x double, y double, dx double, dy double"), "map", "line", scratch)
+    got = {tuple(r) for r in got.collect()}
+    assert {r for r in got if r[0] < 200} == {(k, "stop", k + 100, "start") for k in range(40)}
+    assert {r for r in got if r[0] >= 200} == {(300, "start", 301, "stop"), (300, "stop", 301, "start")}
+    assert scratch.n < 60
