@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from . import contours, spatial
 
 
@@ -40,9 +41,20 @@ def crosscheck(pairs: DataFrame, by: list[str], observed: str, predicted: str, i
 
 
 def corridor(readings: DataFrame, key: str, radius: float, least: int = 3, on: list[str] | None = None) -> DataFrame:
-    """Column corridor: at least ``least`` readings of the map (``on``), itself included, lie within the radius."""
-    n = spatial.within(readings, readings, radius, on).groupBy(F.col(f"l.{key}").alias(key)).agg(F.count("*").alias("_n"))
-    return readings.join(n, key, "left").withColumn("corridor", F.coalesce(F.col("_n") >= least, F.lit(False))).drop("_n")
+    """Column corridor: at least ``least`` readings of the map (``on``), itself included, lie within the radius.
+
+    A cell whose points all lie within the radius decides for all of them where it holds enough; points of cells with fewer alone are
+    looked up, so each point meets a bounded number of them.
+    """
+    on, side = on or [], radius * spatial.CELL_SHARE
+    at = [*on, G.cell("x", side).alias("sx"), G.cell("y", side).alias("sy")]
+    rows = readings.where(spatial._finite("x") & spatial._finite("y")).select(*on, key, "x", "y", *at[len(on):])
+    cells = rows.groupBy(*on, "sx", "sy").agg(F.count("*").alias("_c"))
+    held = rows.join(cells, [*on, "sx", "sy"])
+    few = spatial.within(held.where(F.col("_c") < least).select(*on, key, "x", "y"), rows.select(*on, key, "x", "y"), radius, on)
+    met = few.groupBy(F.col(f"l.{key}").alias(key)).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
+    sure = held.where(F.col("_c") >= least).select(key).unionByName(met).distinct().withColumn("corridor", F.lit(True))
+    return readings.join(sure, key, "left").withColumn("corridor", F.coalesce("corridor", F.lit(False)))
 
 
 def tangents(vertices: DataFrame, line: str, seq: str, n: int = 12) -> DataFrame:
