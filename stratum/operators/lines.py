@@ -334,8 +334,8 @@ def dash_links(dashes: DataFrame, by: str, key: str, gap: float, angle: float =
 
     Long dashes alone (elongation under 0.35) whose centres lie within the gap, with directions alike and both along the link.
     """
-    long = dashes.where("elongation < 0.35")
-    met = spatial.within(long, long, gap, [by]).where(F.col(f"l.{key}") < F.col(f"r.{key}"))
+    long = dashes.where("elongation < 0.35").select(by, key, "x", "y", "angle")
+    met = spatial.pairs(long, key, gap, [by])
     link = F.degrees(F.atan2(F.col("r.y") - F.col("l.y"), F.col("r.x") - F.col("l.x")))
     alike = [G.angle_between(F.col("l.angle"), F.col("r.angle")), G.angle_between(F.col("l.angle"), link), G.angle_between(F.col("r.angle"), link)]
     return met.where(F.greatest(*alike) <= angle).select(F.col(f"l.{by}").alias(by), F.col(f"l.{key}").alias("first"), F.col(f"r.{key}").alias("second"), "distance")
