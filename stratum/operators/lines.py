@@ -372,16 +372,24 @@ def consolidate(segments: DataFrame, by: str, key: str, least: float, scratch: S
     rows = segments.select(by, F.col(key).alias("k"), "x1", "y1", "x2", "y2", F.hypot(dx, dy).alias("len"), F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(180.0)).alias("t")).where(F.col("len") >= least)
     c, s, turns = F.cos(F.radians("t")), F.sin(F.radians("t")), max(int(180 // angle), 1)
     rows = rows.withColumn("rho", (c * (F.col("y1") + F.col("y2")) - s * (F.col("x1") + F.col("x2"))) / 2)
-    cells = rows.withColumns({"ct": F.least(F.floor(F.col("t") * turns / 180), F.lit(turns - 1)), "cr": F.floor(F.col("rho") / offset)})
+    # copies continue each other, so one stands for all; the gap is taken along whichever has a smaller key than some copy of the other
+    rows = rows.withColumn("lone", F.when(F.col(by).isNull() | ~(F.abs("rho") < 1e300), F.col("k")))  # nothing continues these
+    alike = [by, "x1", "y1", "x2", "y2", "lone", "len", "t", "rho"]
+    single = scratch.table(rows.groupBy(*alike).agg(F.min("k").alias("k"), F.max("k").alias("most")))
+    cells = single.withColumns({"ct": F.least(F.floor(F.col("t") * turns / 180), F.lit(turns - 1)), "cr": F.floor(F.col("rho") / offset)})
     near = lambda n, w: F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: w(F.col(n) + d))))
     spread = cells.withColumn("ct", near("ct", lambda v: F.pmod(v, F.lit(turns)))).withColumn("cr", near("cr", lambda v: v))
-    a, b = spread.alias("a"), cells.alias("b")
-    met = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.ct") == F.col("b.ct")) & (F.col("a.cr") == F.col("b.cr")) & (F.col("a.k") < F.col("b.k")))
+    a, b = spread.alias("a"), cells.hint("merge").alias("b")
+    met = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.ct") == F.col("b.ct")) & (F.col("a.cr") == F.col("b.cr")) & (F.col("a.k") < F.col("b.most")) & (F.col("a.k") != F.col("b.k")))
     along = lambda p, i: (F.col(f"{p}.x{i}") * (F.col("a.x2") - F.col("a.x1")) + F.col(f"{p}.y{i}") * (F.col("a.y2") - F.col("a.y1"))) / F.col("a.len")
     lo, hi = (lambda p: F.least(along(p, 1), along(p, 2))), (lambda p: F.greatest(along(p, 1), along(p, 2)))
     linked = (G.angle_between(F.col("a.t"), F.col("b.t")) <= angle) & (F.abs(F.col("a.rho") - F.col("b.rho")) <= offset) & (F.greatest(lo("a"), lo("b")) <= F.least(hi("a"), hi("b")) + gap)
     stars = components(met.where(linked).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")), scratch)
-    named = rows.join(stars, rows.k == stars.node, "left").withColumn("line", F.coalesce("root", "k"))
+    lead = single.join(stars, single.k == stars.node, "left").select(*(F.col(v).alias(f"_{v}") for v in alike[:6]), F.coalesce("root", "k").alias("line"))
+    same = F.lit(True)
+    for v in alike[:6]:
+        same &= F.col(v).eqNullSafe(F.col(f"_{v}"))
+    named = rows.join(lead, same)
     ends = named.select(by, "line", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select(by, "line", "p.x", "p.y")
     axis = main_axis(ends, [by, "line"]).select(by, "line", F.col("x").alias("mx"), F.col("y").alias("my"), "angle", (F.col("n") / 2).cast("bigint").alias("support"))
     u, v = F.cos(F.radians("angle")), F.sin(F.radians("angle"))

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.operators import lines, spatial, traces
 from stratum.operators.graph import Scratch
@@ -78,3 +79,25 @@ def test_proximity_joins_are_dealt_by_cells(spark):
     assert "Broadcast" not in plan(lines.dash_links(points.selectExpr("1 AS map", "*", "0.0D AS angle", "0.1D AS elongation"), "map", "k", 1.5))
     near = lambda d: {(r.l.k, r.r.k) for r in d.collect()}
     assert near(spatial.pairs(points, "k", 1.5)) == {p for p in near(spatial.within(points, points, 1.5)) if p[0] < p[1]}
+
+
+def test_quantiles_in_bins(spark):
+    """Exact as percentile, with outliers, infinities, NaN, nulls and a group of one value; no task aggregates a group's values."""
+    r = random.Random(3)
+    rows = [("a", r.gauss(0, 1) * 10 ** r.randint(-9, 9)) for _ in range(3000)] + [("b", 1.5)] * 7 + [("c", None)] + [("d", v) for v in (float("inf"), float("-inf"), float("nan"), 1e308, -1e308, 0.0, 5e-324)] + [(None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {x.g: tuple(x)[1:] for x in spatial.quantiles(df, "v", [0.5, 0.95], ["g"], Scratch(spark, "t")).collect()}
+    want = {x.g: tuple(x)[1:] for x in df.groupBy("g").agg(F.count("v"), F.percentile("v", F.lit(0.5)), F.percentile("v", F.lit(0.95))).where("g is null or g <> 'c'").collect()}
+    assert repr(got.keys()) and {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
+    assert "percentile" not in plan(spatial.residuals(df, F.col("v"), ["g"]))
+    assert spatial.residuals(df.where("g = 'a'"), F.col("v"), []).first().n == 3000
+
+
+def test_consolidate_copies(spark, monkeypatch):
+    """Copies are linked once; the gap is taken along the smaller key of any two copies."""
+    edges, whole = [], lines.components
+    monkeypatch.setattr(lines, "components", lambda e, *a: edges.append(e.count()) or whole(e, *a))
+    rows = [(1, 10 + i, 0.0, 0.0, 100.0, 0.0) for i in range(60)] + [(1, 5 + 90 * i, 150.0, 1.0, 250.0, 1.0) for i in range(2)] + [(2, 200 + i, 0.0, 0.0, 100.0, 0.0) for i in range(3)] + [(None, 300, 0.0, 0.0, 100.0, 0.0), (None, 301, 0.0, 0.0, 100.0, 0.0)]
+    df = spark.createDataFrame(rows, "m int, k long, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.m, r.line): r.support for r in lines.consolidate(df, "m", "k", 50.0, Scratch(spark, "t")).collect() if r.m}
+    assert got == {(1, 5): 62, (2, 200): 3} and sum(edges) < 5
