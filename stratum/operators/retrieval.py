@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .graph import Scratch
 
 
 def keyword_topk(docs: DataFrame, key: str, text: str, words: list[str], k: int = 8) -> DataFrame:
@@ -17,20 +20,81 @@ def keyword_topk(docs: DataFrame, key: str, text: str, words: list[str], k: int
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
 
 
+#: Fixed value: two similarities that differ by more when they are multiplied in blocks differ after rounding, too.
+SLACK = 2e-6
+
+
+def _candidates(items: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
+    """(query, key, near) of all pairs that may be among a query's k best: items (key, v) meet the broadcast queries (query, qv) as matrices.
+
+    A task leaves out a pair only if k others of its own and the query itself are nearer by the slack. Vectors that can't be multiplied (null, of
+    another length, not finite, without length) go with all the others, near being null.
+    """
+    held = items.sparkSession.sparkContext.broadcast(queries.toArrow())
+    kinds = dict(queries.dtypes)["query"], dict(items.dtypes)[key]
+
+    def units(column) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Places and unit vectors by length, and the places of the rest."""
+        places: dict[int, list[int]] = {}
+        rows = [np.array([] if v is None or None in v else v, float) for v in column.to_pylist()]
+        for n, v in enumerate(rows):
+            usable = len(v) and np.isfinite(v).all() and 1e-100 < np.abs(v).max() < 1e100
+            places.setdefault(len(v) if usable else 0, []).append(n)
+        rest = np.array(places.pop(0, []), int)
+        stacked = {d: np.array([rows[n] for n in at]) for d, at in places.items()}
+        return {d: (np.array(places[d]), m / np.linalg.norm(m, axis=1, keepdims=True)) for d, m in stacked.items()}, rest
+
+    def run(batches):
+        asked, own = held.value.combine_chunks(), None
+        names = asked["query"].combine_chunks()
+        sides, odd = units(asked["qv"])
+        best = {d: np.full((len(at), k + 1), -np.inf) for d, (at, _) in sides.items()}
+
+        def pairs(q, n, near=None):
+            near = pa.nulls(len(q), pa.float64()) if near is None else pa.array(near)
+            return pa.RecordBatch.from_arrays([names.take(pa.array(q)), own.take(pa.array(n)), near], names=["query", key, "near"])
+
+        for batch in batches:
+            own = batch.column(0)
+            parts, rest = units(batch.column(1))
+            for d, (at, m) in parts.items():
+                for s, (asks, v) in sides.items():
+                    if s != d:
+                        yield pairs(np.repeat(asks, len(at)), np.tile(at, len(asks)))
+                        continue
+                    near = v @ m.T
+                    top = np.partition(near, -(k + 1), axis=1)[:, -(k + 1) :] if near.shape[1] > k + 1 else near
+                    best[d] = np.sort(np.concatenate([best[d], top], axis=1), axis=1)[:, -(k + 1) :]
+                    q, n = np.nonzero(near >= best[d][:, :1] - SLACK)
+                    yield pairs(asks[q], at[n], near[q, n])
+                yield pairs(np.repeat(odd, len(at)), np.tile(at, len(odd)))
+            yield pairs(np.tile(np.arange(len(names)), len(rest)), np.repeat(rest, len(names)))
+
+    return items.select(key, "v").mapInArrow(run, f"query {kinds[0]}, `{key}` {kinds[1]}, near double")
+
+
 def vector_topk(items: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, blocks: int = 8, max_broadcast: int = 20_000) -> DataFrame:
     """(query, key, similarity, rank): each query's k most similar items by cosine, ties by key; the query itself is left out.
 
-    A stated query set that fits is broadcast whole; a larger one meets all items in blocks. Norms are taken once per row; within each block and partition only k
-    rows per query survive before they are shuffled (the rank filter is pushed below the exchange).
+    A stated query set that fits is broadcast whole and met by matrices of items, which leave few candidates for the exact score; of equal vectors those
+    with the smallest keys alone can be among them. A larger set meets all items in blocks. Norms are taken once per row; within each block and
+    partition only k rows per query survive before they are shuffled (the rank filter is pushed below the exchange).
     """
+    unit = lambda df, name: df.select(F.col(key).alias(name), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    q = unit(queries, "query").withColumnRenamed("v", "qv")
+    i = unit(items, key)
+    norm = lambda c: F.sqrt(G.dot(c, c))
     if queries.count() <= max_broadcast:
-        blocks = 1
-    unit = lambda df, name: df.select(F.col(key).alias(name), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("n", F.sqrt(G.dot("v", "v")))
-    q = unit(queries, "query").select("query", F.col("v").alias("qv"), F.col("n").alias("qn"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
-    i = unit(items, key).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    if blocks == 1:
-        q = F.broadcast(q)
-    met = i.join(q, "block").where(F.col("query") != F.col(key))
+        i = i.withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy(key))).where(F.col("_r") <= k + 1).drop("_r")
+        scratch = Scratch(items.sparkSession, "vectors")
+        near = scratch.table(_candidates(i, q, key, k).where(F.col("query") != F.col(key)))
+        best = near.where("near is not null").withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("near")))).where(F.col("_r") == k)
+        near = near.join(best.select("query", F.col("near").alias("_least")), "query", "left").where(F.col("near").isNull() | F.col("_least").isNull() | (F.col("near") >= F.col("_least") - SLACK))
+        met = near.select("query", key).join(i, key).join(q, "query").withColumns({"n": norm("v"), "qn": norm("qv")})
+    else:
+        q = q.withColumns({"qn": norm("qv"), "block": F.pmod(F.xxhash64("query"), F.lit(blocks))})
+        i = i.withColumn("n", norm("v")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        met = i.join(q, "block").where(F.col("query") != F.col(key))
     scored = met.select("query", key, F.round(G.dot("v", "qv") / (F.col("n") * F.col("qn")), 6).alias("similarity"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), key))).where(F.col("rank") <= k)
 
