@@ -225,6 +225,8 @@ def pdf_page_rows(spark, sf_dir):
     k = F.col("c_custkey")
     n = (k % 7).cast("int")
     rows = table(spark, sf_dir, "customer").select("c_custkey", n.alias("n"))
+    # a small file of keys makes many files: 5,000 go to a task, by number, as partitions of few bytes would be put together again
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, rows.count() // 5000 + 1), "c_custkey")
     numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     kids = F.array_join(F.transform(numbers, lambda i: F.concat((i + 3).cast("string"), F.lit(" 0 R"))), " ")
     page = lambda i: F.format_string("%d 0 obj\n<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d 700] /Rotate %d >>\nendobj\n", i + 3, 500 + k % 90 + i, i % 4 * 90)

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.operators import lines, spatial, traces
+from stratum.operators import lines, retrieval, spatial, traces
 from stratum.operators.graph import Scratch
+from stratum.plans import registry
+from stratum.sources import pdf
 
 
 def plan(df) -> str:
@@ -101,3 +103,41 @@ def test_consolidate_copies(spark, monkeypatch):
     df = spark.createDataFrame(rows, "m int, k long, x1 double, y1 double, x2 double, y2 double")
     got = {(r.m, r.line): r.support for r in lines.consolidate(df, "m", "k", 50.0, Scratch(spark, "t")).collect() if r.m}
     assert got == {(1, 5): 62, (2, 200): 3} and sum(edges) < 5
+
+
+def test_vector_candidates(spark, monkeypatch):
+    """The best of many vectors and copies by matrices: few pairs are scored; odd vectors come last."""
+    seen, whole = [], retrieval._candidates
+
+    def candidates(*args):
+        out = whole(*args)
+        seen.append(out.where("near is not null").count())
+        return out
+
+    monkeypatch.setattr(retrieval, "_candidates", candidates)
+    r = random.Random(5)
+    vectors = [[r.gauss(0, 1) for _ in range(8)] for _ in range(1500)] + [[1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]] * 1500 + [[1.0] * 7, None]
+    df = spark.createDataFrame(list(enumerate(vectors)), "k long, v array<double>").repartition(3)
+    got = {}
+    for x in retrieval.vector_topk(df, df.where("k % 100 = 0"), "k", "v").collect():
+        got.setdefault(x.query, {})[x.rank] = x.k
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 6)
+    for q in range(0, 3000, 100):
+        want = sorted((k for k in range(3000) if k != q), key=lambda k: (-cos(vectors[q], vectors[k]), k))[:5]
+        assert [got[q][n] for n in range(1, 6)] == want
+    assert seen and seen[0] < 30 * 3000 / 4
+
+
+def test_vectors_that_cannot_be_multiplied(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [1.0]), (100, None)], "k long, v array<double>")
+    rows = retrieval.vector_topk(df, df.where("k % 100 = 0"), "k", "v").collect()
+    assert [r.k for r in sorted(rows, key=lambda r: r["rank"]) if r.query == 0] == [1, 2, 3, 100]
+    assert [r.k for r in sorted(rows, key=lambda r: r["rank"]) if r.query == 100] == [0, 1, 2, 3]
+
+
+def test_pdf_is_read_once_and_dealt_out(spark, monkeypatch):
+    calls, whole = [], pdf.Pdf.pages
+    monkeypatch.setattr(pdf.Pdf, "pages", lambda self: calls.append(1) or whole(self))
+    data = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] >>\nendobj\n3 0 obj\n<< /Type /Page /MediaBox [0 0 5 7] >>\nendobj\n"
+    assert pdf.Pdf(data).found == [(5.0, 7.0, 0)] and len(calls) == 1
+    assert registry.QUERIES["pdf_page_rows"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
