@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from . import contours, raster, spatial
+from . import contours, raster, spatial, surface
 from .graph import Scratch, components, list_ranks
 
 #: Gaps in pixels that stitching bridges, and how well both ends must be aligned for each.
@@ -164,6 +164,11 @@ def joined(vertices: DataFrame, links: DataFrame, by: str, line: str, seq: str,
     return rows.drop(by).join(order, line).select(by, "whole", at.alias("seq"), "x", "y", "parts", "closed")
 
 
+def _weakness(key: str) -> Column:
+    doubt = F.coalesce(F.nullif("residual", F.lit(0.0)), F.lit(1.0)) + F.coalesce(F.nullif("spread", F.lit(0.0)), F.lit(1.0))
+    return F.struct((~F.coalesce("direct_label", F.lit(False))).cast("int").alias("w"), doubt.alias("d"), F.negate(F.coalesce("coverage", F.lit(0.0))).alias("c"), F.col(key).alias("k"))
+
+
 def prune_crossings(lines: DataFrame, crossings: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """``lines`` with accepted and rejection_reason after the weaker of every two crossing lines of different levels is rejected.
 
@@ -172,10 +177,8 @@ def prune_crossings(lines: DataFrame, crossings: DataFrame, key: str, scratch: S
     Each round rejects the losers of the pairs whose winner loses to no accepted line itself, all at once, until no pair is left.
     """
     state = scratch.table(lines.withColumn("rejection_reason", F.lit(None).cast("string")))
-    doubt = F.coalesce(F.nullif("residual", F.lit(0.0)), F.lit(1.0)) + F.coalesce(F.nullif("spread", F.lit(0.0)), F.lit(1.0))
-    weakness = F.struct((~F.coalesce("direct_label", F.lit(False))).cast("int").alias("w"), doubt.alias("d"), F.negate(F.coalesce("coverage", F.lit(0.0))).alias("c"), F.col(key).alias("k"))
     while True:
-        live = state.where("accepted").select(F.col(key).alias("_k"), weakness.alias("_w"))
+        live = state.where("accepted").select(F.col(key).alias("_k"), _weakness(key).alias("_w"))
         pairs = crossings.join(live.select(F.col("_k").alias("first"), F.col("_w").alias("w1")), "first").join(live.select(F.col("_k").alias("second"), F.col("_w").alias("w2")), "second")
         duels = scratch.table(pairs.select(F.when(F.col("w1") > F.col("w2"), F.col("first")).otherwise(F.col("second")).alias("loser"), F.when(F.col("w1") > F.col("w2"), F.col("second")).otherwise(F.col("first")).alias("winner")).distinct())
         sure = duels.join(duels.select(F.col("loser").alias("winner")).distinct(), "winner", "left_anti").select(F.col("loser").alias(key)).distinct().withColumn("_out", F.lit(True))
@@ -185,16 +188,37 @@ def prune_crossings(lines: DataFrame, crossings: DataFrame, key: str, scratch: S
         state = scratch.table(out.withColumns({"accepted": F.col("accepted") & F.col("_out").isNull(), "rejection_reason": F.when(F.col("_out"), "crosses_different_level").otherwise(F.col("rejection_reason"))}).drop("_out"))
 
 
-def grid_constraints(lines: DataFrame, direct: DataFrame, crossings: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+def prune_crossing_segments(lines: DataFrame, segments: DataFrame, key: str, group: str, size: float, by: list[str], scratch: Scratch) -> DataFrame:
+    """``prune_crossings`` of lines that are segments (by, key, group, x1, y1, x2, y2), those of one group being of one level, with the same rows.
+
+    No pair is listed: a round asks which lines a stronger one crosses, and which of these a line crosses that none does.
+    """
+    state = scratch.table(lines.withColumn("rejection_reason", F.lit(None).cast("string")))
+    live = scratch.table(segments.join(state.where("accepted").select(key, _weakness(key).alias("_w")), key))
+    while True:
+        lost = scratch.table(surface.crossed(live, live, key, group, size, by, "_w"))
+        if lost.isEmpty():
+            break
+        sure = scratch.table(surface.crossed(live.join(lost, key, "left_semi"), live.join(lost, key, "left_anti"), key, group, size, by, "_w"))
+        out = state.join(sure.withColumn("_out", F.lit(True)), key, "left")
+        state = scratch.table(out.withColumns({"accepted": F.col("accepted") & F.col("_out").isNull(), "rejection_reason": F.when(F.col("_out"), "crosses_different_level").otherwise(F.col("rejection_reason"))}).drop("_out"))
+        # whom no stronger one crosses is settled with all whom it crosses
+        live = scratch.table(live.join(lost, key, "left_semi").join(sure, key, "left_anti"))
+    return state
+
+
+def grid_constraints(lines: DataFrame, direct: DataFrame, crossings: DataFrame | None, key: str, scratch: Scratch, segments: DataFrame | None = None, group: str = "g", size: float = 120.0, by: list[str] | None = None) -> DataFrame:
     """Traced lines after direct labels override inferred values and crossings are pruned, with value_source.
 
-    lines: (key, value, inferred, accepted, profile_suspect, residual, spread, coverage); direct: (key, label).
+    lines: (key, value, inferred, accepted, profile_suspect, residual, spread, coverage); direct: (key, label). Crossings are pairs (first, second), or
+    those of ``segments`` (by, key, group, x1, y1, x2, y2), which are not listed.
     """
     own = direct.select(key, F.col("label").alias("_label"))
     hit = F.col("_label").isNotNull() & ~F.coalesce("profile_suspect", F.lit(False))
     out = lines.join(own, key, "left").withColumn("direct_label", hit)
     out = out.withColumns({"value": F.when(hit, F.col("_label")).otherwise(F.col("value")), "inferred": F.when(hit, F.col("_label")).otherwise(F.col("inferred")), "accepted": hit | F.col("accepted")}).drop("_label")
-    out = prune_crossings(out, crossings, key, scratch).withColumn("value", F.coalesce("value", "inferred"))
+    out = prune_crossings(out, crossings, key, scratch) if segments is None else prune_crossing_segments(out, segments, key, group, size, by or [], scratch)
+    out = out.withColumn("value", F.coalesce("value", "inferred"))
     return out.withColumn("value_source", F.when(F.col("direct_label"), "direct_ocr").when(F.col("value").isNotNull(), "surface_interpolation").otherwise("unassigned"))
 
 

@@ -217,6 +217,29 @@ def segment_crossings(segments: DataFrame, key: str, group: str, size: float, by
     return met.where(crosses).select(*(F.col(f"a.{c}").alias(c) for c in by), F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second"), *(F.col(f"{side_}.{c}").alias(f"{name}_{c}") for c in carry for side_, name in (("a", "first"), ("b", "second")))).distinct()
 
 
+def crossed(segments: DataFrame, others: DataFrame, key: str, group: str, size: float, by: list[str], weakness: str) -> DataFrame:
+    """(key) of the segments that a stronger one of ``others`` of their map and of another group properly crosses: ``segment_crossings`` asked for one partner alone.
+
+    ``weakness`` is an ordered column; less is stronger. The join ends at a row's first partner, so where segments lie close it doesn't grow with the pairs. Cells
+    without a stronger one are left out beforehand.
+    """
+    at = [*by, "cx", "cy"]
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.least(lo, hi) / size), F.floor(F.greatest(lo, hi) / size)))
+    cells = lambda df: df.select(*by, F.col(key).alias("k"), F.col(group).alias("g"), F.col(weakness).alias("w"), "x1", "y1", "x2", "y2", span(F.col("x1"), F.col("x2")).alias("cx")).withColumn("cy", span(F.col("y1"), F.col("y2")))
+    rows, right = cells(segments), cells(others)
+    # of each cell the strongest of a group, and of the other groups: whom neither beats, nobody there does
+    tops = right.groupBy(*at, "g").agg(F.min("w").alias("top"))
+    first = tops.groupBy(*at).agg(F.min(F.struct("top", "g")).alias("t")).select(*at, F.col("t.g").alias("tg"), F.col("t.top").alias("t1"))
+    tops = tops.join(first, at).groupBy(*at, "tg", "t1").agg(F.min(F.when(F.col("g") != F.col("tg"), F.col("top"))).alias("t2"))
+    rows = rows.join(tops, at).where(F.when(F.col("g") != F.col("tg"), F.col("t1")).otherwise(F.col("t2")) < F.col("w")).drop("tg", "t1", "t2")
+    a, b = rows.alias("a"), right.hint("merge").alias("b")
+    side = lambda p, q, r: F.signum((F.col(f"{q}.x2") - F.col(f"{q}.x1")) * (F.col(f"{p}.y{r}") - F.col(f"{q}.y1")) - (F.col(f"{q}.y2") - F.col(f"{q}.y1")) * (F.col(f"{p}.x{r}") - F.col(f"{q}.x1")))
+    same = (F.col("a.g") != F.col("b.g")) & (F.col("b.w") < F.col("a.w")) & (side("a", "b", 1) * side("a", "b", 2) < 0) & (side("b", "a", 1) * side("b", "a", 2) < 0)
+    for c in at:
+        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    return a.join(b, same, "left_semi").select(F.col("a.k").alias(key)).distinct()
+
+
 def cps3_lines(grid: DataFrame, order: str = "n", by: list[str] | None = None) -> DataFrame:
     """(by, n, line): body of each map's CPS-3 grid: column by column, rows from the top, five values a line, blanks as 1E30.
 

@@ -139,10 +139,9 @@ def _segments(spark, sf_dir):
 def grid_constraints(spark, sf_dir):
     """Crossing lines of two maps: labels override, the weaker of each crossing pair goes."""
     seg = _segments(spark, sf_dir)
-    pairs = surface.segment_crossings(seg, "k", "g", 120.0, ["map"]).select("first", "second")
     k = F.col("k")
     rows = seg.select("k", (k % 50 * -0.1).alias("value"), (k % 40 * -0.1).alias("inferred"), (k % 3 != 0).alias("accepted"), (k % 17 == 0).alias("profile_suspect"), (k % 7 * 0.01).alias("residual"), (k % 5 * 0.1).alias("spread"), (k % 11 * 0.1).alias("coverage"))
-    return lines.grid_constraints(rows, seg.where("k % 4 = 0").select("k", (k * -0.2).alias("label")), pairs, "k", Scratch(spark, "grid"))
+    return lines.grid_constraints(rows, seg.where("k % 4 = 0").select("k", (k * -0.2).alias("label")), None, "k", Scratch(spark, "grid"), seg, "g", 120.0, ["map"])
 
 
 @query()

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.operators import lines, retrieval, spatial, traces
+from stratum.operators import lines, retrieval, spatial, surface, traces
 from stratum.operators.graph import Scratch
 from stratum.plans import registry
 from stratum.sources import pdf
@@ -141,3 +141,17 @@ def test_pdf_is_read_once_and_dealt_out(spark, monkeypatch):
     data = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] >>\nendobj\n3 0 obj\n<< /Type /Page /MediaBox [0 0 5 7] >>\nendobj\n"
     assert pdf.Pdf(data).found == [(5.0, 7.0, 0)] and len(calls) == 1
     assert registry.QUERIES["pdf_page_rows"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_grid_constraints_lists_no_pairs(spark, monkeypatch):
+    """Crossing segments are pruned as by their pairs, chains of losers included."""
+    r = random.Random(11)
+    seg = [(k, k % 2, r.randrange(4), r.uniform(0, 300), r.uniform(0, 300), r.uniform(0, 300), r.uniform(0, 300)) for k in range(150)]
+    seg = spark.createDataFrame(seg, "k long, map long, g int, x1 double, y1 double, x2 double, y2 double")
+    state = spark.range(150).selectExpr("id AS k", "id % 9 <> 0 AS accepted", "id % 40 = 1 AS direct_label", "id % 7 * 0.1D AS residual", "CASE WHEN id % 50 = 3 THEN double('NaN') ELSE id % 5 * 0.1D END AS spread", "id % 3 * 0.1D AS coverage")
+    pairs = surface.segment_crossings(seg, "k", "g", 60.0, ["map"]).select("first", "second")
+    want = {tuple(map(str, x)) for x in lines.prune_crossings(state, pairs, "k", Scratch(spark, "t")).collect()}
+    got = {tuple(map(str, x)) for x in lines.prune_crossing_segments(state, seg, "k", "g", 60.0, ["map"], Scratch(spark, "t")).collect()}
+    assert got == want and any("crosses" in x[-1] for x in got)
+    monkeypatch.setattr(surface, "segment_crossings", None)
+    assert registry.QUERIES["grid_constraints"](spark, "/root/testdata/sf0.001").count() == 10
