@@ -202,19 +202,24 @@ def topology(vertices: DataFrame, size: float, by: list[str]) -> DataFrame:
 
 
 def segment_crossings(segments: DataFrame, key: str, group: str, size: float, by: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
-    """Pairs (by, first, second, and first_ and second_ of the columns ``carry``) of one map (``by``) and different groups whose segments (x1, y1, x2, y2) properly cross; segments meet in the cells of their boxes."""
+    """Pairs (by, first, second, and first_ and second_ of the columns ``carry``) of one map (``by``) and different groups whose segments (x1, y1, x2, y2) properly cross; segments meet in the cells of their boxes.
+
+    Keys are unique. A pair is given by the first cell that both boxes hold, so pairs are neither shuffled nor compared again; cells are dealt to tasks in any case.
+    """
     span = lambda lo, hi: F.sequence(F.floor(F.least(lo, hi) / size), F.floor(F.greatest(lo, hi) / size))
     by = by or []
     carry = carry or []
-    rows = segments.select(*dict.fromkeys([*by, key, group, *carry]), "x1", "y1", "x2", "y2", F.explode(span(F.col("x1"), F.col("x2"))).alias("cx"), span(F.col("y1"), F.col("y2")).alias("ys")).withColumn("cy", F.explode("ys"))
-    a, b = rows.alias("a"), rows.alias("b")
+    low = lambda c: F.floor(F.least(f"{c}1", f"{c}2") / size).alias(f"{c}0")
+    rows = segments.select(*dict.fromkeys([*by, key, group, *carry]), "x1", "y1", "x2", "y2", low("x"), low("y"), F.explode(span(F.col("x1"), F.col("x2"))).alias("cx"), span(F.col("y1"), F.col("y2")).alias("ys")).withColumn("cy", F.explode("ys")).drop("ys")
+    a, b = rows.alias("a"), rows.hint("merge").alias("b")
     side = lambda p, q, r: F.signum((F.col(f"{q}.x2") - F.col(f"{q}.x1")) * (F.col(f"{p}.y{r}") - F.col(f"{q}.y1")) - (F.col(f"{q}.y2") - F.col(f"{q}.y1")) * (F.col(f"{p}.x{r}") - F.col(f"{q}.x1")))
     crosses = (side("a", "b", 1) * side("a", "b", 2) < 0) & (side("b", "a", 1) * side("b", "a", 2) < 0)
     same = F.lit(True)
     for c in by:
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    same &= (F.col("a.cx") == F.greatest("a.x0", "b.x0")) & (F.col("a.cy") == F.greatest("a.y0", "b.y0"))
     met = a.join(b, same & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col(f"a.{group}") != F.col(f"b.{group}")))
-    return met.where(crosses).select(*(F.col(f"a.{c}").alias(c) for c in by), F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second"), *(F.col(f"{side_}.{c}").alias(f"{name}_{c}") for c in carry for side_, name in (("a", "first"), ("b", "second")))).distinct()
+    return met.where(crosses).select(*(F.col(f"a.{c}").alias(c) for c in by), F.col(f"a.{key}").alias("first"), F.col(f"b.{key}").alias("second"), *(F.col(f"{side_}.{c}").alias(f"{name}_{c}") for c in carry for side_, name in (("a", "first"), ("b", "second"))))
 
 
 def crossed(segments: DataFrame, others: DataFrame, key: str, group: str, size: float, by: list[str], weakness: str) -> DataFrame:

@@ -155,3 +155,12 @@ def test_grid_constraints_lists_no_pairs(spark, monkeypatch):
     assert got == want and any("crosses" in x[-1] for x in got)
     monkeypatch.setattr(surface, "segment_crossings", None)
     assert registry.QUERIES["grid_constraints"](spark, "/root/testdata/sf0.001").count() == 10
+
+
+def test_crossings_are_neither_broadcast_nor_shuffled_again(spark):
+    seg = spark.range(60).selectExpr("id AS k", "id % 3 AS g", "id % 7 * 3.0D AS x1", "id % 5 * 4.0D AS y1", "id % 11 * 3.0D AS x2", "id % 13 * 2.0D AS y2")
+    out = surface.segment_crossings(seg, "k", "g", 2.0)
+    rows = [(r["first"], r["second"]) for r in out.collect()]
+    assert len(rows) == len(set(rows)) > 0
+    assert set(rows) == {(r["first"], r["second"]) for r in surface.segment_crossings(seg, "k", "g", 1000.0).collect()}
+    assert "Broadcast" not in plan(out) and "HashAggregate" not in plan(out)
