@@ -73,7 +73,7 @@ def majority_vote(spark, sf_dir):
 @query("""
 WITH r AS (SELECT l_suppkey * 20 + l_linenumber AS map, CASE WHEN l_quantity < 20 THEN '-' || printf('%.1f', l_quantity / 10) WHEN l_quantity < 40 THEN '−' || (l_quantity * 100)::INT ELSE '' || (l_quantity * 40)::INT END AS t, 1 - l_discount * 4 AS s FROM lineitem),
 k AS (SELECT map, CASE WHEN t[1] IN ('-', '−') THEN 'label' WHEN length(t) IN (3, 4) AND t::INT BETWEEN 500 AND 5000 THEN 'mark' END AS kind, CASE WHEN t[1] IN ('-', '−') THEN t[2:]::DOUBLE / CASE WHEN t[2:]::DOUBLE >= 100 THEN 1000 ELSE 1 END END AS v FROM r WHERE s >= 0.75),
-g AS (SELECT map, v, coalesce((v - lag(v) OVER (PARTITION BY map ORDER BY v) > 0.8)::INT, 0) AS new FROM k WHERE kind = 'label'), u AS (SELECT map, v, sum(new) OVER (PARTITION BY map ORDER BY v ROWS UNBOUNDED PRECEDING) AS run FROM g), a AS (SELECT map, run, count(*) AS n, min(v) AS lo, max(v) AS hi FROM u GROUP BY ALL),
+g AS (SELECT map, v, coalesce((v - lag(v) OVER (PARTITION BY map ORDER BY v) > 0.8)::INT, 0) AS new FROM k WHERE kind = 'label'), u AS (SELECT map, v, sum(new) OVER (PARTITION BY map ORDER BY v) AS run FROM g), a AS (SELECT map, run, count(*) AS n, min(v) AS lo, max(v) AS hi FROM u GROUP BY ALL),
 b AS (SELECT *, sum(n) OVER (PARTITION BY map) AS total, row_number() OVER (PARTITION BY map ORDER BY n DESC, hi - lo, lo) AS q FROM a), z AS (SELECT map, lo - 0.1 AS low, hi + 0.1 AS high FROM b WHERE q = 1 AND total >= 6 AND n >= greatest(3, total * 0.25)),
 e AS (SELECT map, count(*) AS retained, count(DISTINCT round(v, 3)) AS levels FROM k LEFT JOIN z USING (map) WHERE kind = 'label' AND (low IS NULL OR v BETWEEN low AND high) GROUP BY 1), c AS (SELECT map, count(*) FILTER (kind = 'label') AS labels, count(*) FILTER (kind = 'mark') AS marks FROM k GROUP BY 1),
 o AS (SELECT DISTINCT map, coalesce(labels, 0) AS labels, coalesce(marks, 0) AS marks, coalesce(retained, 0) AS retained, coalesce(levels, 0) AS levels, (1000 + map % 7 * 300) / 1000 AS aspect FROM r LEFT JOIN c USING (map) LEFT JOIN e USING (map)),

@@ -39,3 +39,9 @@ def test_ocr_retry_on_the_limit(same):
     lineitem = "SELECT o::BIGINT AS l_orderkey, n::INT AS l_linenumber, 20.0::DOUBLE AS l_quantity, (CASE n WHEN 1 THEN 3 + o % 8 WHEN 3 THEN 11 - o % 8 ELSE 7 END / 100)::DOUBLE AS l_discount, (CASE n WHEN 1 THEN o % 7 ELSE (o + n * 3) % 9 END / 100)::DOUBLE AS l_tax FROM range(400) a(o), range(1, 6) b(n) WHERE n <= 3 + o % 3"
     rows = same("ocr_retry", lineitem=lineitem)
     assert any(r[2] == 0.93 for r in rows) and {r[3] for r in rows} == {"original"}
+
+
+def test_reading_kinds_with_many_equal_labels(same):
+    """A gap lies before 100,000 equal labels of one map, which all belong to the run behind it."""
+    lineitem = "SELECT (i % 2)::BIGINT AS l_suppkey, 1::INT AS l_linenumber, CASE WHEN i % 11 < 4 THEN 3.0 WHEN i % 11 < 9 THEN 19.0 ELSE 12.0 END::DOUBLE AS l_quantity, 0.0::DOUBLE AS l_discount FROM range(600000) t(i)"
+    assert [r[3] for r in same("reading_kinds", lineitem=lineitem)] == [190908, 190908]
