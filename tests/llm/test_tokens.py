@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratum.llm import align, fim, pieces
+from stratum.llm import align, bpe, fim, pieces
 from stratum.llm import queries as llm
 
 SF = "/root/testdata/sf0.001"
@@ -174,3 +174,17 @@ def test_pieces_long_texts(text, library):
     assert coder.decode(ids).decode() == text
     if not text.isspace() and text[0] != " ":  # the library's pattern overflows on long white space
         assert list(memoryview(ids).cast("I")) == library.encode_ordinary(text)
+
+
+def test_alignment_keeps_few_chunks(monkeypatch):
+    """Finished chunks are kept in two small generations, with the same ids as without any."""
+    monkeypatch.setattr(align, "KEPT", 40)
+    a, b = align.load.__wrapped__(align.tokenizer_path()), align.Pieces(align.tokenizer_path("piece_bpe_32k.model"))
+    texts = [" ".join(f"word{i * k % 301}, the ä{k}" for i in range(1, 60)) for k in range(1, 9)] + ["", None, "a  b"]
+    b.learn(texts)
+    for t in filter(None, texts):
+        assert a.encode_part(" " + t) == bpe.Bpe(align.tokenizer_path()).encode_plain(" " + t)
+        assert b.encode(t) == b.encode_plain(t)
+    for kept in (a.words, b.chunks):
+        assert 0 < len(kept) <= 40 and len(kept.older) <= 40
+    assert len(a.merged) <= 41
