@@ -28,6 +28,17 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(["ts", "tie"], kind="stable")
 
 
+#: Milliseconds of a row without a time, which comes last.
+NO_TIME = -(1 << 63) // 1_000_000
+
+
+def _by_time(rows: Iterator[pd.DataFrame]) -> list[tuple]:
+    """(ms, tie, fingerprint) of one key's rows of a batch by time and tie, as plain values: a frame for each key takes longer than its rows."""
+    found = [r for part in rows for r in zip(part["ms"].tolist(), part["tie"].tolist(), part["fingerprint"].tolist())]
+    missing = lambda x: x is None or x != x
+    return sorted(found, key=lambda r: (r[0] == NO_TIME, r[0], missing(r[1]), 0 if missing(r[1]) else r[1]))
+
+
 def _time(ms: int) -> pd.Timestamp:
     return pd.Timestamp(ms, unit="ms")
 
@@ -46,13 +57,13 @@ class _Settling(StatefulProcessor):
         if seen[0] == seen[2]:
             return []
         seen[2] = seen[0]
-        return [(key, seen[0], _time(seen[1]), _time(seen[1] + self.settle))]
+        return [(key, seen[0], seen[1])]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen, out = list(self.state.get() or (None, 0, None, -1)), []
         before = seen[3]
-        for ts, fingerprint in _in_order(rows)[["ts", "fingerprint"]].itertuples(index=False):
-            at = timerValues.getCurrentProcessingTimeInMs() if self.clock else ts.value // 1_000_000
+        for ms, _, fingerprint in _by_time(rows):
+            at = timerValues.getCurrentProcessingTimeInMs() if self.clock else ms
             if seen[3] >= 0 and at >= seen[1] + self.settle:  # settled before this row came
                 out += self._report(key[0], seen)
                 seen[3] = -1
@@ -65,14 +76,14 @@ class _Settling(StatefulProcessor):
                 self.handle.registerTimer(seen[3])
         self.state.update(tuple(seen))
         if out:
-            yield pd.DataFrame(out, columns=["key", "fingerprint", "since", "settled"])
+            yield pd.DataFrame(out, columns=["key", "fingerprint", "since"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seen = list(self.state.get())
         out, seen[3] = self._report(key[0], seen), -1
         self.state.update(tuple(seen))
         if out:
-            yield pd.DataFrame(out, columns=["key", "fingerprint", "since", "settled"])
+            yield pd.DataFrame(out, columns=["key", "fingerprint", "since"])
 
     def close(self) -> None:
         pass
@@ -135,7 +146,10 @@ def settled(observations: DataFrame, seconds: float, mode: str = "EventTime", la
     rows once the watermark passes; a row that comes later reports what had settled before it, so the rows don't depend on how the
     stream is cut into batches. A key's rows must come in the order of batches; later ones than ``late`` are dropped by the watermark.
     """
-    return _run(observations, _Settling(int(seconds * 1000), mode != "EventTime"), SETTLED, mode, late)
+    settle = int(seconds * 1000)
+    rows = observations.withColumn("ms", F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(NO_TIME)))
+    found = _run(rows, _Settling(settle, mode != "EventTime"), "key string, fingerprint string, since long", mode, late)
+    return found.select("key", "fingerprint", F.timestamp_millis("since").alias("since"), F.timestamp_millis(F.col("since") + settle).alias("settled"))
 
 
 def locks(requests: DataFrame, hours: float = 6.0, mode: str = "EventTime", late: str = "0 seconds") -> DataFrame:
