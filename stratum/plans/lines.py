@@ -147,7 +147,7 @@ def grid_constraints(spark, sf_dir):
 @query()
 def stitched_lines(spark, sf_dir):
     """Lines that continue each other over growing gaps, on three maps."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_returnflag").alias("map"), F.col("l_orderkey").alias("line"), "l_linenumber", (F.col("l_orderkey") % 97 * 11.0 + F.col("l_linenumber") * 3).alias("x"), (F.col("l_orderkey") % 5 * 40.0 + F.col("l_linenumber")).alias("y"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("map"), F.col("l_orderkey").alias("line"), "l_linenumber", (F.col("l_orderkey") % 97 * 11.0 + F.col("l_linenumber") * 3).alias("x"), (F.col("l_orderkey") % 5 * 40.0 + F.col("l_linenumber")).alias("y"))
     rows = rows.withColumn("line", F.xxhash64("map", "line"))
     ends = traces.tangents(rows, "line", "l_linenumber").join(rows.select("map", "line").distinct(), "line")
     return lines.stitch(ends, "map", "line", Scratch(spark, "stitch"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratum.operators import lines, profiles, surface, traces
 from stratum.operators.graph import Scratch, list_ranks
+from stratum.plans import registry
 
 ABOUT = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -260,3 +261,12 @@ def test_bridges_of_many_ends_at_one_place(spark):
     assert {r for r in got if r[0] < 200} == {(k, "stop", k + 100, "start") for k in range(40)}
     assert {r for r in got if r[0] >= 200} == {(300, "start", 301, "stop"), (300, "stop", 301, "start")}
     assert scratch.n < 60
+
+
+def test_stitched_lines_takes_every_line(spark, monkeypatch):
+    """Every line of the table that has two points or more brings both its ends to stitching."""
+    monkeypatch.setattr(lines, "stitch", lambda ends, *a: ends)
+    sf = "/root/testdata/sf0.001"
+    got = registry.QUERIES["stitched_lines"](spark, sf).groupBy("line").agg(F.count("*").alias("n"))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag", "l_orderkey").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
+    assert got.count() == got.where("n = 2").count() == rows.where("a < b").count() > 0
