@@ -313,25 +313,57 @@ def label_lines(labels: DataFrame, lines: DataFrame, by: str, label: str, line:
 
     labels: (by, label, x, y, angle); lines: (by, line, x, y, x1, y1, angle) with (x, y) and (x1, y1) two points of the infinite line and angle its direction in degrees of
     [0, 180). A line lies in one band of direction and of distance from the origin; a label looks up all bands that lines within its limits can lie in, so the join is
-    exact and compares no other pairs. Costs count to six digits and the distance to nine, as the last bits depend on how a line is given; ties go to the smaller line. With ``profile`` and ``score``, columns of the labels, only the label with the
+    exact and compares no other pairs. Where lines lie close, labels are looked up within a small cost first, which doubles; one that has found a line has no better
+    beyond that cost, and only the rest go on, so the pairs that meet grow with the labels and not with the density of lines. Of copies of a line the smallest stands for all.
+    Costs count to six digits and the distance to nine, as the last bits depend on how a line is given; ties go to the smaller line. With ``profile`` and ``score``, columns of the labels, only the label with the
     highest score is kept of those that give one line the same profile, ties to the smaller label.
     """
-    turn, cell = 2.0, 2 * distance  # degrees and pixels of a band
-    turns = int(180 // turn)
-    rows = lines.select(by, F.col(line).alias("_line"), F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.col("x1").alias("_x1"), F.col("y1").alias("_y1"), F.col("angle").cast("double").alias("_t"))
+    extra, most = [c for c in (profile, score) if c], distance + 1.5 * angle
+    scratch, tasks = Scratch(labels.sparkSession, "labels"), labels.sparkSession.sparkContext.defaultParallelism
+    own = labels.select(by, F.struct(by, label, *extra).alias("_k"), "x", "y", "angle").where(spatial._finite("x") & spatial._finite("y") & spatial._finite("angle"))
+    open_ = scratch.table(own.repartition(tasks, by, "x", "y", "angle"))
     rho = lambda t, x, y: F.cos(F.radians(t)) * F.col(y) - F.sin(F.radians(t)) * F.col(x)
-    rows = rows.withColumns({"_b": F.least(F.floor(F.col("_t") / turn), F.lit(turns - 1)).cast("bigint"), "_c": F.floor(rho(F.col("_t"), "_x0", "_y0") / cell)})
-    bands = F.explode(F.array_distinct(F.transform(F.sequence(F.floor((F.col("angle") - angle) / turn) - 1, F.floor((F.col("angle") + angle) / turn) + 1), lambda b: F.pmod(b, F.lit(turns)))))
-    own = labels.select("*", bands.alias("_b"))
-    middle, slack = rho((F.col("_b") + 0.5) * turn, "x", "y"), F.hypot("x", "y") * F.radians(F.lit(turn / 2)) + distance + 1e-6
-    own = own.withColumn("_c", F.explode(F.sequence(F.floor((middle - slack) / cell), F.floor((middle + slack) / cell))))
-    met = own.join(rows, [by, "_b", "_c"])
-    d = G.line_distance(F.col("x"), F.col("y"), F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"))
-    a = G.angle_between(F.col("angle"), F.col("_t"))
-    met = met.withColumns({"_d": d, "_a": a}).where((F.col("_d") <= distance + 1e-9) & (F.col("_a") <= angle))
-    extra = [c for c in (profile, score) if c]
-    best = met.groupBy(by, label, *extra).agg(F.min(F.struct(F.round(F.col("_d") + 1.5 * F.col("_a"), 6).alias("c"), "_line", (F.col("_d") + 1.5 * F.col("_a")).alias("cost"))).alias("b"))
-    best = best.select(by, label, *extra, F.col("b._line").alias(line), "b.cost")
+    rows = lines.select(by, F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.col("x1").alias("_x1"), F.col("y1").alias("_y1"), F.col("angle").cast("double").alias("_t"), F.col(line).alias("_line"))
+    rows = rows.groupBy(by, "_x0", "_y0", "_x1", "_y1", "_t").agg(F.min("_line").alias("_line")).where("_x0 <> _x1 or _y0 <> _y1").where(spatial._finite("_t"))
+    # bands go by the direction from point to point, as distances do; the angle given may differ by a little
+    rows = rows.withColumn("_f", F.pmod(F.degrees(F.atan2(F.col("_y1") - F.col("_y0"), F.col("_x1") - F.col("_x0"))), F.lit(180.0)))
+    rows = scratch.table(rows.where(~F.isnan("_f")).withColumn("_o", rho(F.col("_f"), "_x0", "_y0")))
+    slip = (rows.agg(F.max(G.angle_between(F.col("_f"), F.col("_t")))).first()[0] or 0.0) + 1e-6
+
+    def bands(cost: float) -> tuple[DataFrame, float, int, float, float]:
+        """The lines in bands fit for a cost, with the limit of the angle, the number of bands of direction, the limit of the distance and a band's width in pixels."""
+        turn, reach = min(angle, cost / 1.5) + slip, min(distance, cost) + 1e-6
+        turns = max(int(1800 // turn), 1)
+        return rows.withColumns({"_b": F.least(F.floor(F.col("_f") * turns / 180), F.lit(turns - 1)), "_c": F.floor(F.col("_o") / (2 * reach))}), turn, turns, reach, 2 * reach
+
+    cost, last, out = most, None, None
+    for _ in range(30):  # halved until the band of a line holds two in the mean, or halving parts them no more
+        sizes = bands(cost)[0].groupBy(by, "_b", "_c").agg(F.count("*").cast("double").alias("n"))
+        mean = sizes.agg(F.sum(F.col("n") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0.0))).first()[0]
+        if mean is None or mean <= 2 or (last is not None and mean > last * 0.95):
+            break
+        last, cost = mean, cost / 2
+    while True:
+        cost = most if cost > most * 0.75 else cost
+        laid, turn, turns, reach, cell = bands(cost)
+        near = F.array_distinct(F.transform(F.sequence(F.floor((F.col("angle") - turn) * turns / 180), F.floor((F.col("angle") + turn) * turns / 180)), lambda b: F.pmod(b, F.lit(turns))))
+        seen = open_.withColumn("_b", F.explode(near))
+        middle, slack = rho((F.col("_b") + 0.5) * 180 / turns, "x", "y"), F.hypot("x", "y") * F.radians(F.lit(90 / turns)) + reach
+        seen = seen.withColumn("_c", F.explode(F.sequence(F.floor((middle - slack) / cell), F.floor((middle + slack) / cell))))
+        met = seen.join(laid.hint("merge"), [by, "_b", "_c"])
+        met = met.withColumns({"_d": G.line_distance(F.col("x"), F.col("y"), F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1")), "_a": G.angle_between(F.col("angle"), F.col("_t"))}).where((F.col("_d") <= distance + 1e-9) & (F.col("_a") <= angle))
+        met = met.withColumn("_s", F.struct(F.round(F.col("_d") + 1.5 * F.col("_a"), 6).alias("c"), "_line", (F.col("_d") + 1.5 * F.col("_a")).alias("cost")))
+        if cost < most:
+            met = met.where(F.col("_s.c") <= cost - 1e-6)
+        best = met.groupBy("_k").agg(F.min("_s").alias("b"))
+        if cost < most:
+            best = scratch.table(best)
+            open_ = scratch.table(open_.join(best.select("_k"), "_k", "left_anti"))
+        out = best if out is None else out.unionByName(best)
+        if cost >= most or open_.isEmpty():
+            break
+        cost *= 2
+    best = out.select(f"_k.{by}", f"_k.{label}", *(f"_k.{c}" for c in extra), F.col("b._line").alias(line), "b.cost")
     if not profile or not score:
         return best.select(by, label, line, "cost")
     first = best.groupBy(by, profile, line).agg(F.min(F.struct(F.negate(score).alias("s"), F.col(label).alias("label"), "cost")).alias("f"))

@@ -164,3 +164,34 @@ def test_crossings_are_neither_broadcast_nor_shuffled_again(spark):
     assert len(rows) == len(set(rows)) > 0
     assert set(rows) == {(r["first"], r["second"]) for r in surface.segment_crossings(seg, "k", "g", 1000.0).collect()}
     assert "Broadcast" not in plan(out) and "HashAggregate" not in plan(out)
+
+
+def test_label_lines_of_dense_lines(spark, monkeypatch):
+    """Labels in a field of lines and their copies, some far from all: the rows of all pairs, while a label meets few lines."""
+    r = random.Random(11)
+    line = lambda: (r.uniform(0, 300), r.uniform(0, 300), float(r.randrange(180)) if r.random() < 0.5 else r.uniform(0, 179.99))
+    fan = [line() for _ in range(1500)] * 2
+    own = [("m", k, x, y, x + 10 * math.cos(math.radians(t)), y + 10 * math.sin(math.radians(t)), t) for k, (x, y, t) in enumerate(fan)] + [("n", 9000, 0.0, 0.0, 10.0, 0.0, 0.0), ("n", 9001, math.nan, 0.0, 10.0, 0.0, 0.0)]
+    labels = [("m", k, r.uniform(0, 300), r.uniform(0, 300), float(r.randrange(180))) for k in range(200)]
+    labels += [("m", 200 + k, r.uniform(2000, 5000), 0.0, r.uniform(0, 179.0)) for k in range(20)] + [("n", 300, 500.0, 40.0, 178.0), ("n", 301, 500.0, 46.0, 0.0), ("n", 302, math.inf, 0.0, 0.0)]
+    want = set()
+    for m, k, x, y, a in labels:
+        met = []
+        for n, i, x0, y0, x1, y1, t in own:
+            d, g = abs((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)) / math.hypot(x1 - x0, y1 - y0), abs(a - t) % 180
+            g = min(g, 180 - g)
+            if m == n and d <= 45 and g <= 20:
+                met.append((round(d + 1.5 * g, 6), i))
+        want |= {(k, min(met)[1])} if met else set()
+    met, whole = spark.sparkContext.accumulator(0), lines.G.line_distance
+
+    @F.udf("double")
+    def counted(d):
+        met.add(1)
+        return d
+
+    monkeypatch.setattr(lines.G, "line_distance", lambda *c: counted(whole(*c)))
+    rows = lambda v: spark.createDataFrame(v, "map string, k long, x double, y double, " + ("x1 double, y1 double, " if len(v[0]) > 5 else "") + "angle double")
+    got = lines.label_lines(rows(labels), rows(own).withColumnRenamed("k", "line"), "map", "k", "line")
+    assert {(v.k, v.line) for v in got.collect()} == want and len(want) > 200
+    assert met.value < 100 * len(labels)
