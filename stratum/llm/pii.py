@@ -267,7 +267,7 @@ def surrogates(docs: DataFrame, secret: str = "stratum", text: str = "text", key
 
     Null texts stay null and texts without entities stay as they are; columns named like the appended ones are replaced, other
     columns of any name stay. Repeated rows are rewritten alike, null keys like any others; an empty table gives an empty one.
-    n_entities counts the mentions that the pattern finds; names without a title, of which the same text has one with it, are
+    Mentions are searched once, and texts written with them to the shared folder. n_entities counts the mentions that the pattern finds; names without a title, of which the same text has one with it, are
     replaced on top. Account numbers with wrong check digits are replaced too and stay wrong. Entities are gathered by an
     aggregation that combines before it shuffles. Attempts that the collision check raised are looked up in a literal up to
     MAX_LITERAL of them, beyond by a join on the text's hash, with the same result.
@@ -275,7 +275,8 @@ def surrogates(docs: DataFrame, secret: str = "stratum", text: str = "text", key
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     docs = docs.drop("n_entities", "entity_kinds")
     m_, tries_, hash_, drawn_, pairs_ = (free(c, docs.columns) for c in ("_m", "_tries", "_hash", "_drawn", "_pairs"))
-    found = docs.select(F.explode(mentions(F.col(text))).alias("x")).select("x.kind", "x.norm").where("kind is not null").distinct()
+    docs = scratch.table(docs.withColumn(m_, mentions(F.col(text))))
+    found = docs.select(F.explode(m_).alias("x")).select("x.kind", "x.norm").where("kind is not null").distinct()
     again = scratch.table(collisions(scratch.table(found), secret, scratch))
     n = again.count()
     name = lambda kind, norm: F.concat_ws("\x1f", kind, norm)
@@ -286,18 +287,18 @@ def surrogates(docs: DataFrame, secret: str = "stratum", text: str = "text", key
         attempt = lambda x: F.coalesce(F.element_at(known, name(x.kind, x.norm)), F.lit(0))
     else:
         same = F.sha2(F.col(text), 256)
-        own = docs.select(same.alias("s"), F.explode(F.array_distinct(mentions(F.col(text)))).alias("x")).select("s", "x.kind", "x.norm").distinct().join(again, ["kind", "norm"])
+        own = docs.select(same.alias("s"), F.explode(F.array_distinct(m_)).alias("x")).select("s", "x.kind", "x.norm").distinct().join(again, ["kind", "norm"])
         tries = own.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct(name(F.col("kind"), F.col("norm")), "attempt"))).alias(tries_))
         docs = docs.withColumn(hash_, same).join(tries.withColumnRenamed("s", hash_), hash_, "left")
         attempt = lambda x: F.coalesce(F.element_at(F.col(tries_), name(x.kind, x.norm)), F.lit(0))
-    columns = [c for c in docs.columns if c not in (tries_, hash_)]
+    columns = [c for c in docs.columns if c not in (m_, tries_, hash_)]
     drawn = F.transform(F.col(m_), lambda x: F.struct(x.m.alias("m"), x.kind.alias("kind"), _core(x.kind, x.norm, secret, attempt(x)).alias("core")))
     dressed = F.transform(F.col(drawn_), lambda x: F.when(x.kind.isNull(), x.m).otherwise(_dress(x.kind, x.m, x.core)))
     between = F.split(F.col(text), ANY, -1)
     between = F.when(F.size(pairs_) > 0, F.transform(between, lambda s: _untitled(s, F.col(pairs_)))).otherwise(between)
     parts = F.zip_with(between, dressed, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     kinds = F.filter(F.col(m_), lambda x: x.kind.isNotNull())
-    out = docs.withColumn(m_, mentions(F.col(text))).withColumn(drawn_, drawn).withColumn(pairs_, _pairs(F.col(drawn_)))
+    out = docs.withColumn(drawn_, drawn).withColumn(pairs_, _pairs(F.col(drawn_)))
     out = out.withColumn(text, F.when(F.size(m_) > 0, F.array_join(parts, "")).otherwise(F.col(text)))
     out = out.withColumn("n_entities", F.coalesce(F.size(kinds), F.lit(0))).withColumn("entity_kinds", F.array_sort(F.array_distinct(F.transform(kinds, lambda x: x.kind))))
     return out.select(*columns, "n_entities", "entity_kinds")

@@ -7,6 +7,7 @@ some v is orthogonal to all of them and its mask leaves all of them out: the pai
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import partial
 
 import numpy as np
@@ -28,6 +29,8 @@ SLACK = 16
 BLOCK = 1 << 22
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Its powers multiply the words of a shingle, so words in another order give another sum.
+PLACE = 0x9E3779B97F4A7C15
 
 
 def masks(radius: int, bits: list[int] | range = range(64)) -> list[int]:
@@ -62,13 +65,19 @@ def shingle_hashes(words: list[bytes], size: int, seed: int = SEED):
         yield np.array([digest(buf[i:j], seed) for i, j in zip(s, e)], np.uint64)
 
 
+def _sums(one: np.ndarray) -> np.ndarray:
+    """Column sums of rows of bytes 0 or 1, eight columns at a time; 255 rows don't overflow a byte."""
+    lanes = one.view(np.uint64)
+    return sum(lanes[at : at + 255].sum(0).view(np.uint8).astype(np.int64) for at in range(0, len(lanes), 255))
+
+
 def vote(parts, weights=None) -> np.ndarray:
     """Per bit 1 where the (weighted) majority of hashes has it: 64 bits per hash column."""
     total, bits = 0, 0
     for i, h in enumerate(parts):
         one = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         if weights is None:
-            bits, total = bits + one.sum(0, dtype=np.int64), total + len(h)
+            bits, total = bits + _sums(one), total + len(h)
         else:
             bits, total = bits + weights[i] @ one.astype(np.float32), total + weights[i].sum()
     if not total:
@@ -91,28 +100,51 @@ def mixed(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def word_fingerprints(words: list[bytes], n: int) -> list[int]:
-    """n independent 64-bit SimHashes over distinct words, weighted by count and length (up to 12 bytes); shared short words weigh little."""
-    if not words:
-        return [0] * n
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    weights = np.fromiter((n * min(len(w), 12) for w, n in counts.items()), np.float32, len(counts))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
-    return [signed(int(x)) for x in vote([mixed(hashes, n)], [weights])]
-
-
-def shingle_set(words: list[bytes], size: int) -> np.ndarray:
-    """Distinct shingle hashes in order."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, size)]))
+def numbered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of several texts as numbers, one text after another, the places where texts begin and the last ends, and the hash and length of each number's word."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    parts = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in map(words_of, texts)]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in number), np.uint64, len(number))
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.cumsum([0, *map(len, parts)]), hashes, np.fromiter(map(len, number), np.int64, len(number))
+
+
+def word_fingerprints(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, n: int) -> list[list[int]]:
+    """n independent 64-bit SimHashes of each text over distinct words, weighted by count and length (up to 12 bytes); shared short words weigh little."""
+    prints, weights, out = mixed(hashes, n), np.minimum(sizes, 12), np.zeros((len(at) - 1, n), np.uint64)
+    for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        own, counts = np.unique(ids[s:e], return_counts=True)
+        cuts = range(CHUNK, len(own), CHUNK)
+        if s < e:
+            out[i] = vote((prints[w] for w in np.split(own, cuts)), np.split((counts * weights[own]).astype(np.float32), cuts))
+    return out.view(np.int64).tolist()
+
+
+def shingle_sets(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    """Distinct shingles of each text in order, as sums of their words' hashes, each times the multiplier of its place; fewer words than ``size`` are one shingle, none gives none."""
+    h, out = hashes[ids], []
+    times = [np.uint64(pow(PLACE, j + 1, 1 << 64)) for j in range(size)]
+    rolled = np.zeros(max(len(h) - size + 1, 0), np.uint64)
+    for j, m in enumerate(times):
+        rolled += h[j : j + len(rolled)] * m
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+        if e - s >= size:
+            own = np.sort(rolled[s : e - size + 1])
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        else:
+            own = (h[s:e] * np.array(times[: e - s], np.uint64)).sum(keepdims=True)[: e - s]
+        out.append(own)
+    return out
 
 
-def sketch(shingles: np.ndarray, n: int) -> list[int]:
-    """64·n SimHash bits over distinct shingles: the share of differing bits grows with the angle between two sets."""
-    if not len(shingles):
-        return [0] * n
-    return [signed(int(x)) for x in vote(mixed(shingles[at : at + CHUNK], n) for at in range(0, len(shingles), CHUNK))]
+def sketches(sets: list[np.ndarray], n: int) -> list[list[int]]:
+    """64·n SimHash bits over each set of distinct shingles: the share of differing bits grows with the angle between two sets."""
+    out, at = np.zeros((len(sets), n), np.uint64), np.cumsum([0, *map(len, sets)]).tolist()
+    hashes = mixed(np.concatenate([np.zeros(0, np.uint64), *sets]), n)
+    for i, (s, e) in enumerate(zip(at, at[1:])):
+        if s < e:
+            out[i] = vote(hashes[j : min(j + CHUNK, e)] for j in range(s, e, CHUNK))
+    return out.view(np.int64).tolist()
 
 
 def identity(shingles: np.ndarray) -> int:
@@ -121,24 +153,23 @@ def identity(shingles: np.ndarray) -> int:
 
 def _prints(batches, size: int, words_fps: int, check: int, kind: pa.DataType, key: str):
     for batch in batches:
-        for part in cut(batch, 1):
-            fps, checks = [], []
-            for t in part.column(1).to_pylist():
-                words = words_of(t)
-                if check:
-                    own = shingle_set(words, size)
-                    fps.append(word_fingerprints(words, words_fps))
-                    checks.append([*sketch(own, check), identity(own), len(own)])
-                else:
-                    fps.append([signed(int(vote(shingle_hashes(words, size))[0]))])
-                    checks.append([])
+        for part in cut(batch, 1, 256, 4 << 20):
+            texts = part.column(1).to_pylist()
+            if check:
+                ids, at, hashes, sizes = numbered(texts)
+                own = shingle_sets(ids, at, hashes, size)
+                fps = word_fingerprints(ids, at, hashes, sizes, words_fps)
+                checks = [[*bits, identity(x), len(x)] for bits, x in zip(sketches(own, check), own)]
+            else:
+                fps = [[signed(int(vote(shingle_hashes(words_of(t), size))[0]))] for t in texts]
+                checks = [[] for _ in texts]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array(fps, pa.list_(pa.int64())), pa.array(checks, pa.list_(pa.int64()))], names=[key, "fps", "check"])
 
 
 def _sets(batches, size: int):
     for batch in batches:
-        for part in cut(batch, 1):
-            own = [shingle_set(words_of(t), size) for t in part.column(1).to_pylist()]
+        for part in cut(batch, 1, 256, 4 << 20):
+            own = shingle_sets(*numbered(part.column(1).to_pylist())[:3], size)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(identity, own), pa.int64()), pa.array((x.tobytes() for x in own), pa.binary())], names=["m", "same", "shingles"])
 
 

@@ -341,3 +341,18 @@ def test_clashing_columns_and_null_strings(spark):
     got = suffix_dedup.remove_repeats(df, length=50, carry=df.columns).collect()
     assert sorted((r.doc_id is not None, r.doc_id or "", len(r.kept), r._text + r._own + r._id) for r in got) == [(False, "", 300, "abc"), (True, "", 1, "abc"), (True, "k", 0, "abc")]
     assert spark.createDataFrame([(bytearray("aé".encode()[:2]),)], "kept binary").select(suffix_dedup.kept_text()).first()[0] == "a"
+
+
+def test_shingle_sets_of_many_texts():
+    """Sets of texts taken together have the sizes and overlaps of their word tuples, also where words recur in another order."""
+    rng = random.Random(3)
+    texts = [None, "", "a", "a b", "b a", "a b c d e", "A b  c d e f", "a b c b a", "b a c a b", *(" ".join(rng.choice("abc") for _ in range(rng.randrange(300))) for _ in range(60))]
+    plain = []
+    for t in texts:
+        w = (t or "").lower().split()
+        plain.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    ids, at, hashes, sizes = simhash_dedup.numbered(texts)
+    got = [set(x.tolist()) for x in simhash_dedup.shingle_sets(ids, at, hashes, 5)]
+    assert [len(x) for x in got] == [len(x) for x in plain]
+    assert all(len(a & b) == len(x & y) for a, x in zip(got, plain) for b, y in zip(got, plain))
+    assert [len(x) for x in simhash_dedup.sketches([np.array(sorted(x), np.uint64) for x in got], 4)] == [4] * len(texts)

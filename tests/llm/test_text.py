@@ -427,3 +427,11 @@ def test_toxicity_repeats_and_long_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, None), (None, 1)], "doc_id long, toxic int")
     a, b = (toxicity.score(docs.repartition(n), toxicity.fit(docs.repartition(n), labels)) for n in (2, 5))
     assert a.columns == ["doc_id", "text", "score"] and sorted((r.doc_id, round(r.score, 6)) for r in a.collect()) == sorted((r.doc_id, round(r.score, 6)) for r in b.collect())
+
+
+def test_pii_searches_texts_once(spark, monkeypatch):
+    """The pattern of all entities runs over a text once, not for the distinct entities and again for the texts."""
+    calls, whole = [], pii.mentions
+    monkeypatch.setattr(pii, "mentions", lambda t: calls.append(1) or whole(t))
+    got = pii.surrogates(spark.createDataFrame([(1, "mail jane.roe@example.org now"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert len(calls) == 1 and got[0].n_entities == 1 and "jane.roe" not in got[0].text and got[1].text is None
