@@ -49,12 +49,35 @@ PATTERNS = {
 }
 
 
+#: What parts words in a text of ASCII alone.
+_GAPS = {i: " " for i in range(128) if not chr(i).isalpha()}
+_YOU = ("you're", "you are", "du bist", "tu es", "eres")
+_MASK = re.compile(r"(?<=\w)[*@#$]{2,}\w")
+
+
+def words_of(low: str) -> set[str]:
+    """Distinct words of a text in lower case."""
+    return set(low.translate(_GAPS).split() if low.isascii() else _WORD.findall(low))
+
+
+def marks(text: str, low: str) -> set[str]:
+    """The patterns that occur. A pattern is searched only in texts that have what it can't do without: a run of four capitals or of one letter, or one of the phrases."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    far, same = c > 127, c[1:] == c[:-1]
+    caps, same = far | (c - np.uint32(65) < 26), same & (far | ((c | np.uint32(32)) - np.uint32(97) < 26))[1:]
+    may = {"§bangs": "!!" in text, "§masked": _MASK.search(text) is not None}
+    may["§shout"] = bool((caps[:-3] & caps[1:-2] & caps[2:-1] & caps[3:]).any()) and PATTERNS["§shout"].search(text) is not None
+    may["§you"] = (any(p in low for p in _YOU) or any(x in text for x in "ſıİ")) and PATTERNS["§you"].search(text) is not None
+    may["§stretch"] = bool((same[:-2] & same[1:-1] & same[2:]).any()) and PATTERNS["§stretch"].search(text) is not None
+    return {name for name, hit in may.items() if hit}
+
+
 def terms(text: str | None) -> set[str]:
     """Distinct words in lower case, stems ("abcd*") of longer words, and the patterns that occur."""
     text = text or ""
-    words = set(_WORD.findall(text.lower()))
-    out = words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
-    return out | {name for name, p in PATTERNS.items() if p.search(text)}
+    low = text.lower()
+    words = words_of(low)
+    return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n} | marks(text, low)
 
 
 def signature(text: str | None) -> list[int]:
@@ -76,16 +99,18 @@ class Model:
     def __post_init__(self) -> None:
         self.words = {t for t in self.weights if t[-1:] != "*" and t[:1] != "§"}
         self.stems = {n: {t[:-1] for t in self.weights if t[-1:] == "*" and len(t) == n + 1} for n in STEMS}
-        self.patterns = [(self.weights[t], p) for t, p in PATTERNS.items() if self.weights.get(t)]
+        self.patterns = [(self.weights[t], t) for t in PATTERNS if self.weights.get(t)]
 
     def score(self, text: str | None) -> float:
         text = text or ""
-        words = set(_WORD.findall(text.lower()))
+        low = text.lower()
+        words = words_of(low)
         z = self.bias + sum(self.weights[w] for w in words & self.words)
         for n, known in self.stems.items():
             if known:
                 z += sum(self.weights[f"{s}*"] for s in {w[:n] for w in words if len(w) > n} & known)
-        z += sum(w for w, p in self.patterns if p.search(text))
+        found = marks(text, low) if self.patterns else ()
+        z += sum(w for w, t in self.patterns if t in found)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 

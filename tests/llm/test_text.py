@@ -435,3 +435,15 @@ def test_pii_searches_texts_once(spark, monkeypatch):
     monkeypatch.setattr(pii, "mentions", lambda t: calls.append(1) or whole(t))
     got = pii.surrogates(spark.createDataFrame([(1, "mail jane.roe@example.org now"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert len(calls) == 1 and got[0].n_entities == 1 and "jane.roe" not in got[0].text and got[1].text is None
+
+
+def test_toxicity_marks(monkeypatch):
+    """Marks are what the patterns find, and texts that can't hold one aren't searched for it."""
+    rng = random.Random(2)
+    pieces = ["you're", "YOU ARE", "du biſt", "tu es", "ERES", "dU BİST", "AAAA", "ABCD EFGH IJKL", "ÄÄÄÄ ÖÖÖÖÖ ÜÜÜÜ", "a**b", "a**", "_##1", "aaaa", "жжжж", "    ", "!!", "é", "9", "\n", " "]
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randrange(7)))
+        assert toxicity.marks(t, t.lower()) == {n for n, p in toxicity.PATTERNS.items() if p.search(t)}, t
+        assert toxicity.words_of(t.lower()) == set(toxicity._WORD.findall(t.lower()))
+    monkeypatch.setattr(toxicity, "PATTERNS", dict.fromkeys(toxicity.PATTERNS))  # none can be searched
+    assert "words" in toxicity.terms("A plain text of Words, 1111 blanks    and NO marks!")
